@@ -50,6 +50,7 @@ def build_session(app: str = "planloom", cpus: str | int = "*", partitions: int
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("PLANLOOM_DRIVER_MEMORY", "12g"))
         .getOrCreate()
     )
