@@ -51,12 +51,12 @@ REFUSALS = (
 )
 #: Frequent words by which a language is told, chosen to be in few of the other lists.
 LANGUAGE_WORDS = {
-    "en": "the of and is are was that this with for have has from they it so we then how many what which there after be by an not in at leaves result answer begin",
-    "de": "der die das und ist sind nicht ein eine wir wie viele im am den dem mit auch zuerst noch wird beträgt lautet aus sich dann zusammen bleiben ergebnis damit also ende denn daher",
-    "fr": "le la les des est sont dans une et nous combien avec que pour qui donc du au on il ne pas elle reste obtient réponse total car aussi ajoute maintenant résultat somme alors fin",
-    "es": "el los las una es son y en con que para del cuántos cuántas más se por lo tanto al queda quedan respuesta tenemos entonces primero ahora suma resultado pues también final",
-    "it": "il gli una è sono e di con che per del della quanti quante più si dunque quindi alla restano rimangono risposta abbiamo allora prima ora risultato ne fine anche poi",
-    "nl": "de het een is zijn niet en van met dat hoeveel er wij ook eerst nog wordt aan dus uit antwoord blijven uitkomst eind dan samen tellen we over daarna",
+    "en": "the of and is are was that this with for have has from they it so we then how many what which there after be by an not in at leaves result answer you can which were been their would",
+    "de": "der die das und ist sind nicht ein eine wir wie viele im am den dem mit auch zuerst noch wird beträgt lautet aus sich dann zusammen bleiben ergebnis damit also ende denn daher nun weil danach sie es von zu für werden wurde",
+    "fr": "le la les des est sont dans une et nous combien avec que pour qui donc du au on il ne pas elle reste obtient réponse total car aussi ajoute maintenant résultat somme alors fin ensuite puis à par ce ces sur parce il leur",
+    "es": "el los las una es son y en con que para del cuántos cuántas más se por lo tanto al queda quedan respuesta tenemos entonces primero ahora suma resultado pues también final hay ya después luego porque está fue",
+    "it": "il gli una è sono e di con che per del della quanti quante più si dunque quindi alla restano rimangono risposta abbiamo allora prima ora risultato ne fine anche poi nel nella ce adesso perché sono gli successivo",
+    "nl": "de het een is zijn niet en van met dat hoeveel er wij ook eerst nog wordt aan dus uit antwoord blijven uitkomst eind dan samen we over daarna worden nu omdat volgende zijn naar maar zij hun door",
     "pt": "o os as uma é são e em com que para do da quantos quantas mais se por isso ao fica ficam resposta temos então primeiro agora soma resultado também não",
 }
 #: A length limit: at least so many answers end there, and so many times the mean of the lengths within 8 of it.
@@ -121,17 +121,6 @@ def unterminated(answer: Column) -> Column:
     return tail.rlike(r"(?:\.\.+|…)[\"'”’)\]]*$") | ~tail.rlike(_ENDS)
 
 
-def language_scores(tokens: Column) -> Column:
-    """How many words of a text are in each language's list, as MAP<language, count>."""
-    return F.create_map(
-        *(
-            x
-            for lang, ws in LANGUAGE_WORDS.items()
-            for x in (F.lit(lang), F.size(F.filter(tokens, lambda w, known=F.array(*map(F.lit, ws.split())): F.array_contains(known, w))))
-        )
-    )
-
-
 def language_columns(df: DataFrame, tokens: str, prefix: str) -> DataFrame:
     """``<prefix>_<language>``: how many distinct words of ``tokens`` are in the list of each language."""
     return df.withColumns({f"{prefix}_{lang}": F.size(F.array_intersect(F.col(tokens), F.array(*map(F.lit, ws.split())))) for lang, ws in LANGUAGE_WORDS.items()})
@@ -237,7 +226,7 @@ def defects(messages: DataFrame) -> DataFrame:
     refusal = F.col("declines") & (F.col("numbers_own") == 0) & ~F.col("answer").rlike(r"\d\s*=|=\s*\d")
     known = (F.col("ql.lang") != "") & (F.col("al.lang") != "") & (F.col("ql.lang") != F.col("al.lang"))
     in_question = F.coalesce(*(F.when(F.col("ql.lang") == x, F.col(f"a_{x}")) for x in LANGUAGE_WORDS), F.lit(0))
-    other = known & ~F.col("json") & (F.col("al.n") >= 2) & (F.col("al.n") >= 2 * in_question + 1)
+    other = known & ~F.col("json") & (F.col("al.n") >= 2) & (F.col("al.n") >= 1.5 * in_question + 1)
     cut_off = F.when(F.col("json"), json_cut_off(F.col("answer"))).otherwise(stops)
     first = F.when(F.col("empty"), "empty").when(copied, "copied").when(refusal, "refusal").when(other, "other_language").when(cut_off, "truncated")
     judged = cut(

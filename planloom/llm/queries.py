@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from planloom.llm import canonical, cooccur
+from planloom.llm import canonical, cooccur, mixing, overlap, pairs, quality, tiling
 from planloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +33,62 @@ def p4_pattern_lift(spark: SparkSession, d: str) -> DataFrame:
     return cooccur.cooccurrence(baskets).select("item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_records, p4_found, p4_pattern_lift)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_pairs(table(spark, d, "eval_results"))
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_counts(table(spark, d, "eval_results"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "chat_messages"))
+
+
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defect_counts(table(spark, d, "chat_messages"))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.question_answers(table(spark, d, "chat_messages")).select("conv_id", "turn", "answered")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return tiling.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return tiling.leak_report(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
+def p7_uses(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"))
+
+
+def p8_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_quality(table(spark, d, "documents"))
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    s = quality.text_quality(table(spark, d, "documents"))
+    return s.select("doc_id", "n_words", "n_lines")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_counts, p3_found, p3_records, p4_found, p4_pattern_lift, p5_found, p5_counts, p5_pairs,
+        p6_found, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts,
+    )
+}
 
 _BASKETS = """
     lib AS (SELECT upper(trim(sub_id)) AS k, min(sub_id) AS sub_id FROM sub_library WHERE sub_id IS NOT NULL GROUP BY 1),
@@ -52,7 +107,54 @@ _BASKETS = """
     )
 """
 
+_NAME = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_EXPR = "regexp_replace(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}+\\-*/%().<>=!]+', '', 'g')"
+_RECORDS = f"""
+    j AS (
+        SELECT row_id, slots, steps, try_cast(output AS JSON) AS o FROM programs WHERE row_id IS NOT NULL
+    ),
+    t AS (
+        SELECT row_id, slots, steps, CASE WHEN slots IS NULL AND steps IS NULL AND o IS NOT NULL THEN json_transform(o,
+            '{{"slots": [{{"name": "VARCHAR", "dtype": "VARCHAR"}}], "steps": [{{"op": "VARCHAR", "target": "VARCHAR", "expr": "VARCHAR", "inputs": ["VARCHAR"], "target_dtype": "VARCHAR"}}]}}') END AS o
+        FROM j
+    ),
+    f AS (
+        SELECT row_id,
+            coalesce(list_transform(slots, lambda s: {_NAME.format("s.name")} || ':' || lower(coalesce(s.dtype, ''))),
+                     list_transform(o.slots, lambda s: {_NAME.format("s.name")} || ':' || lower(coalesce(s.dtype, '')))) AS a,
+            coalesce(list_transform(steps, lambda s: {{'op': lower(coalesce(s.op, '')), 't': {_NAME.format("s.target")}, 'e': {_EXPR.format("s.expr")},
+                        'i': list_sort(list_transform(coalesce(s.inputs, []), lambda x: {_NAME.format("x")})), 'd': lower(coalesce(s.target_dtype, ''))}}),
+                     list_transform(o.steps, lambda s: {{'op': lower(coalesce(s.op, '')), 't': {_NAME.format("s.target")}, 'e': {_EXPR.format("s.expr")},
+                        'i': list_sort(list_transform(coalesce(s.inputs, []), lambda x: {_NAME.format("x")})), 'd': lower(coalesce(s.target_dtype, ''))}})) AS b
+        FROM t WHERE slots IS NOT NULL OR steps IS NOT NULL OR o.slots IS NOT NULL OR o.steps IS NOT NULL
+    ),
+    k AS (SELECT row_id, CAST(list_sort(a) AS VARCHAR) || '|' || CAST(b AS VARCHAR) AS k FROM f),
+    r AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PARTITION BY k) AS n_copies FROM k)
+"""
+
 SQL: dict[str, str] = {
+    "p3_found": f"WITH {_RECORDS} SELECT keep_id, row_id AS copy_id FROM r WHERE row_id <> keep_id",
+    "p5_pairs": """
+        WITH m AS (
+            SELECT DISTINCT conv_id, turn, CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user'
+                WHEN lower(trim(role)) IN ('assistant', 'gpt', 'model') THEN 'assistant' END AS r
+            FROM chat_messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+        )
+        SELECT u.conv_id, u.turn, a.conv_id IS NOT NULL AS answered
+        FROM m u LEFT JOIN m a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.r = 'assistant' WHERE u.r = 'user'
+    """,
+    "p6_found": """
+        WITH i AS (SELECT item_id, regexp_extract_all(lower(problem), '[\\p{L}\\p{N}]+') AS w FROM heldout_items),
+        ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d))
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+    """,
+    "p8_counts": """
+        SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)?')) AS BIGINT) AS n_words,
+            CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]'))) AS BIGINT) AS n_lines
+        FROM documents
+    """,
     "p4_found": f"""
         WITH {_BASKETS}
         SELECT two.kind AS basket_kind, two.a AS sub_id_a, two.b AS sub_id_b
