@@ -86,11 +86,16 @@ def _bare(text: Column) -> Column:
     return F.regexp_replace(no_tags, r'"[^"]*"\s*:', " ")
 
 
+def has_figures(answer: Column) -> Column:
+    """Whether an answer surely holds something: a digit outside markup, of a structure a digit in a value."""
+    return F.when(is_json(answer), answer.rlike(r':\s*(?:"[^"]*\p{N}|-?\p{N})')).otherwise(answer.rlike(r"\p{N}") & ~answer.contains("<"))
+
+
 def is_empty(answer: Column) -> Column:
     """No letter or digit beside markup, placeholders and empty structures."""
     left = F.lower(F.trim(F.regexp_replace(_bare(answer), r"[^\p{L}\p{N}/]+", " ")))
     nulls = F.regexp_replace(left, r"\b(?:null|none)\b", " ")
-    return answer.isNull() | ~left.rlike(r"[\p{L}\p{N}]") | left.isin(*PLACEHOLDERS) | ~nulls.rlike(r"[\p{L}\p{N}]")
+    return answer.isNull() | ~has_figures(answer) & (~left.rlike(r"[\p{L}\p{N}]") | left.isin(*PLACEHOLDERS) | ~nulls.rlike(r"[\p{L}\p{N}]"))
 
 
 def is_json(answer: Column) -> Column:
@@ -117,22 +122,28 @@ _ENDS = (
 
 def unterminated(answer: Column) -> Column:
     """A text that stops within a sentence, or in dots."""
-    tail = F.regexp_replace(answer, r"[\s ​]+$", "")
+    tail = F.rtrim(F.right(answer, F.lit(400)), F.lit(" \t\r\n\u00a0\u200b"))  # the ends looked for are shorter
     return tail.rlike(r"(?:\.\.+|…)[\"'”’)\]]*$") | ~tail.rlike(_ENDS)
 
 
-def language_columns(df: DataFrame, tokens: str, prefix: str) -> DataFrame:
-    """``<prefix>_<language>``: how many distinct words of ``tokens`` are in the list of each language."""
-    return df.withColumns({f"{prefix}_{lang}": F.size(F.array_intersect(F.col(tokens), F.array(*map(F.lit, ws.split())))) for lang, ws in LANGUAGE_WORDS.items()})
+def language_counts(tokens: Column) -> Column:
+    """How many distinct words of ``tokens`` (without repeats) are in each language's list, in the order of the lists."""
+    def count(known: str) -> Column:
+        return F.size(F.filter(tokens, lambda w: w.isin(*known.split())))
+
+    return F.array(*map(count, LANGUAGE_WORDS.values()))
+
 
+def told_language(counts: Column) -> Column:
+    """The place, from 1, of the language with most words in ``language_counts``; 0 if there is none, or not only one."""
+    top = F.array_max(counts)
+    return F.when((top > 0) & (F.size(F.filter(counts, lambda n: n == top)) == 1), F.array_position(counts, top)).otherwise(F.lit(0))
 
-def _best(prefix: str) -> Column:
-    """(count, language) of the language with most words; of equally many none, as language ''."""
-    langs = list(LANGUAGE_WORDS)
-    top = F.greatest(*(F.col(f"{prefix}_{x}") for x in langs))
-    ties = sum(((F.col(f"{prefix}_{x}") == top).cast("int") for x in langs), F.lit(0))
-    name = F.coalesce(*(F.when(F.col(f"{prefix}_{x}") == top, F.lit(x)) for x in langs))
-    return F.struct(top.alias("n"), F.when((ties == 1) & (top > 0), name).otherwise("").alias("lang"))
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once a row, however often later expressions use them."""
+    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return df.select("*", row.alias("_once")).select("*", "_once.*").drop("_once")
 
 
 def _successors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,25 +198,19 @@ def length_limits(lengths: DataFrame) -> DataFrame:
 
 def features(pairs: DataFrame) -> DataFrame:
     """``pairs`` with what the rules ask of each answer."""
-    quote = F.regexp_replace("answer", "[’‘`´]", "'")
-    df = pairs.withColumns(
-        {
-            "empty": ~F.col("answered") | is_empty(F.col("answer")),
-            "json": F.coalesce(is_json(F.col("answer")), F.lit(False)),
-            "qw": words(F.col("question")),
-            "aw": words(_bare(F.col("answer"))),
-            "declines": F.coalesce(F.lower(quote).rlike("|".join(f"(?:{r})" for r in REFUSALS)), F.lit(False)),
-        }
-    )
-    df = df.withColumns({"qs": F.array_distinct("qw"), "as": F.array_distinct("aw")})
-    df = df.withColumns(
-        {
-            "shared": F.size(F.array_intersect("qs", "as")) / F.greatest(F.size("qs"), F.lit(1)),
-            "own": F.size(F.array_except("as", "qs")),
-            "numbers_own": F.size(F.filter(F.array_except("as", "qs"), lambda w: w.rlike(r"\p{N}"))),
-        }
+    a = F.col("answer")
+    structure = F.coalesce(is_json(a), F.lit(False))
+    df = _once(
+        pairs,
+        json=structure,
+        empty=~F.col("answered") | is_empty(a),
+        qw=words(F.col("question")),
+        # the words of a structure with figures aren't asked for: it is no refusal and copies nothing
+        aw=F.when(structure & has_figures(a), F.array().cast("array<string>")).otherwise(words(_bare(a))),
     )
-    return language_columns(language_columns(df, "qs", "q"), "as", "a").withColumns({"ql": _best("q"), "al": _best("a")})
+    df = _once(df, qs=F.array_distinct("qw"), **{"as": F.array_distinct("aw")})
+    df = _once(df, shared=F.size(F.array_intersect("qs", "as")) / F.greatest(F.size("qs"), F.lit(1)), owned=F.array_except("as", "qs"))
+    return df.withColumns({"own": F.size("owned"), "numbers_own": F.size(F.filter("owned", lambda w: w.rlike(r"\p{N}")))})
 
 
 def defects(messages: DataFrame) -> DataFrame:
@@ -216,28 +221,38 @@ def defects(messages: DataFrame) -> DataFrame:
     """
     pairs = question_answers(messages)
     f = features(pairs)
+    texts = ~F.col("json") & ~F.col("empty") & (F.col("own") >= 2)
+    f = _once(f, al=F.when(texts, language_counts(F.col("as"))), ql=F.when(texts, language_counts(F.col("qs"))))
+    f = _once(f, most=F.array_max("al"), answered_in=told_language(F.col("al")), asked_in=told_language(F.col("ql")))
     # nearly all of the question and hardly a word of its own; cut in dots or not
     restates = F.col("answer").rlike(r"(?i)^\W*the (?:question|problem|task) (?:was|is|reads)")
-    stops = unterminated(F.col("answer"))
+    f = _once(f, stops=~F.col("json") & ~F.col("empty") & unterminated(F.col("answer")))
+    stops = F.col("stops")
     copied = (
         (F.size("qs") >= 4) & (F.col("shared") >= 0.6) & (F.col("numbers_own") == 0) & (F.col("own") <= 1 + 0.06 * F.size("as"))
         & (F.size("aw") >= 0.5 * F.size("qw")) & (F.size("aw") <= 1.3 * F.size("qw") + 6) & ~F.col("json") & ~(restates & stops)
     )
-    refusal = F.col("declines") & (F.col("numbers_own") == 0) & ~F.col("answer").rlike(r"\d\s*=|=\s*\d")
-    known = (F.col("ql.lang") != "") & (F.col("al.lang") != "") & (F.col("ql.lang") != F.col("al.lang"))
-    in_question = F.coalesce(*(F.when(F.col("ql.lang") == x, F.col(f"a_{x}")) for x in LANGUAGE_WORDS), F.lit(0))
-    other = known & ~F.col("json") & (F.col("al.n") >= 2) & (F.col("al.n") >= 1.5 * in_question + 1)
+    said = F.lower(F.regexp_replace("answer", "[’‘`´]", "'"))
+    refusal = (
+        (F.col("numbers_own") == 0) & (F.size("aw") > 0) & ~F.col("answer").rlike(r"\d\s*=|=\s*\d") & said.rlike("|".join(f"(?:{r})" for r in REFUSALS))
+    )
+    # an answer told to be of another language, with clearly more words of it than of the question's
+    asked_in = F.col("asked_in")
+    other = (
+        (F.col("most") >= 2) & (F.col("answered_in") > 0) & (asked_in > 0) & (asked_in != F.col("answered_in"))
+        & (F.col("most") >= 1.5 * F.try_element_at("al", asked_in.cast("int")) + 1)
+    )
     cut_off = F.when(F.col("json"), json_cut_off(F.col("answer"))).otherwise(stops)
     first = F.when(F.col("empty"), "empty").when(copied, "copied").when(refusal, "refusal").when(other, "other_language").when(cut_off, "truncated")
     judged = cut(
-        f.select(
+        _once(f, defect=first).select(
             "conv_id",
             "turn",
-            first.alias("defect"),
-            F.when(first.isNull() & ~F.col("json"), F.regexp_replace("answer", r"\s+$", "")).alias("text"),
+            "defect",
+            F.when(F.col("defect").isNull() & ~F.col("json"), F.rtrim("answer", F.lit(" \t\r\n"))).alias("text"),
             F.md5(F.concat_ws(" ", "qw")).alias("q"),
             F.length("answer").alias("n_chars"),
-            F.col("answer").rlike(r"[.!?}\]\"`]\s*$").alias("closed"),
+            F.right("answer", F.lit(20)).rlike(r"[.!?}\]\"`]\s*$").alias("closed"),
         )
     )
     open_texts = judged.where("text is not null").select("text", "q")
