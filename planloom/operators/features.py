@@ -87,9 +87,9 @@ def flow_edges(calls: DataFrame) -> DataFrame:
 def true_flow(calls: DataFrame) -> DataFrame:
     """(plan_key, compound), distinct, from explicit references only: programs, flows between them, by slot, several calls."""
     e = flow_edges(calls)
-    src = calls.where("call_id is not null").groupBy("plan_key", "call_id").agg(F.max_by("sub", "pos").alias("src_sub"))
+    src = calls.where("call_id is not null").groupBy("plan_key", F.col("call_id").alias("src_call")).agg(F.max_by("sub", "pos").alias("src_sub"))
     dst = calls.select("plan_key", "pos", F.col("sub").alias("dst_sub"))
-    j = e.join(src, (e.plan_key == src.plan_key) & (e.src_call == src.call_id), "left").drop(src.plan_key).join(dst, ["plan_key", "pos"])
+    j = e.join(src, ["plan_key", "src_call"], "left").join(dst, ["plan_key", "pos"])
     a, b = F.coalesce("src_sub", F.lit("?")), F.coalesce("dst_sub", F.lit("?"))
     n = calls.groupBy("plan_key").agg(F.count("*").alias("n")).where("n > 1")
     parts = [
@@ -126,7 +126,7 @@ def assignments(keys: DataFrame, trials: int, seed: int = 42, shares: tuple[floa
     """
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("plan_key").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     split = F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "dev").otherwise("test")
-    return keys.select("plan_key", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).cast("bigint").alias("trial")).withColumn("split", split)
+    return keys.select("plan_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("trial")).withColumn("split", split)
 
 
 def trial_scores(calls: DataFrame, trials: int, seed: int = 42) -> DataFrame:

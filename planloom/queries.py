@@ -5,8 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from planloom.functions import text
+from planloom.functions.types import coerce_sql
+from planloom.operators import features, library, metrics, templates
+from planloom.plans import execute
 from planloom.plans.nested_plans import plan_documents, plan_nodes, plan_tables
+from planloom.plans.programs import TOKENS, Program, Slot, Step, executed, fingerprint, signature, with_program
 from planloom.session import cut
 from planloom.sources.tables import table
 
@@ -49,3 +55,814 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     docs = cut(plan_documents(typed=table(spark, d, "dataflow_plans")))
     return plan_tables(docs)["bindings"].select("plan_key", "call_pos", "slot", "source", "ref_pos")
+
+
+# --- programs and expressions ------------------------------------------------------------------------------------
+
+CHARGE = Program(
+    "charge",
+    (Slot("qty"), Slot("price"), Slot("disc"), Slot("tax")),
+    (Step("compute", "net", "qty * price * (1 - disc)"), Step("compute", "gross", "net * (1 + tax)"), Step("output", "gross", "gross")),
+)
+CHARGE_SLOTS = {"qty": "l_quantity", "price": "l_extendedprice", "disc": "l_discount", "tax": "l_tax"}
+
+
+@query(
+    "program_eval",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity * l_extendedprice * (1 - l_discount) AS net, "
+    "l_quantity * l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return with_program(table(spark, d, "lineitem"), CHARGE, CHARGE_SLOTS).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "net", "gross")
+
+
+@query(
+    "program_eval_agg",
+    """
+    SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity * l_extendedprice * (1 - l_discount) * (1 + l_tax)) / 1e6, 6) AS gross_millions
+    FROM lineitem GROUP BY 1, 2
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = with_program(table(spark, d, "lineitem"), CHARGE, CHARGE_SLOTS).where("ok")
+    return t.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("output") / 1e6, 6).alias("gross_millions"))
+
+
+@query(
+    "safe_division",
+    """
+    SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio,
+        CAST(floor(CAST(l_orderkey AS DOUBLE) / 7) AS BIGINT) AS whole, l_partkey - 5 * CAST(floor(CAST(l_partkey AS DOUBLE) / 5) AS BIGINT) AS rest, l_discount <> 0 AS ok
+    FROM lineitem
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = Program(
+        "safe", (Slot("a"), Slot("b"), Slot("k", "int"), Slot("m", "int")),
+        (Step("compute", "whole", "k // 7", (), "int"), Step("compute", "rest", "m % 5", (), "int"), Step("output", "ratio", "a / b")),
+    )
+    t = with_program(table(spark, d, "lineitem"), p, {"a": "l_tax", "b": "l_discount", "k": "l_orderkey", "m": "l_partkey"})
+    return t.select("l_orderkey", "l_partkey", "l_linenumber", "ratio", "whole", "rest", "ok")
+
+
+@query(
+    "builtin_functions",
+    """
+    SELECT p_partkey, CAST(greatest(p_size, 10) AS DOUBLE) AS hi, CAST(least(p_size, 10) AS DOUBLE) AS lo, CAST(abs(p_size - 25) AS DOUBLE) AS gap,
+        sqrt(p_retailprice) AS root, CAST(CASE WHEN p_size BETWEEN 11 AND 29 THEN 1 ELSE 0 END AS DOUBLE) AS middle,
+        CAST(ceil(p_retailprice / 100) AS DOUBLE) AS up, CAST(gcd(p_size, 12) AS DOUBLE) AS g, CAST(p_size + 10 + 1 AS DOUBLE) AS total
+    FROM part
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = Program(
+        "builtins", (Slot("s", "int"), Slot("r")),
+        (
+            Step("compute", "hi", "max(s, 10)"), Step("compute", "lo", "min([s, 10])"), Step("compute", "gap", "abs(s - 25)"), Step("compute", "root", "sqrt(r)"),
+            Step("condition", "middle", "1 if 10 < s < 30 else 0"), Step("compute", "up", "ceil(r / 100)"), Step("compute", "g", "gcd(s, 12)"), Step("output", "total", "sum([s, 10, 1])"),
+        ),
+    )
+    return with_program(table(spark, d, "part"), p, {"s": "p_size", "r": "p_retailprice"}).select("p_partkey", "hi", "lo", "gap", "root", "middle", "up", "g", "total")
+
+
+@query(
+    "coerce_types",
+    """
+    SELECT item_id, min(try_cast(answer AS DOUBLE)) AS f, min(CAST(trunc(try_cast(answer AS DOUBLE)) AS BIGINT)) AS i, bool_or(answer <> '') AS b
+    FROM eval_results WHERE answer IS NOT NULL GROUP BY item_id
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "eval_results").where("answer is not null")
+    v = t.select("item_id", F.expr(coerce_sql("answer", "float")).alias("f"), F.expr(coerce_sql("answer", "int")).alias("i"), F.expr(coerce_sql("answer", "bool", True)).alias("b"))
+    return v.groupBy("item_id").agg(F.min("f").alias("f"), F.min("i").alias("i"), F.max("b").alias("b"))
+
+
+_ONE_ITEM = "SELECT item_id, min(source) AS source, min(template_id) AS template_id, min(problem) AS problem, min(answer) AS answer, any_value(program) AS program, any_value(bindings) AS bindings, min(exec_result) AS exec_result, bool_or(correct) AS correct FROM eval_results GROUP BY item_id"
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    low = lambda c: F.min(c).alias(c)
+    return table(spark, d, "eval_results").groupBy("item_id").agg(
+        low("source"), low("template_id"), low("problem"), low("answer"), first("program"), first("bindings"), low("exec_result"), F.max("correct").alias("correct")
+    )
+
+
+_VALUE = "CASE WHEN {0} IN ('+', '-', '*', '/') THEN NULL WHEN list_contains(map_keys(env), {0}) THEN env[{0}] ELSE try_cast({0} AS DOUBLE) END"
+
+
+@query(
+    "program_rows",
+    f"""
+    WITH RECURSIVE t AS (SELECT item_id, program.steps AS steps, bindings, [x.name for x in program.slots] AS slots FROM ({_ONE_ITEM}) WHERE program IS NOT NULL AND bindings IS NOT NULL),
+    ready AS (SELECT * FROM t WHERE len(list_filter(slots, lambda s: bindings[s] IS NULL)) = 0),
+    run(item_id, steps, i, env) AS (
+        SELECT item_id, steps, 1, bindings FROM ready
+        UNION ALL
+        SELECT item_id, steps, i + 1, map_concat(env, MAP {{steps[i].target: CASE len(string_split(steps[i].expr, ' '))
+            WHEN 1 THEN env[steps[i].expr]
+            ELSE CASE string_split(steps[i].expr, ' ')[2]
+                WHEN '+' THEN env[string_split(steps[i].expr, ' ')[1]] + env[string_split(steps[i].expr, ' ')[3]]
+                WHEN '-' THEN env[string_split(steps[i].expr, ' ')[1]] - env[string_split(steps[i].expr, ' ')[3]]
+                WHEN '*' THEN env[string_split(steps[i].expr, ' ')[1]] * env[string_split(steps[i].expr, ' ')[3]] END END}})
+        FROM run WHERE i <= len(steps)
+    )
+    SELECT item_id, env[list_filter(steps, lambda s: lower(s.op) = 'output')[-1].target] AS result FROM run WHERE i = len(steps) + 1
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return executed(_items(spark, d).where("bindings is not null"), "item_id").where("ok").select("item_id", "result")
+
+
+@query(
+    "verify_filter",
+    f"""
+    WITH i AS ({_ONE_ITEM})
+    SELECT coalesce(source, '') AS source, count(*) AS n, count(*) FILTER (WHERE answer IS NOT NULL AND exec_result IS NOT NULL) AS n_checked,
+        count(*) FILTER (WHERE CASE WHEN g = 0 THEN abs(exec_result - g) < 1e-3 ELSE abs(exec_result - g) < 1e-3 * abs(g) END) AS n_match
+    FROM (SELECT *, CASE WHEN isfinite(try_cast(replace(trim(answer), ',', '') AS DOUBLE)) THEN try_cast(replace(trim(answer), ',', '') AS DOUBLE) END AS g FROM i) GROUP BY 1
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = _items(spark, d).withColumn("m", text.answers_match(F.col("exec_result").cast("string"), F.col("answer"), "AM-2"))
+    return i.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("answer").isNotNull() & F.col("exec_result").isNotNull()).alias("n_checked"), F.count_if("m").alias("n_match")
+    )
+
+
+# --- plans ---------------------------------------------------------------------------------------------------------
+
+_PLANS = "plans AS (SELECT plan_key, any_value(calls) AS calls, any_value(final) AS final, bool_or(success) AS success FROM dataflow_plans GROUP BY plan_key)"
+_CALLS = f"""{_PLANS},
+    raw AS (SELECT plan_key, CAST(generate_subscripts(calls, 1) - 1 AS BIGINT) AS pos, unnest(calls) AS c FROM plans),
+    calls AS (SELECT plan_key, pos, c.call_id AS call_id, upper(trim(c.sub_id)) AS sub, coalesce(list_sort(map_keys(c.bindings)), []) AS keys, c.bindings AS refs FROM raw)"""
+
+
+def _plans(spark: SparkSession, d: str) -> DataFrame:
+    """One row per plan."""
+    return table(spark, d, "dataflow_plans").where("plan_key is not null").groupBy("plan_key").agg(F.first("calls").alias("calls"), F.first("final").alias("final"), F.max("success").alias("success"))
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    return features.plan_calls(table(spark, d, "dataflow_plans"))
+
+
+def _library(spark: SparkSession, d: str):
+    return execute.library_of(table(spark, d, "sub_library"))
+
+
+@query("plan_execute")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return execute.executed_plans(_plans(spark, d), _library(spark, d)).drop("outputs")
+
+
+@query("plan_execute_quantities")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    q = F.map_from_arrays(F.array(*(F.lit(f"q{i}") for i in range(4))), F.array(*(F.lit(float(i + 2)) for i in range(4))))
+    return execute.executed_plans(_plans(spark, d), _library(spark, d), quantities=q).drop("outputs")
+
+
+@query("plan_consistency")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return execute.consistency(_plans(spark, d), _library(spark, d))
+
+
+@query("plan_active_bindings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = execute.active_bindings(_plans(spark, d), _library(spark, d))
+    return a.groupBy("kind").agg(F.count("*").alias("n_tested"), F.count_if("active").alias("n_active"), metrics.rate(F.count_if("active"), F.count("*")).alias("active_rate"))
+
+
+@query("plan_inherit_variables")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    steps = F.transform("calls", lambda c: F.struct(c["sub_id"].alias("sub_id"), F.transform_values(F.map_filter(c["bindings"], lambda _, r: r["value"].isNotNull()), lambda _, r: r["value"]).alias("bindings")))
+    return execute.composed_plans(_plans(spark, d).select("plan_key", steps.alias("steps")), _library(spark, d))
+
+
+@query(
+    "plan_shape",
+    f"""
+    WITH {_PLANS}
+    SELECT plan_key, CAST(coalesce(len(calls), 0) AS BIGINT) AS n_calls, coalesce(array_to_string(list_transform(calls, lambda c: upper(trim(c.sub_id))), '>'), '') AS subs,
+        coalesce(len(list_filter(calls, lambda c: len(list_filter(map_values(c.bindings), lambda r: r.source = 'call_output')) > 0)) > 0, false) AS true_flow
+    FROM plans
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    flow = F.exists("calls", lambda c: F.exists(F.coalesce(F.map_values(c["bindings"]), F.array()), lambda r: r["source"] == "call_output"))
+    return _plans(spark, d).select(
+        "plan_key", F.greatest(F.coalesce(F.size("calls"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_calls"),
+        F.coalesce(F.array_join(F.transform("calls", lambda c: F.upper(F.trim(c["sub_id"]))), ">"), F.lit("")).alias("subs"), F.coalesce(flow, F.lit(False)).alias("true_flow"),
+    )
+
+
+@query(
+    "flow_edges",
+    f"WITH {_CALLS}, e AS (SELECT plan_key, pos, call_id AS dst_call, unnest(map_entries(refs)) AS r FROM calls) "
+    "SELECT plan_key, r.value.call_id AS src_call, dst_call, r.key AS slot, pos FROM e WHERE r.value.source = 'call_output'",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.flow_edges(_calls(spark, d))
+
+
+@query(
+    "plan_constants",
+    f"WITH {_CALLS}, e AS (SELECT plan_key, unnest(map_values(refs)) AS r FROM calls) SELECT r.source AS source, count(*) AS n, count(r.value) AS n_values, round(sum(r.value), 4) AS total FROM e WHERE r.source IN ('constant', 'quantity') GROUP BY 1",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = _calls(spark, d).select(F.explode(F.map_values("refs")).alias("r")).where("r.source in ('constant', 'quantity')")
+    return r.groupBy("r.source").agg(F.count("*").alias("n"), F.count("r.value").alias("n_values"), F.round(F.sum("r.value"), 4).alias("total"))
+
+
+@query("edges_to_constants")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Plans whose references to calls are replaced by the values that those calls give, with the result they have then."""
+    lib = _library(spark, d)
+    done = execute.executed_plans(_plans(spark, d), lib, keep=("plan_key", "calls", "final")).where("ok")
+    value = "element_at(filter(outputs, o -> o.call_id = r.call_id), 1).value"
+    known = "exists(outputs, o -> o.call_id = r.call_id)"
+    ref = f"named_struct('source', if(r.source = 'call_output' AND {known}, 'constant', r.source), 'value', if(r.source = 'call_output' AND {known}, {value}, r.value), 'call_id', if(r.source = 'call_output' AND {known}, CAST(NULL AS STRING), r.call_id), 'dtype', r.dtype, 'qid', r.qid, 'span', r.span, 'entity', r.entity, 'role', r.role)"
+    calls = F.expr(f"transform(calls, c -> named_struct('call_id', c.call_id, 'sub_id', c.sub_id, 'bindings', transform_values(c.bindings, (k, r) -> {ref}), 'value_hint', c.value_hint))")
+    again = execute.executed_plans(done.withColumn("calls", calls), lib)
+    return again.select("plan_key", "result", "ok")
+
+
+@query("hinted_plans")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Calls with the value that they give as their hint."""
+    done = execute.executed_plans(_plans(spark, d), _library(spark, d), stop=False, keep=("plan_key", "calls"))
+    hints = F.expr("transform(outputs, o -> o.value)")
+    return done.select("plan_key", F.posexplode(hints).alias("pos", "hint")).select("plan_key", F.col("pos").cast("bigint").alias("pos"), "hint")
+
+
+# --- features and splits -----------------------------------------------------------------------------------------
+
+_GRAMS = f"""{_CALLS},
+    nb AS (SELECT plan_key, pos, sub, keys, refs, call_id, lead(sub) OVER w AS s1, lead(sub, 2) OVER w AS s2, lead(pos) OVER w AS p1, lead(pos, 2) OVER w AS p2, lead(len(keys)) OVER w AS a1
+           FROM calls WINDOW w AS (PARTITION BY plan_key ORDER BY pos))"""
+_ATOMS = f"""{_CALLS},
+    atoms AS (
+        SELECT plan_key, atom, count(*) AS n FROM (
+            SELECT plan_key, 'sub:' || sub AS atom FROM calls
+            UNION ALL SELECT plan_key, 'arity:' || len(keys) FROM calls
+            UNION ALL SELECT plan_key, 'type:' || coalesce(r.dtype, 'float') FROM (SELECT plan_key, unnest(map_values(refs)) AS r FROM calls) WHERE r IS NOT NULL
+            UNION ALL SELECT plan_key, 'num_calls:' || count(*) FROM calls GROUP BY plan_key
+        ) WHERE atom IS NOT NULL GROUP BY 1, 2)"""
+_COMPOUNDS = f"""{_GRAMS},
+    before AS (SELECT *, (SELECT coalesce(list(DISTINCT k), []) FROM (SELECT unnest(y.keys) AS k FROM calls y WHERE y.plan_key = nb.plan_key AND y.pos < nb.pos)) AS seen FROM nb),
+    depths AS (SELECT *, least(len(list_filter(seen, lambda k: NOT list_contains(keys, k))), 3) AS depth FROM before),
+    dd AS (SELECT *, lead(depth) OVER w AS d1, lead(depth, 2) OVER w AS d2 FROM depths WINDOW w AS (PARTITION BY plan_key ORDER BY pos)),
+    compounds AS (
+        SELECT DISTINCT plan_key, compound FROM (
+            SELECT plan_key, 'bigram:' || sub || '>' || s1 AS compound FROM dd
+            UNION ALL SELECT plan_key, 'trigram:' || sub || '>' || s1 || '>' || s2 FROM dd
+            UNION ALL SELECT plan_key, 'flow:' || sub || '->' || s1 FROM dd
+            UNION ALL SELECT plan_key, 'pos:' || pos || ':' || sub FROM dd
+            UNION ALL SELECT plan_key, 'arity_pair:' || len(keys) || '>' || a1 FROM dd
+            UNION ALL SELECT plan_key, 'depth_trigram:' || depth || '>' || d1 || '>' || d2 FROM dd
+            UNION ALL SELECT plan_key, 'bind:' || sub || '.' || k FROM (SELECT plan_key, sub, unnest(keys) AS k FROM dd)
+            UNION ALL SELECT plan_key, 'type_sig:' || sub || '(' || coalesce(array_to_string(list_sort(list_transform(map_values(refs), lambda r: coalesce(r.dtype, 'float'))), ','), NULL) || ')' FROM dd WHERE refs IS NOT NULL
+            UNION ALL SELECT plan_key, 'total_calls:' || count(*) FROM dd GROUP BY plan_key
+            UNION ALL SELECT x.plan_key, 'bind_flow:' || x.sub || '>' || y.sub || ':' || x.k
+                FROM (SELECT plan_key, pos, sub, unnest(keys) AS k FROM dd) x JOIN (SELECT plan_key, pos, sub, unnest(keys) AS k FROM dd) y ON x.plan_key = y.plan_key AND x.k = y.k AND x.pos < y.pos
+        ) WHERE compound IS NOT NULL)"""
+_U = "CAST(('0x' || md5('{seed}|' || {trial} || '|' || plan_key)[1:8]) AS BIGINT) / 4294967296.0"
+
+
+def _split_case(trial: str, seed: int = 42) -> str:
+    u = _U.format(seed=seed, trial=trial)
+    return f"CASE WHEN {u} < 0.6 THEN 'train' WHEN {u} < 0.6 + 0.2 THEN 'dev' ELSE 'test' END"
+
+
+@query("bigram_counts", f"WITH {_GRAMS} SELECT concat_ws('>', sub, s1) AS gram, count(*) AS n FROM nb WHERE p1 IS NOT NULL GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.bigrams(_calls(spark, d)).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("trigram_counts", f"WITH {_GRAMS} SELECT concat_ws('>', sub, s1, s2) AS gram, count(*) AS n FROM nb WHERE p2 IS NOT NULL GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.bigrams(_calls(spark, d), 3).groupBy("gram").agg(F.count("*").alias("n"))
+
+
+@query("atoms", f"WITH {_ATOMS} SELECT plan_key, atom, n FROM atoms")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.atoms(_calls(spark, d))
+
+
+@query("compounds", f"WITH {_COMPOUNDS} SELECT plan_key, compound FROM compounds")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.compounds(_calls(spark, d))
+
+
+@query(
+    "compound_depth",
+    f"WITH {_COMPOUNDS} SELECT plan_key, pos, CAST(depth AS BIGINT) AS depth FROM depths",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.depths(_calls(spark, d)).select("plan_key", "pos", "depth")
+
+
+@query(
+    "shared_slots",
+    f"WITH {_CALLS}, k AS (SELECT plan_key, pos, sub, unnest(keys) AS slot FROM calls) SELECT x.plan_key, x.slot, x.sub AS a, y.sub AS b, x.pos AS pos_a, y.pos AS pos_b FROM k x JOIN k y ON x.plan_key = y.plan_key AND x.slot = y.slot AND x.pos < y.pos",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.shared_slots(_calls(spark, d))
+
+
+_TRUE_FLOW = f"""{_CALLS},
+    edges AS (SELECT plan_key, pos, sub, e.key AS slot, e.value.call_id AS src FROM (SELECT plan_key, pos, sub, unnest(map_entries(refs)) AS e FROM calls) WHERE e.value.source = 'call_output'),
+    src AS (SELECT plan_key, call_id, max_by(sub, pos) AS s FROM calls WHERE call_id IS NOT NULL GROUP BY 1, 2),
+    j AS (SELECT e.plan_key, coalesce(src.s, '?') AS a, coalesce(e.sub, '?') AS b, slot FROM edges e LEFT JOIN src ON src.plan_key = e.plan_key AND src.call_id = e.src),
+    true_flow AS (
+        SELECT DISTINCT plan_key, compound FROM (
+            SELECT plan_key, 'sub:' || sub AS compound FROM calls WHERE sub IS NOT NULL
+            UNION ALL SELECT plan_key, 'true_flow:' || a || '>' || b FROM j
+            UNION ALL SELECT plan_key, 'flow_slot:' || a || '>' || b || '.' || slot FROM j
+            UNION ALL SELECT plan_key, 'multicall:' || count(*) FROM calls GROUP BY plan_key HAVING count(*) > 1
+        ))"""
+
+
+@query("compounds_true_flow", f"WITH {_TRUE_FLOW} SELECT plan_key, compound FROM true_flow")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.true_flow(_calls(spark, d))
+
+
+@query(
+    "atom_tvd",
+    f"""
+    WITH {_ATOMS},
+    per AS (SELECT atom, sum(n) FILTER (WHERE plan_key % 2 = 0) AS p, sum(n) FILTER (WHERE plan_key % 2 <> 0) AS q FROM atoms GROUP BY 1),
+    tot AS (SELECT sum(p) AS ps, sum(q) AS qs FROM per)
+    SELECT round(coalesce(0.5 * sum(abs(coalesce(p, 0) / ps - coalesce(q, 0) / qs)), 1.0), 9) AS tvd FROM per, tot
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.tvd(features.atoms(_calls(spark, d)), F.col("plan_key") % 2 == 0)
+
+
+@query(
+    "compound_divergence",
+    f"""
+    WITH {_COMPOUNDS}, per AS (SELECT compound, bool_or(plan_key % 5 <> 0) AS tr, bool_or(plan_key % 5 = 0) AS te FROM compounds GROUP BY 1)
+    SELECT count(*) AS n_test, count(*) FILTER (WHERE NOT tr) AS n_unseen, round(coalesce(count(*) FILTER (WHERE NOT tr) / count(*), 0.0), 9) AS divergence FROM per WHERE te
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.divergence(features.compounds(_calls(spark, d)), F.col("plan_key") % 5 != 0, F.col("plan_key") % 5 == 0)
+
+
+_TRIALS = f"""{_COMPOUNDS.replace(_CALLS, _ATOMS)},
+    ks AS (SELECT plan_key, t AS trial FROM (SELECT DISTINCT plan_key FROM calls), range(0, {{n}}) r(t)),
+    asg AS (SELECT plan_key, trial, {_split_case("trial")} AS split FROM ks),
+    pa AS (SELECT trial, atom, sum(n) FILTER (WHERE split = 'train') AS p, sum(n) FILTER (WHERE split = 'test') AS q FROM atoms JOIN asg USING (plan_key) GROUP BY 1, 2),
+    ta AS (SELECT trial, sum(p) AS ps, sum(q) AS qs FROM pa GROUP BY 1),
+    tv AS (SELECT trial, round(0.5 * sum(abs(coalesce(p, 0) / ps - coalesce(q, 0) / qs)), 9) AS tvd FROM pa JOIN ta USING (trial) GROUP BY 1),
+    pc AS (SELECT trial, compound, bool_or(split = 'train') AS tr, bool_or(split = 'test') AS te FROM compounds JOIN asg USING (plan_key) GROUP BY 1, 2),
+    dv AS (SELECT trial, round(count(*) FILTER (WHERE NOT tr) / count(*), 9) AS divergence FROM pc WHERE te GROUP BY 1)"""
+
+
+@query("split_trials", f"WITH {_TRIALS.format(n=5)} SELECT trial, tvd, divergence FROM tv JOIN dv USING (trial)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.trial_scores(cut(_calls(spark, d)), 5)
+
+
+@query(
+    "constrained_split",
+    f"""
+    WITH {_TRIALS.format(n=8)},
+    s AS (SELECT *, CASE WHEN tvd <= 0.02 AND divergence >= 0.1 THEN 2 WHEN tvd <= 0.04 THEN 1 ELSE 0 END AS tier FROM tv JOIN dv USING (trial)),
+    b AS (SELECT trial FROM s ORDER BY tier DESC, CASE WHEN tier > 0 THEN divergence ELSE 0 END DESC, trial LIMIT 1)
+    SELECT plan_key, split FROM asg JOIN b USING (trial)
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return features.constrained_split(cut(_calls(spark, d)), trials=8)
+
+
+@query(
+    "unseen_compounds",
+    f"WITH {_COMPOUNDS} SELECT DISTINCT compound FROM compounds WHERE plan_key % 5 = 0 AND compound NOT IN (SELECT compound FROM compounds WHERE plan_key % 5 <> 0)",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = cut(features.compounds(_calls(spark, d)))
+    test, train = c.where("plan_key % 5 = 0").select("compound").distinct(), c.where("plan_key % 5 <> 0").select("compound").distinct()
+    return test.join(train, "compound", "left_anti")
+
+
+@query(
+    "hash_split",
+    f"SELECT split, count(*) AS n FROM (SELECT plan_key, {_split_case('0')} AS split FROM (SELECT DISTINCT plan_key FROM dataflow_plans)) GROUP BY 1",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    keys = table(spark, d, "dataflow_plans").select("plan_key").distinct()
+    return features.assignments(keys, 1).groupBy("split").agg(F.count("*").alias("n"))
+
+
+# --- texts and answers -------------------------------------------------------------------------------------------
+
+_NUM = "(CASE WHEN isfinite(try_cast({0} AS DOUBLE)) THEN try_cast({0} AS DOUBLE) END)"
+
+
+@query(
+    "quantities",
+    f"""
+    WITH m AS (SELECT item_id, unnest(range(0, len(f))) AS i, f FROM (SELECT item_id, regexp_extract_all(problem, '[0-9,]+\\.?[0-9]*') AS f FROM heldout_items))
+    SELECT item_id, 'q' || i AS qid, f[i + 1] AS span, {_NUM.format("replace(f[i + 1], ',', '')")} AS value FROM m WHERE {_NUM.format("replace(f[i + 1], ',', '')")} IS NOT NULL
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "heldout_items").select("item_id", F.explode(text.quantities(F.col("problem"))).alias("q")).select("item_id", "q.qid", "q.span", "q.value")
+
+
+@query(
+    "document_quantities",
+    f"""
+    WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9,]+\\.?[0-9]*')) AS f FROM documents)
+    SELECT doc_id, count(*) AS n_matches, count({_NUM.format("replace(f, ',', '')")}) AS n_numbers, max({_NUM.format("replace(f, ',', '')")}) AS largest FROM m GROUP BY 1
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "documents").select("doc_id", F.explode(text.quantity_matches(F.col("text"))).alias("f"))
+    v = text.to_number(F.col("f"))
+    return m.groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.count(v).alias("n_numbers"), F.max(v).alias("largest"))
+
+
+@query(
+    "bindings_positional",
+    f"""
+    WITH i AS (SELECT item_id, list_transform(program.slots, lambda s: s.name) AS slots, regexp_extract_all(problem, '[0-9,]+\\.?[0-9]*') AS f FROM ({_ONE_ITEM}) WHERE program IS NOT NULL AND problem IS NOT NULL),
+    e AS (SELECT item_id, unnest(range(1, len(slots) + 1)) AS k, slots, f FROM i)
+    SELECT item_id, slots[k] AS slot, coalesce({_NUM.format("replace(f[k], ',', '')")}, 0.0) AS value FROM e
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = _items(spark, d).where("program is not null and problem is not null")
+    return i.select("item_id", F.explode(text.positional_bindings(F.col("program.slots"), F.col("problem"))).alias("slot", "value"))
+
+
+@query(
+    "answer_cascade",
+    r"""
+    WITH m AS (SELECT DISTINCT msg_id, content FROM chat_messages WHERE content IS NOT NULL)
+    SELECT msg_id, coalesce(nullif(trim(regexp_extract(content, '####\s*([^\n]+)', 1)), ''), nullif(trim(regexp_extract(content, '\\boxed\{([^}]*)\}', 1)), ''),
+        nullif(trim(regexp_extract(content, '(?i)the answer is\s*:?\s*([-\d.,]+)', 1)), ''), nullif(trim(regexp_extract(content, '(?m)=\s*([-\d.,]+)\s*$', 1)), ''),
+        nullif(trim(regexp_extract(content, '([-\d.,]*\d)\s*\.?\s*$', 1)), '')) AS answer FROM m
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "chat_messages").where("content is not null").select("msg_id", "content").distinct()
+    return m.select("msg_id", text.extract_answer(F.col("content")).alias("answer"))
+
+
+@query(
+    "normal_answers",
+    r"""
+    WITH a AS (SELECT DISTINCT item_id, answer FROM eval_results WHERE answer IS NOT NULL),
+    b AS (SELECT item_id, trim(regexp_replace(coalesce(nullif(trim(regexp_extract(answer, '####\s*([^\n]+)', 1)), ''), trim(answer)), '[,$%]', '', 'g')) AS p FROM a)
+    SELECT item_id, CASE WHEN isfinite(try_cast(p AS DOUBLE)) AND try_cast(p AS DOUBLE) = floor(try_cast(p AS DOUBLE)) THEN CAST(CAST(try_cast(p AS DOUBLE) AS BIGINT) AS VARCHAR)
+        WHEN isfinite(try_cast(p AS DOUBLE)) THEN CAST(try_cast(p AS DOUBLE) AS VARCHAR) ELSE lower(p) END AS answer FROM b
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "eval_results").where("answer is not null").select("item_id", "answer").distinct()
+    return a.select("item_id", text.normal_answer(F.col("answer")).alias("answer"))
+
+
+def _match_sql() -> str:
+    g, p = _NUM.format("replace(trim(gold), ',', '')"), _NUM.format("replace(trim(pred), ',', '')")
+    rel = {"am1": 1e-3, "am2": 1e-3, "am3": 1e-2, "am4": 1e-2}
+    cases = []
+    for name in ("am1", "am2", "am3", "am4", "am5", "am7", "am8"):
+        side = "lower(trim(pred)) = lower(trim(gold))" if name in ("am2", "am3", "am5", "am8") else "trim(pred) = trim(gold)"
+        if name in rel:
+            num = f"CASE WHEN {g} = 0 THEN abs({p} - {g}) < 1e-3 ELSE abs({p} - {g}) < {rel[name]} * abs({g}) END"
+        elif name == "am7":
+            num, side = f"abs({p} - {g}) < 1e-3 * greatest(abs({g}), 1)", "false"
+        else:
+            num = f"abs({p} - {g}) < 1e-3"
+        cases.append(f"count(*) FILTER (WHERE trim(gold) <> '' AND CASE WHEN {p} IS NOT NULL AND {g} IS NOT NULL THEN {num} ELSE {side} END) AS {name}")
+    return f"WITH i AS ({_ONE_ITEM}), x AS (SELECT CAST(exec_result AS BIGINT) AS e, answer AS gold, CAST(CAST(round_even(exec_result, 0) AS BIGINT) AS VARCHAR) AS pred FROM i) SELECT count(*) AS n, {', '.join(cases)} FROM x"
+
+
+@query("answer_match_rules", _match_sql())
+def _(spark: SparkSession, d: str) -> DataFrame:
+    x = _items(spark, d).select(F.col("answer").alias("gold"), F.bround("exec_result", 0).cast("bigint").cast("string").alias("pred"))
+    rules = {f"am{i}": f"AM-{i}" for i in (1, 2, 3, 4, 5, 7, 8)}
+    return x.agg(F.count("*").alias("n"), *(F.count_if(text.answers_match(F.col("pred"), F.col("gold"), r)).alias(k) for k, r in rules.items()))
+
+
+ANCHORS = ("buy", "cart", "cold", "cut", "each", "give", "lost", "more", "road", "sold", "total", "times")
+
+
+@query(
+    "template_key",
+    f"""
+    WITH t AS (SELECT item_id, lower(coalesce(problem, '')) AS p, list_sort(list_filter({list(ANCHORS)}, lambda a: contains(lower(coalesce(problem, '')), a)))[1:4] AS h FROM heldout_items)
+    SELECT item_id, CASE WHEN len(h) > 0 THEN array_to_string(h, '|') ELSE coalesce(nullif(array_to_string(regexp_extract_all(p, '[a-z]+')[1:2], ' '), ''), 'misc') END AS key FROM t
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "heldout_items").select("item_id", text.template_key(F.col("problem"), ANCHORS).alias("key"))
+
+
+@query(
+    "training_texts",
+    "SELECT item_id, 'Problem: ' || problem || chr(10) || chr(10) || CASE WHEN contains(answer, '####') THEN answer ELSE '#### ' || answer END AS text FROM heldout_items WHERE problem IS NOT NULL AND answer IS NOT NULL",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "heldout_items").where("problem is not null and answer is not null")
+    return h.select("item_id", text.rendered(F.col("problem"), F.col("answer")).alias("text"))
+
+
+# --- libraries and mining ----------------------------------------------------------------------------------------
+
+_TOKENS = list(TOKENS)
+_SIG = f"lower(s.op) || ':' || array_to_string(list_sort(list_filter({_TOKENS}, lambda t: contains(s.expr, t))), '|')"
+_TYPED = "p AS (SELECT row_id, source, slots, steps FROM programs WHERE steps IS NOT NULL AND len(steps) > 0)"
+_STEPS = f"{_TYPED}, st AS (SELECT row_id, CAST(generate_subscripts(steps, 1) - 1 AS BIGINT) AS pos, unnest(steps) AS s FROM p), sg AS (SELECT row_id, pos, lower(s.op) AS op, s.expr AS expr, s.inputs AS inputs, {_SIG} AS sig FROM st)"
+_FP = "md5(array_to_string(list_transform(steps, lambda s: s.op || ':' || s.expr), '|'))[1:12]"
+
+
+def _programs(spark: SparkSession, d: str) -> DataFrame:
+    """The typed programs."""
+    return table(spark, d, "programs").where("steps is not null and size(steps) > 0")
+
+
+def _dtype_ops(c):
+    return F.array_join(F.transform(c, lambda s: s["dtype"]), ",")
+
+
+@query("library_add", f"WITH {_TYPED} SELECT {_FP} AS fingerprint, count(*) - 1 AS support, min(row_id) AS first_id FROM p GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.add_all(_programs(spark, d))
+
+
+@query(
+    "library_stats",
+    f"""
+    SELECT count(*) AS size, CAST(coalesce(sum(support), 0) AS BIGINT) AS total_support, round(coalesce(avg(support), 0), 6) AS avg_support, round(coalesce(avg(len(program.steps)), 0), 6) AS avg_steps,
+        count(DISTINCT {_FP.replace("steps,", "program.steps,")}) AS distinct_programs, round(count(DISTINCT {_FP.replace("steps,", "program.steps,")}) / count(*), 6) AS diversity,
+        round(coalesce(avg(mdl_gain), 0), 6) AS avg_gain FROM sub_library
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.stats(table(spark, d, "sub_library"))
+
+
+@query("library_next_id", "SELECT coalesce(max(CASE WHEN regexp_full_match(sub_id, 'L[0-9]+') THEN CAST(sub_id[2:] AS BIGINT) END), -1) + 1 AS next_id FROM sub_library")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.next_id(table(spark, d, "sub_library"))
+
+
+@query("library_prune", "SELECT sub_id, support, mdl_gain FROM sub_library WHERE coalesce(support, 0) >= 10 AND coalesce(mdl_gain, 0) >= 2.0")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.prune(table(spark, d, "sub_library"), 10, 2.0).select("sub_id", "support", "mdl_gain")
+
+
+@query("library_signatures", "SELECT sub_id, sub_id || '(' || array_to_string(list_transform(program.slots, lambda s: s.name || ': ' || s.dtype), ', ') || ')' AS signature FROM sub_library")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "sub_library").select("sub_id", signature(F.col("sub_id"), F.col("program.slots")).alias("signature"))
+
+
+@query("library_untyped", "SELECT sub_id, array_to_string(list_transform(program.slots, lambda s: 'float'), ',') AS dtypes FROM sub_library")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.untyped(table(spark, d, "sub_library")).select("sub_id", _dtype_ops("program.slots").alias("dtypes"))
+
+
+@query(
+    "library_shuffled_types",
+    """
+    SELECT sub_id, array_to_string(list_transform(list_sort(list_transform(range(1, len(program.slots) + 1), lambda i: {'h': md5('42|' || sub_id || '|' || (i - 1)), 'd': program.slots[i].dtype})), lambda x: x.d), ',') AS dtypes
+    FROM sub_library
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.shuffled_types(table(spark, d, "sub_library")).select("sub_id", _dtype_ops("program.slots").alias("dtypes"))
+
+
+@query("library_random", "SELECT sub_id FROM sub_library ORDER BY md5('42|' || sub_id), sub_id LIMIT 16")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.random_entries(table(spark, d, "sub_library"), 16).select("sub_id")
+
+
+@query("fingerprints", f"WITH {_TYPED} SELECT row_id, {_FP} AS fingerprint FROM p")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _programs(spark, d).select("row_id", fingerprint(F.col("steps")).alias("fingerprint"))
+
+
+@query("step_signatures", f"WITH {_STEPS} SELECT sig, count(*) AS n FROM sg GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.program_steps(_programs(spark, d)).groupBy("sig").agg(F.count("*").alias("n"))
+
+
+_WHOLE = f"""{_TYPED}, w AS (SELECT row_id, source, CAST(coalesce(len(slots), 0) AS BIGINT) AS n_slots, array_to_string(list_transform(steps, lambda s: {_SIG}), ';') AS sig FROM p)"""
+
+
+@query(
+    "library_mining",
+    f"""
+    WITH {_WHOLE}, g AS (SELECT sig, n_slots, count(*) AS support, min(row_id) AS first_id FROM w GROUP BY 1, 2 HAVING count(*) >= 3),
+    top AS (SELECT *, row_number() OVER (ORDER BY support DESC, first_id) AS rank FROM g),
+    src AS (SELECT sig, n_slots, source, row_number() OVER (PARTITION BY sig, n_slots ORDER BY CASE WHEN source IS NULL THEN 0 ELSE count(*) END DESC, min(row_id)) AS r FROM w GROUP BY 1, 2, 3)
+    SELECT rank, sig, n_slots, support, source AS main_source, first_id FROM top JOIN src USING (sig, n_slots) WHERE r = 1 AND rank <= 64
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.mine_whole(_programs(spark, d))
+
+
+@query(
+    "subsequence_mining",
+    f"""
+    WITH {_STEPS}, w2 AS (SELECT array_to_string(list_transform(steps, lambda s: {_SIG}), ';') AS part FROM p),
+    r AS (
+        SELECT sig || ';' || lead(sig) OVER w AS part, 2 AS length, lead(op) OVER w AS last FROM sg WINDOW w AS (PARTITION BY row_id ORDER BY pos)
+        UNION ALL SELECT sig || ';' || lead(sig) OVER w || ';' || lead(sig, 2) OVER w, 3, lead(op, 2) OVER w FROM sg WINDOW w AS (PARTITION BY row_id ORDER BY pos)
+    )
+    SELECT part, CAST(length AS BIGINT) AS length, count(*) AS support FROM r WHERE last IS NOT NULL AND last <> 'output' AND part NOT IN (SELECT part FROM w2) GROUP BY 1, 2 HAVING count(*) >= 3
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.mine_parts(_programs(spark, d))
+
+
+@query("step_primitives")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.step_primitives(_programs(spark, d))
+
+
+@query("frequency_topk", f"WITH {_TYPED} SELECT {_FP} AS fingerprint, count(*) AS n, max(row_id) AS last_id FROM p GROUP BY 1 ORDER BY n DESC, last_id LIMIT 20")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.frequency_top(_programs(spark, d))
+
+
+@query(
+    "uncompressed_bank",
+    f"WITH {_TYPED}, f AS (SELECT {_FP} AS fp, len(steps) AS n_steps, min(row_id) AS first_id FROM p GROUP BY 1, 2) "
+    "SELECT first_id, n_steps, round(abs(n_steps - (SELECT avg(len(steps)) FROM p)), 6) AS gap FROM f ORDER BY gap, first_id LIMIT 16",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.uncompressed(_programs(spark, d))
+
+
+@query(
+    "pattern_mining_mdl",
+    f"""
+    WITH {_GRAMS}, b AS (SELECT nb.plan_key, sub AS a, s1 AS b, coalesce(plans.success, false) AS ok FROM nb JOIN plans USING (plan_key) WHERE sub IS NOT NULL AND s1 IS NOT NULL),
+    per AS (SELECT a, b, count(*) FILTER (WHERE ok) AS n_success, count(*) FILTER (WHERE NOT ok) AS n_failure, count(DISTINCT plan_key) AS usage FROM b GROUP BY 1, 2 HAVING count(*) FILTER (WHERE ok) >= 3 ORDER BY n_success DESC, a, b LIMIT 20),
+    l AS (SELECT upper(trim(sub_id)) AS sub, len(program.steps) AS n FROM sub_library)
+    SELECT a || '>' || b AS gram, n_success, n_failure, round(n_success / (n_success + n_failure), 6) AS success_rate, usage,
+        (coalesce(la.n, 0) + coalesce(lb.n, 0) - 1) * usage - (coalesce(la.n, 0) + coalesce(lb.n, 0)) AS mdl_gain
+    FROM per LEFT JOIN l la ON la.sub = a LEFT JOIN l lb ON lb.sub = b
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    plans = _plans(spark, d)
+    steps = table(spark, d, "sub_library").select(F.upper(F.trim("sub_id")).alias("sub"), F.size("program.steps").cast("bigint").alias("n_steps"))
+    return library.patterns(_calls(spark, d), plans.select("plan_key", F.coalesce("success", F.lit(False)).alias("success")), steps)
+
+
+_OPS_SEQ = "array_to_string(list_transform({0}, lambda s: lower(s.op)), ',')"
+
+
+@query(
+    "matched_subroutine",
+    f"WITH {_TYPED}, l AS (SELECT {_OPS_SEQ.format('program.steps')} AS seq, min(sub_id) AS sub_id FROM sub_library GROUP BY 1) SELECT row_id, sub_id FROM p JOIN l ON {_OPS_SEQ.format('steps')} = seq",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.matched_subroutine(_programs(spark, d), table(spark, d, "sub_library"))
+
+
+@query("greedy_cover")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return library.greedy_cover(_programs(spark, d), table(spark, d, "sub_library"))
+
+
+@query("compression_ratio")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = _programs(spark, d)
+    return metrics.compression(p, library.greedy_cover(p, table(spark, d, "sub_library")))
+
+
+@query(
+    "subroutine_usage",
+    f"WITH {_CALLS} SELECT l.sub_id, count(c.sub) AS n_calls, count(DISTINCT c.plan_key) AS n_plans, min(c.plan_key) AS example FROM sub_library l LEFT JOIN calls c ON c.sub = upper(trim(l.sub_id)) GROUP BY 1",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    lib = table(spark, d, "sub_library").select("sub_id", F.upper(F.trim("sub_id")).alias("sub"))
+    per = _calls(spark, d).groupBy("sub").agg(F.count("*").alias("n"), F.countDistinct("plan_key").alias("p"), F.min("plan_key").alias("example"))
+    return lib.join(per, "sub", "left").select("sub_id", F.coalesce("n", F.lit(0)).alias("n_calls"), F.coalesce("p", F.lit(0)).alias("n_plans"), "example")
+
+
+# --- templates ---------------------------------------------------------------------------------------------------
+
+
+@query("template_bank", f"SELECT md5(array_to_string(list_transform(steps, lambda s: s.operation || ':' || s.expression), '|'))[1:12] AS fingerprint, min(template_id) AS first_id, CAST(sum(coalesce(reuse_count, 0)) AS BIGINT) AS reuse, count(*) AS n_sources FROM templates WHERE steps IS NOT NULL GROUP BY 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.bank(table(spark, d, "templates"))
+
+
+@query(
+    "template_bank_stats",
+    "SELECT coalesce(domain, '') AS domain, count(*) AS n, round(avg(coalesce(len(steps), 0)), 6) AS avg_steps, round(avg(coalesce(len(variables), 0)), 6) AS avg_variables, CAST(coalesce(sum(reuse_count), 0) AS BIGINT) AS total_reuse FROM templates GROUP BY 1",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.bank_stats(table(spark, d, "templates"))
+
+
+@query("template_search", "SELECT template_id, reuse_count FROM templates WHERE domain = 'trade' AND reuse_count >= 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.search(table(spark, d, "templates"), "trade", 3).select("template_id", "reuse_count")
+
+
+@query(
+    "template_instantiate",
+    """
+    WITH t AS (SELECT template_id, list_transform(variables, lambda v: v.name) AS names, unnest(steps) AS s FROM templates WHERE variables IS NOT NULL)
+    SELECT template_id, CAST(s.step_id AS BIGINT) AS step_id, s.operation AS operation,
+        CASE WHEN len(names) = 0 THEN s.expression ELSE list_reduce(list_concat([s.expression], names), lambda e, n: replace(e, '{' || n || '}', CAST(length(n) AS VARCHAR))) END AS expression FROM t
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    names = F.array_distinct(F.transform("variables", lambda v: v["name"]))
+    b = F.map_from_arrays(names, F.transform(names, lambda n: F.length(n).cast("string")))
+    return templates.instantiate(table(spark, d, "templates").where("variables is not null"), b)
+
+
+@query(
+    "template_specialize",
+    """
+    SELECT template_id, array_to_string(list_transform(list_filter(variables, lambda v: v.name <> variables[1].name), lambda v: v.name), ',') AS variables,
+        array_to_string(list_transform(steps, lambda s: replace(s.expression, '{' || variables[1].name || '}', '7')), ';') AS expressions
+    FROM templates WHERE variables[1].name IS NOT NULL
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.specialize(table(spark, d, "templates"), F.expr("get(variables, 0).name"), F.lit("7"))
+
+
+@query(
+    "template_decompose",
+    """
+    SELECT template_id, CAST(s.step_id AS BIGINT) AS step_id, s.operation AS operation,
+        array_to_string(list_transform(list_filter(variables, lambda v: contains(s.expression, '{' || v.name || '}')), lambda v: v.name), ',') AS variables
+    FROM (SELECT template_id, variables, unnest(steps) AS s FROM templates)
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.decompose(table(spark, d, "templates"))
+
+
+@query(
+    "template_compose",
+    """
+    SELECT a.template_id AS id_a, b.template_id AS id_b, len(a.steps) + len(b.steps) AS n_steps,
+        array_to_string(list_concat(list_transform(a.variables, lambda v: v.name), list_filter(list_transform(b.variables, lambda v: v.name), lambda n: NOT list_contains(list_transform(a.steps, lambda s: s.output_var), n) AND NOT list_contains(list_transform(a.variables, lambda v: v.name), n))), ',') AS variables
+    FROM templates a JOIN templates b ON a.reuse_count = b.reuse_count AND a.template_id <> b.template_id AND a.reuse_count >= 8 AND a.domain = 'trade' AND b.domain = 'trade'
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "templates").where("reuse_count >= 8 and domain = 'trade'")
+    return templates.compose(t, t, "reuse_count").where("id_a <> id_b")
+
+
+@query(
+    "template_chains",
+    """
+    WITH w AS (SELECT concat_ws('>', template_id, lead(template_id) OVER x, lead(template_id, 2) OVER x) AS chain, lead(template_id, 2) OVER x AS last,
+        coalesce(len(steps), 0) + coalesce(lead(len(steps)) OVER x, 0) + coalesce(lead(len(steps), 2) OVER x, 0) AS n_steps FROM templates WHERE domain IS NOT NULL WINDOW x AS (PARTITION BY domain ORDER BY template_id))
+    SELECT chain, n_steps FROM w WHERE last IS NOT NULL
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.chains(table(spark, d, "templates"))
+
+
+@query(
+    "template_merge",
+    """
+    WITH v AS (SELECT coalesce(domain, '') AS grp, count(DISTINCT v.name) AS n_variables FROM (SELECT domain, unnest(variables) AS v FROM templates) GROUP BY 1),
+    s AS (SELECT coalesce(domain, '') AS grp, count(DISTINCT s.operation || ':' || s.expression) AS n_steps FROM (SELECT domain, unnest(steps) AS s FROM templates) GROUP BY 1)
+    SELECT grp, n_variables, n_steps FROM v JOIN s USING (grp)
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.merge(table(spark, d, "templates"))
+
+
+@query("template_abstract")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.abstract(table(spark, d, "templates"))
+
+
+@query(
+    "template_keywords",
+    """
+    WITH k AS (SELECT template_id, unnest(list_distinct(list_concat(regexp_extract_all(lower(coalesce(name, '')), '[a-z]{4,}'), CASE WHEN domain IS NULL THEN [] ELSE [lower(domain)] END))) AS word FROM templates)
+    SELECT word, count(*) AS n_templates, min(template_id) AS first_id FROM k GROUP BY 1 ORDER BY n_templates DESC, word LIMIT 20
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.keyword_index(table(spark, d, "templates"))
