@@ -104,11 +104,10 @@ def true_flow(calls: DataFrame) -> DataFrame:
 def tvd(counts: DataFrame, side: Column, feature: str = "atom", n: str = "n") -> DataFrame:
     """(tvd): half the sum of |p - q| over features; 1 if a side is empty. ``side`` is true for the first side; a single pass."""
     per = counts.groupBy(feature).agg(F.sum(F.when(side, F.col(n)).otherwise(0)).alias("p"), F.sum(F.when(~side, F.col(n)).otherwise(0)).alias("q"))
-    sums = per.agg(F.sum("p").alias("ps"), F.sum("q").alias("qs"))
-    per = per.crossJoin(F.broadcast(sums))  # one row
-    return per.agg(
-        F.round(F.coalesce(F.max(F.when((F.col("ps") == 0) | (F.col("qs") == 0), 1.0)), 0.5 * F.sum(F.abs(F.expr("try_divide(p, ps)") - F.expr("try_divide(q, qs)"))), F.lit(1.0)), 9).alias("tvd")
-    )
+    total = per.agg(F.sum("p").alias("p"), F.sum("q").alias("q")).first()
+    if not total.p or not total.q:
+        return per.agg(F.lit(1.0).alias("tvd"))
+    return per.agg(F.round(0.5 * F.sum(F.abs(F.col("p") / float(total.p) - F.col("q") / float(total.q))), 9).alias("tvd"))
 
 
 def divergence(features: DataFrame, train: Column, test: Column, feature: str = "compound") -> DataFrame:

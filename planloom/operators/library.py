@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from planloom.plans.programs import fingerprint, step_signature
 
+#: Most distinct sequences of a library that every row is folded with.
+MAX_ENTRIES = 4096
+
 
 def add_all(programs: DataFrame, order: str = "row_id") -> DataFrame:
     """(fingerprint, support, first_id): programs without repeats; support is how often one came again after the first."""
@@ -112,9 +115,9 @@ def frequency_top(programs: DataFrame, top: int = 20, key: str = "row_id") -> Da
 def uncompressed(programs: DataFrame, top: int = 16, key: str = "row_id") -> DataFrame:
     """(first_id, n_steps, gap): distinct programs whose number of steps is nearest to the mean, the ``top`` nearest."""
     p = programs.where("steps is not null and size(steps) > 0").select(fingerprint(F.col("steps")).alias("fp"), F.size("steps").cast("bigint").alias("n_steps"), key)
-    mean = p.agg(F.avg("n_steps").alias("mean"))
-    d = p.groupBy("fp", "n_steps").agg(F.min(key).alias("first_id")).crossJoin(F.broadcast(mean))  # one row
-    return d.select("first_id", "n_steps", F.round(F.abs(F.col("n_steps") - F.col("mean")), 6).alias("gap")).orderBy("gap", "first_id").limit(top)
+    mean = p.agg(F.avg("n_steps")).first()[0] or 0.0
+    d = p.groupBy("fp", "n_steps").agg(F.min(key).alias("first_id"))
+    return d.select("first_id", "n_steps", F.round(F.abs(F.col("n_steps") - F.lit(mean)), 6).alias("gap")).orderBy("gap", "first_id").limit(top)
 
 
 def patterns(calls: DataFrame, success: DataFrame, steps: DataFrame, min_count: int = 3, top: int = 20) -> DataFrame:
@@ -146,9 +149,12 @@ def greedy_cover(programs: DataFrame, library: DataFrame, key: str = "row_id") -
     """
     ops = lambda c: F.transform(F.filter(c, lambda s: F.lower(s["op"]) != "output"), lambda s: F.lower(s["op"]))
     entries = library.where("sub_id is not null").select(F.array_join(ops(F.col("program.steps")), ",").alias("seq"), "sub_id").where("seq <> ''")
-    first = entries.groupBy("seq").agg(F.min("sub_id").alias("sub_id")).select(F.struct(F.size(F.split("seq", ",")).alias("n"), F.col("sub_id").alias("id"), F.split("seq", ",").alias("ops")).alias("e"))
-    known = first.agg(F.array_sort(F.collect_list("e"), lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["id"] < b["id"], -1).otherwise(1)).alias("known"))
-    p = programs.where("steps is not null").select(key, ops(F.col("steps")).alias("ops")).crossJoin(F.broadcast(known))  # one row
+    first = entries.groupBy("seq").agg(F.min("sub_id").alias("sub_id"))
+    if first.count() > MAX_ENTRIES:
+        raise ValueError(f"a library of more than {MAX_ENTRIES} distinct sequences can't be folded with every row")
+    known = sorted(((r.seq.split(","), r.sub_id) for r in first.collect()), key=lambda e: (-len(e[0]), e[1]))
+    entry = [F.struct(F.lit(len(ops_)).alias("n"), F.lit(i).alias("id"), F.array(*map(F.lit, ops_)).alias("ops")) for ops_, i in known]
+    p = programs.where("steps is not null").select(key, ops(F.col("steps")).alias("ops")).withColumn("known", F.array(*entry) if entry else F.expr("CAST(array() AS array<struct<n:int,id:string,ops:array<string>>>)"))
     fold = F.expr(
         "aggregate(if(size(ops) = 0, array(), sequence(0, size(ops) - 1)), named_struct('at', 0, 'cover', CAST(array() AS array<string>), 'n', 0),"
         " (s, i) -> if(i < s.at, s, aggregate(slice(filter(known, e -> slice(ops, i + 1, e.n) = e.ops), 1, 1), named_struct('at', i + 1, 'cover', s.cover, 'n', s.n),"

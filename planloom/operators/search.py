@@ -13,6 +13,8 @@ from planloom.plans.programs import Program, run
 
 #: Most orders of numbers that are tried for one program (fixed value).
 MAX_ORDERS = 2000
+#: Most entries of a library that the neighbours of a plan are made of.
+MAX_LIBRARY = 4096
 
 
 def permutations(df: DataFrame, key: str, values: str, k: str) -> DataFrame:
@@ -35,13 +37,16 @@ def edits(plans: DataFrame, library: DataFrame, max_calls: int = 6) -> DataFrame
     """(plan_key, edit, at, sub, subs ARRAY<STRING>): plans that differ by one change in their calls.
 
     substitute a call by another program, insert one where there is room, delete one where another is left. plans:
-    (plan_key, subs); library: (sub_id), few rows, crossed with the calls they may replace: that is the operator's result.
+    (plan_key, subs); library: (sub_id), whose size is checked: every entry at every place is the operator's result.
     """
-    lib = F.broadcast(library.select(F.col("sub_id").alias("sub")))  # a library, of checked size
+    ids = [r.sub_id for r in library.where("sub_id is not null").select("sub_id").distinct().orderBy("sub_id").limit(MAX_LIBRARY + 1).collect()]
+    if len(ids) > MAX_LIBRARY:
+        raise ValueError(f"a library of more than {MAX_LIBRARY} entries has too many neighbours")
+    lib = F.explode(F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>")).alias("sub")
     p = plans.where(F.size("subs") > 0)
-    sub = p.select("plan_key", "subs", F.posexplode("subs").alias("at", "old")).crossJoin(lib).where("sub <> old")
+    sub = p.select("plan_key", "subs", F.posexplode("subs").alias("at", "old")).select("*", lib).where("sub <> old")
     substitute = sub.select("plan_key", F.lit("substitute").alias("edit"), "at", "sub", F.expr("transform(subs, (s, i) -> if(i = at, sub, s))").alias("subs"))
-    ins = p.where(F.size("subs") < max_calls).select("plan_key", "subs", F.explode(F.sequence(F.lit(0), F.size("subs"))).alias("at")).crossJoin(lib)
+    ins = p.where(F.size("subs") < max_calls).select("plan_key", "subs", F.explode(F.sequence(F.lit(0), F.size("subs"))).alias("at")).select("*", lib)
     insert = ins.select("plan_key", F.lit("insert").alias("edit"), "at", "sub", F.expr("concat(slice(subs, 1, at), array(sub), slice(subs, at + 1, size(subs)))").alias("subs"))
     rest = p.where(F.size("subs") > 1).select("plan_key", "subs", F.explode(F.sequence(F.lit(0), F.size("subs") - 1)).alias("at"))
     delete = rest.select("plan_key", F.lit("delete").alias("edit"), "at", F.lit(None).cast("string").alias("sub"), F.expr("concat(slice(subs, 1, at), slice(subs, at + 2, size(subs)))").alias("subs"))

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from planloom.functions import text
 from planloom.functions.types import coerce_sql
-from planloom.operators import features, library, metrics, templates
+from planloom.operators import features, library, metrics, search, templates
+from planloom.operators.nested import json_variant
 from planloom.plans import execute
-from planloom.plans.nested_plans import plan_documents, plan_nodes, plan_tables
+from planloom.plans.nested_plans import plan_documents, plan_nodes, plan_tables, plan_variant
 from planloom.plans.programs import TOKENS, Program, Slot, Step, executed, fingerprint, signature, with_program
+from planloom.plans.schemas import PLAN
 from planloom.session import cut
+from planloom.sources import files
 from planloom.sources.tables import table
+from planloom.streaming import funnels
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -866,3 +870,289 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return templates.keyword_index(table(spark, d, "templates"))
+
+
+# --- evaluation --------------------------------------------------------------------------------------------------
+
+
+@query("raw_plan_funnel")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that hold JSON, a plan, a typed plan with calls, and one that runs, by model."""
+    raw = table(spark, d, "raw_plans").groupBy("plan_key").agg(F.max("plan_data").alias("plan_data"), F.max("model").alias("model"))
+    v = raw.select("plan_key", F.coalesce("model", F.lit("")).alias("model"), json_variant(F.col("plan_data")).alias("v"), plan_variant(F.col("plan_data")).alias("plan"))
+    typed = v.select("*", F.try_variant_get("plan", "$", PLAN.simpleString()).alias("p")).select("plan_key", "model", "v", "plan", "p.calls", "p.final")
+    run = execute.executed_plans(typed, _library(spark, d), keep=("plan_key", "model", "v", "plan", "calls"))
+    stages = {"valid_json": F.col("v").isNotNull(), "valid_plan": F.col("plan").isNotNull(), "typed_calls": F.size("calls") > 0, "executable": F.col("ok")}
+    return metrics.funnel(run, stages, ["model"])
+
+
+@query(
+    "item_funnel",
+    f"""
+    WITH i AS ({_ONE_ITEM}), f AS (SELECT coalesce(source, '') AS source, program IS NOT NULL AS a, program IS NOT NULL AND exec_result IS NOT NULL AS b, program IS NOT NULL AND exec_result IS NOT NULL AND coalesce(correct, false) AS c FROM i)
+    SELECT source, count(*) AS total, count(*) FILTER (WHERE a) AS parsed, round(count(*) FILTER (WHERE a) / count(*), 4) AS parsed_rate,
+        count(*) FILTER (WHERE b) AS executed, round(count(*) FILTER (WHERE b) / count(*), 4) AS executed_rate, count(*) FILTER (WHERE c) AS correct, round(count(*) FILTER (WHERE c) / count(*), 4) AS correct_rate
+    FROM f GROUP BY 1
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = _items(spark, d).withColumn("source", F.coalesce("source", F.lit("")))
+    return metrics.funnel(i, {"parsed": F.col("program").isNotNull(), "executed": F.col("exec_result").isNotNull(), "correct": F.col("correct")}, ["source"])
+
+
+@query(
+    "majority_vote",
+    f"""
+    WITH i AS ({_ONE_ITEM}), v AS (SELECT template_id, exec_result AS answer, count(*) AS n, min(item_id) AS first FROM i WHERE template_id IS NOT NULL AND exec_result IS NOT NULL GROUP BY 1, 2)
+    SELECT template_id, answer, n AS votes FROM (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY n DESC, first) AS r FROM v) WHERE r = 1
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = _items(spark, d).where("template_id is not null").withColumnRenamed("answer", "_a").withColumnRenamed("exec_result", "answer")
+    return metrics.majority(i, "template_id", "answer", "item_id")
+
+
+_PER_TEMPLATE = f"WITH i AS ({_ONE_ITEM}), per AS (SELECT template_id, count(*) AS n, count(*) FILTER (WHERE correct) AS c FROM i WHERE template_id IS NOT NULL GROUP BY 1)"
+
+
+@query(
+    "pass_at_k",
+    f"{_PER_TEMPLATE} SELECT count(*) AS n_keys, round(avg(CASE WHEN n - c < 2 THEN CASE WHEN c > 0 THEN 1.0 ELSE 0.0 END ELSE 1 - ((n - c) / n) * ((n - c - 1) / (n - 1)) END), 9) AS pass_at_k FROM per",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.pass_at_k(_items(spark, d).where("template_id is not null"), "template_id", F.coalesce("correct", F.lit(False)), 2)
+
+
+@query(
+    "pass_at_k_reference",
+    f"""{_PER_TEMPLATE} SELECT count(*) AS n_keys, round(avg(CASE WHEN c = 0 THEN 0.0 WHEN c >= 2 THEN 1.0 ELSE 1 - (CASE WHEN n - c > 0 THEN (n - c) / n ELSE 1 END) * (CASE WHEN n - c - 1 > 0 AND n - 1 > 0 THEN (n - c - 1) / (n - 1) ELSE 1 END) END), 9) AS pass_at_k FROM per""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.pass_at_k(_items(spark, d).where("template_id is not null"), "template_id", F.coalesce("correct", F.lit(False)), 2, "reference")
+
+
+@query(
+    "failure_views",
+    f"""
+    WITH {_PLANS}, f AS (
+        SELECT plan_key, coalesce(success, false) AS ok, CASE WHEN coalesce(len(calls), 0) <= 1 THEN '0-1' WHEN len(calls) = 2 THEN '2' ELSE '3+' END AS depth,
+            CAST(coalesce(len(list_distinct(list_transform(calls, lambda c: upper(trim(c.sub_id))))), 0) AS VARCHAR) AS subs,
+            CASE WHEN coalesce(success, false) THEN 'correct' WHEN coalesce(len(calls), 0) = 0 THEN 'parse_failure' ELSE 'wrong_answer' END AS bin FROM plans)
+    SELECT CASE WHEN depth IS NOT NULL THEN 'depth' WHEN subs IS NOT NULL THEN 'subs' WHEN bin IS NOT NULL THEN 'bin' ELSE 'all' END AS view, coalesce(depth, subs, bin, '') AS value,
+        count(*) AS n, count(*) FILTER (WHERE ok) AS n_correct, min(plan_key) FILTER (WHERE NOT ok) AS example
+    FROM f GROUP BY GROUPING SETS ((depth), (subs), (bin), ())
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    n = F.greatest(F.coalesce(F.size("calls"), F.lit(0)), F.lit(0))
+    p = _plans(spark, d).withColumns({"correct": F.col("success"), "n": n, "k": F.greatest(F.coalesce(F.size(F.array_distinct(F.transform("calls", lambda c: F.upper(F.trim(c["sub_id"]))))), F.lit(0)), F.lit(0))})
+    error = F.when(F.col("n") == 0, "can't parse")
+    return metrics.failures(p, F.col("n"), F.col("k"), metrics.failure_bin(error, F.col("n") > 0, F.col("correct")), "plan_key")
+
+
+@query(
+    "leakage_audit",
+    f"""
+    WITH i AS ({_ONE_ITEM}), r AS (SELECT item_id, exec_result AS g, list_transform(regexp_extract_all(array_to_string(list_transform(program.steps, lambda s: s.expr), ' '), '(^|[^A-Za-z0-9_.])([0-9]+(?:[.][0-9]+)?)', 2), lambda x: CAST(x AS DOUBLE)) AS cs,
+        map_values(bindings) AS bs FROM i WHERE program IS NOT NULL AND exec_result IS NOT NULL)
+    SELECT count(*) AS n, count(*) FILTER (WHERE list_contains(list_concat(cs, coalesce(bs, [])), g)) AS n_leaking, CAST(coalesce(sum(len(cs)), 0) AS BIGINT) AS n_constants FROM r
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = _items(spark, d).where("program is not null and exec_result is not null")
+    exprs = F.array_join(F.transform("program.steps", lambda s: s["expr"]), " ")
+    found = F.transform(F.regexp_extract_all(exprs, F.lit(r"(^|[^A-Za-z0-9_.])([0-9]+(?:[.][0-9]+)?)"), F.lit(2)), lambda x: x.cast("double"))
+    r = i.select("exec_result", found.alias("cs"), F.coalesce(F.map_values("bindings"), F.array().cast("array<double>")).alias("bs"))
+    return r.agg(F.count("*").alias("n"), F.count_if(F.array_contains(F.concat("cs", "bs"), F.col("exec_result"))).alias("n_leaking"), F.coalesce(F.sum(F.size("cs")), F.lit(0)).alias("n_constants"))
+
+
+@query(
+    "rewards",
+    f"""
+    WITH i AS ({_ONE_ITEM}), r AS (SELECT program IS NOT NULL AS p, exec_result IS NOT NULL AS o, answer IS NOT NULL AS g, coalesce(correct, false) AS m FROM i)
+    SELECT count(*) AS n, round(avg(CASE WHEN NOT p THEN 0 WHEN NOT o THEN 0.1 WHEN NOT g THEN 0.5 WHEN m THEN 1.0 ELSE 0.0 END), 6) AS composition, round(avg(CASE WHEN NOT p THEN 0 WHEN NOT o THEN 0.1 WHEN m THEN 1.0 ELSE 0.2 END), 6) AS flat FROM r
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p, o, g, m = F.col("program").isNotNull(), F.col("exec_result").isNotNull(), F.col("answer").isNotNull(), F.coalesce("correct", F.lit(False))
+    return _items(spark, d).agg(F.count("*").alias("n"), F.round(F.avg(search.composition_reward(p, o, g, m)), 6).alias("composition"), F.round(F.avg(search.flat_reward(p, o, m)), 6).alias("flat"))
+
+
+@query(
+    "rollout_rewards",
+    f"""
+    WITH i AS ({_ONE_ITEM}), r AS (SELECT item_id, exec_result AS x, coalesce(len(program.steps), 0) AS k FROM i)
+    SELECT item_id, round(CASE WHEN x IS NULL THEN 0 ELSE 0.4 + 0.3 * least(k / 3, 1.0) + CASE WHEN x NOT IN (0, 1) THEN 0.2 ELSE 0 END + CASE WHEN abs(x) > 0.01 AND abs(x) < 1e8 THEN 0.1 ELSE 0 END END, 6) AS reward FROM r
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    k = F.greatest(F.coalesce(F.size("program.steps"), F.lit(0)), F.lit(0))
+    return _items(spark, d).select("item_id", F.round(search.rollout_reward(F.col("exec_result"), k), 6).alias("reward"))
+
+
+@query(
+    "regression",
+    """
+    SELECT 'l_quantity' AS predictor, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS pearson_r FROM lineitem
+    UNION ALL SELECT 'l_discount', count(*), round(corr(l_discount, l_extendedprice), 6) FROM lineitem
+    UNION ALL SELECT 'l_tax', count(*), round(corr(l_tax, l_extendedprice), 6) FROM lineitem
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.regression(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]).select("predictor", "n", "pearson_r")
+
+
+@query("regression_full")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.regression(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+
+
+# --- the memory simulation: events of a user, an action of three with its own cost --------------------------------
+
+_ACTIONS = {"short": "u64", "middle": "u128", "long": "u256"}
+_UTIL = """u AS (SELECT event_id, event_type || (user_id % 7) AS key, event_id % 5 = 0 AS is_test,
+    CAST(value > 60 AS DOUBLE) - 0.15 * 64 / 256.0 AS u64, CAST(value > 30 AS DOUBLE) - 0.15 * 128 / 256.0 AS u128, CAST(value > 10 AS DOUBLE) - 0.15 * 256 / 256.0 AS u256 FROM events)"""
+
+
+def _memory(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    u = {c: metrics.utility(F.col("value") > v, F.lit(t)) for c, v, t in (("u64", 60, 64), ("u128", 30, 128), ("u256", 10, 256))}
+    return e.select("event_id", F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("key"), (F.col("event_id") % 5 == 0).alias("is_test"), *(c.alias(n) for n, c in u.items()))
+
+
+_BANK = f"""WITH {_UTIL}, g AS (SELECT key, count(*) AS n, round(avg(u64), 9) AS short, round(avg(u128), 9) AS middle, round(avg(u256), 9) AS long FROM u WHERE NOT is_test GROUP BY 1),
+    b AS (SELECT key, n, greatest(short, middle, long) AS best, CASE greatest(short, middle, long) WHEN short THEN 'short' WHEN middle THEN 'middle' ELSE 'long' END AS action FROM g)"""
+
+
+@query("pilot_bank", f"{_BANK} SELECT key, action, best, n FROM b")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.bank(_memory(spark, d).where("not is_test"), "key", _ACTIONS)
+
+
+@query("pilot_static", f"{_BANK} SELECT count(*) AS n, round(avg(CASE coalesce(action, 'middle') WHEN 'short' THEN u64 WHEN 'middle' THEN u128 ELSE u256 END), 6) AS utility, round(avg(CAST(action IS NOT NULL AS DOUBLE)), 6) AS reuse FROM u LEFT JOIN b USING (key) WHERE is_test")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = _memory(spark, d)
+    return metrics.static_memory(m.where("is_test"), metrics.bank(m.where("not is_test"), "key", _ACTIONS), "key", _ACTIONS, "middle")
+
+
+@query("pilot_fixed", f"WITH {_UTIL} SELECT count(*) AS n, round(avg(u64), 6) AS short, round(avg(u128), 6) AS middle, round(avg(u256), 6) AS long FROM u WHERE is_test")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _memory(spark, d).where("is_test").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 6).alias(a) for a, c in _ACTIONS.items()))
+
+
+@query(
+    "pilot_dynamic",
+    f"""
+    WITH {_UTIL}, w AS (SELECT *, count(*) OVER x AS seen, round(avg(u64) OVER x, 9) AS a, round(avg(u128) OVER x, 9) AS b, round(avg(u256) OVER x, 9) AS c FROM u
+        WINDOW x AS (PARTITION BY key ORDER BY CASE WHEN is_test THEN 1 ELSE 0 END, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT count(*) AS n, round(avg(CASE WHEN a IS NULL THEN u128 WHEN a = greatest(a, b, c) THEN u64 WHEN b = greatest(a, b, c) THEN u128 ELSE u256 END), 6) AS utility, round(avg(CAST(seen > 0 AS DOUBLE)), 6) AS reuse FROM w WHERE is_test
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.dynamic_memory(_memory(spark, d), "key", "event_id", F.col("is_test"), _ACTIONS, "middle")
+
+
+# --- search ------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "slot_orders",
+    f"""
+    WITH i AS ({_ONE_ITEM}), n AS (SELECT item_id, len(regexp_extract_all(problem, '[0-9]+')) AS n, len(program.slots) AS k FROM i WHERE program IS NOT NULL AND problem IS NOT NULL),
+    w AS (SELECT *, CAST(round(CASE k WHEN 1 THEN n WHEN 2 THEN n * (n - 1) WHEN 3 THEN n * (n - 1) * (n - 2) WHEN 4 THEN n * (n - 1) * (n - 2) * (n - 3) WHEN 5 THEN n * (n - 1) * (n - 2) * (n - 3) * (n - 4)
+        WHEN 6 THEN n * (n - 1) * (n - 2) * (n - 3) * (n - 4) * (n - 5) END) AS BIGINT) AS ways FROM n WHERE k BETWEEN 1 AND 6 AND n >= k)
+    SELECT item_id, CASE WHEN ways <= 2000 THEN ways ELSE 1 END AS n_orders FROM w
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    i = _items(spark, d).where("program is not null and problem is not null")
+    v = i.select("item_id", F.regexp_extract_all("problem", F.lit("[0-9]+"), F.lit(0)).alias("v"), F.size("program.slots").alias("k"))
+    return search.permutations(v, "item_id", "v", "k").groupBy("item_id").agg(F.count("*").alias("n_orders"))
+
+
+@query("permutation_search")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The first order of a problem's numbers with which its program gives the recorded result."""
+    i = _items(spark, d).where("program is not null and problem is not null and exec_result is not null")
+    v = i.select("item_id", "program", "exec_result", text.numbers(F.col("problem")).alias("v")).withColumn("k", F.size("program.slots"))
+    orders = search.permutations(v, "item_id", "v", "k")
+    tried = orders.join(v, "item_id").withColumn("vals", F.transform("order", lambda o: F.get("v", o)))
+    bound = F.map_from_arrays(F.transform("program.slots", lambda s: s["name"]), "vals")
+    tried = tried.select(F.struct("item_id", "rank").alias("key"), "program", "exec_result", bound.alias("bindings"))
+    runs = executed(tried.withColumn("id", F.concat_ws("|", "key.item_id", "key.rank", F.col("exec_result").cast("string"))), "id").where("ok")
+    parts = F.split("id", r"\|")
+    r = runs.select(parts[0].cast("bigint").alias("item_id"), parts[1].cast("bigint").alias("rank"), F.abs(F.col("result") - parts[2].cast("double")).alias("gap"))
+    return r.where("gap < 1e-6").groupBy("item_id").agg(F.min("rank").alias("rank"))
+
+
+@query(
+    "repair_neighbours",
+    f"""
+    WITH {_PLANS}, s AS (SELECT plan_key, list_transform(calls, lambda c: upper(trim(c.sub_id))) AS subs FROM plans WHERE len(calls) > 0),
+    l AS (SELECT DISTINCT sub_id AS sub FROM sub_library WHERE sub_id < 'L008'), nl AS (SELECT count(*) AS n FROM l),
+    e AS (SELECT plan_key, len(subs) AS k, len(list_filter(subs, lambda x: x < 'L008' AND x >= 'L000')) AS hits FROM s)
+    SELECT 'substitute' AS edit, CAST(sum(k * nl.n - hits) AS BIGINT) AS n FROM e, nl UNION ALL SELECT 'insert', CAST(sum(CASE WHEN k < 6 THEN (k + 1) * nl.n ELSE 0 END) AS BIGINT) FROM e, nl UNION ALL SELECT 'delete', CAST(sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS BIGINT) FROM e
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = _plans(spark, d).select("plan_key", F.transform("calls", lambda c: F.upper(F.trim(c["sub_id"]))).alias("subs"))
+    few = table(spark, d, "sub_library").where("sub_id < 'L008'")
+    return search.edits(p, few).groupBy("edit").agg(F.count("*").alias("n"))
+
+
+@query("repair_rewards")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    r = execute.executed_plans(_plans(spark, d), _library(spark, d))
+    return r.select("plan_key", F.round(search.repair_reward(F.col("calls_made"), F.col("n_calls"), F.lit(0), F.col("result")), 6).alias("reward"))
+
+
+@query(
+    "retrieval_topk",
+    """
+    WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM n),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_inner_product(q.v, c.v), 9) AS score FROM u q JOIN u c ON q.vec_id % 50 = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= 8
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return search.top_k(e.where("vec_id % 50 = 0"), e, 8).withColumn("score", F.round("score", 6))
+
+
+@query("tree_search")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    h = table(spark, d, "heldout_items").select("item_id", text.numbers(F.col("problem")).alias("numbers"))
+    return search.searched(h.repartition(8, "item_id"), _library(spark, d), rounds=40)
+
+
+# --- sources and streams -----------------------------------------------------------------------------------------
+
+
+@query("made_problems", "SELECT i, 'What is ' || ((7 * i + 3) % 100 + 1) || ' plus ' || ((11 * i + 5) % 100 + 1) || '?' AS problem, CAST((7 * i + 3) % 100 + 1 + (11 * i + 5) % 100 + 1 AS VARCHAR) AS answer FROM range(0, 2000) r(i)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return files.made_problems(spark, 2000)
+
+
+@query("hash_sample", "SELECT item_id FROM heldout_items ORDER BY md5('42|' || item_id), item_id LIMIT 50")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return files.hash_sample(table(spark, d, "heldout_items"), "item_id", 50).select("item_id")
+
+
+@query(
+    "split_semijoin",
+    "SELECT DISTINCT template_id, name FROM templates WHERE template_id IN (SELECT template_id FROM eval_results WHERE lower(trim(split)) = 'train')",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    members = table(spark, d, "eval_results").where("lower(trim(split)) = 'train'")
+    return files.in_split(table(spark, d, "templates"), "template_id", members, "template_id").select("template_id", "name").distinct()
+
+
+@query(
+    "event_windows",
+    "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    w = funnels.windowed_funnel(table(spark, d, "events"))
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
