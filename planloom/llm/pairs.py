@@ -271,7 +271,7 @@ def defects(messages: DataFrame) -> DataFrame:
 def defect_counts(messages: DataFrame) -> DataFrame:
     """(defect, n_pairs) over all pairs, and with defect 'none' the pairs without one."""
     pairs = messages.select("conv_id", "turn", role_name(F.col("role")).alias("r")).where("r = 'user' and conv_id is not null and turn is not null")
-    total = pairs.dropDuplicates(["conv_id", "turn"]).agg(F.count("*").alias("n"))
+    total = pairs.dropDuplicates(["conv_id", "turn"]).count()
     bad = defects(messages).groupBy("defect").agg(F.count("*").alias("n_pairs"))
-    none = total.crossJoin(F.broadcast(bad.agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("b")))).select(F.lit("none").alias("defect"), (F.col("n") - F.col("b")).alias("n_pairs"))
+    none = bad.agg((F.lit(total) - F.coalesce(F.sum("n_pairs"), F.lit(0))).alias("n_pairs")).select(F.lit("none").alias("defect"), "n_pairs")
     return bad.unionByName(none)
