@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -36,6 +36,8 @@ _LINE_END = regex.compile(r"[.!?。！？…:;,][\"'”’)\]»]*\s*$")
 _STOP_END = regex.compile(r"[.!?。！？…][\"'”’)\]»]*\s*$")
 _SPACED = regex.compile(r"(?:\t|  +)")
 _BROKEN = regex.compile(r"[ÃÂâ€™¢£¤¥¦§¨ª«¬¯°±²³´µ¶·¸¹º»¼½¾¿ï�\p{C}--[\n\r\t]]", regex.V1)
+_MIXED = regex.compile(r"\p{Ll}\p{Lu}|\p{N}\p{L}|\p{L}\p{N}.*\p{L}")
+_BLANK_LINE = regex.compile(r"\n\s*\n")
 _VOWELS = regex.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœ]", regex.I)
 _HEX = regex.compile(r"^(?=[^\W\d]*\d)(?=\d*[^\W\d])[0-9a-fA-F]{2,16}$")
 _DUMP = regex.compile(r"^\s*(?:0x)?[0-9a-fA-F]{4,16}:?\s+(?:[0-9a-fA-F]{2,8}\s+){4,}")
@@ -87,33 +89,43 @@ def rows_share(lines: list[str]) -> float:
 
 def top_ngram(words: list[str], total: int) -> float:
     """Share of the text's characters under the most frequent n-gram of 1 to 4 words that occurs at least three times."""
-    best = 0.0
+    best, keys = 0.0, words
     for n in (1, 2, 3, 4):
         if len(words) < 3 * n:
             break
-        gram, count = Counter(zip(*(words[i:] for i in range(n)))).most_common(1)[0]
-        if count >= 3:
-            best = max(best, count * sum(map(len, gram)) / max(1, total))
+        if n > 1:
+            keys = list(map(" ".join, zip(keys, words[n - 1 :])))
+        gram, count = Counter(keys).most_common(1)[0]
+        if count < 3:
+            break  # a longer one is no more frequent
+        best = max(best, count * (len(gram) - n + 1) / max(1, total))
     return min(1.0, best)
 
 
+@lru_cache(maxsize=200_000)
+def _odd(word: str) -> bool:
+    """Letters without a vowel or without end, hexadecimal, or letters and digits mixed."""
+    if word.isalpha():
+        return len(word) > 24 or len(word) >= 3 and not _VOWELS.search(word) or len(word) >= 6 and bool(_MIXED.search(word))
+    return bool(_HEX.match(word)) or len(word) >= 6 and bool(_MIXED.search(word))
+
+
 def statistics(text: str | None) -> dict:
     """All of ``FIELDS``; of a null or empty text zero each."""
     text = text or ""
-    words = _WORD.findall(text)
-    low = [w.lower() for w in words]
     lines = [x for x in text.split("\n") if x.strip()]
-    paragraphs = [p.strip() for p in regex.split(r"\n\s*\n", text) if p.strip()]
-    solid = sum(1 for c in text if not c.isspace())
+    in_line = [_WORD.findall(x) for x in lines]
+    per_line = [len(x) for x in in_line]
+    words = [w for x in in_line for w in x]
+    low = " ".join(words).lower().split(" ") if words else []
+    paragraphs = [p.strip() for p in _BLANK_LINE.split(text) if p.strip()]
+    solid = sum(map(len, text.split()))
     chars = sum(map(len, words))
-    letters = [w for w in low if w.isalpha()]
-    odd = sum(1 for w in letters if len(w) >= 3 and not _VOWELS.search(w) or len(w) > 24)
-    hexes = sum(1 for w in words if _HEX.match(w))
-    segments = [x for x in (p.strip().lower() for p in _SEGMENT.split(text)) if x]
-    marked = [bool(_MARK.search(x)) for x in lines]
-    mixed = sum(1 for w in words if len(w) >= 6 and regex.search(r"\p{Ll}\p{Lu}|\p{N}\p{L}|\p{L}\p{N}.*\p{L}", w))
+    times = Counter(words)
+    odd = sum(n for w, n in times.items() if _odd(w))
     div = lambda a, b: a / b if b else 0.0
-    per_line = [len(_WORD.findall(x)) for x in lines]
+    segments = [x for x in (p.strip() for p in _SEGMENT.split(text.lower())) if x]
+    marked = [bool(_MARK.search(x)) for x in lines]
     return {
         "n_words": len(words),
         "n_lines": len(lines),
@@ -132,7 +144,7 @@ def statistics(text: str | None) -> dict:
         "dump_lines": div(sum(1 for x in lines if _DUMP.search(x)), len(lines)),
         "row_lines": rows_share(lines),
         "broken_chars": div(len(_BROKEN.findall(text)), solid),
-        "odd_words": div(odd + hexes + mixed, len(words)),
+        "odd_words": div(odd, len(words)),
         "sentences": len(_SENTENCE_END.findall(text)),
         "words_per_line": div(len(words), len(lines)),
         "short_lines": div(sum(1 for n in per_line if n <= 5), len(lines)),
