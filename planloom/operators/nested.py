@@ -35,12 +35,16 @@ def json_variant(text: Column) -> Column:
     return F.when(text.isNotNull() & ~F.is_variant_null(parsed), parsed)
 
 
+def _held(v: Column) -> Column:
+    """The array or object that ``v`` holds as a string of JSON; NULL if it holds none."""
+    inner = F.try_variant_get(v, "$", "string")
+    return F.when(inner.rlike(r"^\s*[\[{]"), F.try_parse_json(inner))
+
+
 def reparsed(v: Column) -> Column:
     """``v``, or the array or object that it holds as a string of JSON."""
-    inner = F.try_variant_get(v, "$", "string")
-    return F.when(
-        (F.schema_of_variant(v) == "STRING") & inner.rlike(r"^\s*[\[{]"), F.coalesce(F.try_parse_json(inner), v)
-    ).otherwise(v)
+    array = F.try_variant_get(v, "$", "array<variant>").isNotNull()
+    return F.when(array | F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), v).otherwise(F.coalesce(_held(v), v))
 
 
 @dataclass
@@ -130,13 +134,16 @@ def entries(v: Column, key_field: str | None) -> Column:
 
     The key of an array's element is the element's own ``key_field``, if it has one.
     """
-    array = F.try_variant_get(v, "$", "array<variant>")
     key = (lambda e: _get(e, key_field, "string")) if key_field else (lambda e: F.lit(None).cast("string"))
-    pairs = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
-    return F.coalesce(
-        F.transform(array, lambda e: F.struct(key(e).alias("key"), e.alias("value"))),
-        F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))),
-    )
+
+    def of_array(x: Column) -> Column:
+        return F.transform(F.try_variant_get(x, "$", "array<variant>"), lambda e: F.struct(key(e).alias("key"), e.alias("value")))
+
+    def of_object(x: Column) -> Column:
+        return F.transform(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
+
+    held = _held(v)  # only looked at where v itself is neither
+    return F.coalesce(of_array(v), of_object(v), of_array(held), of_object(held))
 
 
 def relationalize(
@@ -187,7 +194,7 @@ def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[
         pos = f"{f}_pos"
         if pos in carried:
             pos = f"{child.replace('.', '_')}_pos"
-        exploded = df.select(*carried, F.col("node_id").alias("parent_id"), F.posexplode(entries(reparsed(_get(v, f, "variant")), key_fields.get(f))).alias(pos, "_e"))
+        exploded = df.select(*carried, F.col("node_id").alias("parent_id"), F.posexplode(entries(_get(v, f, "variant"), key_fields.get(f))).alias(pos, "_e"))
         below = exploded.select(
             *carried,
             F.col(pos).cast("bigint").alias(pos),

@@ -16,8 +16,12 @@ AFTER_ALL = 2**62
 
 
 def plan_variant(text: Column) -> Column:
-    """The plan (an object with calls) in a text, out of any of ``WRAPPERS``; NULL if there is no complete one."""
-    v = json_variant(text)
+    """The plan in a text; NULL if there is no complete one."""
+    return plan_of(json_variant(text))
+
+
+def plan_of(v: Column) -> Column:
+    """The object with calls that a VARIANT is, or has in any of ``WRAPPERS``; NULL if there is none."""
     field = lambda name: reparsed(F.try_variant_get(v, f"$.{name}", "variant"))
     has_calls = lambda x: F.try_variant_get(x, "$.calls", "variant").isNotNull()
     found = F.when(has_calls(v), v)
@@ -37,7 +41,9 @@ def plan_documents(typed: DataFrame | None = None, raw: DataFrame | None = None)
         one = typed.where("plan_key is not null").groupBy("plan_key").agg(F.first(F.struct("calls", "final")).alias("p"))
         parts.append(one.select("plan_key", F.to_variant_object("p").alias("plan")))
     if raw is not None:
-        complete = raw.where("plan_key is not null").select("plan_key", "plan_data", plan_variant(F.col("plan_data")).alias("plan")).where("plan is not null")
+        # parsed once a row, then looked into
+        parsed = raw.where("plan_key is not null").select("plan_key", "plan_data", F.explode(F.array(json_variant(F.col("plan_data")))).alias("v"))
+        complete = parsed.select("plan_key", "plan_data", plan_of(F.col("v")).alias("plan")).where("plan is not null")
         parts.append(complete.groupBy("plan_key").agg(F.min_by("plan", "plan_data").alias("plan")))
     out = parts[0]
     for p in parts[1:]:
@@ -83,7 +89,8 @@ def plan_tables(documents: DataFrame) -> dict[str, DataFrame]:
             F.col("final_value").alias("value"),
         )
     )
-    linked = resolve_links(calls, bindings.unionByName(finals))
+    calls, refs = cut(calls), cut(bindings.unionByName(finals))  # narrow tables, each read more than once
+    linked = resolve_links(calls, refs)
     return {"calls": calls, "bindings": linked.where("call_pos >= 0"), "finals": linked.where("call_pos < 0"), "refs": linked}
 
 
