@@ -188,7 +188,7 @@ def mixture(
         taken = first.mapInPandas(_map_slots(blocks, passes, seed), "source string, block bigint").groupBy("source", "block").agg(F.count("*").alias("uses"))
     else:
         taken = spark.createDataFrame([], "source string, block bigint, uses bigint")
-    used = docs.join(taken, ["source", "block"]).select("doc_id", "source", "tokens", "uses")
+    used = docs.join(taken.hint("merge"), ["source", "block"])  # both sides grow with the data.select("doc_id", "source", "tokens", "uses")
 
     sums = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.count("*").alias("documents"))
     whole = F.sum("used").over(Window.partitionBy(F.lit(0)))  # one row per source
