@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planloom.session import cut
+
 #: Share of the baskets from which on an item is heavy.
 HEAVY_SHARE = 1 / 200
 #: Most heavy items, for the size of a task's matrix of counts; with more, the rarer of them are treated as light.
@@ -37,9 +39,8 @@ def respelled(df: DataFrame, column: str, names: DataFrame, name: str) -> DataFr
     """
     key = lambda c: F.upper(F.trim(F.regexp_replace(c, r"\s+", "")))
     known = names.where(F.col(name).isNotNull()).groupBy(key(F.col(name)).alias("_k")).agg(F.min(name).alias("_name"))
-    rows = df.select("basket", F.explode(column).alias("_i")).select("basket", key(F.col("_i")).alias("_k")).join(known, "_k")
-    lists = rows.groupBy("basket").agg(F.collect_set("_name").alias("items"))
-    return df.select("basket").join(lists, "basket", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    rows = df.select("basket", F.explode_outer(column).alias("_i")).select("basket", key(F.col("_i")).alias("_k")).join(known, "_k", "left")
+    return rows.groupBy("basket").agg(F.collect_set("_name").alias("items"))  # a set leaves out nulls
 
 
 def _count_pairs(n_heavy: int):
@@ -97,6 +98,7 @@ def cooccurrence(df: DataFrame, min_count: int = 1, min_share: float = 0.0, heav
     itself is in fewer baskets than a pair needs can be in no such pair and is dropped before pairs are counted, which
     loses nothing. Empty baskets count in n. No baskets: no rows.
     """
+    df = cut(df)
     n = df.count()
     least = max(min_count, int(np.ceil(min_share * n - 1e-9)), 1)
     singles = df.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n_item")).where(F.col("n_item") >= least)
