@@ -47,7 +47,7 @@ _RULE = regex.compile(r"[\s|+:=\-–—]{3,}")
 FIELDS = {
     "n_words": "bigint", "n_lines": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "punctuated_lines": "double",
     "common_words": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double", "duplicate_segments": "double", "top_ngram_chars": "double", "distinct_words": "double",
-    "marked_lines": "double", "marked_words": "double", "dump_lines": "double", "row_lines": "double", "broken_chars": "double", "odd_words": "double", "sentences": "bigint", "words_per_line": "double", "short_lines": "double",
+    "marked_lines": "double", "marked_words": "double", "dump_lines": "double", "row_lines": "double", "broken_chars": "double", "odd_words": "double", "sentences": "bigint", "words_per_line": "double", "short_lines": "double", "short_words": "double",
 }
 SCHEMA = "doc_id bigint, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", form string"
 
@@ -148,6 +148,7 @@ def statistics(text: str | None) -> dict:
         "sentences": len(_SENTENCE_END.findall(text)),
         "words_per_line": div(len(words), len(lines)),
         "short_lines": div(sum(1 for n in per_line if n <= 5), len(lines)),
+        "short_words": div(sum(n for n in per_line if n <= 5), len(words)),
     }
 
 
@@ -168,7 +169,8 @@ def form(s: dict) -> str:
     if n >= 6 and (s["top_ngram_chars"] > 0.5 or s["duplicate_segments"] > 0.6 and n >= 12 or s["duplicate_lines"] > 0.8 and lines >= 5):
         return "junk"
     per_sentence = n / max(1, s["sentences"])
-    if lines >= 3 and s["words_per_line"] <= 7 and s["short_lines"] >= 0.5 and (s["sentences"] <= 0.3 * lines or s["words_per_line"] <= 4):
+    broken_prose = s["words_per_line"] < 1.5 and s["common_words"] >= 0.2  # a word to a line
+    if lines >= 3 and s["words_per_line"] <= 7 and s["short_lines"] >= 0.5 and s["short_words"] >= 0.4 and not broken_prose and (s["sentences"] <= 0.3 * lines or s["words_per_line"] <= 4):
         return "list"
     if s["common_words"] < 0.08 and (per_sentence > 25 or s["sentences"] == 0):
         return "junk"
