@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from planloom.functions.columns import once
 from planloom.functions.types import coerce
 from planloom.plans.programs import Program, compiled, of_row, run
 
@@ -67,7 +68,7 @@ def executed_plans(plans: DataFrame, library: dict[str, Program], quantities: Co
         " 'outputs', concat(acc.outputs, array(named_struct('call_id', c.call_id, 'value', v))), 'last', v))"
     )
     df = plans.withColumn("_q", quantities) if quantities is not None else plans
-    df = df.withColumn("_r", F.expr(f"aggregate(calls, {start}, (acc, c) -> {step})"))
+    df = once(df, _r=F.expr(f"aggregate(calls, {start}, (acc, c) -> {step})"))
     df = df.withColumn("_final", F.expr(f"if(final IS NULL OR final.source IS NULL, _r.last, {resolved('final', '_r.outputs')})"))
     good = F.col("_final").isNotNull() & F.coalesce(F.size("calls") > 0, F.lit(False)) & (F.col("_r.ok") if stop else F.lit(True))
     ok = F.coalesce(good, F.lit(False))

@@ -51,10 +51,11 @@ def plan_documents(typed: DataFrame | None = None, raw: DataFrame | None = None)
     return out
 
 
-def plan_tables(documents: DataFrame) -> dict[str, DataFrame]:
+def plan_tables(documents: DataFrame, narrow: bool = False) -> dict[str, DataFrame]:
     """``calls``, ``bindings`` and ``finals`` of plans, by ``relationalize``; see there for keys and ordinals.
 
     Each binding and final has ``ref_pos``: of a reference to a call's output the position of the call meant, else -1.
+    With ``narrow`` only the columns of ``plan_nodes`` are made, and kept, as each is read more than once.
     Call ids may be missing or repeated; meant is the last such call before the binding's own, for a final the last.
     """
     flat = relationalize(documents, "plan_key", "plan", name="root", like=PLAN, key_fields={"bindings": "slot"})
@@ -89,7 +90,9 @@ def plan_tables(documents: DataFrame) -> dict[str, DataFrame]:
             F.col("final_value").alias("value"),
         )
     )
-    calls, refs = cut(calls), cut(bindings.unionByName(finals))  # narrow tables, each read more than once
+    refs = bindings.unionByName(finals)
+    if narrow:
+        calls, refs = cut(calls.select("plan_key", "call_pos", "call_id")), cut(refs.select("plan_key", "call_pos", "slot", "source", "ref_call_id"))
     linked = resolve_links(calls, refs)
     return {"calls": calls, "bindings": linked.where("call_pos >= 0"), "finals": linked.where("call_pos < 0"), "refs": linked}
 
@@ -114,7 +117,7 @@ def resolve_links(calls: DataFrame, refs: DataFrame) -> DataFrame:
 
 def plan_nodes(typed: DataFrame, raw: DataFrame) -> DataFrame:
     """Every call, binding and final of every plan: (plan_key, node_kind, call_pos, slot, ref_pos)."""
-    t = plan_tables(cut(plan_documents(typed, raw)))
+    t = plan_tables(cut(plan_documents(typed, raw)), narrow=True)
     none = F.lit(-1).cast("bigint")
     calls = t["calls"].select("plan_key", F.lit("call").alias("node_kind"), "call_pos", F.lit("").alias("slot"), none.alias("ref_pos"))
     refs = t["refs"].select("plan_key", F.when(F.col("call_pos") < 0, "final").otherwise("binding").alias("node_kind"), "call_pos", "slot", "ref_pos")
