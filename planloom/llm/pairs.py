@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planloom.functions.columns import once
 from planloom.llm.words import words
 from planloom.session import cut
 
@@ -140,12 +141,6 @@ def told_language(counts: Column) -> Column:
     return F.when((top > 0) & (F.size(F.filter(counts, lambda n: n == top)) == 1), F.array_position(counts, top)).otherwise(F.lit(0))
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """``df`` with further columns that are computed once a row, however often later expressions use them."""
-    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
-    return df.select("*", row.alias("_once")).select("*", "_once.*").drop("_once")
-
-
 def _successors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of sorted (text, q): the texts that their successor extends, and the first and last text of the task."""
     first = last = None
@@ -200,7 +195,7 @@ def features(pairs: DataFrame) -> DataFrame:
     """``pairs`` with what the rules ask of each answer."""
     a = F.col("answer")
     structure = F.coalesce(is_json(a), F.lit(False))
-    df = _once(
+    df = once(
         pairs,
         json=structure,
         empty=~F.col("answered") | is_empty(a),
@@ -208,8 +203,8 @@ def features(pairs: DataFrame) -> DataFrame:
         # the words of a structure with figures aren't asked for: it is no refusal and copies nothing
         aw=F.when(structure & has_figures(a), F.array().cast("array<string>")).otherwise(words(_bare(a))),
     )
-    df = _once(df, qs=F.array_distinct("qw"), **{"as": F.array_distinct("aw")})
-    df = _once(df, shared=F.size(F.array_intersect("qs", "as")) / F.greatest(F.size("qs"), F.lit(1)), owned=F.array_except("as", "qs"))
+    df = once(df, qs=F.array_distinct("qw"), **{"as": F.array_distinct("aw")})
+    df = once(df, shared=F.size(F.array_intersect("qs", "as")) / F.greatest(F.size("qs"), F.lit(1)), owned=F.array_except("as", "qs"))
     return df.withColumns({"own": F.size("owned"), "numbers_own": F.size(F.filter("owned", lambda w: w.rlike(r"\p{N}")))})
 
 
@@ -222,11 +217,11 @@ def defects(messages: DataFrame) -> DataFrame:
     pairs = question_answers(messages)
     f = features(pairs)
     texts = ~F.col("json") & ~F.col("empty") & (F.col("own") >= 2)
-    f = _once(f, al=F.when(texts, language_counts(F.col("as"))), ql=F.when(texts, language_counts(F.col("qs"))))
-    f = _once(f, most=F.array_max("al"), answered_in=told_language(F.col("al")), asked_in=told_language(F.col("ql")))
+    f = once(f, al=F.when(texts, language_counts(F.col("as"))), ql=F.when(texts, language_counts(F.col("qs"))))
+    f = once(f, most=F.array_max("al"), answered_in=told_language(F.col("al")), asked_in=told_language(F.col("ql")))
     # nearly all of the question and hardly a word of its own; cut in dots or not
     restates = F.col("answer").rlike(r"(?i)^\W*the (?:question|problem|task) (?:was|is|reads)")
-    f = _once(f, stops=~F.col("json") & ~F.col("empty") & unterminated(F.col("answer")))
+    f = once(f, stops=~F.col("json") & ~F.col("empty") & unterminated(F.col("answer")))
     stops = F.col("stops")
     copied = (
         (F.size("qs") >= 4) & (F.col("shared") >= 0.6) & (F.col("numbers_own") == 0) & (F.col("own") <= 1 + 0.06 * F.size("as"))
@@ -245,7 +240,7 @@ def defects(messages: DataFrame) -> DataFrame:
     cut_off = F.when(F.col("json"), json_cut_off(F.col("answer"))).otherwise(stops)
     first = F.when(F.col("empty"), "empty").when(copied, "copied").when(refusal, "refusal").when(other, "other_language").when(cut_off, "truncated")
     judged = cut(
-        _once(f, defect=first).select(
+        once(f, defect=first).select(
             "conv_id",
             "turn",
             "defect",
