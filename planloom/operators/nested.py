@@ -154,19 +154,22 @@ def relationalize(
     like: T.StructType | None = None,
     key_fields: dict[str, str] | None = None,
     map_fields: int = MAP_FIELDS,
+    declared: str | None = None,
 ) -> dict[str, DataFrame]:
     """Flat tables of the VARIANT ``column`` of ``df``, one per level, by the name of the level.
 
     key: the record key (unique, not null; rows with a null key give no rows). like: a known struct type, merged with
     what is inferred (its MAP fields are maps). key_fields: for a child whose maps may also be written as an array of
-    objects, the field of those objects that holds the key.
+    objects, the field of those objects that holds the key. declared: a boolean column, true for records that are known
+    to be of the type ``like``; the schema is inferred from all others and merged with it.
 
     A null record, a null or empty array or object has no child rows; a null element is a row without values.
     Extra columns of ``df`` are left out. Objects flatten to ``<object>_<field>``, with ``<object>_present``.
     Ordinals are ``<level>_pos``, map keys ``<level>_key``.
     """
     base = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(
-        key, F.col(column).alias("_v"), F.concat_ws("/", F.col(key).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id")
+        key, F.col(column).alias("_v"), F.concat_ws("/", F.col(key).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
+        (F.col(declared) if declared else F.lit(False)).alias("_declared"),
     )
     tables: dict[str, DataFrame] = {}
     _level(base, name, [key], like, key_fields or {}, map_fields, tables)
@@ -174,7 +177,7 @@ def relationalize(
 
 
 def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[str, str], limit: int, tables: dict[str, DataFrame]) -> None:
-    shape = shape_of(merged_schema(df.where(F.try_variant_get("_v", "$", "map<string,variant>").isNotNull()), "_v"), like, limit)
+    shape = shape_of(merged_schema(df.where(~F.col("_declared")).where(F.try_variant_get("_v", "$", "map<string,variant>").isNotNull()), "_v"), like, limit)
     v = F.col("_v")
     columns = {c: F.col(c) for c in [*carried, "node_id", "parent_id"]}
     columns["scalar"] = F.try_variant_get(v, "$", "string")
@@ -194,9 +197,10 @@ def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[
         pos = f"{f}_pos"
         if pos in carried:
             pos = f"{child.replace('.', '_')}_pos"
-        exploded = df.select(*carried, F.col("node_id").alias("parent_id"), F.posexplode(entries(_get(v, f, "variant"), key_fields.get(f))).alias(pos, "_e"))
+        exploded = df.select(*carried, "_declared", F.col("node_id").alias("parent_id"), F.posexplode(entries(_get(v, f, "variant"), key_fields.get(f))).alias(pos, "_e"))
         below = exploded.select(
             *carried,
+            "_declared",
             F.col(pos).cast("bigint").alias(pos),
             F.col("_e.key").alias(f"{f}_key"),
             F.col("_e.value").alias("_v"),

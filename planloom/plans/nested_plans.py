@@ -31,7 +31,7 @@ def plan_of(v: Column) -> Column:
 
 
 def plan_documents(typed: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
-    """(plan_key, plan VARIANT), one row per plan.
+    """(plan_key, plan VARIANT, typed), one row per plan; typed if it is of the declared type.
 
     typed has plan_key, calls, final; raw has plan_key, plan_data. Rows delivered again count once: of a text's
     deliveries a complete one is taken. Rows with a null key are left out; texts without a complete plan too.
@@ -39,12 +39,12 @@ def plan_documents(typed: DataFrame | None = None, raw: DataFrame | None = None)
     parts = []
     if typed is not None:
         one = typed.where("plan_key is not null").groupBy("plan_key").agg(F.first(F.struct("calls", "final")).alias("p"))
-        parts.append(one.select("plan_key", F.to_variant_object("p").alias("plan")))
+        parts.append(one.select("plan_key", F.to_variant_object("p").alias("plan"), F.lit(True).alias("typed")))
     if raw is not None:
         # parsed once a row, then looked into
         parsed = raw.where("plan_key is not null").select("plan_key", "plan_data", F.explode(F.array(json_variant(F.col("plan_data")))).alias("v"))
         complete = parsed.select("plan_key", "plan_data", plan_of(F.col("v")).alias("plan")).where("plan is not null")
-        parts.append(complete.groupBy("plan_key").agg(F.min_by("plan", "plan_data").alias("plan")))
+        parts.append(complete.groupBy("plan_key").agg(F.min_by("plan", "plan_data").alias("plan")).withColumn("typed", F.lit(False)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -58,7 +58,7 @@ def plan_tables(documents: DataFrame, narrow: bool = False) -> dict[str, DataFra
     With ``narrow`` only the columns of ``plan_nodes`` are made, and kept, as each is read more than once.
     Call ids may be missing or repeated; meant is the last such call before the binding's own, for a final the last.
     """
-    flat = relationalize(documents, "plan_key", "plan", name="root", like=PLAN, key_fields={"bindings": "slot"})
+    flat = relationalize(documents, "plan_key", "plan", name="root", like=PLAN, key_fields={"bindings": "slot"}, declared="typed")
     calls = flat["calls"].select("plan_key", F.col("calls_pos").alias("call_pos"), "node_id", "call_id", F.trim(F.upper("sub_id")).alias("sub_id"))
     bindings = (
         flat["calls.bindings"]
