@@ -154,22 +154,18 @@ def relationalize(
     like: T.StructType | None = None,
     key_fields: dict[str, str] | None = None,
     map_fields: int = MAP_FIELDS,
-    declared: str | None = None,
 ) -> dict[str, DataFrame]:
     """Flat tables of the VARIANT ``column`` of ``df``, one per level, by the name of the level.
 
     key: the record key (unique, not null; rows with a null key give no rows). like: a known struct type, merged with
     what is inferred (its MAP fields are maps). key_fields: for a child whose maps may also be written as an array of
-    objects, the field of those objects that holds the key. declared: a boolean column, true for records that are known
-    to be of the type ``like``; the schema is inferred from all others and merged with it.
-
+    objects, the field of those objects that holds the key.
     A null record, a null or empty array or object has no child rows; a null element is a row without values.
     Extra columns of ``df`` are left out. Objects flatten to ``<object>_<field>``, with ``<object>_present``.
     Ordinals are ``<level>_pos``, map keys ``<level>_key``.
     """
     base = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(
-        key, F.col(column).alias("_v"), F.concat_ws("/", F.col(key).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
-        (F.col(declared) if declared else F.lit(False)).alias("_declared"),
+        key, F.col(column).alias("_v"), F.concat_ws("/", F.col(key).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id")
     )
     tables: dict[str, DataFrame] = {}
     _level(base, name, [key], like, key_fields or {}, map_fields, tables)
@@ -177,7 +173,7 @@ def relationalize(
 
 
 def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[str, str], limit: int, tables: dict[str, DataFrame]) -> None:
-    shape = shape_of(merged_schema(df.where(~F.col("_declared")).where(F.try_variant_get("_v", "$", "map<string,variant>").isNotNull()), "_v"), like, limit)
+    shape = shape_of(merged_schema(df.where(F.try_variant_get("_v", "$", "map<string,variant>").isNotNull()), "_v"), like, limit)
     v = F.col("_v")
     columns = {c: F.col(c) for c in [*carried, "node_id", "parent_id"]}
     columns["scalar"] = F.try_variant_get(v, "$", "string")
@@ -197,10 +193,9 @@ def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[
         pos = f"{f}_pos"
         if pos in carried:
             pos = f"{child.replace('.', '_')}_pos"
-        exploded = df.select(*carried, "_declared", F.col("node_id").alias("parent_id"), F.posexplode(entries(_get(v, f, "variant"), key_fields.get(f))).alias(pos, "_e"))
+        exploded = df.select(*carried, F.col("node_id").alias("parent_id"), F.posexplode(entries(_get(v, f, "variant"), key_fields.get(f))).alias(pos, "_e"))
         below = exploded.select(
             *carried,
-            "_declared",
             F.col(pos).cast("bigint").alias(pos),
             F.col("_e.key").alias(f"{f}_key"),
             F.col("_e.value").alias("_v"),
@@ -208,3 +203,67 @@ def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[
             F.concat_ws("/", "parent_id", F.lit(f), F.col(pos).cast("string")).alias("node_id"),
         )
         _level(below, child, [*carried, pos, f"{f}_key"], _below(like, f), key_fields, limit, tables)
+
+
+def relationalize_declared(df: DataFrame, key: str, column: str, name: str = "root", key_fields: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """As ``relationalize``, of a struct ``column``: its declared schema is walked and nothing is inferred or parsed.
+
+    The tables have the same names and columns, so those of texts and of typed rows unite by name.
+    """
+    kind = df.schema[column].dataType
+    base = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(
+        key, F.col(column).alias("_v"), F.col(key).cast("string").alias("node_id"), F.lit(None).cast("string").alias("parent_id")
+    )
+    tables: dict[str, DataFrame] = {}
+    _declared_level(base, name, [key], kind, key_fields or {}, tables)
+    return tables
+
+
+def _declared_level(df: DataFrame, name: str, carried: list[str], kind: T.DataType, key_fields: dict[str, str], tables: dict[str, DataFrame]) -> None:
+    columns = {c: F.col(c) for c in [*carried, "node_id", "parent_id"]}
+    columns["scalar"] = F.lit(None).cast("string") if isinstance(kind, T.StructType) else F.col("_v").cast("string")
+    children: list[tuple[str, Column, T.DataType]] = []
+
+    def flatten(prefix: str, v: Column, struct: T.StructType) -> None:
+        for f in struct.fields:
+            if isinstance(f.dataType, T.StructType):
+                columns[f"{prefix}{f.name}_present"] = v[f.name].isNotNull()
+                flatten(f"{prefix}{f.name}_", v[f.name], f.dataType)
+            elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
+                if not prefix:
+                    children.append((f.name, v[f.name], f.dataType))
+            else:
+                columns[f"{prefix}{f.name}"] = v[f.name]
+
+    if isinstance(kind, T.StructType):
+        flatten("", F.col("_v"), kind)
+    tables[name] = df.select(*(c.alias(n) for n, c in columns.items()))
+    for f, v, t in children:
+        child = f"{name}.{f}" if "." in name or name != "root" else f
+        pos = f"{f}_pos" if f"{f}_pos" not in carried else f"{child.replace('.', '_')}_pos"
+        parent = F.col("node_id").alias("parent_id")
+        if isinstance(t, T.MapType):
+            rows, below = df.select(*carried, parent, F.posexplode(v).alias(pos, "_k", "_v")), t.valueType
+        else:
+            rows, below = df.select(*carried, parent, F.posexplode(v).alias(pos, "_v")), t.elementType
+            field_ = key_fields.get(f)
+            own = F.col("_v")[field_].cast("string") if isinstance(below, T.StructType) and field_ in below.fieldNames() else F.lit(None).cast("string")
+            rows = rows.withColumn("_k", own)
+        level = rows.select(
+            *carried,
+            F.col(pos).cast("bigint").alias(pos),
+            F.col("_k").cast("string").alias(f"{f}_key"),
+            "_v",
+            "parent_id",
+            F.concat_ws("/", "parent_id", F.lit(f), F.col(pos).cast("string")).alias("node_id"),
+        )
+        _declared_level(level, child, [*carried, pos, f"{f}_key"], below, key_fields, tables)
+
+
+def united(*tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Tables of the same names put together; columns that one lacks are null."""
+    out: dict[str, DataFrame] = {}
+    for group in tables:
+        for name, df in group.items():
+            out[name] = out[name].unionByName(df, allowMissingColumns=True) if name in out else df
+    return out

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.operators.nested import json_variant, relationalize, reparsed
+from planloom.operators.nested import json_variant, relationalize, relationalize_declared, reparsed, united
 from planloom.plans.schemas import PLAN
 from planloom.session import cut
 
@@ -30,35 +32,45 @@ def plan_of(v: Column) -> Column:
     return found
 
 
-def plan_documents(typed: DataFrame | None = None, raw: DataFrame | None = None) -> DataFrame:
-    """(plan_key, plan VARIANT, typed), one row per plan; typed if it is of the declared type.
+@dataclass(frozen=True)
+class PlanDocuments:
+    """Plans, one row each: typed (plan_key, plan STRUCT) and of texts (plan_key, plan VARIANT)."""
+
+    typed: DataFrame | None
+    raw: DataFrame | None
+
 
-    typed has plan_key, calls, final; raw has plan_key, plan_data. Rows delivered again count once: of a text's
-    deliveries a complete one is taken. Rows with a null key are left out; texts without a complete plan too.
+def plan_documents(typed: DataFrame | None = None, raw: DataFrame | None = None) -> PlanDocuments:
+    """The plans of typed rows (plan_key, calls, final) and of texts (plan_key, plan_data).
+
+    Rows delivered again count once: of a text's deliveries a complete one is taken. Rows with a null key are left out;
+    texts without a complete plan too. The two tables share no keys.
     """
-    parts = []
     if typed is not None:
-        one = typed.where("plan_key is not null").groupBy("plan_key").agg(F.first(F.struct("calls", "final")).alias("p"))
-        parts.append(one.select("plan_key", F.to_variant_object("p").alias("plan"), F.lit(True).alias("typed")))
+        plan = F.first(F.struct(F.col("calls").cast(PLAN["calls"].dataType).alias("calls"), F.col("final").cast(PLAN["final"].dataType).alias("final")))
+        typed = typed.where("plan_key is not null").groupBy("plan_key").agg(plan.alias("plan"))
     if raw is not None:
         # parsed once a row, then looked into
         parsed = raw.where("plan_key is not null").select("plan_key", "plan_data", F.explode(F.array(json_variant(F.col("plan_data")))).alias("v"))
         complete = parsed.select("plan_key", "plan_data", plan_of(F.col("v")).alias("plan")).where("plan is not null")
-        parts.append(complete.groupBy("plan_key").agg(F.min_by("plan", "plan_data").alias("plan")).withColumn("typed", F.lit(False)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        raw = complete.groupBy("plan_key").agg(F.min_by("plan", "plan_data").alias("plan"))
+    return PlanDocuments(typed, raw)
 
 
-def plan_tables(documents: DataFrame, narrow: bool = False) -> dict[str, DataFrame]:
-    """``calls``, ``bindings`` and ``finals`` of plans, by ``relationalize``; see there for keys and ordinals.
+def plan_tables(documents: PlanDocuments, narrow: bool = False) -> dict[str, DataFrame]:
+    """``calls``, ``bindings`` and ``finals`` of plans, by ``relationalize`` and for typed ones ``relationalize_declared``; see there for keys and ordinals.
 
     Each binding and final has ``ref_pos``: of a reference to a call's output the position of the call meant, else -1.
     With ``narrow`` only the columns of ``plan_nodes`` are made, and kept, as each is read more than once.
     Call ids may be missing or repeated; meant is the last such call before the binding's own, for a final the last.
     """
-    flat = relationalize(documents, "plan_key", "plan", name="root", like=PLAN, key_fields={"bindings": "slot"}, declared="typed")
+    keys = {"bindings": "slot"}
+    parts = []
+    if documents.typed is not None:
+        parts.append(relationalize_declared(cut(documents.typed), "plan_key", "plan", key_fields=keys))
+    if documents.raw is not None:
+        parts.append(relationalize(cut(documents.raw), "plan_key", "plan", like=PLAN, key_fields=keys))
+    flat = united(*parts)
     calls = flat["calls"].select("plan_key", F.col("calls_pos").alias("call_pos"), "node_id", "call_id", F.trim(F.upper("sub_id")).alias("sub_id"))
     bindings = (
         flat["calls.bindings"]
@@ -117,7 +129,7 @@ def resolve_links(calls: DataFrame, refs: DataFrame) -> DataFrame:
 
 def plan_nodes(typed: DataFrame, raw: DataFrame) -> DataFrame:
     """Every call, binding and final of every plan: (plan_key, node_kind, call_pos, slot, ref_pos)."""
-    t = plan_tables(cut(plan_documents(typed, raw)), narrow=True)
+    t = plan_tables(plan_documents(typed, raw), narrow=True)
     none = F.lit(-1).cast("bigint")
     calls = t["calls"].select("plan_key", F.lit("call").alias("node_kind"), "call_pos", F.lit("").alias("slot"), none.alias("ref_pos"))
     refs = t["refs"].select("plan_key", F.when(F.col("call_pos") < 0, "final").otherwise("binding").alias("node_kind"), "call_pos", "slot", "ref_pos")

@@ -57,7 +57,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = cut(plan_documents(typed=table(spark, d, "dataflow_plans")))
+    docs = plan_documents(typed=table(spark, d, "dataflow_plans"))
     return plan_tables(docs)["bindings"].select("plan_key", "call_pos", "slot", "source", "ref_pos")
 
 
