@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from planloom.operators.nested import json_variant, merged_schema, relationalize, shape_of, split_fields
+from planloom.operators.nested import json_variant, merged_schema, relationalize, relationalize_declared, shape_of, split_fields
 from planloom.plans.nested_plans import plan_documents, plan_nodes, plan_tables
 from planloom.plans.schemas import PLAN
 
@@ -98,3 +98,16 @@ def test_surrogate_keys_are_unique(spark):
     ids = [r.node_id for name in ("calls", "bindings", "finals") for r in t[name].collect()]
     assert len(ids) == len(set(ids)) == 6 + 12 + 1
     assert {r.parent_id for r in t["bindings"].collect()} == {r.node_id for r in t["calls"].collect()}
+
+
+def test_declared_and_inferred_give_the_same_tables(spark):
+    calls = [("a", "L1", {"x": ref("quantity", 1.5), "y": ref("call_output", None, "a")}, (2.0, "int", None)), (None, "L2", None, None), ("b", None, {}, None)]
+    df = spark.createDataFrame([(1, calls, ref("constant", 2.0), None, None), (2, [], None, None, None), (3, None, ref("call_output", None, "b"), None, None)], TYPED)
+    struct = df.select("plan_key", F.struct("calls", "final").alias("plan"))
+    inferred = relationalize(struct.select("plan_key", F.to_variant_object("plan").alias("plan")), "plan_key", "plan", like=PLAN)
+    declared = relationalize_declared(struct, "plan_key", "plan")
+    assert set(inferred) == set(declared) == {"root", "calls", "calls.bindings"}
+    for name, a in declared.items():
+        b = inferred[name]
+        cols = sorted(set(a.columns) - {"scalar", "node_id", "calls_bindings_pos", "bindings_pos"})  # maps have no order of their own
+        assert set(a.columns) == set(b.columns) and sorted(map(str, a.select(cols).collect())) == sorted(map(str, b.select(cols).collect())), name
