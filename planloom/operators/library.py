@@ -130,8 +130,7 @@ def patterns(calls: DataFrame, success: DataFrame, steps: DataFrame, min_count:
     g = calls.select("plan_key", F.col("sub").alias("a"), F.lead("sub").over(w).alias("b")).where("a is not null and b is not null").join(success, "plan_key")
     per = g.groupBy("a", "b").agg(F.count_if("success").alias("n_success"), F.count_if(~F.col("success")).alias("n_failure"), F.countDistinct("plan_key").alias("usage"))
     kept = per.where(F.col("n_success") >= min_count).orderBy(F.desc("n_success"), "a", "b").limit(top)
-    s = F.broadcast(steps)  # the library, of checked size
-    j = kept.join(s.select(F.col("sub").alias("a"), F.col("n_steps").alias("na")), "a", "left").join(s.select(F.col("sub").alias("b"), F.col("n_steps").alias("nb")), "b", "left")
+    j = kept.join(steps.select(F.col("sub").alias("a"), F.col("n_steps").alias("na")), "a", "left").join(steps.select(F.col("sub").alias("b"), F.col("n_steps").alias("nb")), "b", "left")
     total = F.coalesce("na", F.lit(0)) + F.coalesce("nb", F.lit(0))
     return j.select(
         F.concat("a", F.lit(">"), "b").alias("gram"), "n_success", "n_failure",

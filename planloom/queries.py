@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions import text
 from planloom.functions.types import coerce_sql
-from planloom.operators import features, library, metrics, search, templates
+from planloom.operators import evolve, features, library, metrics, search, templates
 from planloom.operators.nested import json_variant
 from planloom.plans import execute
 from planloom.plans.nested_plans import plan_documents, plan_nodes, plan_tables, plan_variant
@@ -1156,3 +1156,77 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     w = funnels.windowed_funnel(table(spark, d, "events"))
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+# --- growing a library, repair, controls -------------------------------------------------------------------------
+
+
+@query(
+    "varying_slots",
+    f"WITH {_CALLS}, e AS (SELECT sub, unnest(map_entries(refs)) AS r FROM calls WHERE sub IS NOT NULL) SELECT sub, r.key AS slot, count(*) AS n, count(DISTINCT r.value.value) AS n_values, count(DISTINCT r.value.value) > 1 AS varies FROM e WHERE r.value.source IN ('quantity', 'constant') GROUP BY 1, 2",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return evolve.varying_slots(_calls(spark, d))
+
+
+@query(
+    "shortest_correct",
+    f"""
+    WITH i AS ({_ONE_ITEM})
+    SELECT template_id, item_id, n_steps FROM (SELECT template_id, item_id, len(program.steps) AS n_steps, row_number() OVER (PARTITION BY template_id ORDER BY len(program.steps), item_id) AS r
+        FROM i WHERE correct AND len(program.steps) > 0 AND template_id IS NOT NULL) WHERE r = 1
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return evolve.shortest_correct(_items(spark, d), "template_id", "correct", "item_id")
+
+
+@query(
+    "rebuilt_choice",
+    f"""
+    WITH {_TYPED}, l AS (SELECT sub_id, {_OPS_SEQ.format('program.steps')} AS seq, len(program.steps) AS n FROM sub_library),
+    s AS (SELECT seq, min(sub_id) AS same FROM l GROUP BY 1),
+    c AS (SELECT p.row_id, s.same, (SELECT min(sub_id) FROM l WHERE l.n <= len(p.steps)) AS fits FROM p LEFT JOIN s ON s.seq = {_OPS_SEQ.format('p.steps')})
+    SELECT row_id, coalesce(same, fits, (SELECT min(sub_id) FROM l)) AS sub_id, CAST(CASE WHEN same IS NOT NULL THEN 0 WHEN fits IS NOT NULL THEN 1 ELSE 2 END AS BIGINT) AS tier FROM c
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return evolve.rebuilt_choice(_programs(spark, d), table(spark, d, "sub_library"))
+
+
+@query(
+    "window_controls",
+    f"""
+    WITH {_TYPED}, l AS (SELECT sub_id, len(program.steps) AS n_steps FROM sub_library WHERE program IS NOT NULL),
+    b AS (SELECT n_steps, row_id, row_number() OVER (PARTITION BY n_steps ORDER BY md5('42|' || n_steps || '|' || row_id)) AS r FROM (SELECT DISTINCT n_steps FROM l) k JOIN p ON len(p.steps) >= k.n_steps)
+    SELECT sub_id, row_id, CAST(0 AS BIGINT) AS start, CAST(n_steps AS BIGINT) AS n_steps FROM l JOIN b USING (n_steps) WHERE r = 1
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    lengths = table(spark, d, "sub_library").where("program is not null").select("sub_id", F.size("program.steps").alias("n_steps"))
+    return evolve.windowed_entries(_programs(spark, d), lengths)
+
+
+@query("program_plans")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    p = _programs(spark, d)
+    prims = library.step_primitives(p).select("op", "canonical", "arity", F.concat(F.lit("P"), F.substring(F.md5(F.concat_ws("|", "op", "canonical")), 1, 6)).alias("prim"))
+    return evolve.program_plans(p, prims)
+
+
+@query("plan_repair")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    few = table(spark, d, "sub_library").orderBy(F.desc("support"), "sub_id").limit(12)
+    return evolve.repaired(_plans(spark, d), _library(spark, d), few)
+
+
+@query(
+    "combined_values",
+    """
+    WITH h AS (SELECT item_id, list_transform(regexp_extract_all(problem, '[0-9]+'), lambda x: CAST(x AS DOUBLE))[1:3] AS v FROM heldout_items WHERE len(regexp_extract_all(problem, '[0-9]+')) >= 2)
+    SELECT item_id, 'sum' AS kind, list_sum(v) AS value FROM h UNION ALL SELECT item_id, 'product', list_product(v) FROM h UNION ALL SELECT item_id, 'difference', v[1] * 2 - list_sum(v) FROM h
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    v = F.transform(F.regexp_extract_all("problem", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("double"))
+    return evolve.combined_values(table(spark, d, "heldout_items").where("problem is not null").select("item_id", v.alias("v")), "item_id", "v")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from planloom import queries as core
 from planloom.functions import text
-from planloom.operators import features, library, metrics, search, templates
-from planloom.plans.schemas import CALL, PROGRAM, STEP
+from planloom.operators import evolve, features, library, metrics, search, templates
+from planloom.plans.schemas import CALL, PLAN, PROGRAM, STEP
 from planloom.sources import files
 from planloom.streaming import funnels
 
@@ -229,3 +229,25 @@ def test_memory_learns_from_a_stream(spark, tmp_path):
 def test_entry_has_the_core_without_the_rest():
     e = importlib.import_module("__spark_entry__")
     assert set(core.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_growth_and_controls(spark):
+    c = calls(spark, [(1, [("c0", "A", {"x": REF, "y": REF}, None)], None), (2, [("c0", "a ", {"x": ("quantity", 5.0, None, None, None, None, None, None)}, None)], None)])
+    assert {(r.sub, r.slot): r.varies for r in evolve.varying_slots(c).collect()} == {("A", "x"): True, ("A", "y"): False}
+    rows = [(1, [], [("compute", "t", "a + b", ["a", "b"], "float"), ("compute", "u", "t * c", ["t", "c"], "float"), ("output", "u", "u", ["u"], "float")], None), (2, None, None, None)]
+    p = spark.createDataFrame(rows, f"row_id bigint, slots array<struct<name:string,dtype:string,description:string>>, steps array<{STEP.simpleString()}>, source string")
+    prims = spark.createDataFrame([("compute", "a0 + a1", 2, "P1"), ("compute", "a0 * a1", 2, "P2")], "op string, canonical string, arity bigint, prim string")
+    assert [tuple(r) for r in evolve.program_plans(p, prims).collect()] == [(1, "P1(a, b)>P2(@0, c)")]
+    assert evolve.program_plans(p, prims.where("prim = 'P1'")).count() == 0
+    lib = spark.createDataFrame([("L1", program("a + b", "a", "b"), 5, 1.0)], f"sub_id string, program {PROGRAM.simpleString()}, support bigint, mdl_gain double")
+    assert [tuple(r) for r in evolve.rebuilt_choice(p, lib).collect()] == [(1, "L1", 1)]
+    assert evolve.rebuilt_choice(p, lib.where("false")).first().sub_id is None
+
+
+def test_repair_replaces_the_failing_call(spark):
+    from tests.test_programs import LIB
+
+    two = {k: ("constant", v, None, None, None, None, None, None) for k, v in (("a", 2.0), ("b", 3.0))}
+    df = spark.createDataFrame([(1, [("c0", "ZZ", two, None)], None), (2, [("c0", "L00", two, None)], None)], f"plan_key bigint, calls array<{CALL.simpleString()}>, final {PLAN['final'].dataType.simpleString()}")
+    got = [(r.plan_key, r["at"], r.sub, r.result, r["rank"]) for r in evolve.repaired(df, LIB, spark.createDataFrame([("L00",), ("L01",)], "sub_id string")).collect()]
+    assert sorted(got) == [(1, 0, "L00", 5.0, 1), (1, 0, "L01", 6.0, 2)]
