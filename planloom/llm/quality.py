@@ -67,7 +67,10 @@ def rows_share(lines: list[str]) -> float:
     if len(body) < 3:
         return 0.0
     best = 0.0
+    text = "\n".join(body)
     for sep in ("\t", "|", ";", ",", "  "):
+        if sep not in text and not (sep == "  " and "\t" in text):
+            continue
         if sep in ";,":  # an item's closing mark parts no cells
             ends = sum(1 for x in body if x.rstrip().endswith(sep))
             counts = [_cells(x.rstrip().removesuffix(sep), sep) for x in body] if ends > 0.6 * len(body) else [_cells(x, sep) for x in body]
@@ -124,6 +127,7 @@ def statistics(text: str | None) -> dict:
     times = Counter(words)
     odd = sum(n for w, n in times.items() if _odd(w))
     div = lambda a, b: a / b if b else 0.0
+    plain = text.isascii() and "".join(lines).replace("\t", "").replace("\r", "").isprintable()
     segments = [x for x in (p.strip() for p in _SEGMENT.split(text.lower())) if x]
     marked = [bool(_MARK.search(x)) for x in lines]
     return {
@@ -140,10 +144,10 @@ def statistics(text: str | None) -> dict:
         "top_ngram_chars": top_ngram(low, chars),
         "distinct_words": div(len(set(low)), len(low)),
         "marked_lines": div(sum(marked), len(lines)),
-        "marked_words": div(sum(n for n, m in zip(per_line, marked) if m), len(words)),
+        "marked_words": div(sum(n for n, m in zip(per_line, marked) if m), len(words)) if any(marked) else 0.0,
         "dump_lines": div(sum(1 for x in lines if _DUMP.search(x)), len(lines)),
         "row_lines": rows_share(lines),
-        "broken_chars": div(len(_BROKEN.findall(text)), solid),
+        "broken_chars": 0.0 if plain else div(len(_BROKEN.findall(text)), solid),
         "odd_words": div(odd, len(words)),
         "sentences": len(_SENTENCE_END.findall(text)),
         "words_per_line": div(len(words), len(lines)),
