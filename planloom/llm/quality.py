@@ -195,6 +195,12 @@ def text_quality(documents: DataFrame) -> DataFrame:
     return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(_rows, SCHEMA)
 
 
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"doc_id": b["doc_id"], "form": [form(statistics(t)) for t in b["text"]]})
+
+
 def not_prose(documents: DataFrame) -> DataFrame:
-    """(doc_id, form) of the documents that are a list, a table or junk."""
-    return text_quality(documents).where(F.col("form") != "prose").select("doc_id", "form")
+    """(doc_id, form) of the documents that are a list, a table or junk, by the rules of ``text_quality``."""
+    docs = documents.where("doc_id is not null").select("doc_id", "text")
+    return docs.mapInPandas(_forms, "doc_id bigint, form string").where(F.col("form") != "prose")
