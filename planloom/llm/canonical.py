@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.operators.nested import json_variant
-from planloom.plans.schemas import SLOT, STEP
+from planloom.plans.programs import parsed_programs
 from planloom.session import cut
 
 #: A key is hot if it holds more than this share of all rows.
@@ -61,15 +60,7 @@ def program_keys(programs: DataFrame, id_col: str = "row_id") -> DataFrame:
 
     Rows without a program (both null, text broken or empty) and rows with a null id are left out.
     """
-    v = json_variant(F.col("output"))
-    text_slots = F.try_variant_get(v, "$.slots", f"array<{SLOT.simpleString()}>")
-    text_steps = F.try_variant_get(v, "$.steps", f"array<{STEP.simpleString()}>")
-    typed = F.col("slots").isNotNull() | F.col("steps").isNotNull()
-    parts = programs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"),
-        F.when(typed, F.col("slots")).otherwise(text_slots).alias("slots"),
-        F.when(typed, F.col("steps")).otherwise(text_steps).alias("steps"),
-    )
+    parts = parsed_programs(programs.where(F.col(id_col).isNotNull())).select(F.col(id_col).alias("id"), "slots", "steps")
     return parts.withColumn("key", F.sha2(canonical_form(F.col("slots"), F.col("steps")), 256)).where("key is not null")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from planloom.functions.expr import evaluate, to_sql
 from planloom.functions.types import coerce, coerce_sql
+from planloom.operators.nested import json_variant
+from planloom.plans.schemas import SLOT, STEP
 
 #: Most steps of a program (fixed value).
 MAX_STEPS = 100
@@ -149,6 +151,15 @@ def executed(df: DataFrame, key: str, program: str = "program", bindings: str =
     return df.where(F.col(program).isNotNull()).select(key, F.col(program).alias("p"), F.col(bindings).alias("b")).mapInPandas(batches, f"{key} {kind}, ok boolean, result double, error string")
 
 
+def parsed_programs(programs: DataFrame) -> DataFrame:
+    """``programs`` with slots and steps of the typed program, or where a row has none, of the JSON text in ``output``."""
+    v = json_variant(F.col("output"))
+    typed = F.col("slots").isNotNull() | F.col("steps").isNotNull()
+    text_slots = F.try_variant_get(v, "$.slots", f"array<{SLOT.simpleString()}>")
+    text_steps = F.try_variant_get(v, "$.steps", f"array<{STEP.simpleString()}>")
+    return programs.withColumns({"slots": F.when(typed, F.col("slots")).otherwise(text_slots), "steps": F.when(typed, F.col("steps")).otherwise(text_steps)})
+
+
 def fingerprint(steps: Column, op: str = "op", expr: str = "expr") -> Column:
     """The first 12 hex digits of the MD5 of ``op:expr`` joined by '|'."""
     return F.substring(F.md5(F.array_join(F.transform(steps, lambda s: F.concat(s[op], F.lit(":"), s[expr])), "|")), 1, 12)

@@ -13,7 +13,7 @@ from planloom.operators import evolve, features, library, metrics, search, templ
 from planloom.operators.nested import json_variant
 from planloom.plans import execute
 from planloom.plans.nested_plans import plan_documents, plan_nodes, plan_tables, plan_variant
-from planloom.plans.programs import TOKENS, Program, Slot, Step, executed, fingerprint, signature, with_program
+from planloom.plans.programs import TOKENS, Program, Slot, Step, executed, fingerprint, parsed_programs, signature, with_program
 from planloom.plans.schemas import PLAN
 from planloom.session import cut
 from planloom.sources import files
@@ -590,10 +590,15 @@ _FP = "md5(array_to_string(list_transform(steps, lambda s: s.op || ':' || s.expr
 
 
 def _programs(spark: SparkSession, d: str) -> DataFrame:
-    """The typed programs."""
+    """The typed programs, which the SQL of these queries is about."""
     return table(spark, d, "programs").where("steps is not null and size(steps) > 0")
 
 
+def _all_programs(spark: SparkSession, d: str) -> DataFrame:
+    """The programs of all rows, typed or text."""
+    return parsed_programs(table(spark, d, "programs")).where("steps is not null and size(steps) > 0")
+
+
 def _dtype_ops(c):
     return F.array_join(F.transform(c, lambda s: s["dtype"]), ",")
 
@@ -694,7 +699,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("step_primitives")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return library.step_primitives(_programs(spark, d))
+    return library.step_primitives(_all_programs(spark, d))
 
 
 @query("frequency_topk", f"WITH {_TYPED} SELECT {_FP} AS fingerprint, count(*) AS n, max(row_id) AS last_id FROM p GROUP BY 1 ORDER BY n DESC, last_id LIMIT 20")
@@ -741,12 +746,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("greedy_cover")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return library.greedy_cover(_programs(spark, d), table(spark, d, "sub_library"))
+    return library.greedy_cover(_all_programs(spark, d), table(spark, d, "sub_library"))
 
 
 @query("compression_ratio")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = _programs(spark, d)
+    p = _all_programs(spark, d)
     return metrics.compression(p, library.greedy_cover(p, table(spark, d, "sub_library")))
 
 
@@ -1203,17 +1208,45 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    lengths = table(spark, d, "sub_library").where("program is not null").select("sub_id", F.size("program.steps").alias("n_steps"))
-    return evolve.windowed_entries(_programs(spark, d), lengths)
+    return evolve.windowed_entries(_programs(spark, d), _lengths(table(spark, d, "sub_library")))
 
 
 @query("program_plans")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = _programs(spark, d)
+    p = _all_programs(spark, d)
     prims = library.step_primitives(p).select("op", "canonical", "arity", F.concat(F.lit("P"), F.substring(F.md5(F.concat_ws("|", "op", "canonical")), 1, 6)).alias("prim"))
     return evolve.program_plans(p, prims)
 
 
+def _lengths(entries: DataFrame) -> DataFrame:
+    return entries.where("program is not null").select("sub_id", F.size("program.steps").alias("n_steps"))
+
+
+#: Over the programs of all rows; the SQL of the query without ``_whole`` leaves out those that are text.
+_OVER_PROGRAMS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "library_add": lambda p, entries: library.add_all(p),
+    "fingerprints": lambda p, entries: p.select("row_id", fingerprint(F.col("steps")).alias("fingerprint")),
+    "step_signatures": lambda p, entries: library.program_steps(p).groupBy("sig").agg(F.count("*").alias("n")),
+    "library_mining": lambda p, entries: library.mine_whole(p),
+    "subsequence_mining": lambda p, entries: library.mine_parts(p),
+    "frequency_topk": lambda p, entries: library.frequency_top(p),
+    "uncompressed_bank": lambda p, entries: library.uncompressed(p),
+    "matched_subroutine": lambda p, entries: library.matched_subroutine(p, entries),
+    "rebuilt_choice": lambda p, entries: evolve.rebuilt_choice(p, entries),
+    "window_controls": lambda p, entries: evolve.windowed_entries(p, _lengths(entries)),
+}
+
+
+def _over_all_programs(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    @query(f"{name}_whole")
+    def _(spark: SparkSession, d: str) -> DataFrame:
+        return f(_all_programs(spark, d), table(spark, d, "sub_library"))
+
+
+for _name, _f in _OVER_PROGRAMS.items():
+    _over_all_programs(_name, _f)
+
+
 @query("plan_repair")
 def _(spark: SparkSession, d: str) -> DataFrame:
     few = table(spark, d, "sub_library").orderBy(F.desc("support"), "sub_id").limit(12)

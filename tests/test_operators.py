@@ -251,3 +251,20 @@ def test_repair_replaces_the_failing_call(spark):
     df = spark.createDataFrame([(1, [("c0", "ZZ", two, None)], None), (2, [("c0", "L00", two, None)], None)], f"plan_key bigint, calls array<{CALL.simpleString()}>, final {PLAN['final'].dataType.simpleString()}")
     got = [(r.plan_key, r["at"], r.sub, r.result, r["rank"]) for r in evolve.repaired(df, LIB, spark.createDataFrame([("L00",), ("L01",)], "sub_id string")).collect()]
     assert sorted(got) == [(1, 0, "L00", 5.0, 1), (1, 0, "L01", 6.0, 2)]
+
+
+def test_programs_of_text_count(spark, tmp_path):
+    steps = [("compute", "t", "a + b", ["a", "b"], "float"), ("output", "t", "t", ["t"], "float")]
+    text = json.dumps({"slots": [{"name": "a", "dtype": "float"}, {"name": "b", "dtype": "float"}], "steps": [dict(zip(("op", "target", "expr", "inputs", "target_dtype"), s)) for s in steps]})
+    slots = [("a", "float", None), ("b", "float", None)]
+    rows = [(1, slots, steps, None, "x"), (2, None, None, text, "x"), (3, None, None, text, "y"), (4, None, None, "{broken", "y"), (5, None, None, None, "y")]
+    schema = f"row_id bigint, slots array<struct<name:string,dtype:string,description:string>>, steps array<{STEP.simpleString()}>, output string, source string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "programs.parquet"))
+    lib = spark.createDataFrame([("L1", program("a + b", "a", "b"), 5, 1.0)], f"sub_id string, program {PROGRAM.simpleString()}, support bigint, mdl_gain double")
+    lib.write.parquet(str(tmp_path / "sub_library.parquet"))
+    run = lambda name: core.QUERIES[name](spark, str(tmp_path))
+    assert [(r.support, r.first_id) for r in run("library_add_whole").collect()] == [(2, 1)]
+    assert run("step_primitives").first().support == 3
+    for name in ("fingerprints_whole", "greedy_cover", "rebuilt_choice_whole"):
+        assert sorted(r.row_id for r in run(name).collect()) == [1, 2, 3]
+    assert run("library_mining_whole").first().support == 3 and run("window_controls_whole").count() == 1
