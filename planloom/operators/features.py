@@ -5,11 +5,18 @@ A plan's calls are exploded once into rows (plan_key, pos, sub, keys); neighbour
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planloom.session import cut
+
 
 def _in_plan():
     return Window.partitionBy("plan_key").orderBy("pos")
@@ -117,31 +124,90 @@ def divergence(features: DataFrame, train: Column, test: Column, feature: str =
     return per.agg(n.alias("n_test"), unseen.alias("n_unseen"), F.round(F.coalesce(F.try_divide(unseen, n), F.lit(0.0)), 9).alias("divergence"))
 
 
+#: Trials of a constrained split (fixed value).
+TRIALS = 500
+
+
+def _split(seed: int, trial: Column, shares: tuple[float, float]) -> Column:
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), trial.cast("string"), F.col("plan_key").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "dev").otherwise("test")
+
+
 def assignments(keys: DataFrame, trials: int, seed: int = 42, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
     """(trial, plan_key, split): for each trial every plan in train, dev or test, by its place in the order of a hash.
 
     The place is approximated by the hash itself, uniform in [0, 1): no trial is sorted, and any share of plans lands
     in a split as exactly as the number of plans allows.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("trial").cast("string"), F.col("plan_key").cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    split = F.when(u < shares[0], "train").when(u < shares[0] + shares[1], "dev").otherwise("test")
-    return keys.select("plan_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("trial")).withColumn("split", split)
+    t = keys.select("plan_key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(trials - 1).cast("bigint"))).alias("trial"))
+    return t.withColumn("split", _split(seed, F.col("trial"), shares))
+
+
+def _masks(keys: DataFrame, trials: int, seed: int, shares: tuple[float, float] = (0.6, 0.2)) -> DataFrame:
+    """(plan_key, tr0, te0, tr1, te1, ...): the ``assignments`` of a plan as bits, 64 trials to a number, the first lowest."""
+    n = -(-trials // 64)
+    heads = [f"{seed}|{t}|".encode() for t in range(trials)]
+    # places below these are train, and train or dev
+    low, high = (math.ceil(x * 2**32) for x in (shares[0], shares[0] + shares[1]))
+
+    def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            bits = np.zeros((2, len(b), n * 64), np.uint8)
+            for i, key in enumerate(b["plan_key"]):
+                tail = str(key).encode()
+                u = np.frombuffer(b"".join(hashlib.md5(h + tail).digest()[:4] for h in heads), ">u4")
+                bits[0, i, :trials], bits[1, i, :trials] = u < low, u >= high
+            tr, te = np.packbits(bits, axis=2, bitorder="little").view("<i8")
+            yield pd.DataFrame({"plan_key": b["plan_key"]} | {f"{s}{i}": m[:, i] for i in range(n) for s, m in (("tr", tr), ("te", te))})
+
+    return keys.select("plan_key").mapInPandas(batches, "plan_key bigint, " + ", ".join(f"tr{i} bigint, te{i} bigint" for i in range(n)))
+
+
+def _bits(b: pd.DataFrame, side: str, trials: int) -> np.ndarray:
+    m = np.stack([b[f"{side}{i}"].to_numpy("<i8") for i in range(-(-trials // 64))], axis=1)
+    return np.unpackbits(np.ascontiguousarray(m).view(np.uint8), axis=1, bitorder="little")[:, :trials]
 
 
 def trial_scores(calls: DataFrame, trials: int, seed: int = 42) -> DataFrame:
-    """(trial, tvd, divergence) of random splits: atoms of train and test alike, compounds of test unseen in train."""
-    keys = assignments(calls.select("plan_key").distinct(), trials, seed)
-    a = atoms(calls).join(keys, "plan_key").groupBy("trial", "atom").agg(
-        F.sum(F.when(F.col("split") == "train", F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("split") == "test", F.col("n")).otherwise(0)).alias("q")
-    )
+    """(trial, tvd, divergence) of random splits: atoms of train and test alike, compounds of test unseen in train.
+
+    The trials of a plan are bits of a few numbers, so no row is repeated for a trial: a compound's trials are the bits
+    of its plans put together, an atom's counts are added for all trials at once in each task.
+    """
+    masks = cut(_masks(calls.select("plan_key").distinct(), trials, seed))
+    sides = [c for c in masks.columns if c != "plan_key"]
+
+    def counted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for b in it:
+            for at in range(0, len(b), 4096):
+                part = b[at : at + 4096].sort_values("atom", kind="stable")
+                names, starts = np.unique(part["atom"].to_numpy(str), return_index=True)
+                n = part["n"].to_numpy(np.int64)[:, None]
+                both = [np.add.reduceat(_bits(part, side, trials) * n, starts, axis=0) for side in ("tr", "te")]
+                for name, p, q in zip(names, *both):
+                    sums[name] = sums.get(name, 0) + np.stack([p, q])
+        yield pd.DataFrame([(k, v[0], v[1]) for k, v in sums.items()], columns=["atom", "ps", "qs"])
+
+    def unseen(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        te, new = np.zeros(trials, np.int64), np.zeros(trials, np.int64)
+        for b in it:
+            for at in range(0, len(b), 4096):
+                tr_, te_ = (_bits(b[at : at + 4096], side, trials) for side in ("tr", "te"))
+                te, new = te + te_.sum(axis=0, dtype=np.int64), new + (te_ & (1 - tr_)).sum(axis=0, dtype=np.int64)
+        yield pd.DataFrame({"trial": np.arange(trials), "te": te, "new": new})
+
+    by_task = atoms(calls).join(masks, "plan_key").mapInPandas(counted, "atom string, ps array<bigint>, qs array<bigint>")
+    each = by_task.select("atom", F.posexplode(F.arrays_zip("ps", "qs")).alias("trial", "c"))
+    a = cut(each.groupBy(F.col("trial").cast("bigint").alias("trial"), "atom").agg(F.sum("c.ps").alias("p"), F.sum("c.qs").alias("q")))
     totals = a.groupBy("trial").agg(F.sum("p").alias("ps"), F.sum("q").alias("qs"))
     t = a.join(totals, "trial").groupBy("trial").agg(F.round(0.5 * F.sum(F.abs(F.expr("try_divide(p, ps)") - F.expr("try_divide(q, qs)"))), 9).alias("tvd"))
-    c = compounds(calls).join(keys, "plan_key").groupBy("trial", "compound").agg(F.max(F.col("split") == "train").alias("tr"), F.max(F.col("split") == "test").alias("te")).where("te")
-    d = c.groupBy("trial").agg(F.round(F.count_if(~F.col("tr")) / F.count("*"), 9).alias("divergence"))
-    return t.join(d, "trial")
+    c = compounds(calls).join(masks, "plan_key").groupBy("compound").agg(*(F.bit_or(s).alias(s) for s in sides)).select(*sides)
+    d = c.mapInPandas(unseen, "trial bigint, te bigint, new bigint").groupBy("trial").agg(F.sum("te").alias("te"), F.sum("new").alias("new")).where("te > 0")
+    return t.join(d.select("trial", F.round(F.col("new") / F.col("te"), 9).alias("divergence")), "trial")
 
 
-def constrained_split(calls: DataFrame, trials: int = 20, max_tvd: float = 0.02, min_divergence: float = 0.1, seed: int = 42) -> DataFrame:
+def constrained_split(calls: DataFrame, trials: int = TRIALS, max_tvd: float = 0.02, min_divergence: float = 0.1, seed: int = 42) -> DataFrame:
     """(plan_key, split) of the trial with most divergence among those whose atoms differ by ``max_tvd`` at most.
 
     If no trial meets both bounds, the one within twice ``max_tvd`` counts; if none does, the first trial.
@@ -149,4 +215,5 @@ def constrained_split(calls: DataFrame, trials: int = 20, max_tvd: float = 0.02,
     s = trial_scores(calls, trials, seed)
     tier = F.when((F.col("tvd") <= max_tvd) & (F.col("divergence") >= min_divergence), 2).when(F.col("tvd") <= 2 * max_tvd, 1).otherwise(0)
     best = s.agg(F.max_by("trial", F.struct(tier, F.when(tier > 0, F.col("divergence")).otherwise(0.0), -F.col("trial"))).alias("trial"))  # one row
-    return assignments(calls.select("plan_key").distinct(), trials, seed).join(F.broadcast(best), "trial").select("plan_key", "split")
+    keys = calls.select("plan_key").distinct().crossJoin(F.broadcast(best.where("trial is not null")))
+    return keys.select("plan_key", _split(seed, F.col("trial"), (0.6, 0.2)).alias("split"))

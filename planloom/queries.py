@@ -445,6 +445,18 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return features.constrained_split(cut(_calls(spark, d)), trials=8)
 
 
+@query("split_trials_whole")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """As split_trials, of all trials that a constrained split draws; the SQL has five."""
+    return features.trial_scores(cut(_calls(spark, d)), features.TRIALS)
+
+
+@query("constrained_split_whole")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """As constrained_split, the best of all trials; the SQL draws eight."""
+    return features.constrained_split(cut(_calls(spark, d)))
+
+
 @query(
     "unseen_compounds",
     f"WITH {_COMPOUNDS} SELECT DISTINCT compound FROM compounds WHERE plan_key % 5 = 0 AND compound NOT IN (SELECT compound FROM compounds WHERE plan_key % 5 <> 0)",

@@ -5,6 +5,7 @@ import importlib
 import json
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -268,3 +269,22 @@ def test_programs_of_text_count(spark, tmp_path):
     for name in ("fingerprints_whole", "greedy_cover", "rebuilt_choice_whole"):
         assert sorted(r.row_id for r in run(name).collect()) == [1, 2, 3]
     assert run("library_mining_whole").first().support == 3 and run("window_controls_whole").count() == 1
+
+
+def test_a_constrained_split_is_the_best_of_all_trials(spark):
+    rng = random.Random(3)
+    ref = lambda: {k: REF for k in rng.sample("xyz", rng.randint(1, 2))}
+    c = calls(spark, [(i, [(f"c{j}", rng.choice("ABCDE"), ref(), None) for j in range(rng.randint(1, 4))], None) for i in range(60)])
+    scores = {r.trial: (r.tvd, r.divergence) for r in features.trial_scores(c, features.TRIALS).collect()}
+    assert features.TRIALS == 500 and sorted(scores) == list(range(500))
+    splits = features.assignments(c.select("plan_key").distinct(), 500)
+    for t in (0, 63, 64, 499):  # against the definition, on both sides of a number's end
+        keys = splits.where(F.col("trial") == t)
+        train, test = F.col("split") == "train", F.col("split") == "test"
+        assert scores[t][0] == features.tvd(features.atoms(c).join(keys, "plan_key").where(train | test), train).first().tvd
+        assert scores[t][1] == features.divergence(features.compounds(c).join(keys, "plan_key"), train, test).first().divergence
+    tier = lambda t: 2 if scores[t][0] <= 0.2 and scores[t][1] >= 0.1 else 1 if scores[t][0] <= 0.4 else 0
+    best = max(scores, key=lambda t: (tier(t), scores[t][1] if tier(t) else 0, -t))
+    assert best >= 20
+    got = {(r.plan_key, r.split) for r in features.constrained_split(c, max_tvd=0.2).collect()}
+    assert got == {(r.plan_key, r.split) for r in splits.where(F.col("trial") == best).collect()}
