@@ -126,51 +126,67 @@ def _reward(value: float | None, depth: int) -> float:
     return 0.4 + 0.3 * min(depth / 3, 1) + 0.2 * (value not in (0, 1)) + 0.1 * (0.01 < abs(value) < 1e8)
 
 
-def tree_search(numbers: list[float], library: dict[str, Program], rounds: int = 60, depth: int = 4, c: float = 1.4, seed: int = 42) -> tuple[list[str], float | None, float]:
+def tree_search(numbers: list[float], library: dict[str, Program], rounds: int = 50, depth: int = 5, c: float = 1.4, seed: int = 42) -> tuple[list[str], float | None, float]:
     """(programs, value, reward) of the best chain of calls that a seeded upper-confidence tree search finds.
 
-    A state is the list of values so far; a call takes the last values, one for each slot, and adds its output.
+    A state is the list of values so far; a call takes the last values, one for each slot, and adds its output. Each
+    round expands one node by every entry that runs there and scores each of them as a chain that stops there; then
+    entries drawn at random go on from the node, up to ``depth`` calls, as a rollout. ``seed`` is for these draws and
+    for the order of entries that are equally good.
     """
     rng = random.Random(seed)
     names = sorted(library)
-    children: dict[tuple[str, ...], list[str]] = {}
-    visits: dict[tuple[str, ...], int] = {}
-    total: dict[tuple[str, ...], float] = {}
-
-    def value_of(path: tuple[str, ...]) -> list[float] | None:
-        have = list(numbers)
-        for sub in path:
-            program = library[sub]
-            if len(program.slots) > len(have):
-                return None
-            ok, out, _, _ = run(program, dict(zip((s.name for s in program.slots), have[-len(program.slots) :] if program.slots else [])))
-            if not ok or not isinstance(out, (int, float)):
-                return None
-            have.append(float(out))
-        return have
+    rng.shuffle(names)
+    children: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
+    values: dict[tuple[str, ...], list[float]] = {(): list(numbers)}
+    visits: dict[tuple[str, ...], int] = {(): 0}
+    total: dict[tuple[str, ...], float] = {(): 0.0}
+
+    def called(have: list[float], program: Program) -> float | None:
+        k = len(program.slots)
+        if k > len(have):
+            return None
+        ok, out, _, _ = run(program, dict(zip((s.name for s in program.slots), have[-k:] if k else [])))
+        return float(out) if ok and isinstance(out, (int, float)) else None
 
     best: tuple[float, tuple[str, ...], float | None] = (-1.0, (), None)
     for _ in range(rounds):
         path: tuple[str, ...] = ()
-        while path in children and len(path) < depth and children[path]:
-            n = max(1, visits.get(path, 1))
-            path = max(((*path, s) for s in children[path]), key=lambda p: math.inf if not visits.get(p) else total[p] / visits[p] + c * math.sqrt(math.log(n + 1) / visits[p]))
-            if not visits.get(path):
-                break
-        if len(path) < depth and path not in children:
-            children[path] = [s for s in rng.sample(names, min(8, len(names))) if value_of((*path, s)) is not None]
-        have = value_of(path)
-        value = have[-1] if have and path else None
-        reward = _reward(value, len(path))
-        if path and (reward, [-len(path)]) > (best[0], [-len(best[1])]):
-            best = (reward, path, value)
+        while children.get(path):
+            n = math.log(visits[path] + 1)
+            path = max(children[path], key=lambda p: total[p] / visits[p] + c * math.sqrt(n / visits[p]))
+        gained = [_reward(values[path][-1], len(path))] if path else []
+        if path not in children:
+            children[path] = []
+            for name in names if len(path) < depth else []:
+                value = called(values[path], library[name])
+                if value is None:
+                    continue
+                child = (*path, name)
+                reward = _reward(value, len(child))
+                children[path].append(child)
+                values[child], visits[child], total[child] = [*values[path], value], 1, reward
+                gained.append(reward)
+                if (reward, -len(child)) > (best[0], -len(best[1])):
+                    best = (reward, child, value)
+        chain, have = path, values[path]
+        for name in rng.choices(names, k=depth - len(path)) if names else []:
+            value = called(have, library[name])
+            if value is None:
+                continue
+            chain, have = (*chain, name), [*have, value]
+            reward = _reward(value, len(chain))
+            gained.append(reward)
+            if (reward, -len(chain)) > (best[0], -len(best[1])):
+                best = (reward, chain, value)
+        gain = max(gained, default=0.0)
         for i in range(len(path) + 1):
-            visits[path[:i]] = visits.get(path[:i], 0) + 1
-            total[path[:i]] = total.get(path[:i], 0.0) + reward
+            visits[path[:i]] += 1
+            total[path[:i]] += gain
     return list(best[1]), best[2], max(best[0], 0.0)
 
 
-def searched(problems: DataFrame, library: dict[str, Program], rounds: int = 60, seed: int = 42) -> DataFrame:
+def searched(problems: DataFrame, library: dict[str, Program], rounds: int = 50, seed: int = 42) -> DataFrame:
     """(item_id, plan, value, reward) of problems (item_id, numbers ARRAY<DOUBLE>), each searched on its own."""
     import pandas as pd
 

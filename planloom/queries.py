@@ -1141,7 +1141,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("tree_search")
 def _(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "heldout_items").select("item_id", text.numbers(F.col("problem")).alias("numbers"))
-    return search.searched(h.repartition(8, "item_id"), _library(spark, d), rounds=40)
+    return search.searched(h.repartition(8, "item_id"), _library(spark, d))
 
 
 # --- sources and streams -----------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from planloom import queries as core
 from planloom.functions import text
 from planloom.operators import evolve, features, library, metrics, search, templates
+from planloom.plans.programs import Program, Slot, Step
 from planloom.plans.schemas import CALL, PLAN, PROGRAM, STEP
 from planloom.sources import files
 from planloom.streaming import funnels
@@ -172,6 +173,14 @@ def test_tree_search_is_repeatable(spark):
     assert a == b and a[0] and a[2] > 0.5 and search.tree_search([], LIB) == ([], None, 0.0)
 
 
+def test_tree_search_tries_every_entry():
+    slots = (Slot("x"),)
+    lib = {f"L{i:03d}": Program(f"L{i:03d}", slots, (Step("output", "y", "x * 0"),)) for i in range(240)}
+    for good in ("L000", "L117", "L239"):  # the only entry that gives something else than 0
+        found = search.tree_search([2.0], lib | {good: Program(good, slots, (Step("output", "y", "x + 5"),))}, rounds=1)
+        assert found == ([good], 7.0, search._reward(7.0, 1))
+
+
 def test_templates(spark):
     t = spark.createDataFrame(
         [("T1", "n", "d", [("x", "int"), ("y", "int")], [(1, "add", "{x} + {y} + 3", ["x"], "r1")], 2), ("T2", "n", "d", [("r1", "int"), ("z", "int")], [(1, "mul", "{r1} * {z}", None, "r2")], 2), ("T3", None, None, None, None, None)],
