@@ -53,6 +53,41 @@ def edits(plans: DataFrame, library: DataFrame, max_calls: int = 6) -> DataFrame
     return substitute.unionByName(insert).unionByName(delete).withColumn("at", F.col("at").cast("bigint"))
 
 
+def rebinds(plans: DataFrame, library: DataFrame) -> DataFrame:
+    """(plan_key, edit, at, slot, name, value): the changes of one slot of a call to another variable of the plan.
+
+    plans: (plan_key, calls); library: (sub_id, program). The variables of a plan are the slots that it binds to a
+    quantity or a constant, by name; of several values of a name the first counts. Calls of unknown programs have none.
+    """
+    entries = library.select(F.upper(F.trim("sub_id")).alias("_sub"), F.transform("program.slots", lambda s: s["name"]).alias("_slots"))
+    c = plans.select("plan_key", F.posexplode("calls").alias("at", "c"))
+    own = c.select("plan_key", "at", F.posexplode("c.bindings").alias("i", "name", "r")).where("r.source in ('quantity', 'constant') and r.value is not null")
+    env = own.groupBy("plan_key", "name").agg(F.min_by("r.value", F.struct("at", "i")).alias("value"))
+    slots = c.select("plan_key", "at", F.upper(F.trim("c.sub_id")).alias("_sub")).join(entries, "_sub").select("plan_key", "at", F.explode("_slots").alias("slot"))
+    return slots.join(env, "plan_key").where("slot <> name").select("plan_key", F.lit("rebind").alias("edit"), F.col("at").cast("bigint").alias("at"), "slot", "name", "value")
+
+
+def edit_counts(plans: DataFrame, library: DataFrame, max_calls: int = 6) -> DataFrame:
+    """(edit, n): how many ``edits`` and ``rebinds`` there are over the whole library, without a row for each of the edits."""
+    entries = library.where("sub_id is not null")
+    ids = F.broadcast(entries.select("sub_id").distinct().agg(F.collect_set("sub_id").alias("ids")))  # one row, a library
+    k = F.size("calls")
+    p = plans.where(k > 0).crossJoin(ids).select(
+        k.alias("k"), F.size("ids").alias("m"), F.size(F.filter(F.transform("calls", lambda c: F.upper(F.trim(c["sub_id"]))), lambda s: s.isNull() | F.array_contains("ids", s))).alias("_same"),
+        F.size(F.filter("calls", lambda c: F.upper(F.trim(c["sub_id"])).isNull())).alias("_none"),
+    )
+    # a call without a program has no substitution in ``edits``, any other one by each entry but its own
+    substitute = (F.col("k") - F.col("_none")) * F.col("m") - (F.col("_same") - F.col("_none"))
+    n = {
+        "substitute": substitute,
+        "insert": F.when(F.col("k") < max_calls, (F.col("k") + 1) * F.col("m")).otherwise(0),
+        "delete": F.when(F.col("k") > 1, F.col("k")).otherwise(0),
+    }
+    sums = p.agg(*(F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(e) for e, c in n.items()))
+    counted = sums.select(F.explode(F.array(*(F.struct(F.lit(e).alias("edit"), F.col(e).alias("n")) for e in n))).alias("x")).select("x.*")
+    return counted.unionByName(rebinds(plans, entries).agg(F.count("*").alias("n")).select(F.lit("rebind").alias("edit"), "n"))
+
+
 def repair_reward(made: Column, n_calls: Column, unsafe: Column, result: Column) -> Column:
     """0.25 for each call that ran, 0.10 if all did, less 0.05 a call and 0.10 for each unsafe edit, 0.20 for a finite result other than 0."""
     good = result.isNotNull() & ~F.isnan(result) & (F.abs(result) < float("inf")) & (result != 0)

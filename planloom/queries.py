@@ -849,6 +849,13 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return templates.compose(t, t, "reuse_count").where("id_a <> id_b")
 
 
+@query("template_compose_whole")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """As template_compose, of every two templates; the SQL has the most used ones of one domain."""
+    t = table(spark, d, "templates").where("template_id is not null").withColumn("_all", F.lit(1))
+    return templates.compose(t, t, "_all").where("id_a <> id_b")
+
+
 @query(
     "template_chains",
     """
@@ -1117,6 +1124,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.edits(p, few).groupBy("edit").agg(F.count("*").alias("n"))
 
 
+@query("repair_neighbours_whole")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """As repair_neighbours, over the whole library and with rebinding; the SQL has eight entries."""
+    return search.edit_counts(_plans(spark, d), table(spark, d, "sub_library"))
+
+
 @query("repair_rewards")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = execute.executed_plans(_plans(spark, d), _library(spark, d))

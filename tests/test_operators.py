@@ -297,3 +297,23 @@ def test_a_constrained_split_is_the_best_of_all_trials(spark):
     assert best >= 20
     got = {(r.plan_key, r.split) for r in features.constrained_split(c, max_tvd=0.2).collect()}
     assert got == {(r.plan_key, r.split) for r in splits.where(F.col("trial") == best).collect()}
+
+
+def test_neighbours_of_the_whole_library(spark):
+    lib = spark.createDataFrame([(f"L{i:03d}", program("a + b", "a", "b")) for i in range(12)], f"sub_id string, program {PROGRAM.simpleString()}")
+    far = {"a": REF, "b": ("call_output", None, "c0", None, None, None, None, None), "z": REF}
+    rows = [(1, [("c0", " l009", far, None), ("c1", "ZZ", {"b": REF}, None)]), (2, [("c0", None, None, None)]), (3, []), (4, None), (5, [("c0", "L011", far, None)] * 6)]
+    p = spark.createDataFrame(rows, f"plan_key bigint, calls array<{CALL.simpleString()}>")
+    got = {r.edit: r.n for r in search.edit_counts(p, lib).collect()}
+    subs = p.select("plan_key", F.transform("calls", lambda c: F.upper(F.trim(c["sub_id"]))).alias("subs"))
+    want = {r.edit: r.n for r in search.edits(subs, lib).groupBy("edit").agg(F.count("*").alias("n")).collect()}
+    # plan 1: both slots of the known call to two of a, b and z; plan 5: six calls, a to z and b to a or z
+    assert got == want | {"rebind": 4 + 18}
+    assert {(r["at"], r.slot, r.name) for r in search.rebinds(p.where("plan_key = 1"), lib).collect()} == {(0, "a", "b"), (0, "a", "z"), (0, "b", "a"), (0, "b", "z")}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_every_two_templates_are_composed(spark):
+    n = spark.read.parquet(f"{DATA}/templates.parquet").count()
+    pairs = core.QUERIES["template_compose_whole"](spark, DATA)
+    assert pairs.count() == n * (n - 1)
