@@ -162,7 +162,8 @@ def relationalize(
     objects, the field of those objects that holds the key.
     A null record, a null or empty array or object has no child rows; a null element is a row without values.
     Extra columns of ``df`` are left out. Objects flatten to ``<object>_<field>``, with ``<object>_present``.
-    Ordinals are ``<level>_pos``, map keys ``<level>_key``.
+    Ordinals are ``<level>_pos``, map keys ``<level>_key``. An array or map within objects is named by its path, with
+    dots in the table's name. An array that is itself an element of an array isn't exploded: it is text in ``scalar``.
     """
     base = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(
         key, F.col(column).alias("_v"), F.concat_ws("/", F.col(key).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id")
@@ -177,32 +178,35 @@ def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[
     v = F.col("_v")
     columns = {c: F.col(c) for c in [*carried, "node_id", "parent_id"]}
     columns["scalar"] = F.try_variant_get(v, "$", "string")
+    children: list[tuple[str, str, Column, object]] = []  # path, field, value, what is known of its elements
 
-    def flatten(prefix: str, v: Column, shape: Shape, like) -> None:
+    def flatten(prefix: str, v: Column, shape: Shape, like, path: str = "") -> None:
+        children.extend((f"{path}{f}", f, _get(v, f, "variant"), _below(like, f)) for f in shape.children)
         for f, kind in shape.scalars.items():
             columns.setdefault(f"{prefix}{f}", _get(v, f, kind))
         for f, ddl in shape.objects.items():
             inner = reparsed(_get(v, f, "variant"))
             columns.setdefault(f"{prefix}{f}_present", inner.isNotNull() & ~F.coalesce(F.is_variant_null(inner), F.lit(True)))
-            flatten(f"{prefix}{f}_", inner, shape_of(ddl, _below(like, f), limit), _below(like, f))
+            flatten(f"{prefix}{f}_", inner, shape_of(ddl, _below(like, f), limit), _below(like, f), f"{path}{f}.")
 
     flatten("", v, shape, like)
     tables[name] = df.select(*(c.alias(n) for n, c in columns.items()))
-    for f in shape.children:
+    for f, last, inner, below_like in children:
         child = f"{name}.{f}" if "." in name or name != "root" else f
-        pos = f"{f}_pos"
+        at = f.replace(".", "_")
+        pos = f"{at}_pos"
         if pos in carried:
             pos = f"{child.replace('.', '_')}_pos"
-        exploded = df.select(*carried, F.col("node_id").alias("parent_id"), F.posexplode(entries(_get(v, f, "variant"), key_fields.get(f))).alias(pos, "_e"))
+        exploded = df.select(*carried, F.col("node_id").alias("parent_id"), F.posexplode(entries(inner, key_fields.get(last))).alias(pos, "_e"))
         below = exploded.select(
             *carried,
             F.col(pos).cast("bigint").alias(pos),
-            F.col("_e.key").alias(f"{f}_key"),
+            F.col("_e.key").alias(f"{at}_key"),
             F.col("_e.value").alias("_v"),
             "parent_id",
             F.concat_ws("/", "parent_id", F.lit(f), F.col(pos).cast("string")).alias("node_id"),
         )
-        _level(below, child, [*carried, pos, f"{f}_key"], _below(like, f), key_fields, limit, tables)
+        _level(below, child, [*carried, pos, f"{at}_key"], below_like, key_fields, limit, tables)
 
 
 def relationalize_declared(df: DataFrame, key: str, column: str, name: str = "root", key_fields: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -222,42 +226,42 @@ def relationalize_declared(df: DataFrame, key: str, column: str, name: str = "ro
 def _declared_level(df: DataFrame, name: str, carried: list[str], kind: T.DataType, key_fields: dict[str, str], tables: dict[str, DataFrame]) -> None:
     columns = {c: F.col(c) for c in [*carried, "node_id", "parent_id"]}
     columns["scalar"] = F.lit(None).cast("string") if isinstance(kind, T.StructType) else F.col("_v").cast("string")
-    children: list[tuple[str, Column, T.DataType]] = []
+    children: list[tuple[str, str, Column, T.DataType]] = []
 
-    def flatten(prefix: str, v: Column, struct: T.StructType) -> None:
+    def flatten(prefix: str, v: Column, struct: T.StructType, path: str = "") -> None:
         for f in struct.fields:
             if isinstance(f.dataType, T.StructType):
                 columns[f"{prefix}{f.name}_present"] = v[f.name].isNotNull()
-                flatten(f"{prefix}{f.name}_", v[f.name], f.dataType)
+                flatten(f"{prefix}{f.name}_", v[f.name], f.dataType, f"{path}{f.name}.")
             elif isinstance(f.dataType, (T.ArrayType, T.MapType)):
-                if not prefix:
-                    children.append((f.name, v[f.name], f.dataType))
+                children.append((f"{path}{f.name}", f.name, v[f.name], f.dataType))
             else:
                 columns[f"{prefix}{f.name}"] = v[f.name]
 
     if isinstance(kind, T.StructType):
         flatten("", F.col("_v"), kind)
     tables[name] = df.select(*(c.alias(n) for n, c in columns.items()))
-    for f, v, t in children:
+    for f, last, v, t in children:
         child = f"{name}.{f}" if "." in name or name != "root" else f
-        pos = f"{f}_pos" if f"{f}_pos" not in carried else f"{child.replace('.', '_')}_pos"
+        at = f.replace(".", "_")
+        pos = f"{at}_pos" if f"{at}_pos" not in carried else f"{child.replace('.', '_')}_pos"
         parent = F.col("node_id").alias("parent_id")
         if isinstance(t, T.MapType):
             rows, below = df.select(*carried, parent, F.posexplode(v).alias(pos, "_k", "_v")), t.valueType
         else:
             rows, below = df.select(*carried, parent, F.posexplode(v).alias(pos, "_v")), t.elementType
-            field_ = key_fields.get(f)
+            field_ = key_fields.get(last)
             own = F.col("_v")[field_].cast("string") if isinstance(below, T.StructType) and field_ in below.fieldNames() else F.lit(None).cast("string")
             rows = rows.withColumn("_k", own)
         level = rows.select(
             *carried,
             F.col(pos).cast("bigint").alias(pos),
-            F.col("_k").cast("string").alias(f"{f}_key"),
+            F.col("_k").cast("string").alias(f"{at}_key"),
             "_v",
             "parent_id",
             F.concat_ws("/", "parent_id", F.lit(f), F.col(pos).cast("string")).alias("node_id"),
         )
-        _declared_level(level, child, [*carried, pos, f"{f}_key"], below, key_fields, tables)
+        _declared_level(level, child, [*carried, pos, f"{at}_key"], below, key_fields, tables)
 
 
 def united(*tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -111,3 +111,16 @@ def test_declared_and_inferred_give_the_same_tables(spark):
         b = inferred[name]
         cols = sorted(set(a.columns) - {"scalar", "node_id", "calls_bindings_pos", "bindings_pos"})  # maps have no order of their own
         assert set(a.columns) == set(b.columns) and sorted(map(str, a.select(cols).collect())) == sorted(map(str, b.select(cols).collect())), name
+
+
+def test_arrays_within_objects_have_tables(spark):
+    kind = "struct<m:struct<tokens:array<string>,n:bigint,o:struct<tokens:array<struct<x:bigint>>>>,tokens:array<string>>"
+    rows = [(1, ((["a", "b"], 1, ([(7,)],)), ["t"])), (2, None), (3, ((None, 2, None), None))]
+    df = spark.createDataFrame(rows, f"k bigint, v {kind}")
+    declared = relationalize_declared(df, "k", "v")
+    inferred = relationalize(df.select("k", F.to_variant_object("v").alias("v")), "k", "v")
+    for tables in (declared, inferred):
+        assert set(tables) == {"root", "tokens", "m.tokens", "m.o.tokens"}
+        assert sorted((r.k, r.m_tokens_pos, r.scalar, r.parent_id, r.node_id) for r in tables["m.tokens"].collect()) == [(1, 0, "a", "1", "1/m.tokens/0"), (1, 1, "b", "1", "1/m.tokens/1")]
+        assert [(r.k, r.m_o_tokens_pos, r.x) for r in tables["m.o.tokens"].collect()] == [(1, 0, 7)]
+        assert [(r.k, r.tokens_pos, r.scalar) for r in tables["tokens"].collect()] == [(1, 0, "t")]
