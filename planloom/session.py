@@ -11,8 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; only where it names none (tests), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "planloom-shared")
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset a folder of this machine serves, but only if everything runs on it; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "planloom-shared")
 
 
 def cut(df: DataFrame) -> DataFrame:
