@@ -1,9 +1,9 @@
 """Problem 5: question and answer pairs whose answer is no proper one, with the kind of defect.
 
 One shuffle by (conversation, turn) both drops repeated deliveries and puts each user message beside the message of the
-next turn. The rules are column expressions. For shortened answers, the answers that could be one are sorted as texts:
-in that order whatever extends a text follows it at once, so each is compared with its successor only. Lengths at which
-far more answers end than at the lengths around are taken for a length limit.
+next turn. Distinct answers are sorted as texts and compared with their neighbour to find shortened versions; lengths at
+which far more answers break off than at the lengths around are taken for a length limit. Column rules for empty, copied,
+refusal and other language follow; what is left and stops within a sentence is cut off as well.
 """
 
 from __future__ import annotations
@@ -60,8 +60,12 @@ LANGUAGE_WORDS = {
     "nl": "de het een is zijn niet en van met dat hoeveel er wij ook eerst nog wordt aan dus uit antwoord blijven uitkomst eind dan samen we over daarna worden nu omdat volgende zijn naar maar zij hun door",
     "pt": "o os as uma é são e em com que para do da quantos quantas mais se por isso ao fica ficam resposta temos então primeiro agora soma resultado também não",
 }
-#: A length limit: at least so many answers end there, and so many times the mean of the lengths within 8 of it.
-LIMIT_COUNT, LIMIT_TIMES, LIMIT_FROM = 30, 8.0, 64
+#: A length limit: so many times as many texts break off there as in the mean at the lengths within ``LIMIT_WINDOW``
+#: of it, and so many standard deviations more than that mean lets expect.
+LIMIT_TIMES, LIMIT_DEVIATIONS, LIMIT_WINDOW = 8.0, 6.0, 8
+#: Words that a text has at least if a text of another question, which goes on within a word, shows it to be cut.
+#: Shorter ones can begin alike by chance; they are compared within their own question.
+WORDS_TO_TELL = 4
 
 
 def role_name(c: Column) -> Column:
@@ -111,14 +115,15 @@ def json_cut_off(answer: Column) -> Column:
     return F.try_parse_json(body).isNull() & ((n("{[") > n("}]")) | (F.length(outside) - F.length(F.translate(outside, '"', "")) == 1))
 
 
-#: Ends of a complete answer: a sentence's end, a marked or named result, or nothing but a number and its unit.
-_ENDS = (
-    r"(?<!\.\.)[.!?。！？؟][\s\"'»”’)\]*_`}]*$"
-    r"|(?m)(?:^|[.!?]\s+|\n)\s*#{2,}\s*[-−$€£]?\d[\d.,]*\s*%?[^\n]{0,20}\z"
+#: Ends of a complete answer in its result: marked or named, boxed, or nothing but a number and its unit.
+_RESULTS = (
+    r"(?m)(?:^|[.!?]\s+|\n)\s*#{2,}\s*[-−$€£]?\d[\d.,]*\s*%?[^\n]{0,20}\z"
     r"|(?:^|[.!?]\s+|\n)\s*\**\p{L}{3,}(?: \p{L}+){0,3}\**\s*[:=]\s*\**[-−$€£]?\d[\d.,]*\**\s*(?:%|\p{L}+)?\s*$"
     r"|^\s*[-−$€£]?\d[\d.,]*\s*(?:%|[\p{L}]+)?\s*$"
     r"|\\boxed\{[^{}]*\}\W*$"
 )
+#: Ends of a complete answer: a sentence's end, or one of ``_RESULTS``.
+_ENDS = r"(?<!\.\.)[.!?。！？؟][\s\"'»”’)\]*_`}]*$|" + _RESULTS
 
 
 def unterminated(answer: Column) -> Column:
@@ -141,54 +146,73 @@ def told_language(counts: Column) -> Column:
     return F.when((top > 0) & (F.size(F.filter(counts, lambda n: n == top)) == 1), F.array_position(counts, top)).otherwise(F.lit(0))
 
 
-def _successors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of sorted (text, q): the texts that their successor extends, and the first and last text of the task."""
+def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of rows sorted by (g, k): those whose successor of the same g extends k, with how it goes on; and each task's ends."""
+    columns = ["kind", "g", "k", "id", "ends", "rest"]
     first = last = None
     for b in batches:
         out = []
-        for text, q in zip(b["text"], b["q"]):
+        for row in zip(b["g"], b["k"], b["id"], b["ends"]):
             if first is None:
-                first = (text, q)
-            if last is not None and extends(*last, text, q):
-                out.append(("short", *last))
-            last = (text, q)
+                first = row
+            if last is not None and last[0] == row[0] and len(row[1]) > len(last[1]) and row[1].startswith(last[1]):
+                out.append(("pair", last[0], None, *last[2:], row[1][len(last[1])]))
+            last = row
         if out:
-            yield pd.DataFrame(out, columns=["kind", "text", "q"])
+            yield pd.DataFrame(out, columns=columns)
     if first is not None:
-        yield pd.DataFrame([("edge", *first), ("edge", *last)], columns=["kind", "text", "q"])
+        yield pd.DataFrame([("edge", *first, None), ("edge", *last, None)], columns=columns)
 
 
-def extends(short: str, q: str, text: str, q2: str) -> bool:
-    """Whether ``text`` goes on where ``short`` stops: within a word, or with a further sentence on the same question."""
-    if len(text) <= len(short) or not text.startswith(short):
-        return False
-    rest = text[len(short)]
-    return (q == q2) if not (rest.isalnum() and short[-1].isalnum()) else not short[-1].isdigit()
+#: Marks that sort above and below every other character.
+ABOVE, BELOW = "\U0010ffff", "\u0001"
 
 
-def shortened(answers: DataFrame, least: int = 20) -> DataFrame:
-    """Distinct (text, q) of ``answers`` that the next text in order extends; texts under ``least`` characters are left out.
+def extended(texts: DataFrame, mark: str) -> DataFrame:
+    """(g, id, ends, rest) of the distinct (g, text, id, ends) that another text of the same g extends; rest is its next character or ``mark``.
 
-    Only distinct texts are sorted, so no text however frequent burdens a task. The first and last text of each task
-    (two rows per task) are compared with each other in a second, small sort.
+    For sorting, every character that is no letter or digit gets ``mark`` before it. So of the texts that extend one, all
+    of which follow it at once, those that go on with a letter or digit come first (``ABOVE``) or last (``BELOW``), and
+    the successor alone tells whether there is one of the kind that comes first. Equal texts are one row and rows are
+    split by ranges of their texts, so no text or beginning, however frequent, burdens a task. The first and last row of
+    each task (two rows a task) are compared with each other in a second, small sort.
     """
-    texts = answers.where(F.length("text") >= least).groupBy("text", "q").agg(F.lit(1).alias("one")).select("text", "q")
-    marked = cut(texts.repartitionByRange("text", "q").sortWithinPartitions("text", "q").mapInPandas(_successors, "kind string, text string, q string"))
-    edges = marked.where("kind = 'edge'").select("text", "q").distinct()
-    w = Window.orderBy("text", "q")  # two rows per task
-    after = edges.select("text", "q", F.lead("text").over(w).alias("t2"), F.lead("q").over(w).alias("q2"))
-    rest = F.expr("substring(t2, length(text) + 1, 1)")
-    within_word = rest.rlike(r"[\p{L}\p{N}]") & F.col("text").rlike(r"[\p{L}\p{N}]$")
-    goes_on = F.expr("startswith(t2, text) and length(t2) > length(text)") & F.when(within_word, ~F.col("text").rlike(r"\p{N}$")).otherwise(F.col("q") == F.col("q2"))
-    return marked.where("kind = 'short'").select("text", "q").unionByName(after.where(goes_on).select("text", "q")).distinct()
-
-
-def length_limits(lengths: DataFrame) -> DataFrame:
-    """(n_chars) at which far more texts end than at the lengths around; one row per length enters the window."""
-    counts = lengths.where(F.col("n_chars") >= LIMIT_FROM).groupBy("n_chars").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.floor(F.col("n_chars") / 4096)).orderBy("n_chars").rangeBetween(-8, 8)
-    around = (F.sum("n").over(w) - F.col("n")) / 16
-    return counts.withColumn("around", around).where((F.col("n") >= LIMIT_COUNT) & (F.col("n") >= LIMIT_TIMES * F.greatest("around", F.lit(1.0)))).select("n_chars")
+    keyed = texts.select("g", F.regexp_replace("text", r"([^\p{L}\p{N}])", f"{mark}$1").alias("k"), "id", "ends")
+    schema = "kind string, g string, k string, id string, ends string, rest string"
+    marked = cut(keyed.repartitionByRange("g", "k").sortWithinPartitions("g", "k").mapInPandas(_neighbours, schema))
+    w = Window.orderBy("g", "k")  # two rows per task
+    edges = marked.where("kind = 'edge'").select("g", "k", "id", "ends").distinct()
+    after = edges.select("g", "id", "ends", "k", F.lead("g").over(w).alias("g2"), F.lead("k").over(w).alias("k2"))
+    goes_on = F.expr("g = g2 AND startswith(k2, k) AND length(k2) > length(k)")
+    rest = F.expr("substring(k2, length(k) + 1, 1)").alias("rest")
+    return marked.where("kind = 'pair'").select("g", "id", "ends", "rest").unionByName(after.where(goes_on).select("g", "id", "ends", rest))
+
+
+def shortened(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which of ``answers`` (q, id, text; id tells the text) are beginnings of others: (id) of any answer, (q, id) of one on the same question.
+
+    Of any answer: a text of ``WORDS_TO_TELL`` words or more that another one carries on within its last word. Of one on
+    the same question: a text that goes on in any way, but for figures that go on as longer ones. Null and empty texts
+    are in neither.
+    """
+    ends = F.when(F.col("text").rlike(r"\p{L}$"), "letter").when(F.col("text").rlike(r"\p{N}$"), "figure").otherwise("other")
+    texts = answers.where("text is not null and text <> ''").groupBy("q", "id").agg(F.min("text").alias("text")).withColumn("ends", ends)
+    tells = F.col("text").rlike(rf"^(?:[^\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}]++){{{WORDS_TO_TELL}}}")
+    every = texts.groupBy("id").agg(F.min("text").alias("text")).withColumn("ends", F.when(tells, ends).otherwise("other")).withColumn("g", F.lit(""))
+    within = extended(every, ABOVE).where((F.col("ends") == "letter") & (F.col("rest") != ABOVE)).select("id")
+    own = extended(texts.withColumnRenamed("q", "g"), BELOW).where((F.col("ends") != "figure") | (F.col("rest") == BELOW)).select(F.col("g").alias("q"), "id")
+    return within, own
+
+
+def length_limits(texts: DataFrame) -> DataFrame:
+    """(n_chars) at which far more of the distinct ``texts`` (id, n_chars) break off than at the lengths around."""
+    counts = texts.groupBy("id").agg(F.min("n_chars").cast("bigint").alias("n_chars")).groupBy("n_chars").agg(F.count("*").alias("n"))
+    lengths = F.explode(F.sequence(F.col("n_chars") - LIMIT_WINDOW, F.col("n_chars") + LIMIT_WINDOW))
+    near = counts.select(lengths.alias("n_chars"), "n").groupBy("n_chars").agg(F.sum("n").alias("all"))
+    around = (F.col("all") - F.col("n")) / (2.0 * LIMIT_WINDOW)
+    expected = F.greatest(around, F.lit(1.0))
+    spike = (F.col("n") >= LIMIT_TIMES * around) & (F.col("n") - around >= LIMIT_DEVIATIONS * F.sqrt(expected))
+    return counts.join(near, "n_chars").where(spike).select("n_chars")
 
 
 def features(pairs: DataFrame) -> DataFrame:
@@ -208,11 +232,11 @@ def features(pairs: DataFrame) -> DataFrame:
     return df.withColumns({"own": F.size("owned"), "numbers_own": F.size(F.filter("owned", lambda w: w.rlike(r"\p{N}")))})
 
 
-def defects(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, defect): each pair that has a defect; see TESTDATA for the kinds. A pair has one at most.
+def judged(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, defect, step) of every pair with a defect, and of a truncated one by which step it is known.
 
-    Rules are tried in the order empty, copied, refusal, other_language, truncated. Null or unknown roles belong to
-    neither side; rows with a null conversation or turn are left out; a null question has no language and no words.
+    Steps: 'prefix' a longer version is known, 'limit' it breaks off at a length limit, 'structure' JSON that isn't
+    closed, 'ending' it stops within a sentence; in that order. See ``defects`` for the rest.
     """
     pairs = question_answers(messages)
     f = features(pairs)
@@ -237,30 +261,47 @@ def defects(messages: DataFrame) -> DataFrame:
         (F.col("most") >= 2) & (F.col("answered_in") > 0) & (asked_in > 0) & (asked_in != F.col("answered_in"))
         & (F.col("most") >= 1.5 * F.try_element_at("al", asked_in.cast("int")) + 1)
     )
-    cut_off = F.when(F.col("json"), json_cut_off(F.col("answer"))).otherwise(stops)
-    first = F.when(F.col("empty"), "empty").when(copied, "copied").when(refusal, "refusal").when(other, "other_language").when(cut_off, "truncated")
-    judged = cut(
-        once(f, defect=first).select(
-            "conv_id",
-            "turn",
-            "defect",
-            F.when(F.col("defect").isNull() & ~F.col("json"), F.rtrim("answer", F.lit(" \t\r\n"))).alias("text"),
+    rule = F.when(F.col("empty"), "empty").when(copied, "copied").when(refusal, "refusal").when(other, "other_language")
+    text = F.rtrim("answer", F.lit(" \t\r\n"))
+    answers = cut(
+        once(f, rule=rule, text=F.when(~F.col("empty") & ~F.col("json"), text)).select(
+            "conv_id", "turn", "rule", "text", "stops",
             F.md5(F.concat_ws(" ", "qw")).alias("q"),
-            F.length("answer").alias("n_chars"),
-            F.right("answer", F.lit(20)).rlike(r"[.!?}\]\"`]\s*$").alias("closed"),
+            F.md5("text").alias("id"),
+            F.length("text").alias("n_chars"),
+            (F.col("json") & ~F.col("empty") & json_cut_off(F.col("answer"))).alias("open"),
+            # a text that ends as one, or in the result itself, or is a result as a whole
+            F.col("text").rlike(r"[.!?}\]\"`]$").alias("closed"),
+            F.right("text", F.lit(400)).rlike(_RESULTS).alias("results"),
         )
+    )
+    said_all = answers.where("text is not null")
+    within, own = shortened(said_all)
+    limits = length_limits(said_all.where("not closed and not results").select("id", "n_chars"))
+    yes = lambda df, name: df.distinct().withColumn(name, F.lit(True))
+    marked = answers.join(yes(within, "within"), "id", "left").join(yes(own, "longer"), ["q", "id"], "left").join(yes(limits, "limit"), "n_chars", "left")
+    is_ = lambda c: F.coalesce(c, F.lit(False))
+    shorter = is_("within") | (is_("longer") & ~F.col("results"))
+    step = (
+        F.when(shorter, "prefix").when(is_("limit") & ~F.col("closed") & ~F.col("results"), "limit").when(is_("open"), "structure").when(is_("stops"), "ending")
     )
-    open_texts = judged.where("text is not null").select("text", "q")
-    short = shortened(open_texts).select("text", "q", F.lit(True).alias("short"))
-    limits = length_limits(judged.where("text is not null").select("n_chars")).select("n_chars", F.lit(True).alias("limit"))
-    late = (
-        judged.where("text is not null and length(text) >= 20")
-        .join(short, ["text", "q"], "left")
-        .join(limits, "n_chars", "left")
-        .where(F.coalesce("short", F.lit(False)) | (F.coalesce("limit", F.lit(False)) & ~F.col("closed") & ~F.col("text").rlike(r"\p{N}$")))
-        .select("conv_id", "turn", F.lit("truncated").alias("defect"))
-    )
-    return judged.where("defect is not null").select("conv_id", "turn", "defect").unionByName(late)
+    out = marked.select("conv_id", "turn", F.coalesce("rule", F.when(step.isNotNull(), "truncated")).alias("defect"), F.when(F.col("rule").isNull(), step).alias("step"))
+    return out.where("defect is not null")
+
+
+def defects(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, defect): each pair that has a defect; see TESTDATA for the kinds. A pair has one at most.
+
+    Of several defects that hold, empty, copied, refusal, other_language, truncated is the order. Null or unknown roles
+    belong to neither side; rows with a null conversation or turn are left out; a null question has no language and no
+    words.
+    """
+    return judged(messages).select("conv_id", "turn", "defect")
+
+
+def truncation_steps(messages: DataFrame) -> DataFrame:
+    """(step, n_pairs): by which step the truncated answers are known."""
+    return judged(messages).where("defect = 'truncated'").groupBy("step").agg(F.count("*").alias("n_pairs"))
 
 
 def defect_counts(messages: DataFrame) -> DataFrame:

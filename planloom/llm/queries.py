@@ -49,6 +49,10 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defect_counts(table(spark, d, "chat_messages"))
 
 
+def p5_steps(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.truncation_steps(table(spark, d, "chat_messages"))
+
+
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.question_answers(table(spark, d, "chat_messages")).select("conv_id", "turn", "answered")
 
@@ -85,7 +89,7 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p2_found, p2_counts, p3_found, p3_records, p4_found, p4_pattern_lift, p5_found, p5_counts, p5_pairs,
+        p2_found, p2_counts, p3_found, p3_records, p4_found, p4_pattern_lift, p5_found, p5_counts, p5_steps, p5_pairs,
         p6_found, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts,
     )
 }

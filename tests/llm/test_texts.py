@@ -69,18 +69,66 @@ def test_counts_add_up(spark):
     assert got == {"none": 1, "empty": 1}
 
 
-def test_shortened_texts_against_brute_force(spark):
+def alnum(c):
+    return c.isalpha() or c.isnumeric()
+
+
+def all_pairs(rows):
+    """The two kinds of shortened texts by comparing every two rows."""
+    within, own = set(), set()
+    for q, t in rows:
+        for q2, t2 in rows:
+            if len(t2) > len(t) and t2.startswith(t):
+                inside = alnum(t2[len(t)])
+                if inside and t[-1].isalpha() and len(words(t)) >= pairs.WORDS_TO_TELL:
+                    within.add(t)
+                if q == q2 and not (inside and t[-1].isnumeric()):
+                    own.add((q, t))
+    return within, own
+
+
+def shortened(spark, rows, parts=7):
+    df = spark.createDataFrame([(q, f"id of {t}", t) for q, t in rows], "q string, id string, text string").repartition(parts)
+    within, own = pairs.shortened(df)
+    return {r.id[6:] for r in within.collect()}, {(r.q, r.id[6:]) for r in own.collect()}
+
+
+def test_shortened_texts_against_all_pairs(spark):
     rng = random.Random(4)
-    full = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30)) + "." for _ in range(40)]
-    texts = {(t, "q") for t in full} | {(t[: rng.randint(25, len(t) - 1)], "q") for t in full} | {(full[0], "other")}
-    got = {(r.text, r.q) for r in pairs.shortened(spark.createDataFrame(sorted(texts), "text string, q string").repartition(7)).collect()}
-    ordered = sorted(texts)
-    assert got == {a for a, b in zip(ordered, ordered[1:]) if pairs.extends(*a, *b)}
+    full = [" ".join(rng.choice(["alpha", "beta", "gamma", "7", "72", "delta."]) for _ in range(12)) for _ in range(40)]
+    cuts = [t[: rng.randint(1, len(t) - 1)] for t in full for _ in range(3)]
+    rows = {(rng.choice("qrs"), t.rstrip()) for t in full + cuts for _ in range(2)} | {("q", full[0]), ("r", full[0] + " more"), ("s", full[0] + "alas")}
+    rows |= {("q", "é" * k) for k in range(1, 9)} | {("r", "one two three fo\U0010ffff"), ("r", "one two three fo"), ("s", "one two three four")}
+    assert shortened(spark, rows) == all_pairs(rows)
+    assert shortened(spark, []) == (set(), set())
+
+
+def test_rows_between_hide_no_longer_version(spark):
+    t = "It is what we look at fir"
+    rows = [("q1", t), ("q2", t), ("q1", t + "st of all."), ("q3", t + "."), ("q3", t + ", then")]
+    assert shortened(spark, rows) == all_pairs(rows) == ({t}, {("q1", t)})
+    answers = [FULL[: FULL.index(". T") + 1], FULL, "It is 12. Then", "It is 12. Then - hm."]
+    messages = [m for k, a in enumerate(answers) for m in ((k, 0, "user", Q), (k, 1, "assistant", a))]
+    assert found(spark, messages) == [(0, 0, "truncated"), (2, 0, "truncated")]
+    steps = pairs.truncation_steps(spark.createDataFrame([(i, *m, None, None, None) for i, m in enumerate(messages)], MESSAGES))
+    assert {r.step: r.n_pairs for r in steps.collect()} == {"prefix": 2}
 
 
 def test_length_limits(spark):
-    rows = [(100,)] * 90 + [(x,) for x in range(64, 160)] * 2 + [(30,)] * 500
-    assert [r.n_chars for r in pairs.length_limits(spark.createDataFrame(rows, "n_chars int")).collect()] == [100]
+    rows = [(f"a{i}", 100) for i in range(90)] + [(f"b{x}.{k}", x) for x in range(64, 160) for k in range(2)] + [("same", 30)] * 500 + [(f"c{i}", 4000) for i in range(7)] + [(f"d{i}", 5000) for i in range(5)]
+    assert sorted(r.n_chars for r in pairs.length_limits(spark.createDataFrame(rows, "id string, n_chars int")).collect()) == [100, 4000]
+
+
+def test_answers_at_a_length_limit(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(70)) for _ in range(60)]
+    cut = [t + f"\nResult: 4{x}".ljust(13, "m") for t, x in zip(texts[:30], range(10, 40))]  # ends in a result and a unit, at one length
+    whole = [t + f"\nResult: 4{'1' * (1 + k % 9)} mm" for k, t in enumerate(texts[30:])]
+    rows = [m for k, a in enumerate(cut + whole) for m in ((k, 0, "user", f"What is {k}?"), (k, 1, "assistant", a))]
+    assert not [r for r in found(spark, rows) if r[2] == "truncated"]  # a result is an answer, at whatever length
+    rows = [m for k, a in enumerate([t + " and th" for t in texts[:30]] + whole) for m in ((k, 0, "user", f"What is {k}?"), (k, 1, "assistant", a))]
+    steps = pairs.truncation_steps(spark.createDataFrame([(i, *m, None, None, None) for i, m in enumerate(rows)], MESSAGES))
+    assert {r.step: r.n_pairs for r in steps.collect()} == {"limit": 30}
 
 
 def words(t):
