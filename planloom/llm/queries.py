@@ -41,6 +41,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_counts(table(spark, d, "eval_results"))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, d, "eval_results"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defects(table(spark, d, "chat_messages"))
 
@@ -89,7 +93,7 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p2_found, p2_counts, p3_found, p3_records, p4_found, p4_pattern_lift, p5_found, p5_counts, p5_steps, p5_pairs,
+        p2_found, p2_counts, p2_classes, p3_found, p3_records, p4_found, p4_pattern_lift, p5_found, p5_counts, p5_steps, p5_pairs,
         p6_found, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts,
     )
 }

@@ -27,8 +27,12 @@ def plain_number(text: Column) -> Column:
 
 def numbers(text: Column) -> Column:
     """The numbers that a text states, in their order."""
-    found = F.regexp_extract_all(joined_numbers(text), F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-    return F.transform(found, plain_number)
+    return numbers_of(joined_numbers(text))
+
+
+def numbers_of(joined: Column) -> Column:
+    """The numbers that a text without separators in them states."""
+    return F.transform(F.regexp_extract_all(joined, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), plain_number)
 
 
 def answer_number(text: Column) -> Column:

@@ -89,7 +89,50 @@ def test_near_words_with_equal_numbers(spark):
     assert found(spark, rows) == want
 
 
-def test_banded_distance():
+def test_a_large_group_is_split_by_its_blocks(spark):
+    rng = random.Random(9)
+    vocabulary = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxy'[i // 100]}" for i in range(500)]
+    common = ["the", "of", "and", "a", "in", "to", "is", "all"]
+    rows, want = [], []
+    for k in range(4000):
+        ws = [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) for _ in range(40)]
+        rows.append(item(k, "train", " ".join(ws), "7"))
+        if k % 2:
+            rows.append(item(10_000 + k, "dev", " ".join(rng.choice(vocabulary) for _ in range(40)), "7"))
+        if k % 20 == 0:
+            for at in rng.sample(range(40), 8 if k % 40 else 3):
+                ws[at] = rng.choice(vocabulary)
+            rows.append(item(20_000 + k, "test", " ".join(ws), "7"))
+            want.append((k, 20_000 + k))
+    rows += [item(30_000 + k, "test", rows[0][3], "7") for k in range(40)] + [item(40_000 + k, "train", rows[0][3].upper(), "7") for k in range(40)]
+    want += [(a, b) for a in (0, *range(40_000, 40_040)) for b in (20_000, *range(30_000, 30_040)) if (a, b) != (0, 20_000)]
+    got = found(spark, rows)
+    want = sorted((min(p), max(p)) for p in want)
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want)
+    df = spark.createDataFrame(rows, ITEMS)
+    links, members = overlap.linked_classes(df)
+    assert links.count() <= 202  # 41 x 40 rows of one text are one link
+    counts = {(r.split, r.source): r.n_pairs for r in overlap.overlap_counts(df).collect()}
+    assert counts == {("test", "s"): len(got)}
+    per_item = {r.item_id: (r.class_id, r.n_links) for r in overlap.overlap_classes(df).collect()}
+    assert set(per_item) == {i for p in got for i in p} and per_item[40_039] == per_item[0]
+
+
+def test_repeated_words_weigh_so_that_a_fifth_keeps_its_angle():
+    rng = random.Random(10)
+    worst = 0
+    for n in (5, 10, 40, 200):
+        for _ in range(40):
+            ws = [rng.choice(["Mara", "Tom", "x", *(f"w{i}" for i in range(n))]) for _ in range(n)]
+            new = list(ws)
+            for at in rng.sample(range(n), n // 5):
+                new[at] = "Zoe"
+            worst = max(worst, int((overlap.simhash(ws) != overlap.simhash(new)).sum()))
+    assert worst <= overlap.RADIUS
+    assert all((1 - (1 - overlap.MAX_DIFFERS) ** k) ** overlap.block_count(k) <= overlap.MISS for k in range(overlap.SHORTEST, overlap.LONGEST + 1))
+
+
+def test_distance_by_bit_vectors():
     rng = random.Random(1)
     for _ in range(300):
         a, b = [rng.choice("abc") for _ in range(rng.randint(0, 12))], [rng.choice("abc") for _ in range(rng.randint(0, 12))]
