@@ -69,6 +69,10 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return tiling.leak_report(table(spark, d, "documents"), table(spark, d, "heldout_items"))
 
 
+def p6_longest(spark: SparkSession, d: str) -> DataFrame:
+    return tiling.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id", "longest")
+
+
 def p7_uses(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
@@ -94,7 +98,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p2_found, p2_counts, p2_classes, p3_found, p3_records, p4_found, p4_pattern_lift, p5_found, p5_counts, p5_steps, p5_pairs,
-        p6_found, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts,
+        p6_found, p6_longest, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts,
     )
 }
 
@@ -158,6 +162,15 @@ SQL: dict[str, str] = {
         dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d))
         SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
     """,
+    "p6_longest": """
+        WITH i AS (SELECT item_id, regexp_extract_all(lower(problem), '[\\p{L}\\p{N}]+') AS w FROM heldout_items),
+        ig AS (SELECT item_id, j, array_to_string(w[j:j + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS j FROM i)),
+        d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+        dg AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d)),
+        runs AS (SELECT doc_id, item_id, p - j AS diagonal, p - row_number() OVER (PARTITION BY doc_id, item_id, p - j ORDER BY p) AS run FROM dg JOIN ig USING (g)),
+        lengths AS (SELECT doc_id, item_id, count(*) + 12 AS n FROM runs GROUP BY doc_id, item_id, diagonal, run)
+        SELECT doc_id, item_id, max(n) AS longest FROM lengths GROUP BY 1, 2
+    """,
     "p8_counts": """
         SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)?')) AS BIGINT) AS n_words,
             CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]'))) AS BIGINT) AS n_lines

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,18 +162,54 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_reordered_passages_are_tiled():
-    vocabulary = tiling.Vocabulary([(1, [f"w{i}" for i in range(60)])])
-    item = vocabulary.encode([f"w{i}" for i in range(60)])
-    doc = vocabulary.encode([f"w{i}" for i in range(30, 60)] + ["other"] + [f"w{i}" for i in range(30)] + [f"w{i}" for i in range(20)])
+    item = tiling.encoded([f"w{i}" for i in range(60)])
+    doc = tiling.encoded([f"w{i}" for i in range(30, 60)] + ["other"] + [f"w{i}" for i in range(30)] + [f"w{i}" for i in range(20)])
     assert sorted(tiling.tiles(doc, item)) == [(0, 30, 30), (31, 0, 30)]
     assert tiling.tiles(doc[:12], item) == []
-
-
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(f"x{i}y{k}" for k in range(20))) for i in range(10)], "item_id bigint, problem string")
-    docs = spark.createDataFrame([(i, " ".join(f"x{i}y{k}" for k in range(3, 18))) for i in range(10)], "doc_id bigint, text string")
-    monkeypatch.setattr(tiling, "BLOCK_WORDS", 45)
-    assert sorted((r.doc_id, r.item_id) for r in tiling.leaks(docs, items).collect()) == [(i, i) for i in range(10)]
+    same = tiling.encoded(["the"] * 20_000)  # every two windows match
+    assert tiling.tiles(same, same[:300])[0] == (0, 0, 300) and tiling.tiles(same, same) == [(0, 0, 20_000)]
+
+
+def brute_tiles(doc, item, least):
+    """The definition: again and again the longest match of unmarked words, the first in the document."""
+    used_d, used_i, out = set(), set(), []
+    while True:
+        best = (least - 1, 0, 0)
+        for p in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while p + n < len(doc) and j + n < len(item) and doc[p + n] == item[j + n] and doc[p + n] and p + n not in used_d and j + n not in used_i:
+                    n += 1
+                if n > best[0]:
+                    best = (n, p, j)
+        n, p, j = best
+        if n < least:
+            return out
+        out.append((p, j, n))
+        used_d |= set(range(p, p + n))
+        used_i |= set(range(j, j + n))
+
+
+def test_tiles_against_their_definition():
+    rng = random.Random(11)
+    for _ in range(150):
+        word = lambda: rng.choice([0, 1, 2, 3])
+        doc, item = [word() for _ in range(rng.randint(0, 30))], [word() for _ in range(rng.randint(0, 20))]
+        got = tiling.tiles(np.array(doc, np.uint64), np.array(item, np.uint64), 3)
+        assert got == brute_tiles(doc, item, 3)
+
+
+def test_a_passage_in_most_documents_and_many_items(spark, monkeypatch):
+    run = " ".join(f"common{k}" for k in range(15))
+    items = spark.createDataFrame([(i, f"item{i} {run} of {i}") for i in range(40)] + [(99, "nothing " * 12)], "item_id bigint, problem string")
+    docs = spark.createDataFrame([(d, f"{d} says: {run}, so" if d % 3 else f"doc {d} " * 9) for d in range(900)], "doc_id bigint, text string")
+    monkeypatch.setattr("planloom.llm.skew.HOT_ROWS", 50)
+    monkeypatch.setattr("planloom.llm.skew.hot_keys.__defaults__", (50,))
+    monkeypatch.setattr("planloom.llm.skew.salted.__defaults__", (50,))
+    monkeypatch.setattr(tiling, "MOST_BITS", 16)  # a map that lets other windows pass too
+    got = tiling.leaks(docs, items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d in range(900) if d % 3 for i in range(40)} and len(got) == 600 * 40
+    assert all((r.n_tiles, r.longest, r.matched_words, r.item_words) == (1, 15, 15, 18) and r.coverage == pytest.approx(15 / 18) for r in got)
 
 
 PROSE = "The ledger lists 56 seedlings after the opening. Nobody remembers such a busy season, and the road is closed. How many are left when all this is done?"
