@@ -1,14 +1,16 @@
 """Problem 7: documents of several sources combined so that each source has its target share of all tokens.
 
-Tokens are those of a public tokenizer. The documents of a source are laid end to end in a pseudorandom order and cut
-into blocks of ``BLOCK_TOKENS`` tokens; a document belongs to the block in which it begins, so it is used whole. The
-output is a number of slots, in shards; each shard draws how many of its slots each source gets from one multinomial
-distribution. A source's slots, counted through all shards, are mapped to its blocks by a pseudorandom permutation of
-their indices, one pass through all blocks after the other, and joined to them by index; so a document is used at most as
-often as there are passes, which ``max_repeats`` bounds. A source that runs out of blocks can't reach its target.
-
-The place of a document in its source is a prefix sum over two levels (within a bucket, over the buckets), so that no
-task holds a source. What comes to the driver is bounded: one row per source of the targets.
+Tokens are those of a public tokenizer. The documents of a source are laid end to end in a pseudorandom order and packed
+into blocks of exactly ``BLOCK_TOKENS`` tokens (the last of a source may be shorter); a document may begin in one block
+and end in a later one. The output is a number of slots, in shards of ``SHARD_SLOTS``; each shard draws how many of its
+slots each source gets from one multinomial distribution. A source's slots, counted through all shards, are mapped to its
+blocks by a pseudorandom permutation of their indices, one pass through all blocks after the other, and joined to them by
+index; so a block, and with it a document, is used at most as often as there are passes, which ``max_repeats`` bounds. A
+source that runs out of blocks can't reach its target.
+
+The place of a document in its source is a prefix sum over two levels (within a bucket, over the buckets), and so is the
+first slot of a shard, so that no task holds a source. What comes to the driver is bounded: one row per source of the
+targets, of which there may be ``MOST_SOURCES``.
 """
 
 from __future__ import annotations
@@ -25,30 +27,33 @@ from pyspark.sql import functions as F
 
 from planloom.session import cut
 
-#: Where the vocabulary files of public tokenizers are, and the one that is used.
+#: Where the vocabulary files of public tokenizers are on the driver, which sends the one that is used to all tasks.
 TOKENIZERS = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
 #: How the byte-level BPE splits texts before merging (fixed value of the public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 BLOCK_TOKENS = 128
-#: Slots per shard of the output, at least; a large output has larger shards, not more than 50,000 of them.
-SHARD_SLOTS = 1024
+#: Slots per shard of the output, and slots that one task maps at most, about.
+SHARD_SLOTS, TASK_SLOTS = 1024, 65_536
+#: Most sources in the targets.
+MOST_SOURCES = 10_000
 SEED = 42
 #: Documents per bucket of a source's order, about.
 BUCKET_DOCS = 20_000
 
 
 @lru_cache(maxsize=4)
-def _encoding(path: str):
+def _encoding(name: str):
     import tiktoken
+    from pyspark import SparkFiles
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(path).read_bytes().splitlines() if x)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in Path(SparkFiles.get(name)).read_bytes().splitlines() if x)}
     return tiktoken.Encoding("local", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _count_tokens(path: str):
+def _count_tokens(name: str):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(name).encode_ordinary
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": np.fromiter((len(encode(t)) for t in b["text"]), np.int64, len(b))})
 
@@ -61,14 +66,18 @@ def source_name(c: Column) -> Column:
 
 
 def token_counts(documents: DataFrame, targets: DataFrame, tokenizers: str = TOKENIZERS, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, tokens) of the documents whose source has a target; null and empty texts have no tokens and are left out."""
-    wanted = targets.where("source is not null").select(source_name(F.col("source")).alias("_s"), F.col("source").alias("_name"))
+    """(doc_id, source, tokens) of the documents whose source has a target; null and empty texts have no tokens and are left out.
+
+    Of targets whose names differ in case, blanks and hyphens only, the first by name gets the documents.
+    """
+    documents.sparkSession.sparkContext.addFile(f"{tokenizers}/{tokenizer}.tiktoken")
+    wanted = targets.where("source is not null").groupBy(source_name(F.col("source")).alias("_s")).agg(F.min("source").alias("_name"))
     docs = documents.where("doc_id is not null and text is not null and text <> ''").select("doc_id", "text", source_name(F.col("source")).alias("_s"))
-    return docs.join(wanted, "_s").select("doc_id", F.col("_name").alias("source"), "text").mapInPandas(_count_tokens(f"{tokenizers}/{tokenizer}.tiktoken"), "doc_id bigint, source string, tokens bigint")
+    return docs.join(wanted, "_s").select("doc_id", F.col("_name").alias("source"), "text").mapInPandas(_count_tokens(f"{tokenizer}.tiktoken"), "doc_id bigint, source string, tokens bigint")
 
 
-def placed(counted: DataFrame, n_docs: int, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, tokens, block): documents with the block of their source in which they begin."""
+def placed(counted: DataFrame, n_docs: int, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, tokens, start): documents with the place of their first token among those of their source."""
     buckets = max(1, n_docs // BUCKET_DOCS)
     h = F.xxhash64("doc_id", F.lit(seed))
     rows = counted.withColumns({"_h": h, "_b": F.pmod(h, F.lit(buckets))})
@@ -77,8 +86,15 @@ def placed(counted: DataFrame, n_docs: int, block_tokens: int = BLOCK_TOKENS, se
     sums = rows.groupBy("source", "_b").agg(F.sum("tokens").alias("_t"))  # one row per source and bucket
     before = F.sum("_t").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sums.select("source", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    start = F.col("_before") + F.col("_end") - F.col("tokens")
-    return inner.join(offsets, ["source", "_b"]).select("doc_id", "source", "tokens", F.floor(start / block_tokens).cast("bigint").alias("block"))
+    return inner.join(offsets, ["source", "_b"]).select("doc_id", "source", "tokens", (F.col("_before") + F.col("_end") - F.col("tokens")).alias("start"))
+
+
+def packed(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, source, tokens, block, part): each document once for each block that it has tokens in; part is how many."""
+    first, last = F.floor(F.col("start") / block_tokens), F.floor((F.col("start") + F.col("tokens") - 1) / block_tokens)
+    rows = docs.where("tokens > 0").withColumn("block", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))))
+    part = F.least(F.col("start") + F.col("tokens"), (F.col("block") + 1) * block_tokens) - F.greatest("start", F.col("block") * block_tokens)
+    return rows.select("doc_id", "source", "tokens", "block", part.alias("part"))
 
 
 def shares(targets: dict[str, float], capacity: dict[str, float], total: float) -> dict[str, float]:
@@ -146,6 +162,25 @@ def _map_slots(blocks: dict[str, int], passes: dict[str, int], seed: int):
     return take
 
 
+def _first_slots(drawn: DataFrame) -> DataFrame:
+    """(source, shard, first, n): with the number of a source's slots in all earlier shards, summed in groups of shards first."""
+    group = F.floor(F.col("shard") / 4096)
+    inner = F.sum("n").over(Window.partitionBy("source", group).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    sums = drawn.groupBy("source", group.alias("g")).agg(F.sum("n").alias("t"))
+    before = sums.select("source", "g", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return drawn.withColumns({"g": group, "inner": F.coalesce(inner, F.lit(0))}).join(before, ["source", "g"]).select("source", "shard", (F.col("before") + F.col("inner")).alias("first"), "n")
+
+
+def taken_blocks(spark, plan: dict[str, float], blocks: dict[str, int], passes: dict[str, int], n_slots: int, seed: int = SEED) -> DataFrame:
+    """(source, block, uses): how often each block is used, by the slots that the shards draw for its source with the chances of ``plan``."""
+    n_shards = -(-n_slots // SHARD_SLOTS)
+    tasks = max(1, -(-n_slots // TASK_SLOTS))
+    drawn = cut(spark.range(0, n_shards, 1, tasks).mapInPandas(_slots(sorted(plan.items()), n_slots, SHARD_SLOTS, seed), "source string, shard bigint, n bigint"))
+    # a fixed number of parts: a few rows become many slots, so they aren't to be put together by their size
+    slots = _first_slots(drawn).where("n > 0").repartition(tasks, "shard").mapInPandas(_map_slots(blocks, passes, seed), "source string, block bigint")
+    return slots.groupBy("source", "block").agg(F.count("*").alias("uses"))
+
+
 def mixture(
     documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS,
     seed: int = SEED, tokenizers: str = TOKENIZERS, tokenizer: str = TOKENIZER,
@@ -153,51 +188,47 @@ def mixture(
     """The documents of a mixture, and what became of the targets.
 
     documents: doc_id, source, text. targets: source (key), target_share, max_repeats; null shares count as 0, null
-    repeats as 1. total_tokens: size of the mixture; by default the tokens of all documents that have a target.
-
-    First (doc_id, source, tokens, uses), documents that are used at all, uses <= max_repeats. Second, per source of the
-    targets, (source, tokenizer, target_share, available_tokens, used_tokens, actual_share, documents, reached): reached
-    is whether its documents, used max_repeats times, hold its share of the total. Documents without a target source are
-    left out. No documents or no targets: no uses, shares of 0.
+    repeats as 1, of repeated sources the first in order counts. total_tokens: size of the mixture; by default the
+    tokens of all documents that have a target.
+
+    First (doc_id, source, tokens, uses, used_tokens), documents of which any block is used: uses, at most max_repeats,
+    is how often the one of its blocks that is used most, used_tokens how many of its tokens all uses of its blocks are.
+    Second, per source of the targets, (source, tokenizer, target_share, drawn_share, available_tokens, used_tokens,
+    actual_share, documents, reached): drawn_share is the chance of a slot to be the source's, which is above the target
+    where others can't fill theirs; reached is whether its documents, used max_repeats times, hold its share of the
+    total. Documents without a target source are left out. No documents or no targets: no uses, shares of 0.
     """
     spark = documents.sparkSession
-    goals = [(r.source, float(r.target_share or 0), int(1 if r.max_repeats is None else r.max_repeats)) for r in targets.where("source is not null").select("source", "target_share", "max_repeats").collect()]
+    named = targets.where("source is not null").groupBy("source").agg(F.min(F.struct(-F.coalesce("target_share", F.lit(0.0)), F.coalesce("max_repeats", F.lit(1)))).alias("g"))
+    goals = sorted((r.source, -float(r.g[0]), int(r.g[1])) for r in named.limit(MOST_SOURCES + 1).collect())
+    if len(goals) > MOST_SOURCES:
+        raise ValueError(f"a mixture has at most {MOST_SOURCES} sources")
     counted = cut(token_counts(documents, targets, tokenizers, tokenizer))
-    n_docs = counted.count()
-    docs = cut(placed(counted, n_docs, block_tokens, seed))
-    by_source = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"), (F.max("block") + 1).alias("blocks"))
-    have = {r.source: r for r in by_source.collect()}  # one row per source of the targets
-    available = {s: (have[s].tokens if s in have else 0) for s, _, _ in goals}
-    blocks = {s: (have[s].blocks if s in have else 0) for s, _, _ in goals}
+    docs = cut(placed(counted, counted.count(), seed))
+    have = {r.source: r for r in docs.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}  # one row per source of the targets
+    available = {s: int(have[s].tokens if s in have else 0) for s, _, _ in goals}
+    blocks = {s: -(-n // block_tokens) for s, n in available.items()}
     passes = {s: n for s, _, n in goals}
     total = total_tokens if total_tokens is not None else sum(available.values())
-    n_slots = -(-total // block_tokens)
     weight = {s: t for s, t, _ in goals if t > 0}
     plan = shares(weight, {s: float(available[s] * passes[s]) for s in weight}, float(total)) if total else {}
-
     if plan and sum(plan.values()) > 0:
-        shard_slots = max(SHARD_SLOTS, -(-n_slots // 50_000))
-        n_shards = -(-n_slots // shard_slots)
-        drawn = cut(spark.range(n_shards).mapInPandas(_slots(sorted(plan.items()), n_slots, shard_slots, seed), "source string, shard bigint, n bigint"))
-        # first slot of each shard: there are at most 50,000 shards, in groups of 4096 for the prefix sum
-        group = F.floor(F.col("shard") / 4096)
-        inner = F.sum("n").over(Window.partitionBy("source", group).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-        sums = drawn.groupBy("source", group.alias("g")).agg(F.sum("n").alias("t"))
-        before = sums.select("source", "g", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        first = drawn.withColumns({"g": group, "inner": F.coalesce(inner, F.lit(0))}).join(before, ["source", "g"]).select("source", (F.col("before") + F.col("inner")).alias("first"), "n")
-        taken = first.mapInPandas(_map_slots(blocks, passes, seed), "source string, block bigint").groupBy("source", "block").agg(F.count("*").alias("uses"))
+        taken = taken_blocks(spark, plan, blocks, passes, -(-total // block_tokens), seed)
     else:
+        plan = {}
         taken = spark.createDataFrame([], "source string, block bigint, uses bigint")
-    used = docs.join(taken.hint("merge"), ["source", "block"])  # both sides grow with the data.select("doc_id", "source", "tokens", "uses")
+    # both sides grow with the data
+    by_block = packed(docs, block_tokens).join(taken.hint("merge"), ["source", "block"])
+    used = cut(by_block.groupBy("doc_id", "source", "tokens").agg(F.max("uses").alias("uses"), F.sum(F.col("part") * F.col("uses")).alias("used_tokens")))
 
-    sums = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.count("*").alias("documents"))
+    sums = used.groupBy("source").agg(F.sum("used_tokens").alias("used"), F.count("*").alias("documents"))
     whole = F.sum("used").over(Window.partitionBy(F.lit(0)))  # one row per source
     base = spark.createDataFrame(
-        [(s, tokenizer, t, int(available[s]), bool(t > 0 and available[s] * passes[s] >= t * total and available[s] > 0)) for s, t, _ in goals],
-        "source string, tokenizer string, target_share double, available_tokens bigint, reached boolean",
+        [(s, tokenizer, t, plan.get(s, 0.0), available[s], bool(t > 0 and available[s] * passes[s] >= t * total and available[s] > 0)) for s, t, _ in goals],
+        "source string, tokenizer string, target_share double, drawn_share double, available_tokens bigint, reached boolean",
     )
     report = base.join(sums, "source", "left").select(
-        "source", "tokenizer", "target_share", "available_tokens",
+        "source", "tokenizer", "target_share", "drawn_share", "available_tokens",
         F.coalesce("used", F.lit(0)).cast("bigint").alias("used_tokens"),
         F.coalesce(F.col("used") / whole, F.lit(0.0)).alias("actual_share"),
         F.coalesce("documents", F.lit(0)).cast("bigint").alias("documents"),

@@ -214,6 +214,9 @@ def test_mixture(spark):
     rep = {r.source: r for r in report.collect()}
     assert set(rep) == {"big", "tiny_one", "absent", "zero"} and rep["big"].reached and not rep["tiny_one"].reached and not rep["absent"].reached
     assert sum(r.actual_share for r in rep.values()) == pytest.approx(1) and rep["tiny_one"].used_tokens == 4 * rep["tiny_one"].available_tokens
+    assert uses.columns == ["doc_id", "source", "tokens", "uses", "used_tokens"] and all(0 < r.used_tokens <= r.uses * r.tokens for r in rows)
+    assert sum(r.used_tokens for r in rows) == sum(r.used_tokens for r in rep.values())
+    assert rep["big"].drawn_share > rep["big"].target_share > rep["tiny_one"].drawn_share
     again = {(r.doc_id, r.uses) for r in mixing.mixture(d, t, total_tokens=40_000)[0].collect()}
     assert again == {(r.doc_id, r.uses) for r in rows}
     for dd, tt in ((d.where("false"), t), (d, t.where("false"))):
@@ -228,3 +231,29 @@ def test_shares_are_met(spark):
     rep = mixing.mixture(d, t)[1].collect()
     assert all(r.reached and abs(r.actual_share - 0.5) < 0.03 for r in rep)
     assert d.select(F.countDistinct("doc_id")).first()[0] == 6000
+
+
+def test_blocks_have_one_size_and_hold_every_token(spark):
+    rng = random.Random(12)
+    docs = [(i, "ab"[i % 2], rng.choice([1, 2, 50, 300])) for i in range(400)]
+    counted = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    parts = mixing.packed(mixing.placed(counted, 400), 64).collect()
+    blocks, tokens = Counter(), Counter()
+    for r in parts:
+        blocks[r.source, r.block] += r.part
+        tokens[r.doc_id] += r.part
+    assert tokens == {i: t for i, _, t in docs}
+    for s in "ab":
+        n = sum(t for _, x, t in docs if x == s)
+        assert [blocks[s, k] for k in range(-(-n // 64))] == [64] * (n // 64) + ([n % 64] if n % 64 else [])
+
+
+def test_slots_are_mapped_in_many_tasks(spark):
+    n, size = 2_000_000, 300_000
+    taken = mixing.taken_blocks(spark, {"a": 0.25, "b": 0.75}, {"a": size, "b": size}, {"a": 3, "b": 4}, n)
+    got = {(r.source, r.uses): r.n for r in taken.groupBy("source", "uses").agg(F.count("*").alias("n")).collect()}
+    a = sum(u * k for (s, u), k in got.items() if s == "a")
+    assert a + sum(u * k for (s, u), k in got.items() if s == "b") <= n and abs(a / n - 0.25) < 0.005
+    assert got["b", 4] == size and {u for s, u in got if s == "a"} <= {1, 2} and sum(k for (s, u), k in got.items() if s == "a") == size
+    slots = mixing._first_slots(spark.createDataFrame([("a", k, k % 7) for k in range(9000)], "source string, shard bigint, n bigint")).orderBy("shard").collect()
+    assert len(slots) == 9000 and slots[0].first == 0 and all(y.first == x.first + x.n for x, y in zip(slots, slots[1:]))
