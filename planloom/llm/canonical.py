@@ -1,9 +1,10 @@
 """Problem 3: records that differ only in how they are written, collapsed into one each.
 
 The canonical form of a program keeps what counts and drops layout, letter case, punctuation and the order of slots and
-inputs. Equal records share the SHA-256 of that form. Keys that hold more than ``HOT_SHARE`` of all rows are found
-exactly by partial counts (there are at most ``1 / HOT_SHARE`` of them, which bounds what is broadcast); their rows are
-salted and aggregated in two levels, the rest in one shuffle. The representative is the smallest identifier.
+inputs. Equal records share the SHA-256 of that form. Keys that hold more rows than a task takes are found exactly by
+partial counts (their number is bounded by that, and so is what is broadcast); their rows are salted, by as many salts as
+their count asks for, and aggregated in two levels, the rest in one shuffle. The representative is the smallest
+identifier.
 """
 
 from __future__ import annotations
@@ -11,14 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from planloom.llm.skew import HOT_ROWS, hot_keys
 from planloom.plans.programs import parsed_programs
 from planloom.session import cut
 
-#: A key is hot if it holds more than this share of all rows.
-HOT_SHARE = 1 / 1000
-#: Parts that the rows of a hot key are spread over.
-SALTS = 64
-
 
 def _lower(c: Column) -> Column:
     return F.lower(F.coalesce(c, F.lit("")))
@@ -64,26 +61,23 @@ def program_keys(programs: DataFrame, id_col: str = "row_id") -> DataFrame:
     return parts.withColumn("key", F.sha2(canonical_form(F.col("slots"), F.col("steps")), 256)).where("key is not null")
 
 
-def collapse(keyed: DataFrame, hot_share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+def collapse(keyed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, key, keep_id, n_copies) for each row of ``keyed`` (id, key), in the two ways told above.
 
     Repeated rows of one id count once. An empty table gives no rows.
     """
     rows = cut(keyed.select("id", "key"))
-    n_rows = rows.count()
-    # Partial counts per task come before the shuffle, so a hot key sends one row per task; kept are at most 1/hot_share.
-    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
-    hot = F.broadcast(counts.where(F.col("n") > max(1, n_rows * hot_share)).select("key"))
+    hot = F.broadcast(cut(hot_keys(rows, ["key"], hot_rows)))  # bounded, see there
 
-    salted = rows.join(hot, "key", "left_semi").dropDuplicates(["key", "id"])
-    first = salted.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(salts)).alias("salt")).agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
-    second = first.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n_copies"))
-    hot_rows = salted.join(F.broadcast(second), "key")
+    salted = rows.join(hot, "key").dropDuplicates(["key", "id"])
+    first = salted.groupBy("key", F.pmod(F.xxhash64("id"), "salts").alias("salt")).agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    second = first.groupBy("key").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n_copies"))  # a row per hot key
+    hot_rows_ = salted.join(F.broadcast(second), "key")
 
     w = Window.partitionBy("key")
     rest = rows.join(hot, "key", "left_anti").dropDuplicates(["key", "id"])
     cold_rows = rest.select("key", "id", F.min("id").over(w).alias("keep_id"), F.count("*").over(w).alias("n_copies"))
-    return hot_rows.select("id", "key", "keep_id", "n_copies").unionByName(cold_rows.select("id", "key", "keep_id", "n_copies"))
+    return hot_rows_.select("id", "key", "keep_id", "n_copies").unionByName(cold_rows.select("id", "key", "keep_id", "n_copies"))
 
 
 def program_copies(programs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from planloom.llm import canonical, cooccur, mixing, overlap, pairs, quality, tiling
 from planloom.sources.tables import table
@@ -28,9 +29,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("basket_kind", "sub_id_a", "sub_id_b")
 
 
+def _lift(baskets: DataFrame) -> DataFrame:
+    return cooccur.cooccurrence(baskets).select("item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"))
+
+
 def p4_pattern_lift(spark: SparkSession, d: str) -> DataFrame:
-    baskets = cooccur.pattern_baskets(table(spark, d, "composition_patterns"), table(spark, d, "sub_library"))
-    return cooccur.cooccurrence(baskets).select("item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets")
+    return _lift(cooccur.pattern_baskets(table(spark, d, "composition_patterns"), table(spark, d, "sub_library")))
+
+
+def p4_plan_lift(spark: SparkSession, d: str) -> DataFrame:
+    return _lift(cooccur.plan_baskets(table(spark, d, "dataflow_plans"), table(spark, d, "sub_library")))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +105,7 @@ def p8_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p2_found, p2_counts, p2_classes, p3_found, p3_records, p4_found, p4_pattern_lift, p5_found, p5_counts, p5_steps, p5_pairs,
+        p2_found, p2_counts, p2_classes, p3_found, p3_records, p4_found, p4_pattern_lift, p4_plan_lift, p5_found, p5_counts, p5_steps, p5_pairs,
         p6_found, p6_longest, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts,
     )
 }
@@ -144,6 +152,17 @@ _RECORDS = f"""
     r AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS keep_id, count(*) OVER (PARTITION BY k) AS n_copies FROM k)
 """
 
+
+
+def _lift_sql(kind: str) -> str:
+    return f"""
+        WITH {_BASKETS}
+        SELECT two.a AS item_a, two.b AS item_b, two.c AS n_both, x.c AS n_a, y.c AS n_b, n.n AS n_baskets, round(two.c * n.n / (x.c * y.c), 6) AS lift
+        FROM two JOIN n USING (kind) JOIN one x ON x.kind = two.kind AND x.i = two.a JOIN one y ON y.kind = two.kind AND y.i = two.b
+        WHERE two.kind = '{kind}'
+    """
+
+
 SQL: dict[str, str] = {
     "p3_found": f"WITH {_RECORDS} SELECT keep_id, row_id AS copy_id FROM r WHERE row_id <> keep_id",
     "p5_pairs": """
@@ -182,10 +201,6 @@ SQL: dict[str, str] = {
         FROM two JOIN n USING (kind) JOIN one x ON x.kind = two.kind AND x.i = two.a JOIN one y ON y.kind = two.kind AND y.i = two.b
         WHERE two.c >= 5 AND two.c >= 0.003 * n.n AND two.c * n.n >= 3 * x.c * y.c
     """,
-    "p4_pattern_lift": f"""
-        WITH {_BASKETS}
-        SELECT two.a AS item_a, two.b AS item_b, two.c AS n_both, x.c AS n_a, y.c AS n_b, n.n AS n_baskets
-        FROM two JOIN n USING (kind) JOIN one x ON x.kind = two.kind AND x.i = two.a JOIN one y ON y.kind = two.kind AND y.i = two.b
-        WHERE two.kind = 'pattern'
-    """,
+    "p4_pattern_lift": _lift_sql("pattern"),
+    "p4_plan_lift": _lift_sql("plan"),
 }

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from planloom.llm import canonical, cooccur, mixing, overlap
+from planloom.llm import canonical, cooccur, mixing, overlap, skew
 from planloom.plans.schemas import SLOT, STEP
 
 ITEMS = "item_id bigint, split string, source string, problem string, answer string, key string, class_id bigint, side boolean"
@@ -162,15 +162,25 @@ def test_copies_in_many_ways_of_writing(spark):
     assert canonical.program_copies(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("share", [1 / 1000, 0.05, 0.9])
-def test_hot_and_cold_keys_give_the_same(spark, share):
+@pytest.mark.parametrize("rows_of_a_task", [1, 20, 100_000])
+def test_hot_and_cold_keys_give_the_same(spark, rows_of_a_task):
     rng = random.Random(2)
     rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randrange(200)}") for i in rng.sample(range(10_000), 3000)] + [(1, "k1"), (1, "k1")]
     groups = defaultdict(set)
     for i, k in rows:
         groups[k].add(i)
-    got = {(r.key, r.id): (r.keep_id, r.n_copies) for r in canonical.collapse(spark.createDataFrame(rows, "id bigint, key string"), share, 7).collect()}
+    df = spark.createDataFrame(rows, "id bigint, key string")
+    got = {(r.key, r.id): (r.keep_id, r.n_copies) for r in canonical.collapse(df, rows_of_a_task).collect()}
     assert got == {(k, i): (min(v), len(v)) for k, v in groups.items() for i in v}
+    if rows_of_a_task == 20:
+        hot = {r.key: r.salts for r in skew.hot_keys(df, ["key"], 20).collect()}
+        assert hot["hot"] == -(-len(groups["hot"]) // 20) and set(hot) == {k for k, v in groups.items() if sum(x == k for _, x in rows) > 20}
+
+
+def test_a_third_of_all_rows_under_one_key(spark):
+    df = spark.range(600_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("key"))
+    c = canonical.collapse(df)
+    assert c.where("key = 'hot' and keep_id = 0 and n_copies = 200000").count() == 200_000 and c.where("id = keep_id").count() == 400_001
 
 
 @pytest.mark.parametrize("heavy", [2.0, 0.05, 0.0])
@@ -180,11 +190,34 @@ def test_pairs_against_brute_force(spark, heavy):
     df = spark.createDataFrame(list(enumerate(sets)), "basket bigint, items array<string>")
     single, pair = Counter(x for s in sets for x in s), Counter(p for s in sets for p in itertools.combinations(s, 2))
     for least in (1, 5):
-        got = {(r.item_a, r.item_b): (r.n_both, r.n_a, r.n_b, r.n_baskets) for r in cooccur.cooccurrence(df, least, heavy_share=heavy).collect()}
+        rows = cooccur.cooccurrence(df, least, heavy_share=heavy, part=3).collect()
+        got = {(r.item_a, r.item_b): (r.n_both, r.n_a, r.n_b, r.n_baskets) for r in rows}
+        assert len(rows) == len(got) and all(r.lift == pytest.approx(r.n_both * r.n_baskets / (r.n_a * r.n_b)) for r in rows)
         assert got == {(a, b): (c, single[a], single[b], len(sets)) for (a, b), c in pair.items() if c >= least}
     assert cooccur.cooccurrence(df.where("false")).count() == 0
 
 
+def test_fewer_heavy_items_than_are_frequent(spark):
+    sets = [[f"i{x}" for x in range(k % 7)] for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(sets)), "basket bigint, items array<string>")
+    every = {tuple(r) for r in cooccur.cooccurrence(df).collect()}
+    assert every == {tuple(r) for r in cooccur.cooccurrence(df, max_heavy=2).collect()} and len(every) == 15
+
+
+def test_a_basket_with_very_many_items(spark):
+    n = 3000
+    df = spark.createDataFrame([(0, [f"i{k}" for k in range(n)]), (1, ["i1", "i2"])], "basket bigint, items array<string>")
+    c = cooccur.cooccurrence(df, heavy_share=2.0)
+    assert c.agg(F.count("*"), F.sum("n_both")).first()[:] == (n * (n - 1) // 2, n * (n - 1) // 2 + 1)
+
+
+def test_codes_are_unlike(spark, monkeypatch):
+    singles = spark.range(5000).select(F.concat(F.lit("i"), "id").alias("item"), F.lit(1).alias("n_item"))
+    monkeypatch.setattr(F, "xxhash64", lambda c: F.pmod(F.hash(c), F.lit(30)).cast("bigint") * 2**14)
+    c = cooccur.coded(singles, ["i7", "i9"])
+    assert c.select(F.countDistinct("code"), F.count("*")).first()[:] == (5000, 5000) and sorted(r.code for r in c.where("item in ('i7', 'i9')").collect()) == [0, 1]
+
+
 def test_baskets_of_dirty_rows(spark):
     df = spark.createDataFrame([(1, ["a ", "A", None, "B"], "x"), (1, ["a ", "A", None, "B"], "x"), (2, None, "x"), (3, [], "x"), (None, ["A"], "x"), (4, ["Q"], "x")], "k bigint, ids array<string>, items string")
     names = spark.createDataFrame([("A",), ("b",), (None,), ("A",)], "sub_id string")
