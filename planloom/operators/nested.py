@@ -2,7 +2,9 @@
 
 Records come as VARIANT, so typed columns (``to_variant_object``) and text (``json_variant``) take one path.
 ``relationalize`` infers the merged schema of a level, makes its scalars columns, flattens its objects, and
-explodes every array and every object that is used as a map into a child table, whose levels are treated the same way.
+explodes every array and every object that is used as a map into a child table, whose levels are treated the same way;
+an array that is itself an element of an array becomes a level of its own. Which objects are maps is declared, not guessed,
+so the tables of the same kind of records have the same shape however many of them are read.
 
 Every row carries ``node_id`` (its surrogate key: record key and the ordinals on the way down, so it is the same
 whenever and wherever a lost task is run again), ``parent_id`` and the ordinals of all levels above it.
@@ -18,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: An object with more distinct fields than this in the whole data is taken for a map.
-MAP_FIELDS = 48
+#: The name of the level of arrays that are elements of arrays.
+ELEMENT = "element"
 
 
 def json_variant(text: Column) -> Column:
@@ -87,13 +89,16 @@ def merged_schema(df: DataFrame, column: str) -> str:
     return df.agg(F.schema_of_variant_agg(F.col(column))).first()[0] or "VOID"
 
 
-def _known(like: T.DataType | None, name: str) -> T.DataType | None:
-    return like[name].dataType if isinstance(like, T.StructType) and name in like.fieldNames() else None
+def level_schema(df: DataFrame, column: str) -> tuple[str, bool]:
+    """The merged type of the objects in a VARIANT column, and whether any row of it is an array."""
+    v = F.col(column)
+    is_object = F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+    row = df.agg(F.schema_of_variant_agg(F.when(is_object, v)), F.bool_or(F.try_variant_get(v, "$", "array<variant>").isNotNull())).first()
+    return row[0] or "VOID", bool(row[1])
 
 
-def _is_map(name: str, ddl: str, like: T.DataType | None, limit: int) -> bool:
-    known = _known(like, name)
-    return isinstance(known, T.MapType) or (ddl.startswith("OBJECT<") and len(split_fields(ddl)) > limit)
+def _known(like: T.DataType | None, name: str) -> T.DataType | None:
+    return like[name].dataType if isinstance(like, T.StructType) and name in like.fieldNames() else None
 
 
 def _below(like: T.DataType | None, name: str) -> T.DataType | None:
@@ -103,8 +108,8 @@ def _below(like: T.DataType | None, name: str) -> T.DataType | None:
     return known if isinstance(known, T.StructType) else None
 
 
-def shape_of(ddl: str, like: T.DataType | None = None, limit: int = MAP_FIELDS) -> Shape:
-    """Which fields of a level become columns, flattened objects or child tables."""
+def shape_of(ddl: str, like: T.DataType | None = None, maps: frozenset[str] = frozenset()) -> Shape:
+    """Which fields of a level become columns, flattened objects or child tables; ``maps`` are the names of fields that are maps."""
     shape, found = Shape(), split_fields(ddl)
     if isinstance(like, T.StructType):  # fields that no record happens to have
         found |= {f.name: "VOID" for f in like.fields if f.name not in found}
@@ -112,7 +117,7 @@ def shape_of(ddl: str, like: T.DataType | None = None, limit: int = MAP_FIELDS)
         known = _known(like, name)
         if isinstance(known, T.StructType):  # an object by contract; scalars in its place are kept as <name>_scalar
             shape.objects[name] = kind
-        elif kind.startswith("ARRAY<") or isinstance(known, T.ArrayType) or _is_map(name, kind, like, limit):
+        elif kind.startswith("ARRAY<") or isinstance(known, (T.ArrayType, T.MapType)) or (name in maps and kind.startswith("OBJECT<")):
             shape.children[name] = kind
         elif kind.startswith("OBJECT<"):
             shape.objects[name] = kind
@@ -153,31 +158,34 @@ def relationalize(
     name: str = "root",
     like: T.StructType | None = None,
     key_fields: dict[str, str] | None = None,
-    map_fields: int = MAP_FIELDS,
+    maps: tuple[str, ...] = (),
 ) -> dict[str, DataFrame]:
     """Flat tables of the VARIANT ``column`` of ``df``, one per level, by the name of the level.
 
     key: the record key (unique, not null; rows with a null key give no rows). like: a known struct type, merged with
-    what is inferred (its MAP fields are maps). key_fields: for a child whose maps may also be written as an array of
+    what is inferred (its MAP fields are maps). maps: names of further fields whose objects are maps. key_fields: for a child whose maps may also be written as an array of
     objects, the field of those objects that holds the key.
     A null record, a null or empty array or object has no child rows; a null element is a row without values.
     Extra columns of ``df`` are left out. Objects flatten to ``<object>_<field>``, with ``<object>_present``.
     Ordinals are ``<level>_pos``, map keys ``<level>_key``. An array or map within objects is named by its path, with
-    dots in the table's name. An array that is itself an element of an array isn't exploded: it is text in ``scalar``.
+    dots in the table's name. An array that is itself an element of an array is a row, and its elements are rows of the
+    level ``element`` below; in ``scalar`` it is NULL.
     """
     base = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(
         key, F.col(column).alias("_v"), F.concat_ws("/", F.col(key).cast("string")).alias("node_id"), F.lit(None).cast("string").alias("parent_id")
     )
     tables: dict[str, DataFrame] = {}
-    _level(base, name, [key], like, key_fields or {}, map_fields, tables)
+    _level(base, name, [key], like, key_fields or {}, frozenset(maps), tables)
     return tables
 
 
-def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[str, str], limit: int, tables: dict[str, DataFrame]) -> None:
-    shape = shape_of(merged_schema(df.where(F.try_variant_get("_v", "$", "map<string,variant>").isNotNull()), "_v"), like, limit)
+def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[str, str], maps: frozenset[str], tables: dict[str, DataFrame]) -> None:
+    ddl, arrays = level_schema(df, "_v")
+    shape = shape_of(ddl, like if isinstance(like, T.StructType) else None, maps)
     v = F.col("_v")
     columns = {c: F.col(c) for c in [*carried, "node_id", "parent_id"]}
-    columns["scalar"] = F.try_variant_get(v, "$", "string")
+    text = F.try_variant_get(v, "$", "string")
+    columns["scalar"] = F.when(F.try_variant_get(v, "$", "array<variant>").isNull() & F.try_variant_get(v, "$", "map<string,variant>").isNull(), text)
     children: list[tuple[str, str, Column, object]] = []  # path, field, value, what is known of its elements
 
     def flatten(prefix: str, v: Column, shape: Shape, like, path: str = "") -> None:
@@ -187,26 +195,33 @@ def _level(df: DataFrame, name: str, carried: list[str], like, key_fields: dict[
         for f, ddl in shape.objects.items():
             inner = reparsed(_get(v, f, "variant"))
             columns.setdefault(f"{prefix}{f}_present", inner.isNotNull() & ~F.coalesce(F.is_variant_null(inner), F.lit(True)))
-            flatten(f"{prefix}{f}_", inner, shape_of(ddl, _below(like, f), limit), _below(like, f), f"{path}{f}.")
+            flatten(f"{prefix}{f}_", inner, shape_of(ddl, _below(like, f), maps), _below(like, f), f"{path}{f}.")
 
     flatten("", v, shape, like)
+    if arrays and name != "root":
+        children.append((ELEMENT, ELEMENT, F.when(F.try_variant_get(v, "$", "array<variant>").isNotNull(), v), like))
     tables[name] = df.select(*(c.alias(n) for n, c in columns.items()))
     for f, last, inner, below_like in children:
         child = f"{name}.{f}" if "." in name or name != "root" else f
-        at = f.replace(".", "_")
-        pos = f"{at}_pos"
-        if pos in carried:
-            pos = f"{child.replace('.', '_')}_pos"
+        pos, key_name = _ordinals(f, child, carried)
         exploded = df.select(*carried, F.col("node_id").alias("parent_id"), F.posexplode(entries(inner, key_fields.get(last))).alias(pos, "_e"))
         below = exploded.select(
             *carried,
             F.col(pos).cast("bigint").alias(pos),
-            F.col("_e.key").alias(f"{at}_key"),
+            F.col("_e.key").alias(key_name),
             F.col("_e.value").alias("_v"),
             "parent_id",
             F.concat_ws("/", "parent_id", F.lit(f), F.col(pos).cast("string")).alias("node_id"),
         )
-        _level(below, child, [*carried, pos, f"{at}_key"], below_like, key_fields, limit, tables)
+        _level(below, child, [*carried, pos, key_name], below_like, key_fields, maps, tables)
+
+
+def _ordinals(path: str, child: str, carried: list[str]) -> tuple[str, str]:
+    """Names of a level's ordinal and key: by its path, or if that is taken above, by the whole name of its table."""
+    at = path.replace(".", "_")
+    if f"{at}_pos" in carried:
+        at = child.replace(".", "_")
+    return f"{at}_pos", f"{at}_key"
 
 
 def relationalize_declared(df: DataFrame, key: str, column: str, name: str = "root", key_fields: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -225,7 +240,8 @@ def relationalize_declared(df: DataFrame, key: str, column: str, name: str = "ro
 
 def _declared_level(df: DataFrame, name: str, carried: list[str], kind: T.DataType, key_fields: dict[str, str], tables: dict[str, DataFrame]) -> None:
     columns = {c: F.col(c) for c in [*carried, "node_id", "parent_id"]}
-    columns["scalar"] = F.lit(None).cast("string") if isinstance(kind, T.StructType) else F.col("_v").cast("string")
+    nested = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
+    columns["scalar"] = F.lit(None).cast("string") if nested else F.col("_v").cast("string")
     children: list[tuple[str, str, Column, T.DataType]] = []
 
     def flatten(prefix: str, v: Column, struct: T.StructType, path: str = "") -> None:
@@ -240,11 +256,12 @@ def _declared_level(df: DataFrame, name: str, carried: list[str], kind: T.DataTy
 
     if isinstance(kind, T.StructType):
         flatten("", F.col("_v"), kind)
+    elif nested:
+        children.append((ELEMENT, ELEMENT, F.col("_v"), kind))
     tables[name] = df.select(*(c.alias(n) for n, c in columns.items()))
     for f, last, v, t in children:
         child = f"{name}.{f}" if "." in name or name != "root" else f
-        at = f.replace(".", "_")
-        pos = f"{at}_pos" if f"{at}_pos" not in carried else f"{child.replace('.', '_')}_pos"
+        pos, key_name = _ordinals(f, child, carried)
         parent = F.col("node_id").alias("parent_id")
         if isinstance(t, T.MapType):
             rows, below = df.select(*carried, parent, F.posexplode(v).alias(pos, "_k", "_v")), t.valueType
@@ -256,12 +273,12 @@ def _declared_level(df: DataFrame, name: str, carried: list[str], kind: T.DataTy
         level = rows.select(
             *carried,
             F.col(pos).cast("bigint").alias(pos),
-            F.col("_k").cast("string").alias(f"{at}_key"),
+            F.col("_k").cast("string").alias(key_name),
             "_v",
             "parent_id",
             F.concat_ws("/", "parent_id", F.lit(f), F.col(pos).cast("string")).alias("node_id"),
         )
-        _declared_level(level, child, [*carried, pos, f"{at}_key"], below, key_fields, tables)
+        _declared_level(level, child, [*carried, pos, key_name], below, key_fields, tables)
 
 
 def united(*tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

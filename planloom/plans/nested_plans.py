@@ -71,7 +71,7 @@ def plan_tables(documents: PlanDocuments, narrow: bool = False) -> dict[str, Dat
     if documents.raw is not None:
         parts.append(relationalize(cut(documents.raw), "plan_key", "plan", like=PLAN, key_fields=keys))
     flat = united(*parts)
-    calls = flat["calls"].select("plan_key", F.col("calls_pos").alias("call_pos"), "node_id", "call_id", F.trim(F.upper("sub_id")).alias("sub_id"))
+    calls = flat["calls"].select("plan_key", F.col("calls_pos").alias("call_pos"), "node_id", "parent_id", "call_id", F.trim(F.upper("sub_id")).alias("sub_id"))
     bindings = (
         flat["calls.bindings"]
         .where("bindings_key is not null")
@@ -134,3 +134,17 @@ def plan_nodes(typed: DataFrame, raw: DataFrame) -> DataFrame:
     calls = t["calls"].select("plan_key", F.lit("call").alias("node_kind"), "call_pos", F.lit("").alias("slot"), none.alias("ref_pos"))
     refs = t["refs"].select("plan_key", F.when(F.col("call_pos") < 0, "final").otherwise("binding").alias("node_kind"), "call_pos", "slot", "ref_pos")
     return calls.unionByName(refs)
+
+
+def plan_links(documents: PlanDocuments) -> DataFrame:
+    """(plan_key, node_kind, node_id, parent_id, call_pos, slot_pos, slot): every node with its surrogate key, its parent's and the ordinals on the way.
+
+    The parent of a binding is its call, that of a call and of a final its plan; slot_pos and call_pos are -1 where a
+    node has none, slot is ''.
+    """
+    t = plan_tables(documents)
+    none = F.lit(-1).cast("bigint")
+    calls = t["calls"].select("plan_key", F.lit("call").alias("node_kind"), "node_id", "parent_id", "call_pos", none.alias("slot_pos"), F.lit("").alias("slot"))
+    is_final = F.col("call_pos") < 0
+    refs = t["refs"].select("plan_key", F.when(is_final, "final").otherwise("binding").alias("node_kind"), "node_id", "parent_id", "call_pos", F.when(is_final, none).otherwise(F.col("slot_pos")).alias("slot_pos"), "slot")
+    return calls.unionByName(refs)

@@ -12,7 +12,7 @@ from planloom.functions.types import coerce_sql
 from planloom.operators import evolve, features, library, metrics, search, templates
 from planloom.operators.nested import json_variant
 from planloom.plans import execute
-from planloom.plans.nested_plans import plan_documents, plan_nodes, plan_tables, plan_variant
+from planloom.plans.nested_plans import plan_documents, plan_links, plan_nodes, plan_tables, plan_variant
 from planloom.plans.programs import TOKENS, Program, Slot, Step, executed, fingerprint, parsed_programs, signature, with_program
 from planloom.plans.schemas import PLAN
 from planloom.session import cut
@@ -61,6 +61,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return plan_tables(docs)["bindings"].select("plan_key", "call_pos", "slot", "source", "ref_pos")
 
 
+@query("p1_nodes")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Calls, bindings and finals of all plans, typed and of texts, with their surrogate keys, parents and ordinals."""
+    return plan_links(plan_documents(table(spark, d, "dataflow_plans"), table(spark, d, "raw_plans")))
+
+
+@query(
+    "p1_typed_nodes",
+    """
+    WITH plans AS (SELECT plan_key, any_value(calls) AS calls, any_value(final) AS final FROM dataflow_plans WHERE plan_key IS NOT NULL GROUP BY plan_key),
+    calls AS (SELECT plan_key, generate_subscripts(calls, 1) - 1 AS call_pos, unnest(calls) AS c FROM plans),
+    slots AS (SELECT plan_key, call_pos, generate_subscripts(map_keys(c.bindings), 1) - 1 AS slot_pos, unnest(map_keys(c.bindings)) AS slot FROM calls)
+    SELECT plan_key, 'call' AS node_kind, plan_key || '/calls/' || call_pos AS node_id, CAST(plan_key AS VARCHAR) AS parent_id, CAST(call_pos AS BIGINT) AS call_pos, CAST(-1 AS BIGINT) AS slot_pos, '' AS slot FROM calls
+    UNION ALL SELECT plan_key, 'binding', plan_key || '/calls/' || call_pos || '/bindings/' || slot_pos, plan_key || '/calls/' || call_pos, CAST(call_pos AS BIGINT), CAST(slot_pos AS BIGINT), slot FROM slots
+    UNION ALL SELECT plan_key, 'final', plan_key || '/final', CAST(plan_key AS VARCHAR), CAST(-1 AS BIGINT), CAST(-1 AS BIGINT), '' FROM plans WHERE final IS NOT NULL
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return plan_links(plan_documents(typed=table(spark, d, "dataflow_plans")))
+
+
 # --- programs and expressions ------------------------------------------------------------------------------------
 
 CHARGE = Program(

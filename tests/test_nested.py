@@ -1,6 +1,7 @@
 """Nested records as flat tables: links, shapes, nulls, empty tables, extra columns."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -73,11 +74,81 @@ def test_parents_and_ordinals_link_every_level(spark):
     assert [(x.parent_id, x.a_pos, x.b_pos, x.c) for x in b] == [(a[0].node_id, 0, 0, 1), (a[0].node_id, 0, 1, 2)]
 
 
-def test_wide_objects_are_maps(spark):
+def test_maps_are_declared_and_not_guessed(spark):
     rows = [(i, json.dumps({"m": {f"k{i}_{j}": j for j in range(20)}})) for i in range(5)]
     df = spark.createDataFrame(rows, "key int, t string").select("key", json_variant(F.col("t")).alias("v"))
-    t = relationalize(df, "key", "v")
+    t = relationalize(df, "key", "v", maps=("m",))
     assert t["m"].count() == 100 and set(t["m"].columns) >= {"m_key", "m_pos", "scalar"}
+    assert set(relationalize(df, "key", "v")) == {"root"} and len(relationalize(df, "key", "v")["root"].columns) >= 100
+
+
+def plain_value(x):
+    return x if x is None or isinstance(x, str) else json.dumps(x)
+
+
+def rebuilt(tables, keys):
+    """Records from their flat tables: the leaves of each by their path of ordinals and names."""
+    out = {k: {} for k in keys}
+    above = {r.node_id: () for r in tables["root"].collect()}
+    for name in sorted(tables, key=lambda n: n.count(".")):
+        for r in tables[name].collect():
+            d = r.asDict()
+            if name != "root":
+                level = d["node_id"][len(d["parent_id"]) + 1 :]
+                above[d["node_id"]] = (*above[d["parent_id"]], *level.split("/"))
+            path = above[d["node_id"]]
+            own = {c: v for c, v in d.items() if c not in ("key", "node_id", "parent_id") and not c.endswith(("_pos", "_key", "_present")) and v is not None}
+            out[d["key"]] |= {(*path, c): plain_value(v) for c, v in own.items()}
+    return out
+
+
+def leaves(x, path=(), prefix=""):
+    """What ``rebuilt`` is to give, read off the record itself."""
+    found = {}
+    if isinstance(x, dict):
+        for k, v in x.items():
+            if isinstance(v, dict):
+                found |= leaves(v, path, f"{prefix}{k}_")
+            elif isinstance(v, list):
+                for i, e in enumerate(v):
+                    found |= leaves(e, (*path, prefix.replace("_", ".") + k, str(i)))
+            elif v is not None:
+                found[(*path, prefix + k)] = plain_value(v)
+    elif isinstance(x, list):
+        for i, e in enumerate(x):
+            found |= leaves(e, (*path, "element", str(i)))
+    elif x is not None:
+        found[(*path, "scalar")] = plain_value(x)
+    return found
+
+
+def test_records_can_be_rebuilt_from_their_tables(spark):
+    rng = random.Random(3)
+    leaf = lambda: rng.choice([None, f"s{rng.randint(0, 9)}"])
+    several = lambda f, n=3: [f() for _ in range(rng.randint(0, n))]
+
+    def record():
+        kid = lambda: {"c": leaf(), "deep": several(leaf)}
+        cell = lambda: rng.choice([leaf, lambda: several(leaf)])()
+        mixed = lambda: rng.choice([leaf, lambda: several(leaf), lambda: {"z": leaf()}])()
+        r = {"a": leaf(), "o": {"b": leaf(), "kids": several(kid)}, "rows": several(lambda: several(cell)), "mixed": several(mixed)}
+        return {k: v for k, v in r.items() if rng.random() < 0.9}
+
+    records = [record() for _ in range(60)]
+    df = spark.createDataFrame([(k, json.dumps(r)) for k, r in enumerate(records)], "key int, t string").select("key", F.try_parse_json("t").alias("v"))
+    assert rebuilt(relationalize(df, "key", "v"), range(60)) == {k: leaves(r) for k, r in enumerate(records)}
+
+
+def test_arrays_of_arrays_are_levels_in_both_ways(spark):
+    rows = [(1, ([["a", None], None, []], {"k": [["x"], ["y", "z"]]})), (2, (None, None)), (3, ([], {}))]
+    df = spark.createDataFrame(rows, "key int, v struct<grid: array<array<string>>, m: map<string, array<array<string>>>>")
+    declared = relationalize_declared(df, "key", "v")
+    inferred = relationalize(df.select("key", F.to_variant_object("v").alias("v")), "key", "v", like=df.schema["v"].dataType)
+    for t in (declared, inferred):
+        assert set(t) == {"root", "grid", "grid.element", "m", "m.element", "m.element.element"}
+        assert sorted((r.key, r.grid_pos, r.element_pos, r.scalar, r.parent_id) for r in t["grid.element"].collect()) == [(1, 0, 0, "a", "1/grid/0"), (1, 0, 1, None, "1/grid/0")]
+        assert sorted((r.m_key, r.element_pos, r.m_element_element_pos, r.scalar) for r in t["m.element.element"].collect()) == [("k", 0, 0, "x"), ("k", 1, 0, "y"), ("k", 1, 1, "z")]
+        assert [r.scalar for r in t["grid"].collect()] == [None] * 3
 
 
 def test_fields_of_types():
