@@ -12,13 +12,14 @@ again and again, until none of ``MIN_MATCH`` words is left: tiles are found in w
 from __future__ import annotations
 
 import heapq
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +29,9 @@ from planloom.session import cut
 
 #: Fewest consecutive words that count as a passage.
 MIN_MATCH = 13
-#: Bits of the map of seeds: so many for each seed, between these powers of two. The upper one is 16 MiB.
-BITS_PER_SEED, LEAST_BITS, MOST_BITS = 16, 16, 27
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+#: Bits of the map of seeds: so many for each seed, between these powers of two. The upper one is 16 MiB. A seed sets two.
+BITS_PER_SEED, LEAST_BITS, MOST_BITS = 256, 16, 27
+_WORD = re.compile(r"[^\W_]+")
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 SCHEMA = "doc_id bigint, item_id bigint, n_tiles bigint, longest bigint, matched_words bigint, item_words bigint"
@@ -132,8 +133,9 @@ def _items(least: int):
 def _bit_map(seeds: DataFrame, n: int) -> tuple[bytes, int]:
     """A bit map of the seeds' hashes and its number of bits, which is bounded by ``MOST_BITS``."""
     size = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_SEED * n - 1).bit_length()))
-    place = F.shiftrightunsigned("h", 64 - size)
-    parts = seeds.groupBy(F.shiftrightunsigned(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    places = (F.shiftrightunsigned("h", 64 - size), F.shiftrightunsigned("h", 64 - 2 * size).bitwiseAND(F.lit((1 << size) - 1)))
+    place = F.col("place")
+    parts = seeds.select(F.explode(F.array(*places)).alias("place")).groupBy(F.shiftrightunsigned(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
     whole = bytearray(1 << (size - 3))
     for r in parts.toLocalIterator():  # at most 2 ** (MOST_BITS - 15) parts of 4 KiB
         whole[r.part * 4096 : r.part * 4096 + 4096] = r.bits
@@ -145,24 +147,33 @@ def _windows(bits, size: int, least: int):
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = np.frombuffer(bits.value, np.uint8)
-        shift = np.uint64(64 - size)
+
+        def is_set(place: np.ndarray) -> np.ndarray:
+            return known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+
         for b in batches:
+            words = [tokens(t) for t in b["text"]]
+            ends = np.cumsum([len(w) for w in words])
+            codes = np.fromiter(map(_code, chain.from_iterable(words)), np.uint64, int(ends[-1]) if len(ends) else 0)
+            hashes = rolled(codes, least)
+            hit = np.flatnonzero(is_set(hashes >> np.uint64(64 - size)))
+            hit = hit[is_set(hashes[hit] >> np.uint64(64 - 2 * size) & np.uint64((1 << size) - 1))]
+            of = np.searchsorted(ends, hit, "right")
+            inside = hit + least <= ends[of] if len(hit) else np.zeros(0, bool)  # not across two documents
+            hit, of = hit[inside], of[inside]
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                codes = encoded(tokens(text))
-                hashes = rolled(codes, least)
-                place = hashes >> shift
-                hit = np.flatnonzero(known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                if not len(hit):
-                    continue
-                edge = np.zeros(len(codes) + 1, np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + least, -1)
-                inside = np.cumsum(edge[:-1]) > 0
-                kept = np.where(inside, codes, 0)[inside | np.concatenate(([True], inside[:-1]))]
-                found, first = np.unique(hashes[hit], return_index=True)
-                check = rolled(codes, least, _BASES[1])[hit[first]]
-                rows.append((doc_id, kept.view(np.int64), found.view(np.int64), check.view(np.int64)))
+            for k in np.unique(of).tolist():
+                start = int(ends[k]) - len(words[k])
+                own = codes[start : ends[k]]
+                mine = hit[np.searchsorted(of, k) : np.searchsorted(of, k, "right")] - start
+                edge = np.zeros(len(own) + 1, np.int64)
+                np.add.at(edge, mine, 1)
+                np.add.at(edge, mine + least, -1)
+                covered = np.cumsum(edge[:-1]) > 0
+                kept = np.where(covered, own, 0)[covered | np.concatenate(([True], covered[:-1]))]
+                found, first = np.unique(hashes[mine + start], return_index=True)
+                check = np.concatenate([rolled(own[m : m + least], least, _BASES[1]) for m in mine[first].tolist()])
+                rows.append((b["doc_id"].iloc[k], kept.view(np.int64), found.view(np.int64), check.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "codes", "h", "check"])
 
     return look
