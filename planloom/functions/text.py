@@ -58,17 +58,40 @@ def _first(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, group)), F.lit(""))
 
 
-#: Where an answer stands in a text, by rule, the first that matches counts (fixed values: the marks).
+#: Where an answer stands in a text, by rule; the first pattern that is found counts (fixed values).
 ANSWER_RULES = {
-    "eval": (r"####\s*([^\n]+)", r"\\boxed\{([^}]*)\}", r"(?i)the answer is\s*:?\s*([-\d.,]+)", r"(?m)=\s*([-\d.,]+)\s*$", r"([-\d.,]*\d)\s*\.?\s*$"),
-    "boxed": (r"\\boxed\{([^}]*)\}", r"####\s*([^\n]+)", r"(?i)answer\s*(?:is|:|=)\s*([^\n]+)", r"([^\n]+)\s*$"),
-    "verify": (r"\\boxed\{([^}]*)\}", r"####\s*([^\n]+)", r"(?s).*?(-?\d[\d,]*(?:\.\d+)?)(?!.*\d)"),
+    "eval": (r"(?imd)####\s*([\-\d,]+\.?\d*)", r"(?imd)\\boxed\{([^}]+)\}", r"(?imd)(?:the answer is|answer:)\s*\$?\s*([\-\d,]+\.?\d*)", r"(?imd)=\s*([\-\d,]+\.?\d*)\s*$", r"(?imd)([\-\d,]+\.?\d*)\s*$"),
+    "algebra": (r"(?:the answer is|answer:|=)\s*\$?\\?boxed\{([^}]+)\}", r"(?:the answer is|answer:|=)\s*\$?\s*([\d,]+\.?\d*)", r"####\s*([\d,]+\.?\d*)", r"(\d[\d,]*\.?\d*)\s*$"),
+    "distill": (r"####\s*([\-\d,]+\.?\d*)", r"\\boxed\{([^}]+)\}", r"(?i)(?:the answer is|answer:)\s*\$?\s*([\-\d,]+\.?\d*)", r"([\-\d,]+\.?\d*)\s*$"),
 }
+_STRIP = r"^\s+|\s+$"
 
 
 def extract_answer(text: Column, rule: str = "eval") -> Column:
-    """The answer that a text states, by the cascade of ``rule``; NULL if it states none."""
-    return F.coalesce(*(_first(text, p) for p in ANSWER_RULES[rule]))
+    """The answer that a text states, by the cascade of ``rule``, without commas; NULL if it states none.
+
+    The rule 'algebra' looks at the text in lower case and falls back to its last line.
+    """
+    bare = F.regexp_replace(text, _STRIP, "")
+    looked_at = F.lower(bare) if rule == "algebra" else bare
+    out = F.when(F.lit(False), F.lit(""))
+    for p in ANSWER_RULES[rule]:
+        out = out.when(looked_at.rlike(p), F.regexp_replace(F.replace(F.regexp_extract(looked_at, p, 1), F.lit(","), F.lit("")), _STRIP, ""))
+    if rule == "algebra":
+        out = out.otherwise(F.regexp_replace(F.element_at(F.split(bare, "\n"), -1), _STRIP, ""))
+    return out
+
+
+def gold_answer(answer: Column, solution: Column) -> Column:
+    """The answer of a record: its own, else what its solution has in a box, behind the last ####, or as its last number; '' if nothing."""
+    nums = F.regexp_extract_all(solution, F.lit(r"[\-\d,]+\.?\d*"), F.lit(0))
+    boxed = r"\\boxed\{([^}]+)\}"
+    found = (
+        F.when(solution.rlike(boxed), F.regexp_extract(solution, boxed, 1))
+        .when(F.contains(solution, F.lit("####")), F.element_at(F.split(solution, "####"), -1))
+        .when(F.size(nums) > 0, F.replace(F.try_element_at(nums, F.lit(-1)), F.lit(","), F.lit("")))
+    )
+    return F.regexp_replace(F.coalesce(F.nullif(answer, F.lit("")), found, F.lit("")), _STRIP, "")
 
 
 def normal_answer(text: Column) -> Column:
@@ -98,6 +121,8 @@ MATCH_RULES = {
 def answers_match(predicted: Column, gold: Column, rule: str) -> Column:
     """Whether two answers (texts) match by a rule; a null on either side or an empty gold doesn't match."""
     rel, least, strings = MATCH_RULES[rule]
+    if rule == "AM-5":  # what the expected text states, if it states anything
+        gold = F.coalesce(F.nullif(extract_answer(gold), F.lit("")), gold)
     p, g = to_number(F.trim(predicted)), to_number(F.trim(gold))
     gap = F.abs(p - g)
     if rel is None:
@@ -119,11 +144,12 @@ def answers_match(predicted: Column, gold: Column, rule: str) -> Column:
 
 
 def template_key(text: Column, anchors: tuple[str, ...]) -> Column:
-    """At most four anchor words of a text in order, joined by '|'; without any its first two words, of an empty text 'misc'."""
+    """At most four anchor words of a text, else its first two words, sorted, without repeats and joined by '|'; of a text without words 'misc'."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    hits = F.slice(F.array_sort(F.filter(F.array(*map(F.lit, anchors)), lambda a: F.contains(low, a))), 1, 4)
-    first = F.array_join(F.slice(F.regexp_extract_all(low, F.lit(r"[a-z]+"), F.lit(0)), 1, 2), " ")
-    return F.when(F.size(hits) > 0, F.array_join(hits, "|")).otherwise(F.when(first != "", first).otherwise("misc"))
+    hits = F.filter(F.array(*map(F.lit, anchors)), lambda a: F.contains(low, a))
+    first = F.slice(F.regexp_extract_all(low, F.lit(r"[a-z]+"), F.lit(0)), 1, 2)
+    key = F.array_join(F.slice(F.array_sort(F.array_distinct(F.when(F.size(hits) > 0, hits).otherwise(first))), 1, 4), "|")
+    return F.when(key != "", key).otherwise("misc")
 
 
 def renamed(expr: Column, names: dict[str, str]) -> Column:

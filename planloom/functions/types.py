@@ -20,7 +20,7 @@ def coerce_sql(value: str, dtype: str, of_string: bool = False) -> str:
     if kind == "string":
         return f"CAST({value} AS STRING)"
     if kind == "bool":
-        return f"({value} <> '')" if of_string else f"({value} <> 0)"
+        return f"({value} <> '')" if of_string else f"(try_cast({value} AS DOUBLE) <> 0)"
     if kind in ("list[int]", "list[float]"):
         return f"array({coerce_sql(value, kind[5:-1], of_string)})"
     raise ValueError(f"unknown type {dtype}")

@@ -70,7 +70,8 @@ def repaired(plans: DataFrame, library: dict[str, Program], entries: DataFrame,
 def windowed_entries(programs: DataFrame, lengths: DataFrame, key: str = "row_id", seed: int = 42) -> DataFrame:
     """(sub_id, key, start, n_steps): for each (sub_id, n_steps) of ``lengths`` a run of as many steps of some program, by hash.
 
-    A control of the same size without mining: every program long enough is a candidate, the smallest hash is taken.
+    A control of the same size without mining: every program long enough is a candidate, the smallest hash is taken, and
+    where the run starts in it is by another hash.
     """
     sizes = programs.where("steps is not null").select(key, F.size("steps").alias("n"))
     longest = lengths.select("sub_id", F.col("n_steps").cast("int").alias("n_steps"))
@@ -79,7 +80,9 @@ def windowed_entries(programs: DataFrame, lengths: DataFrame, key: str = "row_id
     fitting = F.filter(F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<int>"), lambda x: x <= F.col("n"))
     cand = sizes.select(key, "n", F.explode(fitting).alias("n_steps")).select("n_steps", key, "n", rank.alias("h"))
     best = cand.groupBy("n_steps").agg(F.min_by(F.struct(key, "n"), "h").alias("b"))
-    return longest.join(best, "n_steps").select("sub_id", f"b.{key}", F.lit(0).cast("bigint").alias("start"), F.col("n_steps").cast("bigint").alias("n_steps"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("start"), "sub_id")), 1, 8), 16, 10).cast("bigint")
+    start = F.pmod(drawn, F.greatest(F.col("b.n") - F.col("n_steps"), F.lit(0)) + 1)
+    return longest.join(best, "n_steps").select("sub_id", f"b.{key}", start.cast("bigint").alias("start"), F.col("n_steps").cast("bigint").alias("n_steps"))
 
 
 def rebuilt_choice(programs: DataFrame, library: DataFrame, key: str = "row_id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from planloom.plans.programs import fingerprint, step_signature
+from planloom.plans.programs import MINING_TOKENS, fingerprint, step_signature
 
 #: Most distinct sequences of a library that every row is folded with.
 MAX_ENTRIES = 4096
@@ -54,8 +54,8 @@ def program_steps(programs: DataFrame, key: str = "row_id", steps: str = "steps"
 
 
 def signature_of(steps: Column) -> Column:
-    """The signatures of all steps, joined by ';'."""
-    return F.array_join(F.transform(steps, lambda s: step_signature(s["op"], s["expr"])), ";")
+    """The signatures of all steps by which programs are mined, joined by ';'."""
+    return F.array_join(F.transform(steps, lambda s: step_signature(s["op"], s["expr"], MINING_TOKENS)), ";")
 
 
 def mine_whole(programs: DataFrame, min_support: int = 3, top: int = 64, key: str = "row_id") -> DataFrame:
@@ -72,17 +72,21 @@ def mine_whole(programs: DataFrame, min_support: int = 3, top: int = 64, key: st
 
 
 def mine_parts(programs: DataFrame, lengths: tuple[int, ...] = (2, 3), min_support: int = 3, key: str = "row_id") -> DataFrame:
-    """(part, length, support): runs of steps that don't end in an output, by signature; runs that are whole programs are left out."""
-    s = program_steps(programs, key)
+    """(part, length, n_inputs, support): runs of steps of longer programs that don't end in an output, by signature and number of free inputs.
+
+    A free input is one that no earlier step of the run makes. Runs with the signature of a whole program are left out.
+    """
+    s = programs.select(key, F.size("steps").alias("n"), F.posexplode("steps").alias("pos", "s"))
+    s = s.select(key, "n", "pos", F.lower("s.op").alias("op"), "s.target", F.coalesce("s.inputs", F.array().cast("array<string>")).alias("inputs"), step_signature(F.col("s.op"), F.col("s.expr"), MINING_TOKENS).alias("sig"))
     w = Window.partitionBy(key).orderBy("pos")
+    ahead = s.select("n", *(F.lead(c, i).over(w).alias(f"{c}{i}") for c in ("sig", "op", "target", "inputs") for i in range(max(lengths))))
     parts = None
-    for n in lengths:
-        run = s.select(
-            F.concat_ws(";", *(F.lead("sig", i).over(w) for i in range(n))).alias("part"), F.lead("op", n - 1).over(w).alias("last")
-        ).where("last is not null and last <> 'output'").select("part", F.lit(n).cast("bigint").alias("length"))
+    for k in lengths:
+        free = F.array_distinct(F.concat(*(F.array_except(f"inputs{i}", F.array(*(F.col(f"target{j}") for j in range(i)))) if i else F.col("inputs0") for i in range(k))))
+        run = ahead.where(f"n > {k} and op{k - 1} <> 'output'").select(F.concat_ws(";", *(f"sig{i}" for i in range(k))).alias("part"), F.lit(k).cast("bigint").alias("length"), F.size(free).cast("bigint").alias("n_inputs"))
         parts = run if parts is None else parts.unionByName(run)
     whole = programs.where("steps is not null").select(signature_of(F.col("steps")).alias("part")).distinct()
-    return parts.groupBy("part", "length").agg(F.count("*").alias("support")).where(F.col("support") >= min_support).join(whole, "part", "left_anti")
+    return parts.groupBy("part", "length", "n_inputs").agg(F.count("*").alias("support")).where(F.col("support") >= min_support).join(whole, "part", "left_anti")
 
 
 def canonical_step(expr: Column, inputs: Column) -> Column:

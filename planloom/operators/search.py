@@ -13,6 +13,8 @@ from planloom.plans.programs import Program, run
 
 #: Most orders of numbers that are tried for one program (fixed value).
 MAX_ORDERS = 2000
+#: Results nearer than this to 0 or 1 count as such (fixed value). So do the weights of the rewards below.
+NEAR = 1e-6
 #: Most entries of a library that the neighbours of a plan are made of.
 MAX_LIBRARY = 4096
 
@@ -90,14 +92,14 @@ def edit_counts(plans: DataFrame, library: DataFrame, max_calls: int = 6) -> Dat
 
 def repair_reward(made: Column, n_calls: Column, unsafe: Column, result: Column) -> Column:
     """0.25 for each call that ran, 0.10 if all did, less 0.05 a call and 0.10 for each unsafe edit, 0.20 for a finite result other than 0."""
-    good = result.isNotNull() & ~F.isnan(result) & (F.abs(result) < float("inf")) & (result != 0)
+    good = result.isNotNull() & ~F.isnan(result) & (F.abs(result) < float("inf")) & (F.abs(result) > NEAR)
     return 0.25 * made + F.when((n_calls > 0) & (made == n_calls), 0.10).otherwise(0.0) - 0.05 * n_calls - 0.10 * unsafe + F.when(good, 0.20).otherwise(0.0)
 
 
 def rollout_reward(result: Column, n_calls: Column) -> Column:
     """0.4 for a finite result, up to 0.3 for three calls, 0.2 unless it is 0 or 1, 0.1 for a magnitude between 0.01 and 1e8."""
     finite = result.isNotNull() & ~F.isnan(result) & (F.abs(result) < float("inf"))
-    return F.when(finite, 0.4 + 0.3 * F.least(n_calls / 3, F.lit(1.0)) + F.when((result != 0) & (result != 1), 0.2).otherwise(0.0) + F.when((F.abs(result) > 0.01) & (F.abs(result) < 1e8), 0.1).otherwise(0.0)).otherwise(0.0)
+    return F.when(finite, 0.4 + 0.3 * F.least(n_calls / 3, F.lit(1.0)) + F.when((F.abs(result) > NEAR) & (F.abs(result - 1) > NEAR), 0.2).otherwise(0.0) + F.when((F.abs(result) > 0.01) & (F.abs(result) < 1e8), 0.1).otherwise(0.0)).otherwise(0.0)
 
 
 def composition_reward(parsed: Column, ok: Column, has_gold: Column, match: Column) -> Column:
@@ -158,7 +160,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", ve
 def _reward(value: float | None, depth: int) -> float:
     if value is None or not math.isfinite(value):
         return 0.0
-    return 0.4 + 0.3 * min(depth / 3, 1) + 0.2 * (value not in (0, 1)) + 0.1 * (0.01 < abs(value) < 1e8)
+    return 0.4 + 0.3 * min(depth / 3, 1) + 0.2 * (abs(value) > NEAR and abs(value - 1) > NEAR) + 0.1 * (0.01 < abs(value) < 1e8)
 
 
 def tree_search(numbers: list[float], library: dict[str, Program], rounds: int = 50, depth: int = 5, c: float = 1.4, seed: int = 42) -> tuple[list[str], float | None, float]:

@@ -54,17 +54,19 @@ def decompose(templates: DataFrame) -> DataFrame:
     return t.select("template_id", F.col("s.step_id").cast("bigint").alias("step_id"), "s.operation", F.array_join(F.transform(used, lambda v: v["name"]), ",").alias("variables"))
 
 
-def compose(first: DataFrame, second: DataFrame, on: str) -> DataFrame:
-    """(id_a, id_b, n_steps, variables): two templates one after the other; variables that the first produces are dropped from the second's.
+def composed(first: DataFrame, second: DataFrame, on: str) -> DataFrame:
+    """(id_a, id_b, variables, v_a, steps): two templates one after the other, variables by name and steps by expression.
 
-    Pairs are those with the same ``on``; the caller bounds how many there are of one.
+    Variables that the first one's steps make are dropped from the second's. Pairs are those with the same ``on``; the
+    caller bounds how many there are of one. Null lists are as empty ones.
     """
-    side = lambda df, x: df.select(F.col(on), F.col("template_id").alias(f"id_{x}"), F.col("variables").alias(f"v_{x}"), F.col("steps").alias(f"s_{x}"))
+    listed = lambda c, field: F.coalesce(F.transform(c, lambda x: x[field]), F.array().cast("array<string>"))
+    side = lambda df, x: df.select(
+        F.col(on), F.col("template_id").alias(f"id_{x}"), listed("variables", "name").alias(f"v_{x}"), listed("steps", "expression").alias(f"e_{x}"), listed("steps", "output_var").alias(f"made_{x}")
+    )
     j = side(first, "a").join(side(second, "b"), on)
-    made = F.transform("s_a", lambda s: s["output_var"])
-    rest = F.filter("v_b", lambda v: ~F.array_contains(made, v["name"]))
-    names = F.array_distinct(F.concat(F.transform("v_a", lambda v: v["name"]), F.transform(rest, lambda v: v["name"])))
-    return j.select("id_a", "id_b", (F.size("s_a") + F.size("s_b")).cast("bigint").alias("n_steps"), F.array_join(names, ",").alias("variables"))
+    rest = F.filter("v_b", lambda v: ~F.array_contains("made_a", v))
+    return j.select("id_a", "id_b", F.array_distinct(F.concat("v_a", rest)).alias("variables"), "v_a", F.concat("e_a", "e_b").alias("steps"))
 
 
 def chains(templates: DataFrame, by: str = "domain", length: int = 3) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from planloom.functions.columns import once
 from planloom.functions.types import coerce
-from planloom.plans.programs import Program, compiled, of_row, run
+from planloom.plans.programs import Program, of_row, output_sql, run
 
 #: Most programs of a library that is compiled into a query.
 MAX_LIBRARY = 4096
@@ -33,7 +33,7 @@ def dispatch(library: dict[str, Program], sub: str, value_of: str) -> str:
     branches = []
     for sub_id, program in sorted(library.items()):
         try:
-            sql = compiled(program, {s.name: value_of.format(s.name) for s in program.slots})["__output__"]
+            sql = output_sql(program, {s.name: value_of.format(s.name) for s in program.slots})
         except ValueError:
             continue  # a program outside the expression language fails
         branches.append(f"WHEN '{sub_id}' THEN CAST({sql} AS DOUBLE)")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from planloom.functions.expr import evaluate, to_sql
+from planloom.functions.expr import Unsupported, evaluate, to_sql
 from planloom.functions.types import coerce, coerce_sql
 from planloom.operators.nested import json_variant
 from planloom.plans.schemas import SLOT, STEP
@@ -78,6 +78,46 @@ def compiled(program: Program, bindings: dict[str, str]) -> dict[str, str]:
     return out | {"__output__": output}
 
 
+#: A program's SQL is pasted together up to this length; a longer one binds each step's value once.
+PASTED = 4000
+
+
+def output_sql(program: Program, bindings: dict[str, str]) -> str:
+    """SQL of a program's output, as ``compiled`` gives it, but of a length in proportion to the program's.
+
+    Where pasting each target into the steps that use it grows beyond ``PASTED``, the steps are a fold over their numbers
+    that appends each value to an array of doubles, so it is made once and neither length nor depth grows with its uses.
+    Texts and lists have no place there: such a program is ``Unsupported``.
+    """
+    if len(program.steps) > MAX_STEPS:
+        return "CAST(NULL AS DOUBLE)"
+    names = {s.name: coerce_sql(bindings[s.name], s.dtype) if s.name in bindings else "CAST(NULL AS DOUBLE)" for s in program.slots}
+    inputs, output, fits = dict(names), "CAST(NULL AS DOUBLE)", True
+    for step in program.steps:
+        sql = coerce_sql(to_sql(step.expr, names), step.target_dtype)
+        if len(sql) > PASTED:
+            fits = False
+            break
+        names[step.target] = sql
+        if step.op == "output":
+            output = sql
+    if fits:
+        return output
+    if any(t.strip().lower() not in ("int", "float", "bool") for t in (*(s.dtype for s in program.slots), *(s.target_dtype for s in program.steps))):
+        raise Unsupported("a long program of texts or lists")
+    at = {n: i for i, n in enumerate(inputs)}
+    cases, last = [], None
+    for i, step in enumerate(program.steps):
+        value = coerce_sql(to_sql(step.expr, {n: f"e[{k}]" for n, k in at.items()}), step.target_dtype)
+        cases.append(f"WHEN {i} THEN CAST({value} AS DOUBLE)")
+        at[step.target] = len(inputs) + i
+        last = at[step.target] if step.op == "output" else last
+    start = ", ".join(f"CAST({sql} AS DOUBLE)" for sql in inputs.values())
+    if last is None:
+        return output
+    return f"aggregate(sequence(0, {len(cases) - 1}), CAST(array({start}) AS array<double>), (e, i) -> concat(e, array(CASE i {' '.join(cases)} END)), e -> e[{last}])"
+
+
 def with_program(df: DataFrame, program: Program, bindings: dict[str, str], prefix: str = "") -> DataFrame:
     """``df`` with a column per target, ``<prefix>output``, ``<prefix>ok`` and ``<prefix>failed_step`` (-1 if none failed).
 
@@ -171,10 +211,12 @@ def signature(name: Column, slots: Column) -> Column:
 
 
 #: Operator tokens of a step's signature (fixed values).
-TOKENS = ("+", "-", "*", "/", "**", "//", "%", "min", "max", "round", "abs", "sum", "sqrt", "floor", "ceil")
+TOKENS = ("+", "-", "*", "/", "**", "//", "%", "min(", "max(", "abs(", "round(", "sum(", "len(", "sqrt(", "ceil(", "floor(")
+#: Those of the signature by which whole programs are mined (fixed values).
+MINING_TOKENS = tuple(t for t in TOKENS if t not in ("//", "%"))
 
 
 def step_signature(op: Column, expr: Column, tokens: tuple[str, ...] = TOKENS) -> Column:
     """``op:`` and the operator tokens that occur in the expression, sorted and joined by '|'."""
-    hits = F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(expr, t))
+    hits = F.array_compact(F.array(*(F.when(F.contains(expr, F.lit(t)), F.lit(t.rstrip("("))) for t in tokens)))
     return F.concat(F.lower(op), F.lit(":"), F.array_join(F.array_sort(hits), "|"))

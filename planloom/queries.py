@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from planloom.functions import text
@@ -13,7 +13,7 @@ from planloom.operators import evolve, features, library, metrics, search, templ
 from planloom.operators.nested import json_variant
 from planloom.plans import execute
 from planloom.plans.nested_plans import plan_documents, plan_links, plan_nodes, plan_tables, plan_variant
-from planloom.plans.programs import TOKENS, Program, Slot, Step, executed, fingerprint, parsed_programs, signature, with_program
+from planloom.plans.programs import MINING_TOKENS, TOKENS, Program, Slot, Step, executed, fingerprint, parsed_programs, signature, with_program
 from planloom.plans.schemas import PLAN
 from planloom.session import cut
 from planloom.sources import files
@@ -130,24 +130,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return t.select("l_orderkey", "l_partkey", "l_linenumber", "ratio", "whole", "rest", "ok")
 
 
-@query(
-    "builtin_functions",
-    """
-    SELECT p_partkey, CAST(greatest(p_size, 10) AS DOUBLE) AS hi, CAST(least(p_size, 10) AS DOUBLE) AS lo, CAST(abs(p_size - 25) AS DOUBLE) AS gap,
-        sqrt(p_retailprice) AS root, CAST(CASE WHEN p_size BETWEEN 11 AND 29 THEN 1 ELSE 0 END AS DOUBLE) AS middle,
-        CAST(ceil(p_retailprice / 100) AS DOUBLE) AS up, CAST(gcd(p_size, 12) AS DOUBLE) AS g, CAST(p_size + 10 + 1 AS DOUBLE) AS total
-    FROM part
-    """,
-)
+_R, _T = "p_retailprice", "(p_size / 60)"
+#: target: (expression, SQL of it in DuckDB); the slots are s (p_size), r (p_retailprice) and t (p_size / 60).
+_BUILTINS = {
+    "hi": ("max(s, 10)", "greatest(p_size, 10)"), "lo": ("min([s, 10])", "least(p_size, 10)"), "gap": ("abs(s - 25)", "abs(p_size - 25)"), "root": ("sqrt(r)", f"sqrt({_R})"),
+    "middle": ("1 if 10 < s < 30 else 0", "CASE WHEN p_size BETWEEN 11 AND 29 THEN 1 ELSE 0 END"), "up": ("ceil(r / 100)", f"ceil({_R} / 100)"), "down": ("floor(r / 100)", f"floor({_R} / 100)"),
+    "g": ("gcd(s, 12)", "gcd(p_size, 12)"), "total": ("sum([s, 10, 1])", "p_size + 11"), "n": ("len([s, 1, 2])", "3"), "digits": ("len(str(s))", "length(CAST(p_size AS VARCHAR))"),
+    "whole": ("int(r)", f"trunc({_R})"), "real": ("float(s) / 4", "p_size / 4.0"), "truth": ("bool(s - 25)", "CAST(p_size <> 25 AS INT)"), "half": ("round(s / 2)", "round_even(p_size / 2.0, 0)"),
+    "cents": ("round(r, 1)", f"round_even({_R}, 1)"), "quotient": ("divmod(s, 7)[0]", "floor(p_size / 7.0)"), "rest": ("divmod(s, 7)[1]", "p_size % 7"), "power": ("pow(s, 2)", "p_size * p_size"), "rooted": ("s ** 0.5", "sqrt(p_size)"),
+    "modular": ("pow(3, s, 97)", "list_reduce(list_prepend(1, list_transform(range(p_size), lambda x: 3)), lambda a, b: a * b % 97)"), "ln": ("log(r)", f"ln({_R})"), "based": ("log(r, 7)", f"ln({_R}) / ln(7)"),
+    "bits": ("log2(r)", f"log2({_R})"), "tens": ("log10(r)", f"log10({_R})"), "grown": ("exp(t)", f"exp({_T})"), "sine": ("sin(t)", f"sin({_T})"), "cosine": ("cos(t)", f"cos({_T})"), "tangent": ("tan(t)", f"tan({_T})"),
+    "arcsine": ("asin(t)", f"asin({_T})"), "arccosine": ("acos(t)", f"acos({_T})"), "arctangent": ("atan(t)", f"atan({_T})"), "angle": ("atan2(t, 2)", f"atan2({_T}, 2)"), "outside": ("asin(s)", "CASE WHEN p_size <= 1 THEN asin(1.0) END"),
+    "product": ("factorial(s % 10)", "CAST(factorial(p_size % 10) AS DOUBLE)"), "chosen": ("comb(s % 20, 3)", "CAST(p_size % 20 AS DOUBLE) * (p_size % 20 - 1) * (p_size % 20 - 2) / 6"), "ordered": ("perm(s % 20, 2)", "(p_size % 20) * (p_size % 20 - 1)"),
+    "circle": ("pi * s", "pi() * p_size"), "euler": ("e", "exp(1.0)"), "bounded": ("min(inf, s)", "p_size"), "yes": ("True", "1"), "no": ("False", "0"),
+    "both": ("s > 10 and r", f"CASE WHEN p_size > 10 THEN {_R} ELSE 0 END"), "either": ("s % 2 or 5", "CASE WHEN p_size % 2 <> 0 THEN p_size % 2 ELSE 5 END"), "neither": ("not s % 3", "CAST(p_size % 3 = 0 AS INT)"),
+    "picked": ("2 if s % 2 else 3", "CASE WHEN p_size % 2 <> 0 THEN 2 ELSE 3 END"), "counted": ("(s > 10) + (s > 20)", "CAST(p_size > 10 AS INT) + CAST(p_size > 20 AS INT)"), "indexed": ("[1, s, 3][-2]", "p_size"),
+}
+
+
+@query("builtin_functions", "SELECT p_partkey, " + ", ".join(f"round(CAST({sql} AS DOUBLE), 7) AS {n}" for n, (_, sql) in _BUILTINS.items()) + " FROM part")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = Program(
-        "builtins", (Slot("s", "int"), Slot("r")),
-        (
-            Step("compute", "hi", "max(s, 10)"), Step("compute", "lo", "min([s, 10])"), Step("compute", "gap", "abs(s - 25)"), Step("compute", "root", "sqrt(r)"),
-            Step("condition", "middle", "1 if 10 < s < 30 else 0"), Step("compute", "up", "ceil(r / 100)"), Step("compute", "g", "gcd(s, 12)"), Step("output", "total", "sum([s, 10, 1])"),
-        ),
-    )
-    return with_program(table(spark, d, "part"), p, {"s": "p_size", "r": "p_retailprice"}).select("p_partkey", "hi", "lo", "gap", "root", "middle", "up", "g", "total")
+    p = Program("builtins", (Slot("s", "int"), Slot("r"), Slot("t")), tuple(Step("compute", n, x) for n, (x, _) in _BUILTINS.items()))
+    parts = table(spark, d, "part").withColumn("_t", F.col("p_size") / 60)
+    done = with_program(parts, p, {"s": "p_size", "r": "p_retailprice", "t": "_t"})
+    return done.select("p_partkey", *(F.round(n, 7).alias(n) for n in _BUILTINS))
 
 
 @query(
@@ -448,33 +454,21 @@ _TRIALS = f"""{_COMPOUNDS.replace(_CALLS, _ATOMS)},
     dv AS (SELECT trial, round(count(*) FILTER (WHERE NOT tr) / count(*), 9) AS divergence FROM pc WHERE te GROUP BY 1)"""
 
 
-@query("split_trials", f"WITH {_TRIALS.format(n=5)} SELECT trial, tvd, divergence FROM tv JOIN dv USING (trial)")
+@query("split_trials", f"WITH {_TRIALS.format(n=500)} SELECT trial, tvd, divergence FROM tv JOIN dv USING (trial)")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return features.trial_scores(cut(_calls(spark, d)), 5)
+    return features.trial_scores(cut(_calls(spark, d)), features.TRIALS)
 
 
 @query(
     "constrained_split",
     f"""
-    WITH {_TRIALS.format(n=8)},
+    WITH {_TRIALS.format(n=500)},
     s AS (SELECT *, CASE WHEN tvd <= 0.02 AND divergence >= 0.1 THEN 2 WHEN tvd <= 0.04 THEN 1 ELSE 0 END AS tier FROM tv JOIN dv USING (trial)),
     b AS (SELECT trial FROM s ORDER BY tier DESC, CASE WHEN tier > 0 THEN divergence ELSE 0 END DESC, trial LIMIT 1)
     SELECT plan_key, split FROM asg JOIN b USING (trial)
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return features.constrained_split(cut(_calls(spark, d)), trials=8)
-
-
-@query("split_trials_whole")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """As split_trials, of all trials that a constrained split draws; the SQL has five."""
-    return features.trial_scores(cut(_calls(spark, d)), features.TRIALS)
-
-
-@query("constrained_split_whole")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """As constrained_split, the best of all trials; the SQL draws eight."""
     return features.constrained_split(cut(_calls(spark, d)))
 
 
@@ -539,18 +533,47 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return i.select("item_id", F.explode(text.positional_bindings(F.col("program.slots"), F.col("problem"))).alias("slot", "value"))
 
 
+_STRIP_SQL = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+
+
+def _cascade_sql(text: str, rule: str) -> str:
+    t = _STRIP_SQL.format(text)
+    looked_at = f"lower({t})" if rule == "algebra" else t
+    whens = "".join(
+        f" WHEN regexp_matches({looked_at}, '{q}') THEN {_STRIP_SQL.format(f"replace(regexp_extract({looked_at}, '{q}', 1), ',', '')")}"
+        for q in (p.replace("(?imd)", "(?im)") for p in text_rules[rule])
+    )
+    last = f" ELSE {_STRIP_SQL.format(f'string_split({t}, chr(10))[-1]')}" if rule == "algebra" else ""
+    return f"CASE{whens}{last} END"
+
+
+text_rules = text.ANSWER_RULES
+
+
+def _answers(rule: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        m = table(spark, d, "chat_messages").where("content is not null").select("msg_id", "content").distinct()
+        return m.select("msg_id", text.extract_answer(F.col("content"), rule).alias("answer"))
+
+    return run
+
+
+for _rule, _name in (("eval", "answer_cascade"), ("algebra", "answer_cascade_algebra"), ("distill", "answer_cascade_distill")):
+    query(_name, f"WITH m AS (SELECT DISTINCT msg_id, content FROM chat_messages WHERE content IS NOT NULL) SELECT msg_id, {_cascade_sql('content', _rule)} AS answer FROM m")(_answers(_rule))
+
+
 @query(
-    "answer_cascade",
-    r"""
-    WITH m AS (SELECT DISTINCT msg_id, content FROM chat_messages WHERE content IS NOT NULL)
-    SELECT msg_id, coalesce(nullif(trim(regexp_extract(content, '####\s*([^\n]+)', 1)), ''), nullif(trim(regexp_extract(content, '\\boxed\{([^}]*)\}', 1)), ''),
-        nullif(trim(regexp_extract(content, '(?i)the answer is\s*:?\s*([-\d.,]+)', 1)), ''), nullif(trim(regexp_extract(content, '(?m)=\s*([-\d.,]+)\s*$', 1)), ''),
-        nullif(trim(regexp_extract(content, '([-\d.,]*\d)\s*\.?\s*$', 1)), '')) AS answer FROM m
+    "gold_answers",
+    rf"""
+    WITH m AS (SELECT DISTINCT msg_id, content AS c, CASE WHEN msg_id % 3 = 0 THEN role END AS a FROM chat_messages WHERE content IS NOT NULL)
+    SELECT msg_id, {_STRIP_SQL.format(r"coalesce(nullif(a, ''), CASE WHEN regexp_matches(c, '\boxed\{([^}]+)\}') THEN regexp_extract(c, '\boxed\{([^}]+)\}', 1) WHEN contains(c, '####') THEN string_split(c, '####')[-1]"
+                                      r" WHEN len(regexp_extract_all(c, '[\-\d,]+\.?\d*')) > 0 THEN replace(regexp_extract_all(c, '[\-\d,]+\.?\d*')[-1], ',', '') END, '')")} AS answer FROM m
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "chat_messages").where("content is not null").select("msg_id", "content").distinct()
-    return m.select("msg_id", text.extract_answer(F.col("content")).alias("answer"))
+    """The answer of a record that may have its own (here a third has) or a solution."""
+    m = table(spark, d, "chat_messages").where("content is not null").select("msg_id", "content", F.when(F.col("msg_id") % 3 == 0, F.col("role")).alias("own")).distinct()
+    return m.select("msg_id", text.gold_answer(F.col("own"), F.col("content")).alias("answer"))
 
 
 @query(
@@ -579,6 +602,11 @@ def _match_sql() -> str:
             num, side = f"abs({p} - {g}) < 1e-3 * greatest(abs({g}), 1)", "false"
         else:
             num = f"abs({p} - {g}) < 1e-3"
+        if name == "am5":
+            g5 = "coalesce(nullif(" + _cascade_sql("gold", "eval") + ", ''), gold)"
+            num, side = num.replace(g, _NUM.format(f"replace(trim({g5}), ',', '')")), side.replace("trim(gold)", f"trim({g5})")
+            cases.append(f"count(*) FILTER (WHERE trim({g5}) <> '' AND CASE WHEN {p} IS NOT NULL AND {_NUM.format(f"replace(trim({g5}), ',', '')")} IS NOT NULL THEN {num} ELSE {side} END) AS {name}")
+            continue
         cases.append(f"count(*) FILTER (WHERE trim(gold) <> '' AND CASE WHEN {p} IS NOT NULL AND {g} IS NOT NULL THEN {num} ELSE {side} END) AS {name}")
     return f"WITH i AS ({_ONE_ITEM}), x AS (SELECT CAST(exec_result AS BIGINT) AS e, answer AS gold, CAST(CAST(round_even(exec_result, 0) AS BIGINT) AS VARCHAR) AS pred FROM i) SELECT count(*) AS n, {', '.join(cases)} FROM x"
 
@@ -596,8 +624,8 @@ ANCHORS = ("buy", "cart", "cold", "cut", "each", "give", "lost", "more", "road",
 @query(
     "template_key",
     f"""
-    WITH t AS (SELECT item_id, lower(coalesce(problem, '')) AS p, list_sort(list_filter({list(ANCHORS)}, lambda a: contains(lower(coalesce(problem, '')), a)))[1:4] AS h FROM heldout_items)
-    SELECT item_id, CASE WHEN len(h) > 0 THEN array_to_string(h, '|') ELSE coalesce(nullif(array_to_string(regexp_extract_all(p, '[a-z]+')[1:2], ' '), ''), 'misc') END AS key FROM t
+    WITH t AS (SELECT item_id, lower(coalesce(problem, '')) AS p, list_filter({list(ANCHORS)}, lambda a: contains(lower(coalesce(problem, '')), a)) AS h FROM heldout_items)
+    SELECT item_id, coalesce(nullif(array_to_string(list_sort(list_distinct(CASE WHEN len(h) > 0 THEN h ELSE regexp_extract_all(p, '[a-z]+')[1:2] END))[1:4], '|'), ''), 'misc') AS key FROM t
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -615,19 +643,22 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # --- libraries and mining ----------------------------------------------------------------------------------------
 
-_TOKENS = list(TOKENS)
-_SIG = f"lower(s.op) || ':' || array_to_string(list_sort(list_filter({_TOKENS}, lambda t: contains(s.expr, t))), '|')"
-_TYPED = "p AS (SELECT row_id, source, slots, steps FROM programs WHERE steps IS NOT NULL AND len(steps) > 0)"
-_STEPS = f"{_TYPED}, st AS (SELECT row_id, CAST(generate_subscripts(steps, 1) - 1 AS BIGINT) AS pos, unnest(steps) AS s FROM p), sg AS (SELECT row_id, pos, lower(s.op) AS op, s.expr AS expr, s.inputs AS inputs, {_SIG} AS sig FROM st)"
-_FP = "md5(array_to_string(list_transform(steps, lambda s: s.op || ':' || s.expr), '|'))[1:12]"
 
 
-def _programs(spark: SparkSession, d: str) -> DataFrame:
-    """The typed programs, which the SQL of these queries is about."""
-    return table(spark, d, "programs").where("steps is not null and size(steps) > 0")
+def _signature_sql(tokens: tuple[str, ...]) -> str:
+    return f"lower(s.op) || ':' || array_to_string(list_sort(list_transform(list_filter({list(tokens)}, lambda t: contains(s.expr, t)), lambda t: rtrim(t, '('))), '|')"
+
+
+_SIG, _MINED = _signature_sql(TOKENS), _signature_sql(MINING_TOKENS)
+#: Programs of all rows: the typed one, or where a row has none, that of its JSON text.
+_TYPED = """texts AS (SELECT row_id, source, slots, steps, CASE WHEN slots IS NULL AND steps IS NULL THEN json_transform(try_cast(output AS JSON),
+        '{"slots": [{"name": "VARCHAR", "dtype": "VARCHAR", "description": "VARCHAR"}], "steps": [{"op": "VARCHAR", "target": "VARCHAR", "expr": "VARCHAR", "inputs": ["VARCHAR"], "target_dtype": "VARCHAR"}]}') END AS o FROM programs),
+    p AS (SELECT row_id, source, coalesce(slots, o.slots) AS slots, coalesce(steps, o.steps) AS steps FROM texts WHERE len(coalesce(steps, o.steps)) > 0)"""
+_STEPS = f"{_TYPED}, st AS (SELECT row_id, CAST(generate_subscripts(steps, 1) - 1 AS BIGINT) AS pos, unnest(steps) AS s FROM p), sg AS (SELECT row_id, pos, lower(s.op) AS op, s.target AS target, s.expr AS expr, s.inputs AS inputs, {_SIG} AS sig FROM st)"
+_FP = "md5(array_to_string(list_transform(steps, lambda s: s.op || ':' || s.expr), '|'))[1:12]"
 
 
-def _all_programs(spark: SparkSession, d: str) -> DataFrame:
+def _programs(spark: SparkSession, d: str) -> DataFrame:
     """The programs of all rows, typed or text."""
     return parsed_programs(table(spark, d, "programs")).where("steps is not null and size(steps) > 0")
 
@@ -699,7 +730,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return library.program_steps(_programs(spark, d)).groupBy("sig").agg(F.count("*").alias("n"))
 
 
-_WHOLE = f"""{_TYPED}, w AS (SELECT row_id, source, CAST(coalesce(len(slots), 0) AS BIGINT) AS n_slots, array_to_string(list_transform(steps, lambda s: {_SIG}), ';') AS sig FROM p)"""
+_WHOLE = f"""{_TYPED}, w AS (SELECT row_id, source, CAST(coalesce(len(slots), 0) AS BIGINT) AS n_slots, array_to_string(list_transform(steps, lambda s: {_MINED}), ';') AS sig FROM p)"""
 
 
 @query(
@@ -718,21 +749,31 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "subsequence_mining",
     f"""
-    WITH {_STEPS}, w2 AS (SELECT array_to_string(list_transform(steps, lambda s: {_SIG}), ';') AS part FROM p),
+    WITH {_TYPED}, w2 AS (SELECT DISTINCT array_to_string(list_transform(steps, lambda s: {_MINED}), ';') AS part FROM p),
+    st AS (SELECT row_id, len(steps) AS n, generate_subscripts(steps, 1) AS pos, unnest(steps) AS s FROM p),
+    sg AS (SELECT row_id, n, pos, lower(s.op) AS op, s.target AS t, coalesce(s.inputs, []) AS i, {_MINED} AS sig FROM st),
+    a AS (SELECT n, sig, i, t, lead(sig) OVER w AS sig1, lead(i) OVER w AS i1, lead(t) OVER w AS t1, lead(op) OVER w AS op1, lead(sig, 2) OVER w AS sig2, lead(i, 2) OVER w AS i2, lead(op, 2) OVER w AS op2
+        FROM sg WINDOW w AS (PARTITION BY row_id ORDER BY pos)),
     r AS (
-        SELECT sig || ';' || lead(sig) OVER w AS part, 2 AS length, lead(op) OVER w AS last FROM sg WINDOW w AS (PARTITION BY row_id ORDER BY pos)
-        UNION ALL SELECT sig || ';' || lead(sig) OVER w || ';' || lead(sig, 2) OVER w, 3, lead(op, 2) OVER w FROM sg WINDOW w AS (PARTITION BY row_id ORDER BY pos)
+        SELECT sig || ';' || sig1 AS part, 2 AS length, list_concat(i, list_filter(i1, lambda x: x <> t)) AS free FROM a WHERE n > 2 AND op1 <> 'output'
+        UNION ALL SELECT sig || ';' || sig1 || ';' || sig2, 3, list_concat(i, list_filter(i1, lambda x: x <> t), list_filter(i2, lambda x: x <> t AND x <> t1)) FROM a WHERE n > 3 AND op2 <> 'output'
     )
-    SELECT part, CAST(length AS BIGINT) AS length, count(*) AS support FROM r WHERE last IS NOT NULL AND last <> 'output' AND part NOT IN (SELECT part FROM w2) GROUP BY 1, 2 HAVING count(*) >= 3
+    SELECT part, CAST(length AS BIGINT) AS length, CAST(len(list_distinct(free)) AS BIGINT) AS n_inputs, count(*) AS support FROM r WHERE part NOT IN (SELECT part FROM w2) GROUP BY 1, 2, 3 HAVING count(*) >= 3
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     return library.mine_parts(_programs(spark, d))
 
 
-@query("step_primitives")
+_CANONICAL = """prim AS (
+        SELECT row_id, pos, op, target, list_filter(list_distinct(coalesce(inputs, [])), lambda n: regexp_full_match(n, '[A-Za-z_][A-Za-z_0-9]*')) AS unsorted, inputs, expr FROM sg WHERE op <> 'output' AND expr IS NOT NULL),
+    ins AS (SELECT *, list_filter(inputs, lambda n, i: list_contains(unsorted, n) AND list_position(inputs, n) = i) AS ins FROM prim),
+    can AS (SELECT *, len(coalesce(ins, [])) AS arity, regexp_replace(list_reduce(list_concat([expr], coalesce(ins, [])), lambda e, n, i: regexp_replace(e, '\\b' || n || '\\b', chr(1) || (i - 2) || chr(2), 'g')), '\\x01([0-9]+)\\x02', 'a\\1', 'g') AS canonical FROM ins)"""
+
+
+@query("step_primitives", f"WITH {_STEPS}, {_CANONICAL} SELECT op, canonical, CAST(arity AS BIGINT) AS arity, count(*) AS support FROM can GROUP BY 1, 2, 3 HAVING count(*) >= 3")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return library.step_primitives(_all_programs(spark, d))
+    return library.step_primitives(_programs(spark, d))
 
 
 @query("frequency_topk", f"WITH {_TYPED} SELECT {_FP} AS fingerprint, count(*) AS n, max(row_id) AS last_id FROM p GROUP BY 1 ORDER BY n DESC, last_id LIMIT 20")
@@ -777,14 +818,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return library.matched_subroutine(_programs(spark, d), table(spark, d, "sub_library"))
 
 
-@query("greedy_cover")
+@query(
+    "greedy_cover",
+    f"""
+    WITH RECURSIVE {_TYPED}, l AS (SELECT list_transform(list_filter(program.steps, lambda s: lower(s.op) <> 'output'), lambda s: lower(s.op)) AS ops, min(sub_id) AS id FROM sub_library WHERE sub_id IS NOT NULL GROUP BY 1),
+    known AS (SELECT list({{'n': len(ops), 'id': id, 'ops': ops}} ORDER BY len(ops) DESC, id) AS known FROM l WHERE len(ops) > 0),
+    o AS (SELECT row_id, list_transform(list_filter(steps, lambda s: lower(s.op) <> 'output'), lambda s: lower(s.op)) AS ops FROM p),
+    run(row_id, ops, i, cover, n) AS (
+        SELECT row_id, ops, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT) FROM o
+        UNION ALL
+        SELECT row_id, ops, i + coalesce(e.n, 1), CASE WHEN e IS NULL THEN cover ELSE list_append(cover, e.id) END, n + coalesce(e.n, 0)
+        FROM (SELECT r.*, list_filter(k.known, lambda e: r.ops[r.i:r.i + e.n - 1] = e.ops)[1] AS e FROM run r, known k WHERE r.i <= len(r.ops))
+    )
+    SELECT row_id, array_to_string(cover, '>') AS cover, n AS covered, CAST(len(ops) AS BIGINT) AS n_steps FROM run WHERE i > len(ops)
+    """,
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return library.greedy_cover(_all_programs(spark, d), table(spark, d, "sub_library"))
+    return library.greedy_cover(_programs(spark, d), table(spark, d, "sub_library"))
 
 
 @query("compression_ratio")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = _all_programs(spark, d)
+    p = _programs(spark, d)
     return metrics.compression(p, library.greedy_cover(p, table(spark, d, "sub_library")))
 
 
@@ -860,21 +915,35 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "template_compose",
     """
-    SELECT a.template_id AS id_a, b.template_id AS id_b, len(a.steps) + len(b.steps) AS n_steps,
-        array_to_string(list_concat(list_transform(a.variables, lambda v: v.name), list_filter(list_transform(b.variables, lambda v: v.name), lambda n: NOT list_contains(list_transform(a.steps, lambda s: s.output_var), n) AND NOT list_contains(list_transform(a.variables, lambda v: v.name), n))), ',') AS variables
-    FROM templates a JOIN templates b ON a.reuse_count = b.reuse_count AND a.template_id <> b.template_id AND a.reuse_count >= 8 AND a.domain = 'trade' AND b.domain = 'trade'
+    WITH t AS (SELECT template_id, coalesce(list_transform(variables, lambda v: v.name), []) AS v, coalesce(list_transform(steps, lambda s: s.output_var), []) AS made, coalesce(list_transform(steps, lambda s: s.expression), []) AS e FROM templates WHERE template_id IS NOT NULL),
+    c AS (SELECT a.template_id AS id_a, len(a.e) + len(b.e) AS n_steps, list_distinct(list_concat(a.v, list_filter(b.v, lambda n: NOT list_contains(a.made, n)))) AS v, length(array_to_string(list_concat(a.e, b.e), ' ; ')) AS chars FROM t a JOIN t b ON a.template_id <> b.template_id)
+    SELECT id_a, count(*) AS n_composed, CAST(sum(n_steps) AS BIGINT) AS n_steps, CAST(sum(len(v)) AS BIGINT) AS n_variables, CAST(sum(chars) AS BIGINT) AS n_chars FROM c GROUP BY 1
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "templates").where("reuse_count >= 8 and domain = 'trade'")
-    return templates.compose(t, t, "reuse_count").where("id_a <> id_b")
+    """Every two templates composed; of each first one, sums over what it gives with all others."""
+    t = table(spark, d, "templates").where("template_id is not null").withColumn("_all", F.lit(1))
+    c = templates.composed(t, t, "_all").where("id_a <> id_b")
+    return c.groupBy("id_a").agg(F.count("*").alias("n_composed"), F.sum(F.size("steps")).alias("n_steps"), F.sum(F.size("variables")).alias("n_variables"), F.sum(F.length(F.array_join("steps", " ; "))).alias("n_chars"))
 
 
-@query("template_compose_whole")
+@query(
+    "template_compose_steps",
+    """
+    WITH t AS (SELECT template_id, domain, coalesce(variables, []) AS v, coalesce(steps, []) AS s, row_number() OVER (PARTITION BY domain ORDER BY template_id) AS r FROM templates WHERE domain IS NOT NULL)
+    SELECT a.template_id AS id_a, b.template_id AS id_b, array_to_string(list_transform(a.v, lambda x: x.name), ',') AS first_variables,
+        array_to_string(list_concat(list_transform(a.s, lambda x, i: i || ':' || x.expression), list_transform(b.s, lambda x, i: (i + len(a.s)) || ':' || x.expression)), ' ; ') AS steps
+    FROM t a JOIN t b ON a.domain = b.domain AND b.r = a.r + 1
+    """,
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """As template_compose, of every two templates; the SQL has the most used ones of one domain."""
-    t = table(spark, d, "templates").where("template_id is not null").withColumn("_all", F.lit(1))
-    return templates.compose(t, t, "_all").where("id_a <> id_b")
+    """Each template composed with the next one of its domain, steps numbered anew."""
+    t = table(spark, d, "templates").where("domain is not null")
+    w = Window.partitionBy("domain").orderBy("template_id")
+    after = t.withColumn("_next", F.concat_ws("|", "domain", F.row_number().over(w).cast("string")))
+    before = t.withColumn("_next", F.concat_ws("|", "domain", (F.row_number().over(w) + 1).cast("string")))
+    c = templates.composed(before, after, "_next")
+    return c.select("id_a", "id_b", F.array_join("v_a", ",").alias("first_variables"), F.array_join(F.transform("steps", lambda e, i: F.concat((i + 1).cast("string"), F.lit(":"), e)), " ; ").alias("steps"))
 
 
 @query(
@@ -1134,20 +1203,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     "repair_neighbours",
     f"""
     WITH {_PLANS}, s AS (SELECT plan_key, list_transform(calls, lambda c: upper(trim(c.sub_id))) AS subs FROM plans WHERE len(calls) > 0),
-    l AS (SELECT DISTINCT sub_id AS sub FROM sub_library WHERE sub_id < 'L008'), nl AS (SELECT count(*) AS n FROM l),
-    e AS (SELECT plan_key, len(subs) AS k, len(list_filter(subs, lambda x: x < 'L008' AND x >= 'L000')) AS hits FROM s)
-    SELECT 'substitute' AS edit, CAST(sum(k * nl.n - hits) AS BIGINT) AS n FROM e, nl UNION ALL SELECT 'insert', CAST(sum(CASE WHEN k < 6 THEN (k + 1) * nl.n ELSE 0 END) AS BIGINT) FROM e, nl UNION ALL SELECT 'delete', CAST(sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS BIGINT) FROM e
+    l AS (SELECT DISTINCT sub_id AS sub FROM sub_library WHERE sub_id IS NOT NULL), ids AS (SELECT list(sub) AS ids FROM l),
+    e AS (SELECT plan_key, len(subs) AS k, len(ids) AS m, len(list_filter(subs, lambda x: list_contains(ids, x))) AS own, len(list_filter(subs, lambda x: x IS NULL)) AS none FROM s, ids),
+    c AS (SELECT plan_key, generate_subscripts(calls, 1) AS pos, unnest(calls) AS c FROM plans),
+    env AS (SELECT DISTINCT plan_key, b.key AS name FROM (SELECT plan_key, unnest(map_entries(c.bindings)) AS b FROM c) WHERE b.value.source IN ('quantity', 'constant') AND b.value.value IS NOT NULL),
+    slots AS (SELECT plan_key, pos, sl.name AS slot FROM (SELECT plan_key, pos, unnest(l.program.slots) AS sl FROM c JOIN sub_library l ON upper(trim(l.sub_id)) = upper(trim(c.c.sub_id))))
+    SELECT 'substitute' AS edit, CAST(sum((k - none) * m - own) AS BIGINT) AS n FROM e UNION ALL SELECT 'insert', CAST(sum(CASE WHEN k < 6 THEN (k + 1) * m ELSE 0 END) AS BIGINT) FROM e
+    UNION ALL SELECT 'delete', CAST(sum(CASE WHEN k > 1 THEN k ELSE 0 END) AS BIGINT) FROM e UNION ALL SELECT 'rebind', count(*) FROM slots JOIN env USING (plan_key) WHERE slot <> name
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = _plans(spark, d).select("plan_key", F.transform("calls", lambda c: F.upper(F.trim(c["sub_id"]))).alias("subs"))
-    few = table(spark, d, "sub_library").where("sub_id < 'L008'")
-    return search.edits(p, few).groupBy("edit").agg(F.count("*").alias("n"))
-
-
-@query("repair_neighbours_whole")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """As repair_neighbours, over the whole library and with rebinding; the SQL has eight entries."""
     return search.edit_counts(_plans(spark, d), table(spark, d, "sub_library"))
 
 
@@ -1249,8 +1314,8 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     "window_controls",
     f"""
     WITH {_TYPED}, l AS (SELECT sub_id, len(program.steps) AS n_steps FROM sub_library WHERE program IS NOT NULL),
-    b AS (SELECT n_steps, row_id, row_number() OVER (PARTITION BY n_steps ORDER BY md5('42|' || n_steps || '|' || row_id)) AS r FROM (SELECT DISTINCT n_steps FROM l) k JOIN p ON len(p.steps) >= k.n_steps)
-    SELECT sub_id, row_id, CAST(0 AS BIGINT) AS start, CAST(n_steps AS BIGINT) AS n_steps FROM l JOIN b USING (n_steps) WHERE r = 1
+    b AS (SELECT n_steps, row_id, len(p.steps) AS n, row_number() OVER (PARTITION BY n_steps ORDER BY md5('42|' || n_steps || '|' || row_id)) AS r FROM (SELECT DISTINCT n_steps FROM l) k JOIN p ON len(p.steps) >= k.n_steps)
+    SELECT sub_id, row_id, CAST(('0x' || md5('42|start|' || sub_id)[1:8]) AS BIGINT) % (n - n_steps + 1) AS start, CAST(n_steps AS BIGINT) AS n_steps FROM l JOIN b USING (n_steps) WHERE r = 1
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
@@ -1259,7 +1324,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("program_plans")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    p = _all_programs(spark, d)
+    p = _programs(spark, d)
     prims = library.step_primitives(p).select("op", "canonical", "arity", F.concat(F.lit("P"), F.substring(F.md5(F.concat_ws("|", "op", "canonical")), 1, 6)).alias("prim"))
     return evolve.program_plans(p, prims)
 
@@ -1268,31 +1333,6 @@ def _lengths(entries: DataFrame) -> DataFrame:
     return entries.where("program is not null").select("sub_id", F.size("program.steps").alias("n_steps"))
 
 
-#: Over the programs of all rows; the SQL of the query without ``_whole`` leaves out those that are text.
-_OVER_PROGRAMS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "library_add": lambda p, entries: library.add_all(p),
-    "fingerprints": lambda p, entries: p.select("row_id", fingerprint(F.col("steps")).alias("fingerprint")),
-    "step_signatures": lambda p, entries: library.program_steps(p).groupBy("sig").agg(F.count("*").alias("n")),
-    "library_mining": lambda p, entries: library.mine_whole(p),
-    "subsequence_mining": lambda p, entries: library.mine_parts(p),
-    "frequency_topk": lambda p, entries: library.frequency_top(p),
-    "uncompressed_bank": lambda p, entries: library.uncompressed(p),
-    "matched_subroutine": lambda p, entries: library.matched_subroutine(p, entries),
-    "rebuilt_choice": lambda p, entries: evolve.rebuilt_choice(p, entries),
-    "window_controls": lambda p, entries: evolve.windowed_entries(p, _lengths(entries)),
-}
-
-
-def _over_all_programs(name: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
-    @query(f"{name}_whole")
-    def _(spark: SparkSession, d: str) -> DataFrame:
-        return f(_all_programs(spark, d), table(spark, d, "sub_library"))
-
-
-for _name, _f in _OVER_PROGRAMS.items():
-    _over_all_programs(_name, _f)
-
-
 @query("plan_repair")
 def _(spark: SparkSession, d: str) -> DataFrame:
     few = table(spark, d, "sub_library").orderBy(F.desc("support"), "sub_id").limit(12)

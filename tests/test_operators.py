@@ -186,8 +186,8 @@ def test_templates(spark):
         [("T1", "n", "d", [("x", "int"), ("y", "int")], [(1, "add", "{x} + {y} + 3", ["x"], "r1")], 2), ("T2", "n", "d", [("r1", "int"), ("z", "int")], [(1, "mul", "{r1} * {z}", None, "r2")], 2), ("T3", None, None, None, None, None)],
         "template_id string, name string, domain string, variables array<struct<name:string,type:string>>, steps array<struct<step_id:int,operation:string,expression:string,inputs:array<string>,output_var:string>>, reuse_count bigint",
     )
-    c = {(r.id_a, r.id_b): (r.n_steps, r.variables) for r in templates.compose(t, t, "domain").collect()}
-    assert c["T1", "T2"] == (2, "x,y,z")
+    c = {(r.id_a, r.id_b): (r.steps, r.variables) for r in templates.composed(t, t, "domain").collect()}
+    assert c["T1", "T2"] == (["{x} + {y} + 3", "{r1} * {z}"], ["x", "y", "z"])
     assert {r.template_id: (r.expressions, r.n_new) for r in templates.abstract(t).collect()}["T1"] == ("{x} + {y} + {c0}", 1)
     assert templates.decompose(t).count() == 2 and templates.specialize(t, F.expr("get(variables, 0).name"), F.lit("9")).where("template_id = 'T1'").first().expressions == "9 + {y} + 3"
 

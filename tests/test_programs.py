@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planloom.functions.expr import Unsupported, evaluate, to_sql
 from planloom.functions.types import coerce
 from planloom.plans.execute import compose, consistency, executed_plans, inlined
-from planloom.plans.programs import Program, Slot, Step, executed, run, with_program
+from planloom.plans.programs import Program, Slot, Step, executed, output_sql, run, with_program
 from planloom.plans.schemas import CALL, PROGRAM, REF
 
 ADD = Program("add", (Slot("a"), Slot("b")), (Step("compute", "s", "a + b"), Step("output", "s", "s")))
@@ -37,7 +37,39 @@ def test_names_hide_constants():
     assert to_sql("min + e", {"min": "m", "e": "x"}) == "try_add(m, x)"
 
 
-@pytest.mark.parametrize("bad", ["__import__('os')", "a.b", "[x for x in a]", "lambda: 1", "f(1)", "a +", "open('x')", "pow(2, 3, 5)"])
+def test_names_hide_functions():
+    for expr in ("min(a, 2)", "pow(a, 2)"):
+        names = {"a": "x", expr[:3]: "y"}
+        with pytest.raises(Unsupported):
+            to_sql(expr, names)
+        with pytest.raises(Unsupported):
+            evaluate(expr, {"a": 1, expr[:3]: 3})
+
+
+LOGIC = ("a and b", "a or b", "not a", "1 if a else 2", "a > 1 and b", "a > 1 or b < 2", "not (a and b)", "(a > 0) + (b > 0)", "(a > 1) == (b > 1)", "True and a", "a and b and 5", "0 or a or 7", "-(a > 0)", "2 if not a else a and b", "divmod(a, 3)[0]", "divmod(7, 3)[1] + a", "pow(3, 5, 7) * a", "max(a > 1, b)", "[a > 1, 2][0]")
+
+
+def test_truth_values_of_numbers(spark):
+    for a, b in ((0.0, 2.0), (3.0, 0.0), (1.5, -1.0)):
+        columns = [F.expr(f"CAST({to_sql(e, {'a': f'{a}D', 'b': f'{b}D'})} AS DOUBLE)").alias(f"c{i}") for i, e in enumerate(LOGIC)]
+        assert list(spark.range(1).select(*columns).first()) == [float(evaluate(e, {"a": a, "b": b})) for e in LOGIC]
+    failing = [f"CAST({to_sql(e, {'a': '0D'})} AS DOUBLE)" for e in ("1 / a and 2", "5 if 1 / a else 6", "1 / a > 0 or True")]
+    assert list(spark.range(1).selectExpr(*failing).first()) == [None] * 3
+
+
+def test_long_programs_have_sql_of_a_length_in_proportion(spark):
+    steps = [Step("compute", "t0", "a + b")]
+    for i in range(1, 99):
+        steps.append(Step("compute", f"t{i}", f"t{i - 1} * 0.5 + t{i - 1} * 0.5 + {i % 3}"))
+    p = Program("long", (Slot("a"), Slot("b", "int")), (*steps, Step("output", "t98", "t98")))
+    sql = output_sql(p, {"a": "2.5D", "b": "3.9D"})
+    assert len(p.steps) == 100 and len(sql) < 400_000
+    assert spark.range(1).selectExpr(f"{sql} AS x").first().x == pytest.approx(run(p, {"a": 2.5, "b": 3.9})[1])
+    again = Program("again", (Slot("a"),), tuple(Step("compute", "x", "a + x" if i else "a") for i in range(60)) + (Step("output", "x", "x + x * x - x * x"),))
+    assert spark.range(1).selectExpr(f"{output_sql(again, {'a': '1D'})} AS x").first().x == 60.0
+
+
+@pytest.mark.parametrize("bad", ["__import__('os')", "a.b", "[x for x in a]", "lambda: 1", "f(1)", "a +", "open('x')"])
 def test_other_syntax_is_refused(bad):
     with pytest.raises((Unsupported, TypeError)):
         evaluate(bad, {"a": 1})
