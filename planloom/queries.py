@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -243,23 +244,96 @@ def _library(spark: SparkSession, d: str):
     return execute.library_of(table(spark, d, "sub_library"))
 
 
-@query("plan_execute")
+def _resolved(ref: str, outs: str, q: str) -> str:
+    value = f"{ref}.value" if not q else f"coalesce({q.format(ref)}, {ref}.value)"
+    return f"CASE {ref}.source WHEN 'call_output' THEN list_filter({outs}, lambda o: o.call_id = {ref}.call_id)[-1].value ELSE {value} END"
+
+
+def _run_sql(source: str, q: str = "", stop: bool = True) -> str:
+    """CTEs that run the plans (id, calls, final) of ``source`` call by call: done (id, calls, ok, made, outs, result, n_calls).
+
+    The library's programs are one sum of products and quotients of slots and numbers each, which is folded from left to
+    right: s is the sum of the finished terms, t the term so far. q: format of a quantity's value by its reference.
+    """
+    guard = "ok" if stop else "true"
+    return f"""lib AS (SELECT upper(trim(sub_id)) AS sub, list_transform(program.slots, lambda x: x.name) AS names, list_transform(program.slots, lambda x: x.dtype) AS kinds, string_split(program.steps[1].expr, ' ') AS toks FROM sub_library),
+    run(id, calls, i, ok, made, outs) AS (
+        SELECT id, calls, 1, true, 0, CAST([] AS STRUCT(call_id VARCHAR, value DOUBLE)[]) FROM {source} WHERE len(calls) > 0
+        UNION ALL
+        SELECT id, calls, i + 1, ok AND v IS NOT NULL, made + CAST(v IS NOT NULL AS INT), list_append(outs, {{'call_id': calls[i].call_id, 'value': v}})
+        FROM (SELECT *, (folded).s + (folded).t AS v FROM (SELECT *, CASE WHEN {guard} THEN list_reduce(list_transform(range(1, len(toks) + 1, 2), lambda k: {{'op': CASE WHEN k > 1 THEN toks[k - 1] ELSE '' END, 'v': w[(k + 1) // 2], 's': CAST(0 AS DOUBLE), 't': w[(k + 1) // 2]}}),
+                lambda a, x: {{'op': '', 'v': x.v, 's': CASE WHEN x.op IN ('+', '-') THEN a.s + a.t ELSE a.s END, 't': CASE x.op WHEN '*' THEN a.t * x.v WHEN '/' THEN CASE WHEN x.v <> 0 THEN a.t / x.v END WHEN '+' THEN x.v ELSE -x.v END}}) END AS folded
+            FROM (SELECT *, list_transform(range(1, len(toks) + 1, 2), lambda k: coalesce(try_cast(toks[k] AS DOUBLE), vals[list_position(names, toks[k])])) AS w
+                FROM (SELECT r.*, toks, names, list_transform(names, lambda n, k: CASE WHEN kinds[k] = 'int' THEN trunc(list_filter(bound, lambda b: b.n = n)[1].v) ELSE list_filter(bound, lambda b: b.n = n)[1].v END) AS vals
+                    FROM (SELECT r.*, list_transform(map_entries(coalesce(calls[i].bindings, MAP {{}})), lambda b: {{'n': b.key, 'v': {_resolved("b.value", "outs", q)}}}) AS bound FROM run r WHERE i <= len(calls)) r
+                    LEFT JOIN lib ON lib.sub = upper(trim(calls[i].sub_id))))))
+    ),
+    ended AS (SELECT r.id, r.calls, r.outs, CAST(r.made AS BIGINT) AS made, r.ok AS every, CASE WHEN s.final IS NULL OR s.final.source IS NULL THEN r.outs[-1].value ELSE {_resolved("s.final", "r.outs", q)} END AS last
+        FROM run r JOIN {source} s USING (id) WHERE r.i = len(r.calls) + 1),
+    done AS (SELECT id, s.calls, s.final, outs, coalesce(made, 0) AS made, CAST(coalesce(len(s.calls), 0) AS BIGINT) AS n_calls, coalesce(last IS NOT NULL{" AND every" if stop else ""}, false) AS ok, CASE WHEN {"every" if stop else "true"} THEN last END AS result
+        FROM {source} s LEFT JOIN ended USING (id))"""
+
+
+_EACH = f"{_PLANS}, src AS (SELECT plan_key AS id, calls, final FROM plans)"
+_RUN = f"WITH RECURSIVE {_EACH}, {_run_sql('src')}"
+
+
+@query("plan_execute", f"{_RUN} SELECT id AS plan_key, result, ok, n_calls, made AS calls_made FROM done")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return execute.executed_plans(_plans(spark, d), _library(spark, d)).drop("outputs")
 
 
-@query("plan_execute_quantities")
+_FOUR = "CASE WHEN {0}.qid IN ('q0', 'q1', 'q2', 'q3') THEN CAST({0}.qid[2:] AS DOUBLE) + 2 END"
+
+
+@query("plan_execute_quantities", f"WITH RECURSIVE {_EACH}, {_run_sql('src', _FOUR)} SELECT id AS plan_key, result, ok, n_calls, made AS calls_made FROM done")
 def _(spark: SparkSession, d: str) -> DataFrame:
     q = F.map_from_arrays(F.array(*(F.lit(f"q{i}") for i in range(4))), F.array(*(F.lit(float(i + 2)) for i in range(4))))
     return execute.executed_plans(_plans(spark, d), _library(spark, d), quantities=q).drop("outputs")
 
 
-@query("plan_consistency")
+@query(
+    "plan_consistency",
+    f"""
+    WITH RECURSIVE {_EACH}, {_run_sql("src", stop=False)},
+    h AS (SELECT id, list_filter(list_transform(coalesce(calls, []), lambda c, i: {{'hint': c.value_hint.value, 'value': outs[i].value}}), lambda h: h.hint IS NOT NULL) AS h FROM done),
+    n AS (SELECT id, len(h) AS n_hints, len(list_filter(h, lambda x: x.value IS NOT NULL AND abs(x.hint - x.value) < greatest(0.01 * abs(x.value), 1e-3))) AS good, len(list_filter(h, lambda x: x.value IS NOT NULL)) AS compared FROM h)
+    SELECT id AS plan_key, n_hints, good AS n_consistent, compared - good AS n_errors, compared > 0 AND compared = good AS agreement FROM n
+    """,
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return execute.consistency(_plans(spark, d), _library(spark, d))
 
 
-@query("plan_active_bindings")
+_VARIANTS = """base AS (SELECT id, calls, final, result FROM done WHERE ok),
+    each AS (SELECT id, calls, final, result, generate_subscripts(calls, 1) AS pos FROM base),
+    refs AS (SELECT *, unnest(map_entries(calls[pos].bindings)) AS b FROM each),
+    other AS (SELECT *, list_filter(calls[1:pos - 1], lambda p: p.call_id IS NOT NULL AND p.call_id <> b.value.call_id)[1].call_id AS o FROM refs),
+    changed AS (SELECT *, CASE WHEN b.value.source = 'call_output' THEN 'edge' ELSE 'quantity' END AS kind,
+        CASE WHEN b.value.source = 'call_output' THEN CASE WHEN o IS NULL THEN 'constant' ELSE 'call_output' END ELSE b.value.source END AS src_,
+        CASE WHEN b.value.source = 'call_output' THEN CASE WHEN o IS NULL THEN CAST(0 AS DOUBLE) END WHEN b.value.value = 0 THEN 1 ELSE b.value.value * 2 + 7 END AS val_ FROM other),
+    variants AS (SELECT {'id': id, 'pos': pos, 'slot': b.key} AS id, final, kind, result AS base_result, list_transform(calls, lambda c, i: CASE WHEN i = pos THEN {'call_id': c.call_id, 'sub_id': c.sub_id,
+        'bindings': map_from_entries(list_transform(map_entries(c.bindings), lambda e: {'k': e.key, 'v': CASE WHEN e.key = b.key THEN {'source': src_, 'value': val_, 'call_id': CASE WHEN src_ = 'call_output' THEN o END, 'qid': CAST(NULL AS VARCHAR)}
+            ELSE {'source': e.value.source, 'value': e.value.value, 'call_id': e.value.call_id, 'qid': e.value.qid} END}))}
+        ELSE {'call_id': c.call_id, 'sub_id': c.sub_id, 'bindings': CASE WHEN c.bindings IS NOT NULL THEN map_from_entries(list_transform(map_entries(c.bindings), lambda e: {'k': e.key, 'v': {'source': e.value.source, 'value': e.value.value, 'call_id': e.value.call_id, 'qid': e.value.qid}})) END} END) AS calls FROM changed)"""
+
+
+def _again(prefix: str, source: str, **options) -> str:
+    """``_run_sql`` over another source with the names of its CTEs told apart."""
+    sql = _run_sql(source, **options)
+    for name in ("lib", "run", "ended", "done"):
+        sql = re.sub(rf"\b{name}\b", f"{prefix}_{name}", sql)
+    return sql
+
+
+@query(
+    "plan_active_bindings",
+    f"""
+    {_RUN}, {_VARIANTS}, {_again("again", "variants")},
+    a AS (SELECT v.kind, NOT d.ok OR abs(d.result - v.base_result) > 1e-6 AS active FROM variants v JOIN again_done d USING (id))
+    SELECT kind, count(*) AS n_tested, count(*) FILTER (WHERE active) AS n_active, round(count(*) FILTER (WHERE active) / count(*), 4) AS active_rate FROM a GROUP BY 1
+    """,
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     a = execute.active_bindings(_plans(spark, d), _library(spark, d))
     return a.groupBy("kind").agg(F.count("*").alias("n_tested"), F.count_if("active").alias("n_active"), metrics.rate(F.count_if("active"), F.count("*")).alias("active_rate"))
@@ -306,7 +380,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("r.source").agg(F.count("*").alias("n"), F.count("r.value").alias("n_values"), F.round(F.sum("r.value"), 4).alias("total"))
 
 
-@query("edges_to_constants")
+@query(
+    "edges_to_constants",
+    f"""
+    {_RUN}, inlined AS (
+        SELECT id, final, list_transform(calls, lambda c: {{'call_id': c.call_id, 'sub_id': c.sub_id, 'bindings': CASE WHEN c.bindings IS NOT NULL THEN map_from_entries(list_transform(map_entries(c.bindings), lambda e: {{'k': e.key,
+            'v': CASE WHEN e.value.source = 'call_output' AND len(list_filter(outs, lambda o: o.call_id = e.value.call_id)) > 0 THEN {{'source': 'constant', 'value': list_filter(outs, lambda o: o.call_id = e.value.call_id)[1].value, 'call_id': CAST(NULL AS VARCHAR), 'qid': e.value.qid}}
+                ELSE {{'source': e.value.source, 'value': e.value.value, 'call_id': e.value.call_id, 'qid': e.value.qid}} END}})) END}}) AS calls FROM done WHERE ok), {_again("again", "inlined")}
+    SELECT id AS plan_key, result, ok FROM again_done
+    """,
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Plans whose references to calls are replaced by the values that those calls give, with the result they have then."""
     lib = _library(spark, d)
@@ -319,7 +402,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return again.select("plan_key", "result", "ok")
 
 
-@query("hinted_plans")
+@query(
+    "hinted_plans",
+    f"WITH RECURSIVE {_EACH}, {_run_sql('src', stop=False)} SELECT id AS plan_key, CAST(generate_subscripts(outs, 1) - 1 AS BIGINT) AS pos, unnest(outs).value AS hint FROM done WHERE outs IS NOT NULL",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Calls with the value that they give as their hint."""
     done = execute.executed_plans(_plans(spark, d), _library(spark, d), stop=False, keep=("plan_key", "calls"))
@@ -1216,7 +1302,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return search.edit_counts(_plans(spark, d), table(spark, d, "sub_library"))
 
 
-@query("repair_rewards")
+@query(
+    "repair_rewards",
+    f"{_RUN} SELECT id AS plan_key, round(0.25 * made + CASE WHEN n_calls > 0 AND made = n_calls THEN 0.1 ELSE 0 END - 0.05 * n_calls + CASE WHEN abs(result) > 1e-6 THEN 0.2 ELSE 0 END, 6) AS reward FROM done",
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = execute.executed_plans(_plans(spark, d), _library(spark, d))
     return r.select("plan_key", F.round(search.repair_reward(F.col("calls_made"), F.col("n_calls"), F.lit(0), F.col("result")), 6).alias("reward"))
