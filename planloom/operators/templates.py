@@ -14,9 +14,9 @@ def template_fingerprint(steps: Column) -> Column:
 
 
 def bank(templates: DataFrame) -> DataFrame:
-    """(fingerprint, first_id, reuse, n_sources): templates without repeats, with the uses of all copies."""
+    """(fingerprint, first_id, reuse, n_sources, sources): templates without repeats, with the uses of all copies and their ids in order."""
     t = templates.where("steps is not null").select(template_fingerprint(F.col("steps")).alias("fingerprint"), "template_id", F.coalesce("reuse_count", F.lit(0)).alias("reuse_count"))
-    return t.groupBy("fingerprint").agg(F.min("template_id").alias("first_id"), F.sum("reuse_count").alias("reuse"), F.count("*").alias("n_sources"))
+    return t.groupBy("fingerprint").agg(F.min("template_id").alias("first_id"), F.sum("reuse_count").alias("reuse"), F.count("*").alias("n_sources"), F.array_join(F.array_sort(F.collect_set("template_id")), ",").alias("sources"))
 
 
 def bank_stats(templates: DataFrame) -> DataFrame:
@@ -69,25 +69,50 @@ def composed(first: DataFrame, second: DataFrame, on: str) -> DataFrame:
     return j.select("id_a", "id_b", F.array_distinct(F.concat("v_a", rest)).alias("variables"), "v_a", F.concat("e_a", "e_b").alias("steps"))
 
 
-def chains(templates: DataFrame, by: str = "domain", length: int = 3) -> DataFrame:
-    """(chain, n_steps): every ``length`` templates that follow each other by id within a group, composed."""
+def _unmade(names: Column, made: Column) -> Column:
+    return F.filter(names, lambda v: ~F.array_contains(made, v))
+
+
+def chains(templates: DataFrame, by: str = "domain", lengths: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    """(chain, length, n_steps, variables): every so many templates that follow each other by id within a group, composed.
+
+    variables are those that no earlier template of the chain makes, by name, in order. Null lists are as empty ones.
+    """
     w = Window.partitionBy(by).orderBy("template_id")
-    t = templates.where(F.col(by).isNotNull()).select(
-        F.concat_ws(">", *(F.lead("template_id", i).over(w) for i in range(length))).alias("chain"),
-        sum((F.coalesce(F.lead(F.size("steps"), i).over(w), F.lit(0)) for i in range(length)), F.lit(0)).cast("bigint").alias("n_steps"),
-        F.lead("template_id", length - 1).over(w).alias("_last"),
-    )
-    return t.where("_last is not null").select("chain", "n_steps")
+    listed = lambda c, field: F.coalesce(F.transform(c, lambda x: x[field]), F.array().cast("array<string>"))
+    t = templates.where(F.col(by).isNotNull()).select(by, "template_id", listed("variables", "name").alias("v"), listed("steps", "output_var").alias("made"), F.greatest(F.coalesce(F.size("steps"), F.lit(0)), F.lit(0)).alias("n"))
+    ahead = t.select(*(F.lead(c, i).over(w).alias(f"{c}{i}") for c in ("template_id", "v", "made", "n") for i in range(max(lengths))))
+    out = None
+    for k in lengths:
+        free, made = F.col("v0"), F.col("made0")
+        for i in range(1, k):
+            free = F.concat(free, _unmade(F.col(f"v{i}"), made))
+            made = F.concat(made, f"made{i}")
+        row = ahead.where(f"template_id{k - 1} is not null").select(
+            F.concat_ws(">", *(f"template_id{i}" for i in range(k))).alias("chain"), F.lit(k).cast("bigint").alias("length"),
+            sum((F.col(f"n{i}") for i in range(k)), F.lit(0)).cast("bigint").alias("n_steps"), F.array_join(F.array_distinct(free), ",").alias("variables"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def merge(templates: DataFrame, by: str = "domain") -> DataFrame:
-    """(group, n_variables, n_steps): templates of a group as one, its variables by name and its steps without repeats."""
+    """(group, variables, steps): templates of a group as one: its variables by name and its steps without repeats, sorted; what a group holds is bounded by its distinct names and steps."""
     g = F.coalesce(by, F.lit("")).alias("grp")
-    v = templates.select(g, F.explode("variables").alias("v")).groupBy("grp").agg(F.countDistinct("v.name").alias("n_variables"))
-    s = templates.select(g, F.explode("steps").alias("s")).groupBy("grp").agg(F.countDistinct(F.concat("s.operation", F.lit(":"), "s.expression")).alias("n_steps"))
+    v = templates.select(g, F.explode("variables").alias("v")).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("v.name")), ",").alias("variables"))
+    s = templates.select(g, F.explode("steps").alias("s")).groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set(F.concat("s.operation", F.lit(":"), "s.expression"))), ";").alias("steps"))
     return v.join(s, "grp")
 
 
+def shared_variables(templates: DataFrame, by: str = "domain") -> DataFrame:
+    """(id_a, id_b, shared): the variables that a template shares with the next one of its group, in its own order."""
+    w = Window.partitionBy(by).orderBy("template_id")
+    names = F.coalesce(F.transform("variables", lambda v: v["name"]), F.array().cast("array<string>"))
+    t = templates.where(F.col(by).isNotNull()).select(by, "template_id", names.alias("v"))
+    j = t.select(F.col("template_id").alias("id_a"), "v", F.lead("template_id").over(w).alias("id_b"), F.lead("v").over(w).alias("v2"))
+    return j.where("id_b is not null").select("id_a", "id_b", F.array_join(F.array_intersect("v", "v2"), ",").alias("shared"))
+
+
 def abstract(templates: DataFrame) -> DataFrame:
     """(template_id, expressions, n_new): every number in a template's expressions as a new variable c0, c1, ... of its own.
 

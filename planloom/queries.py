@@ -942,7 +942,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # --- templates ---------------------------------------------------------------------------------------------------
 
 
-@query("template_bank", f"SELECT md5(array_to_string(list_transform(steps, lambda s: s.operation || ':' || s.expression), '|'))[1:12] AS fingerprint, min(template_id) AS first_id, CAST(sum(coalesce(reuse_count, 0)) AS BIGINT) AS reuse, count(*) AS n_sources FROM templates WHERE steps IS NOT NULL GROUP BY 1")
+@query("template_bank", f"SELECT md5(array_to_string(list_transform(steps, lambda s: s.operation || ':' || s.expression), '|'))[1:12] AS fingerprint, min(template_id) AS first_id, CAST(sum(coalesce(reuse_count, 0)) AS BIGINT) AS reuse, count(*) AS n_sources, array_to_string(list_sort(list(DISTINCT template_id)), ',') AS sources FROM templates WHERE steps IS NOT NULL GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return templates.bank(table(spark, d, "templates"))
 
@@ -1032,28 +1032,45 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id_a", "id_b", F.array_join("v_a", ",").alias("first_variables"), F.array_join(F.transform("steps", lambda e, i: F.concat((i + 1).cast("string"), F.lit(":"), e)), " ; ").alias("steps"))
 
 
+def _chains_sql() -> str:
+    parts = []
+    for k in range(2, 6):
+        ids = ", ".join(f"lead(id, {i}) OVER w" for i in range(k))
+        free = "list_concat(" + ", ".join(["v"] + [f"list_filter(lead(v, {i}) OVER w, lambda x: NOT list_contains(list_concat({', '.join(f'lead(m, {j}) OVER w' for j in range(i))}), x))" for i in range(1, k)]) + ")"
+        parts.append(f"SELECT concat_ws('>', {ids}) AS chain, CAST({k} AS BIGINT) AS length, {' + '.join(f'lead(n, {i}) OVER w' for i in range(k))} AS n_steps, {free} AS f, lead(id, {k - 1}) OVER w AS last FROM t WINDOW w AS (PARTITION BY domain ORDER BY id)")
+    return (
+        "WITH t AS (SELECT domain, template_id AS id, coalesce(list_transform(variables, lambda x: x.name), []) AS v, coalesce(list_transform(steps, lambda x: x.output_var), []) AS m, coalesce(len(steps), 0) AS n FROM templates WHERE domain IS NOT NULL),"
+        f" c AS ({' UNION ALL '.join(parts)}) SELECT chain, length, n_steps, array_to_string(list_filter(f, lambda x, i: list_position(f, x) = i), ',') AS variables FROM c WHERE last IS NOT NULL"
+    )
+
+
+@query("template_chains", _chains_sql())
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return templates.chains(table(spark, d, "templates"))
+
+
 @query(
-    "template_chains",
+    "template_merge",
     """
-    WITH w AS (SELECT concat_ws('>', template_id, lead(template_id) OVER x, lead(template_id, 2) OVER x) AS chain, lead(template_id, 2) OVER x AS last,
-        coalesce(len(steps), 0) + coalesce(lead(len(steps)) OVER x, 0) + coalesce(lead(len(steps), 2) OVER x, 0) AS n_steps FROM templates WHERE domain IS NOT NULL WINDOW x AS (PARTITION BY domain ORDER BY template_id))
-    SELECT chain, n_steps FROM w WHERE last IS NOT NULL
+    WITH v AS (SELECT coalesce(domain, '') AS grp, array_to_string(list_sort(list(DISTINCT v.name)), ',') AS variables FROM (SELECT domain, unnest(variables) AS v FROM templates) GROUP BY 1),
+    s AS (SELECT coalesce(domain, '') AS grp, array_to_string(list_sort(list(DISTINCT s.operation || ':' || s.expression)), ';') AS steps FROM (SELECT domain, unnest(steps) AS s FROM templates) GROUP BY 1)
+    SELECT grp, variables, steps FROM v JOIN s USING (grp)
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return templates.chains(table(spark, d, "templates"))
+    return templates.merge(table(spark, d, "templates"))
 
 
 @query(
-    "template_merge",
+    "template_shared_variables",
     """
-    WITH v AS (SELECT coalesce(domain, '') AS grp, count(DISTINCT v.name) AS n_variables FROM (SELECT domain, unnest(variables) AS v FROM templates) GROUP BY 1),
-    s AS (SELECT coalesce(domain, '') AS grp, count(DISTINCT s.operation || ':' || s.expression) AS n_steps FROM (SELECT domain, unnest(steps) AS s FROM templates) GROUP BY 1)
-    SELECT grp, n_variables, n_steps FROM v JOIN s USING (grp)
+    WITH t AS (SELECT domain, template_id AS id, coalesce(list_transform(variables, lambda x: x.name), []) AS v FROM templates WHERE domain IS NOT NULL),
+    j AS (SELECT id AS id_a, v, lead(id) OVER w AS id_b, lead(v) OVER w AS v2 FROM t WINDOW w AS (PARTITION BY domain ORDER BY id))
+    SELECT id_a, id_b, array_to_string(list_filter(v, lambda x: list_contains(v2, x)), ',') AS shared FROM j WHERE id_b IS NOT NULL
     """,
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return templates.merge(table(spark, d, "templates"))
+    return templates.shared_variables(table(spark, d, "templates"))
 
 
 @query("template_abstract")

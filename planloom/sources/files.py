@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,39 @@ def read_library_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.explode(F.from_json("value", f"MAP<STRING, {entry}>")).alias("k", "e")).select("e.*")
 
 
+def write_templates(templates: DataFrame, path: str) -> None:
+    """A template bank as JSON objects keyed by template_id, one line per template."""
+    entry = F.struct("template_id", "name", "domain", "variables", "steps", "reuse_count")
+    templates.where("template_id is not null").select(F.to_json(F.create_map("template_id", entry)).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """(template_id, name, domain, variables, steps, reuse_count) of JSON objects keyed by template_id, one or more per line."""
+    entry = "STRUCT<template_id: STRING, name: STRING, domain: STRING, variables: ARRAY<STRUCT<name: STRING, type: STRING>>, steps: ARRAY<STRUCT<step_id: INT, operation: STRING, expression: STRING, inputs: ARRAY<STRING>, output_var: STRING>>, reuse_count: BIGINT>"
+    e = spark.read.text(path).select(F.explode(F.from_json("value", f"MAP<STRING, {entry}>")).alias("k", "e"))
+    return e.select(F.coalesce("e.template_id", "k").alias("template_id"), "e.name", "e.domain", "e.variables", "e.steps", F.coalesce("e.reuse_count", F.lit(0)).alias("reuse_count"))
+
+
+def extracted(df: DataFrame, key: str, path: str, work: Callable[[DataFrame], DataFrame], parts: int = 8, stop_after: int | None = None) -> DataFrame:
+    """``work`` of ``df``, done part by part of a hash of ``key`` and written to ``path``; parts that are done are not done again.
+
+    A part is finished when its own marker of success is written, so a run that was cut off goes on with the part that it
+    was in. stop_after: parts to do in this run, for tests. The result is read from what is written.
+    """
+    spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = 0
+    for i in range(parts):
+        here = f"{path}/part={i}"
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{here}/_SUCCESS")):
+            continue
+        if stop_after is not None and done >= stop_after:
+            break
+        work(df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)).write.mode("overwrite").parquet(here)
+        done += 1
+    return spark.read.parquet(path).drop("part")
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(value VARIANT): records of JSON lines, of a JSON list, of one under a well-known key, or of all lists of an object."""
     text = spark.read.text(path, wholetext=True)
