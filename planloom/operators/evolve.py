@@ -1,4 +1,4 @@
-"""Growing a library from what plans do, plans from programs, repair of failed plans, control variants for ablations."""
+"""Growing a library from what plans do, plans from programs, control variants for ablations."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from planloom.operators.library import canonical_step, program_steps
-from planloom.operators.search import edits, repair_reward
-from planloom.plans.execute import executed_plans
-from planloom.plans.programs import Program
 
 
 def varying_slots(calls: DataFrame) -> DataFrame:
@@ -51,22 +48,6 @@ def program_plans(programs: DataFrame, primitives: DataFrame, key: str = "row_id
     )
 
 
-def repaired(plans: DataFrame, library: dict[str, Program], entries: DataFrame, width: int = 4) -> DataFrame:
-    """(plan_key, at, sub, result, reward, rank): for plans that fail, the substitutions of one call that run, the best ``width``.
-
-    A substitute keeps the bindings of the call that it replaces; slots that it lacks make it fail like any other plan.
-    """
-    failed = executed_plans(plans, library, keep=("plan_key", "calls", "final")).where(~F.col("ok") & (F.size("calls") > 0)).select("plan_key", "calls", "final")
-    subs = failed.select("plan_key", F.transform("calls", lambda c: F.upper(F.trim(c["sub_id"]))).alias("subs"))
-    e = edits(subs, entries).where("edit = 'substitute'").select("plan_key", "at", "sub")
-    swap = "transform(calls, (c, i) -> named_struct('call_id', c.call_id, 'sub_id', if(i = at, sub, c.sub_id), 'bindings', c.bindings, 'value_hint', c.value_hint))"
-    variants = failed.join(e, "plan_key").withColumn("calls", F.expr(swap))
-    done = executed_plans(variants, library, keep=("plan_key", "at", "sub")).where("ok")
-    scored = done.withColumn("reward", F.round(repair_reward(F.col("calls_made"), F.col("n_calls"), F.lit(0), F.col("result")), 6))
-    w = Window.partitionBy("plan_key").orderBy(F.desc("reward"), "at", "sub")
-    return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= width).select("plan_key", "at", "sub", "result", "reward", "rank")
-
-
 def windowed_entries(programs: DataFrame, lengths: DataFrame, key: str = "row_id", seed: int = 42) -> DataFrame:
     """(sub_id, key, start, n_steps): for each (sub_id, n_steps) of ``lengths`` a run of as many steps of some program, by hash.
 

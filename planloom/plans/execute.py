@@ -74,7 +74,7 @@ def executed_plans(plans: DataFrame, library: dict[str, Program], quantities: Co
     ok = F.coalesce(good, F.lit(False))
     return df.select(
         *keep,
-        F.when(ok, F.col("_final")).alias("result"),
+        F.when(ok, F.col("_final") + F.lit(0.0)).alias("result"),
         ok.alias("ok"),
         F.greatest(F.coalesce(F.size("calls"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_calls"),
         F.coalesce("_r.made", F.lit(0)).cast("bigint").alias("calls_made"),
@@ -135,11 +135,12 @@ def active_bindings(plans: DataFrame, library: dict[str, Program]) -> DataFrame:
     return again.select("plan_key", "slot", F.col("call_pos").cast("bigint").alias("call_pos"), "kind", (~F.col("ok") | (F.abs(F.col("result") - F.col("_base")) > 1e-6)).alias("active"))
 
 
-def compose(calls: list, library: dict[str, Program], initial: dict | None = None) -> tuple[bool, float | None, int, str | None]:
+def compose(calls: list, library: dict[str, Program], initial: dict | None = None, run=run) -> tuple[bool, float | None, int, str | None]:
     """(ok, result, calls that succeeded, error) of calls (sub_id, bindings) that inherit variables.
 
     A slot takes its explicit binding, else the variable of its name, else the only variable that can be of its type;
-    with several there is no way to tell and the call fails. Later calls see every variable of earlier ones.
+    with several there is no way to tell and the call fails. Later calls see every variable of earlier ones. run: how a
+    program is run on its values.
     """
     env = dict(initial or {})
     out, made = None, 0

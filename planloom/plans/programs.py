@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -118,6 +119,15 @@ def output_sql(program: Program, bindings: dict[str, str]) -> str:
     return f"aggregate(sequence(0, {len(cases) - 1}), CAST(array({start}) AS array<double>), (e, i) -> concat(e, array(CASE i {' '.join(cases)} END)), e -> e[{last}])"
 
 
+def sql_function(spark, name: str, program: Program) -> None:
+    """Register a program as a temporary SQL function of its slots, as doubles; its body is SQL, so calls of it are inlined."""
+    if not re.fullmatch(r"[A-Za-z_]\w*", name):
+        raise ValueError(f"no name of a function: {name}")
+    args = {s.name: f"a{i}" for i, s in enumerate(program.slots)}
+    body = output_sql(program, args)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({', '.join(f'{a} DOUBLE' for a in args.values())}) RETURNS DOUBLE RETURN CAST({body} AS DOUBLE)")
+
+
 def with_program(df: DataFrame, program: Program, bindings: dict[str, str], prefix: str = "") -> DataFrame:
     """``df`` with a column per target, ``<prefix>output``, ``<prefix>ok`` and ``<prefix>failed_step`` (-1 if none failed).
 

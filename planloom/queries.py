@@ -410,7 +410,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     """Calls with the value that they give as their hint."""
     done = execute.executed_plans(_plans(spark, d), _library(spark, d), stop=False, keep=("plan_key", "calls"))
     hints = F.expr("transform(outputs, o -> o.value)")
-    return done.select("plan_key", F.posexplode(hints).alias("pos", "hint")).select("plan_key", F.col("pos").cast("bigint").alias("pos"), "hint")
+    return done.select("plan_key", F.posexplode(hints).alias("pos", "hint")).select("plan_key", F.col("pos").cast("bigint").alias("pos"), (F.col("hint") + F.lit(0.0)).alias("hint"))
 
 
 # --- features and splits -----------------------------------------------------------------------------------------
@@ -1439,12 +1439,6 @@ def _lengths(entries: DataFrame) -> DataFrame:
     return entries.where("program is not null").select("sub_id", F.size("program.steps").alias("n_steps"))
 
 
-@query("plan_repair")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    few = table(spark, d, "sub_library").orderBy(F.desc("support"), "sub_id").limit(12)
-    return evolve.repaired(_plans(spark, d), _library(spark, d), few)
-
-
 @query(
     "combined_values",
     """

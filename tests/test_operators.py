@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from planloom import queries as core
-from planloom import record_queries  # noqa: F401 - registers its queries
+from planloom import audit_queries, record_queries  # noqa: F401 - they register their queries
 from planloom.functions import text
 from planloom.operators import evolve, features, library, metrics, search, templates
 from planloom.plans.programs import Program, Slot, Step
