@@ -325,7 +325,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 def _searched(spark: SparkSession, d: str, calls: int) -> DataFrame:
     h = table(spark, d, "heldout_items").select("item_id", text.numbers(F.col("problem")).alias("numbers"), text.to_number(F.trim("answer")).alias("gold"))
-    return growth.searched_plans(h.repartition(8, "item_id"), dict(sorted(_library(spark, d).items())), calls)
+    return growth.searched_plans(h, dict(sorted(_library(spark, d).items())), calls)
 
 
 @query(
@@ -361,13 +361,13 @@ def _composed(spark: SparkSession, d: str) -> DataFrame:
 
 @query("plan_repair")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return growth.repaired_plans(_composed(spark, d).repartition(8, "plan_key"), dict(sorted(_library(spark, d).items())))
+    return growth.repaired_plans(_composed(spark, d), dict(sorted(_library(spark, d).items())))
 
 
 @query("recovery")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """How many of the plans that fail are repaired, and whether that is a fifth of them."""
-    r = growth.repaired_plans(_composed(spark, d).repartition(8, "plan_key"), dict(sorted(_library(spark, d).items())))
+    r = growth.repaired_plans(_composed(spark, d), dict(sorted(_library(spark, d).items())))
     failed, back = F.count_if(~F.col("ran")), F.count_if(~F.col("ran") & F.col("runs"))
     a = r.agg(F.count("*").alias("total"), F.count_if("ran").alias("ran"), failed.alias("failed"), back.alias("recovered"), metrics.rate(back, failed).alias("recovery_rate"), metrics.rate(F.count_if("runs"), F.count("*")).alias("total_rate"))
     return a.withColumn("enough", F.col("recovery_rate") >= 0.2)

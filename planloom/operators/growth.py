@@ -111,6 +111,11 @@ def evolved(patterns: list[tuple[str, int, float]], library: dict[str, Program],
     return out
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows that each take long, in as many parts as a shuffle has, whatever their size; by a hash of the key that no earlier step can have parted them by."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(F.lit("spread"), key))
+
+
 # --- bindings for a wanted result ----------------------------------------------------------------------------------
 
 
@@ -207,7 +212,8 @@ def searched_plans(items: DataFrame, library: dict[str, Program], calls: int = 1
                     rows.append((key, found[0] if calls == 1 else f"{found[0]}>{found[1]}", found[2]))
             yield pd.DataFrame(rows, columns=["item_id", "plan", "result"])
 
-    return items.where("numbers is not null and gold is not null").select("item_id", "numbers", "gold").mapInPandas(batches, "item_id bigint, plan string, result double")
+    rows = items.where("numbers is not null and gold is not null").select("item_id", "numbers", "gold")
+    return spread(rows, "item_id").mapInPandas(batches, "item_id bigint, plan string, result double")
 
 
 def candidate_scores(library: dict[str, Program]) -> list[tuple[str, float, bool]]:
@@ -240,7 +246,6 @@ def repaired(calls: list[tuple[str, dict]], library: dict[str, Program], rounds:
     from planloom.plans.execute import compose
 
     known: dict = {}  # many changes have the same first calls
-    judged: dict = {}  # and some are the same plan
 
     def once(program: Program, values: dict):
         key = (id(program), tuple(values.values()))
@@ -258,12 +263,6 @@ def repaired(calls: list[tuple[str, dict]], library: dict[str, Program], rounds:
         return True
 
     def reward(plan, is_safe: bool) -> tuple[float, bool]:
-        key = (is_safe, tuple((sub, tuple(given.items())) for sub, given in plan))
-        if key not in judged:
-            judged[key] = weighed(plan, is_safe)
-        return judged[key]
-
-    def weighed(plan, is_safe: bool) -> tuple[float, bool]:
         ok, out, made, _ = compose(plan, library, run=once)
         good = ok and isinstance(out, (int, float)) and math.isfinite(out)
         return 0.25 * made + 0.10 * (bool(plan) and made == len(plan)) - 0.05 * len(plan) - 0.10 * (not is_safe) + 0.20 * bool(good and abs(out) > 1e-6), bool(good)
@@ -321,4 +320,4 @@ def repaired_plans(plans: DataFrame, library: dict[str, Program]) -> DataFrame:
                 rows.append((key, ran, ">".join(c for c, _ in plan), runs, score, used))
             yield pd.DataFrame(rows, columns=["plan_key", "ran", "plan", "runs", "reward", "rounds"]).astype({"reward": "float64"})
 
-    return plans.select("plan_key", "steps").mapInPandas(batches, "plan_key bigint, ran boolean, plan string, runs boolean, reward double, rounds bigint")
+    return spread(plans.select("plan_key", "steps"), "plan_key").mapInPandas(batches, "plan_key bigint, ran boolean, plan string, runs boolean, reward double, rounds bigint")
