@@ -7,6 +7,7 @@ share of characters under the most frequent word n-gram), which tell boilerplate
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,28 +29,27 @@ COMMON = {
 }
 _COMMON = frozenset(w for ws in COMMON.values() for w in ws.split())
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’][\p{L}]+)?")
-_LETTERS = regex.compile(r"\p{L}+")
-_MARK = regex.compile(r"^\s*(?:[-*+•–—·▪◦‣○●►✓]|\[[ xX✓]?\]|[☐☑]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.):])\s+\S")
-_SENTENCE_END = regex.compile(r"[.!?。！？…][\"'”’)\]»]*(?=\s|$)")
-_LINE_END = regex.compile(r"[.!?。！？…:;,][\"'”’)\]»]*\s*$")
-_STOP_END = regex.compile(r"[.!?。！？…][\"'”’)\]»]*\s*$")
-_SPACED = regex.compile(r"(?:\t|  +)")
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W\d_]+)?")
+_MARK = re.compile(r"^\s*(?:[-*+•–—·▪◦‣○●►✓]|\[[ xX✓]?\]|[☐☑]|\(?(?:\d{1,4}|[a-zA-Z]|[ivxIVX]{1,5})[.):])\s+\S")
+_SENTENCE_END = re.compile(r"[.!?。！？…][\"'”’)\]»]*(?=\s|$)")
+_LINE_END = re.compile(r"[.!?。！？…:;,][\"'”’)\]»]*\s*$")
+_STOP_END = re.compile(r"[.!?。！？…][\"'”’)\]»]*\s*$")
+_SPACED = re.compile(r"(?:\t|  +)")
 _BROKEN = regex.compile(r"[ÃÂâ€™¢£¤¥¦§¨ª«¬¯°±²³´µ¶·¸¹º»¼½¾¿ï�\p{C}--[\n\r\t]]", regex.V1)
 _MIXED = regex.compile(r"\p{Ll}\p{Lu}|\p{N}\p{L}|\p{L}\p{N}.*\p{L}")
-_BLANK_LINE = regex.compile(r"\n\s*\n")
+_BLANK_LINE = re.compile(r"\n\s*\n")
 _VOWELS = regex.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøùúûüœ]", regex.I)
-_HEX = regex.compile(r"^(?=[^\W\d]*\d)(?=\d*[^\W\d])[0-9a-fA-F]{2,16}$")
-_DUMP = regex.compile(r"^\s*(?:0x)?[0-9a-fA-F]{4,16}:?\s+(?:[0-9a-fA-F]{2,8}\s+){4,}")
-_SEGMENT = regex.compile(r"[.!?。！？…;,\n]+")
-_RULE = regex.compile(r"[\s|+:=\-–—]{3,}")
+_HEX = re.compile(r"^(?=[^\W\d]*\d)(?=\d*[^\W\d])[0-9a-fA-F]{2,16}$")
+_DUMP = re.compile(r"^\s*(?:0x)?[0-9a-fA-F]{4,16}:?\s+(?:[0-9a-fA-F]{2,8}\s+){4,}")
+_SEGMENT = re.compile(r"[.!?。！？…;,\n]+")
+_RULE = re.compile(r"[\s|+:=\-–—]{3,}")
 
 FIELDS = {
     "n_words": "bigint", "n_lines": "bigint", "mean_word_length": "double", "symbol_ratio": "double", "digit_ratio": "double", "punctuated_lines": "double",
     "common_words": "double", "duplicate_lines": "double", "duplicate_paragraphs": "double", "duplicate_segments": "double", "top_ngram_chars": "double", "distinct_words": "double",
     "marked_lines": "double", "marked_words": "double", "dump_lines": "double", "row_lines": "double", "broken_chars": "double", "odd_words": "double", "sentences": "bigint", "words_per_line": "double", "short_lines": "double", "short_words": "double",
 }
-SCHEMA = "doc_id bigint, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", form string"
+SCHEMA = "doc_id bigint, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", form string, rule string"
 
 
 def _cells(line: str, sep: str) -> int:
@@ -156,29 +156,46 @@ def statistics(text: str | None) -> dict:
     }
 
 
-def form(s: dict) -> str:
-    """prose, list, table or junk, by the rules on ``statistics`` in this order."""
+#: Share of repeated lines or paragraphs from which on prose is boilerplate.
+BOILERPLATE = 0.3
+
+
+def judged(s: dict) -> tuple[str, str]:
+    """The form of a text and the rule that decides it, by the rules on ``statistics`` in this order.
+
+    Repetition makes junk where one thing is said over and over: the most frequent n-gram, repeated segments, lines or
+    paragraphs. Where it is less, prose stays prose, but is told as boilerplate.
+    """
     n, lines = s["n_words"], s["n_lines"]
     if n == 0:
-        return "junk"
+        return "junk", "no words"
     marked = lines >= 3 and s["marked_lines"] >= 0.5 and s["marked_words"] >= 0.5
-    if marked and s["broken_chars"] < 0.05 and s["top_ngram_chars"] <= 0.5 and s["duplicate_segments"] <= 0.6:
-        return "list"
-    if s["broken_chars"] > 0.08 or s["dump_lines"] > 0.5 or s["odd_words"] > 0.4 and s["common_words"] < 0.12 and s["row_lines"] < 0.6:
-        return "junk"
+    if marked and s["broken_chars"] < 0.05 and s["top_ngram_chars"] <= 0.5 and s["duplicate_segments"] <= 0.6 and s["duplicate_paragraphs"] <= 0.8:
+        return "list", "marks"
+    if s["broken_chars"] > 0.08:
+        return "junk", "broken characters"
+    if s["dump_lines"] > 0.5:
+        return "junk", "dump"
+    if s["odd_words"] > 0.4 and s["common_words"] < 0.12 and s["row_lines"] < 0.6:
+        return "junk", "odd words"
     if s["row_lines"] >= 0.6 and lines >= 3 and not s["duplicate_lines"] > 0.8:
-        return "table"
+        return "table", "rows"
     if s["symbol_ratio"] > 0.45 and s["common_words"] < 0.1:
-        return "junk"
-    if n >= 6 and (s["top_ngram_chars"] > 0.5 or s["duplicate_segments"] > 0.6 and n >= 12 or s["duplicate_lines"] > 0.8 and lines >= 5):
-        return "junk"
+        return "junk", "symbols"
+    if n >= 6 and (s["top_ngram_chars"] > 0.5 or s["duplicate_segments"] > 0.6 and n >= 12 or max(s["duplicate_lines"], s["duplicate_paragraphs"]) > 0.8 and lines >= 5):
+        return "junk", "repetition"
     per_sentence = n / max(1, s["sentences"])
     broken_prose = s["words_per_line"] < 1.5 and s["common_words"] >= 0.2  # a word to a line
     if lines >= 3 and s["words_per_line"] <= 7 and s["short_lines"] >= 0.5 and s["short_words"] >= 0.4 and not broken_prose and (s["sentences"] <= 0.3 * lines or s["words_per_line"] <= 4):
-        return "list"
+        return "list", "short lines"
     if s["common_words"] < 0.08 and (per_sentence > 25 or s["sentences"] == 0):
-        return "junk"
-    return "prose"
+        return "junk", "no sentences"
+    return "prose", "boilerplate" if max(s["duplicate_lines"], s["duplicate_paragraphs"]) > BOILERPLATE else "sentences"
+
+
+def form(s: dict) -> str:
+    """prose, list, table or junk; see ``judged``."""
+    return judged(s)[0]
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,12 +203,12 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for doc_id, text in zip(b["doc_id"], b["text"]):
             s = statistics(text)
-            rows.append((doc_id, *s.values(), form(s)))
-        yield pd.DataFrame(rows, columns=["doc_id", *FIELDS, "form"])
+            rows.append((doc_id, *s.values(), *judged(s)))
+        yield pd.DataFrame(rows, columns=["doc_id", *FIELDS, "form", "rule"])
 
 
 def text_quality(documents: DataFrame) -> DataFrame:
-    """``FIELDS`` and form of each document (doc_id, text); rows with a null id are left out, repeated rows stay repeated."""
+    """``FIELDS``, form and the rule that decides it of each document (doc_id, text); rows with a null id are left out, repeated rows stay repeated."""
     return documents.where("doc_id is not null").select("doc_id", "text").mapInPandas(_rows, SCHEMA)
 
 
@@ -204,3 +221,19 @@ def not_prose(documents: DataFrame) -> DataFrame:
     """(doc_id, form) of the documents that are a list, a table or junk, by the rules of ``text_quality``."""
     docs = documents.where("doc_id is not null").select("doc_id", "text")
     return docs.mapInPandas(_forms, "doc_id bigint, form string").where(F.col("form") != "prose")
+
+
+def rule_counts(documents: DataFrame) -> DataFrame:
+    """(form, rule, n_docs, mean_words): how many documents each rule decides, and how long they are."""
+    return text_quality(documents).groupBy("form", "rule").agg(F.count("*").alias("n_docs"), F.avg("n_words").alias("mean_words"))
+
+
+def label_agreement(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(half, n, n_agree): how many labelled documents get their label, in both halves of the labels by a hash of the document's id.
+
+    Of several labels of a document the first in order counts; null and unknown ones are left out.
+    """
+    named = labels.select("doc_id", F.lower(F.trim("form")).alias("label")).where("label in ('prose', 'list', 'table', 'junk') and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+    j = text_quality(documents.join(named.select("doc_id"), "doc_id", "left_semi")).select("doc_id", "form").join(named, "doc_id")
+    half = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 2), 16, 10).cast("bigint") % 2
+    return j.groupBy(half.alias("half")).agg(F.count("*").alias("n"), F.count_if(F.col("form") == F.col("label")).alias("n_agree"))

@@ -99,14 +99,23 @@ def p8_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_counts(spark: SparkSession, d: str) -> DataFrame:
     s = quality.text_quality(table(spark, d, "documents"))
-    return s.select("doc_id", "n_words", "n_lines")
+    shares = ("mean_word_length", "common_words", "duplicate_lines", "duplicate_paragraphs", "punctuated_lines")
+    return s.select("doc_id", "n_words", "n_lines", *(F.round(c, 6).alias(c) for c in shares))
+
+
+def p8_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality.rule_counts(table(spark, d, "documents"))
+
+
+def p8_labels(spark: SparkSession, d: str) -> DataFrame:
+    return quality.label_agreement(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p2_found, p2_counts, p2_classes, p3_found, p3_records, p4_found, p4_pattern_lift, p4_plan_lift, p5_found, p5_counts, p5_steps, p5_pairs,
-        p6_found, p6_longest, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts,
+        p6_found, p6_longest, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts, p8_rules, p8_labels,
     )
 }
 
@@ -154,6 +163,10 @@ _RECORDS = f"""
 
 
 
+_BLANKS = "\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+_BARE = f"regexp_replace(x, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
+
+
 def _lift_sql(kind: str) -> str:
     return f"""
         WITH {_BASKETS}
@@ -190,10 +203,16 @@ SQL: dict[str, str] = {
         lengths AS (SELECT doc_id, item_id, count(*) + 12 AS n FROM runs GROUP BY doc_id, item_id, diagonal, run)
         SELECT doc_id, item_id, max(n) AS longest FROM lengths GROUP BY 1, 2
     """,
-    "p8_counts": """
-        SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[\\p{L}\\p{N}]+(?:[''’][\\p{L}]+)?')) AS BIGINT) AS n_words,
-            CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]'))) AS BIGINT) AS n_lines
-        FROM documents
+    "p8_counts": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id IS NOT NULL),
+        l AS (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{_BLANKS}]')) AS lines, list_filter(list_transform(regexp_split_to_array(t, '\\n[{_BLANKS}]*\\n'), lambda x: {_BARE}), lambda x: x <> '') AS paragraphs,
+            regexp_extract_all(t, '[\\p{{L}}\\p{{N}}]+(?:[''’][\\p{{L}}]+)?') AS w FROM d)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(lines) AS BIGINT) AS n_lines, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w) ELSE 0 END, 6) AS mean_word_length,
+            round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains({sorted(quality._COMMON)}, lower(x)))) / len(w) ELSE 0 END, 6) AS common_words,
+            round(CASE WHEN len(lines) > 0 THEN 1 - len(list_distinct(list_transform(lines, lambda x: lower({_BARE})))) / len(lines) ELSE 0 END, 6) AS duplicate_lines,
+            round(CASE WHEN len(paragraphs) > 0 THEN 1 - len(list_distinct(paragraphs)) / len(paragraphs) ELSE 0 END, 6) AS duplicate_paragraphs,
+            round(CASE WHEN len(lines) > 0 THEN len(list_filter(lines, lambda x: regexp_matches(x, '[.!?。！？…]["''”’)\\]»]*[{_BLANKS}]*$'))) / len(lines) ELSE 0 END, 6) AS punctuated_lines
+        FROM l
     """,
     "p4_found": f"""
         WITH {_BASKETS}
