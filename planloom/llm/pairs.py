@@ -299,6 +299,13 @@ def defects(messages: DataFrame) -> DataFrame:
     return judged(messages).select("conv_id", "turn", "defect")
 
 
+def shortened_answers(messages: DataFrame) -> DataFrame:
+    """(kind, q, id): answers, by the MD5 of their text, that are beginnings of others: 'within' of any, 'own' of one on the same question q."""
+    said = question_answers(messages).select(F.md5(F.concat_ws(" ", words(F.col("question")))).alias("q"), F.rtrim("answer", F.lit(" \t\r\n")).alias("text"))
+    within, own = shortened(said.withColumn("id", F.md5("text")))
+    return within.distinct().select(F.lit("within").alias("kind"), F.lit("").alias("q"), "id").unionByName(own.distinct().select(F.lit("own").alias("kind"), "q", "id"))
+
+
 def truncation_steps(messages: DataFrame) -> DataFrame:
     """(step, n_pairs): by which step the truncated answers are known."""
     return judged(messages).where("defect = 'truncated'").groupBy("step").agg(F.count("*").alias("n_pairs"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import canonical, cooccur, mixing, overlap, pairs, quality, tiling
+from planloom.llm import canonical, cooccur, mixing, overlap, pairs, quality, tiling, words
 from planloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,6 +66,10 @@ def p5_steps(spark: SparkSession, d: str) -> DataFrame:
     return pairs.truncation_steps(table(spark, d, "chat_messages"))
 
 
+def p5_shortened(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.shortened_answers(table(spark, d, "chat_messages"))
+
+
 def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.question_answers(table(spark, d, "chat_messages")).select("conv_id", "turn", "answered")
 
@@ -114,7 +119,7 @@ def p8_labels(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p2_found, p2_counts, p2_classes, p3_found, p3_records, p4_found, p4_pattern_lift, p4_plan_lift, p5_found, p5_counts, p5_steps, p5_pairs,
+        p2_found, p2_counts, p2_classes, p3_found, p3_records, p4_found, p4_pattern_lift, p4_plan_lift, p5_found, p5_counts, p5_steps, p5_shortened, p5_pairs,
         p6_found, p6_longest, p6_report, p7_uses, p7_shares, p8_found, p8_stats, p8_counts, p8_rules, p8_labels,
     )
 }
@@ -176,7 +181,24 @@ def _lift_sql(kind: str) -> str:
     """
 
 
+#: Words of a text as p2 takes them: separators within numbers dropped, lower case, letters and digits only. DuckDB has no
+#: look-around, so separators are dropped again and again for groups that touch. Distances are those of texts with one byte a word.
+_JOINED = "regexp_replace(regexp_replace({0}, '(\\d)[,''’  ٬](\\d{{3}})([^\\d]|$)', '\\1\\2\\3', 'g'), '(\\d)[,''’  ٬](\\d{{3}})([^\\d]|$)', '\\1\\2\\3', 'g')"
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace({0}, '^(-?)0+(\\d)', '\\1\\2'), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+_OVERLAPS = f"""
+    e AS (SELECT item_id, min({{'split': lower(trim(split)), 'source': source, 'problem': problem, 'answer': answer}}) AS r FROM eval_results
+        WHERE item_id IS NOT NULL AND problem IS NOT NULL AND answer IS NOT NULL AND lower(trim(split)) IN ('train', 'dev', 'test') GROUP BY 1),
+    j AS (SELECT item_id, r.split AS split, r.source AS source, {_JOINED.format("r.problem")} AS p, regexp_extract({_JOINED.format("r.answer")}, '(?:^|[^\\p{{L}}\\p{{N}}.])([-−]?\\d+(?:\\.\\d+)?)', 1) AS a FROM e),
+    t AS (SELECT item_id, split, source, {_PLAIN.format("replace(a, '−', '-')")} AS answer, list_transform(regexp_extract_all(p, '\\d+(?:\\.\\d+)?'), lambda x: {_PLAIN.format("x")}) AS numbers, regexp_extract_all(lower(p), '[\\p{{L}}\\p{{N}}]+') AS w FROM j WHERE a <> ''),
+    c AS (SELECT x.item_id AS train_id, y.item_id AS eval_id, y.split AS split, y.source AS source, x.w AS a, y.w AS b, list_distinct(list_concat(x.w, y.w)) AS v FROM t x JOIN t y ON x.answer = y.answer AND x.numbers = y.numbers AND x.split = 'train' AND y.split <> 'train'),
+    d AS (SELECT train_id, eval_id, split, source, CAST(floor(0.2 * greatest(len(a), len(b)) + 1e-9) AS BIGINT) AS most, CASE WHEN a = b THEN 0 WHEN len(list_filter(list_distinct(a), lambda x: NOT list_contains(b, x))) > 0.2 * greatest(len(a), len(b)) THEN 1000000 WHEN len(v) <= 126 THEN
+        levenshtein(array_to_string(list_transform(a, lambda x: chr(CAST(list_position(v, x) AS INT))), ''), array_to_string(list_transform(b, lambda x: chr(CAST(list_position(v, x) AS INT))), '')) END AS n FROM c),
+    pairs AS (SELECT train_id, eval_id, split, source FROM d WHERE n <= most)
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_OVERLAPS} SELECT least(train_id, eval_id) AS item_id_a, greatest(train_id, eval_id) AS item_id_b FROM pairs",
+    "p2_counts": f"WITH {_OVERLAPS} SELECT split, coalesce(source, '') AS source, count(*) AS n_pairs, count(DISTINCT eval_id) AS n_items FROM pairs GROUP BY 1, 2",
     "p3_found": f"WITH {_RECORDS} SELECT keep_id, row_id AS copy_id FROM r WHERE row_id <> keep_id",
     "p5_pairs": """
         WITH m AS (
@@ -187,6 +209,15 @@ SQL: dict[str, str] = {
         SELECT u.conv_id, u.turn, a.conv_id IS NOT NULL AS answered
         FROM m u LEFT JOIN m a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.r = 'assistant' WHERE u.r = 'user'
     """,
+    "p5_shortened": """
+        WITH m AS (SELECT conv_id, turn, content, CASE WHEN lower(trim(role)) IN ('user', 'human', 'customer', 'prompter') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'gpt', 'model', 'bot', 'ai', 'chatbot') THEN 'assistant' END AS r FROM chat_messages WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+        u AS (SELECT conv_id, turn, max(content) AS question FROM m WHERE r = 'user' GROUP BY 1, 2), a AS (SELECT conv_id, turn, max(content) AS answer FROM m WHERE r = 'assistant' GROUP BY 1, 2),
+        t AS (SELECT DISTINCT md5(array_to_string(regexp_extract_all(lower(coalesce(question, '')), '[\\p{L}\\p{N}]+'), ' ')) AS q, rtrim(answer, chr(32) || chr(9) || chr(13) || chr(10)) AS text FROM u JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE answer IS NOT NULL),
+        e AS (SELECT q, text, md5(text) AS id, length(text) AS n, regexp_matches(text, '\\p{L}$') AS letter, regexp_matches(text, '\\p{N}$') AS figure, len(regexp_extract_all(text, '[\\p{L}\\p{N}]+')) >= 4 AS tells FROM t WHERE text <> ''),
+        d AS (SELECT DISTINCT id, text, n, letter AND tells AS open FROM e)
+        SELECT DISTINCT 'within' AS kind, '' AS q, x.id FROM d x JOIN d y ON y.n > x.n AND starts_with(y.text, x.text) WHERE x.open AND regexp_matches(y.text[x.n + 1], '[\\p{L}\\p{N}]')
+        UNION ALL SELECT DISTINCT 'own', x.q, x.id FROM e x JOIN e y ON x.q = y.q AND y.n > x.n AND starts_with(y.text, x.text) WHERE NOT (x.figure AND regexp_matches(y.text[x.n + 1], '[\\p{L}\\p{N}]'))
+    """,
     "p6_found": """
         WITH i AS (SELECT item_id, regexp_extract_all(lower(problem), '[\\p{L}\\p{N}]+') AS w FROM heldout_items),
         ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS k FROM i)),
