@@ -56,25 +56,31 @@ def depths(calls: DataFrame) -> DataFrame:
 
 
 def compounds(calls: DataFrame) -> DataFrame:
-    """(plan_key, compound), distinct: neighbours, slots, flows, shared slots, depths, arities and length of each plan."""
-    d = depths(calls)
+    """(plan_key, compound), distinct: neighbours, slots, flows, shared slots, depths, arities and length of each plan.
+
+    One sort of the calls by plan serves all of them: each call gives an array of its compounds, with what comes after it
+    in its plan, and the repeats of a plan are dropped where it is.
+    """
+    after = _in_plan().rowsBetween(1, Window.unboundedFollowing)
+    d = depths(calls).withColumn("_later", F.collect_list(F.struct("sub", "keys")).over(after))
     nxt = lambda c, i=1: F.lead(c, i).over(_in_plan())
-    d = d.withColumns({"s1": nxt("sub"), "s2": nxt("sub", 2), "a1": nxt(F.size("keys")), "d1": nxt("depth"), "d2": nxt("depth", 2)})
+    d = d.withColumns({"s1": nxt("sub"), "s2": nxt("sub", 2), "a1": nxt(F.size("keys")), "d1": nxt("depth"), "d2": nxt("depth", 2), "_total": F.when(F.lead("pos").over(_in_plan()).isNull(), F.count("*").over(_in_plan()))})
     cat = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
     s = lambda c: F.col(c).cast("string")
-    rows = [
-        d.select("plan_key", cat("bigram:", s("sub"), ">", s("s1")).alias("compound")),
-        d.select("plan_key", cat("trigram:", s("sub"), ">", s("s1"), ">", s("s2")).alias("compound")),
-        d.select("plan_key", cat("flow:", s("sub"), "->", s("s1")).alias("compound")),
-        d.select("plan_key", cat("pos:", s("pos"), ":", s("sub")).alias("compound")),
-        d.select("plan_key", cat("arity_pair:", F.size("keys").cast("string"), ">", s("a1")).alias("compound")),
-        d.select("plan_key", cat("depth_trigram:", s("depth"), ">", s("d1"), ">", s("d2")).alias("compound")),
-        d.select("plan_key", "sub", F.explode("keys").alias("k")).select("plan_key", cat("bind:", s("sub"), ".", s("k")).alias("compound")),
-        d.select("plan_key", cat("type_sig:", s("sub"), "(", F.array_join(F.array_sort(F.transform(F.map_values("refs"), lambda r: F.coalesce(r["dtype"], F.lit("float")))), ","), ")").alias("compound")),
-        d.groupBy("plan_key").agg(cat("total_calls:", F.count("*").cast("string")).alias("compound")),
-        shared_slots(d).select("plan_key", cat("bind_flow:", s("a"), ">", s("b"), ":", s("slot")).alias("compound")),
-    ]
-    return reduce(DataFrame.unionByName, rows).where("compound is not null").distinct()
+    single = F.array(
+        cat("bigram:", s("sub"), ">", s("s1")),
+        cat("trigram:", s("sub"), ">", s("s1"), ">", s("s2")),
+        cat("flow:", s("sub"), "->", s("s1")),
+        cat("pos:", s("pos"), ":", s("sub")),
+        cat("arity_pair:", F.size("keys").cast("string"), ">", s("a1")),
+        cat("depth_trigram:", s("depth"), ">", s("d1"), ">", s("d2")),
+        cat("type_sig:", s("sub"), "(", F.array_join(F.array_sort(F.transform(F.map_values("refs"), lambda r: F.coalesce(r["dtype"], F.lit("float")))), ","), ")"),
+        cat("total_calls:", s("_total")),
+    )
+    bind = F.transform("keys", lambda k: cat("bind:", s("sub"), ".", k))
+    bind_flow = F.flatten(F.transform("_later", lambda c: F.transform(F.array_intersect("keys", c["keys"]), lambda k: cat("bind_flow:", s("sub"), ">", c["sub"], ":", k))))
+    every = F.explode(F.array_distinct(F.array_compact(F.concat(single, bind, bind_flow)))).alias("compound")
+    return d.select("plan_key", every).distinct()
 
 
 def shared_slots(calls: DataFrame) -> DataFrame:

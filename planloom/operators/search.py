@@ -26,7 +26,7 @@ def permutations(df: DataFrame, key: str, values: str, k: str) -> DataFrame:
     """
     n, kk = F.size(values), F.col(k)
     ways = F.aggregate(F.when(kk > 0, F.sequence(F.lit(0), kk - 1)).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda p, i: p * (n - i))
-    base = df.where((kk > 0) & (n >= kk) & (kk <= 6)).select(key, F.expr(f"sequence(0, size({values}) - 1)").alias("all"), kk.cast("int").alias("k"), ways.alias("ways"))
+    base = df.where((kk > 0) & (n >= kk)).select(key, F.expr(f"sequence(0, size({values}) - 1)").alias("all"), kk.cast("int").alias("k"), ways.alias("ways"))
     small = base.where(F.col("ways") <= MAX_ORDERS)
     # one position at a time: orders of length i + 1 from those of length i
     step = "flatten(transform(acc, o -> transform(filter(all, x -> NOT array_contains(o, x)), x -> concat(o, array(x)))))"

@@ -1277,7 +1277,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     f"""
     WITH i AS ({_ONE_ITEM}), n AS (SELECT item_id, len(regexp_extract_all(problem, '[0-9]+')) AS n, len(program.slots) AS k FROM i WHERE program IS NOT NULL AND problem IS NOT NULL),
     w AS (SELECT *, CAST(round(CASE k WHEN 1 THEN n WHEN 2 THEN n * (n - 1) WHEN 3 THEN n * (n - 1) * (n - 2) WHEN 4 THEN n * (n - 1) * (n - 2) * (n - 3) WHEN 5 THEN n * (n - 1) * (n - 2) * (n - 3) * (n - 4)
-        WHEN 6 THEN n * (n - 1) * (n - 2) * (n - 3) * (n - 4) * (n - 5) END) AS BIGINT) AS ways FROM n WHERE k BETWEEN 1 AND 6 AND n >= k)
+        WHEN 6 THEN n * (n - 1) * (n - 2) * (n - 3) * (n - 4) * (n - 5) END) AS BIGINT) AS ways FROM n WHERE k > 0 AND n >= k)
     SELECT item_id, CASE WHEN ways <= 2000 THEN ways ELSE 1 END AS n_orders FROM w
     """,
 )
