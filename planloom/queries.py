@@ -904,10 +904,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return library.matched_subroutine(_programs(spark, d), table(spark, d, "sub_library"))
 
 
-@query(
-    "greedy_cover",
-    f"""
-    WITH RECURSIVE {_TYPED}, l AS (SELECT list_transform(list_filter(program.steps, lambda s: lower(s.op) <> 'output'), lambda s: lower(s.op)) AS ops, min(sub_id) AS id FROM sub_library WHERE sub_id IS NOT NULL GROUP BY 1),
+_COVER = f"""{_TYPED}, l AS (SELECT list_transform(list_filter(program.steps, lambda s: lower(s.op) <> 'output'), lambda s: lower(s.op)) AS ops, min(sub_id) AS id FROM sub_library WHERE sub_id IS NOT NULL GROUP BY 1),
     known AS (SELECT list({{'n': len(ops), 'id': id, 'ops': ops}} ORDER BY len(ops) DESC, id) AS known FROM l WHERE len(ops) > 0),
     o AS (SELECT row_id, list_transform(list_filter(steps, lambda s: lower(s.op) <> 'output'), lambda s: lower(s.op)) AS ops FROM p),
     run(row_id, ops, i, cover, n) AS (
@@ -915,15 +912,23 @@ def _(spark: SparkSession, d: str) -> DataFrame:
         UNION ALL
         SELECT row_id, ops, i + coalesce(e.n, 1), CASE WHEN e IS NULL THEN cover ELSE list_append(cover, e.id) END, n + coalesce(e.n, 0)
         FROM (SELECT r.*, list_filter(k.known, lambda e: r.ops[r.i:r.i + e.n - 1] = e.ops)[1] AS e FROM run r, known k WHERE r.i <= len(r.ops))
-    )
-    SELECT row_id, array_to_string(cover, '>') AS cover, n AS covered, CAST(len(ops) AS BIGINT) AS n_steps FROM run WHERE i > len(ops)
-    """,
-)
+    ),
+    ended AS (SELECT row_id, cover, n AS covered, CAST(len(ops) AS BIGINT) AS n_steps FROM run WHERE i > len(ops))"""
+
+
+@query("greedy_cover", f"WITH RECURSIVE {_COVER} SELECT row_id, array_to_string(cover, '>') AS cover, covered, n_steps FROM ended")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return library.greedy_cover(_programs(spark, d), table(spark, d, "sub_library"))
 
 
-@query("compression_ratio")
+@query(
+    "compression_ratio",
+    f"""
+    WITH RECURSIVE {_COVER}, f AS (SELECT row_id, CAST(list_sum(list_transform(steps, lambda s: length(coalesce(s.expr, '')))) + 10 * len(steps) AS BIGINT) AS flat FROM p),
+    r AS (SELECT (10 * len(cover) + flat * (n_steps - covered) / greatest(n_steps, 1)) / flat AS r FROM f JOIN ended USING (row_id))
+    SELECT count(*) AS n, round(avg(r), 6) AS mean_ratio, round(quantile_disc(r, 0.5), 6) AS median_ratio, round(stddev_pop(r), 6) AS std_ratio FROM r
+    """,
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = _programs(spark, d)
     return metrics.compression(p, library.greedy_cover(p, table(spark, d, "sub_library")))
