@@ -1078,7 +1078,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return templates.shared_variables(table(spark, d, "templates"))
 
 
-@query("template_abstract")
+@query(
+    "template_abstract",
+    r"""
+    WITH t AS (SELECT template_id, regexp_extract_all(array_to_string(list_transform(steps, lambda s: s.expression), ' ; '), '\{[^}]*\}|[A-Za-z_]\w*|\d+(?:\.\d+)?|(?s:.)') AS k FROM templates WHERE steps IS NOT NULL)
+    SELECT template_id, coalesce(array_to_string(list_transform(k, lambda x, i: CASE WHEN regexp_full_match(x, '\d+(\.\d+)?') THEN '{c' || (len(list_filter(k[1:i], lambda y: regexp_full_match(y, '\d+(\.\d+)?'))) - 1) || '}' ELSE x END), ''), '') AS expressions,
+        CAST(len(list_filter(k, lambda y: regexp_full_match(y, '\d+(\.\d+)?'))) AS BIGINT) AS n_new FROM t
+    """.replace("\\\\", "\\"),
+)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return templates.abstract(table(spark, d, "templates"))
 
