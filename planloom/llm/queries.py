@@ -19,7 +19,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.program_records(table(spark, d, "programs"))
+    return canonical.program_records(table(spark, d, "programs")).select("row_id", "n_copies")
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,14 @@ _OVERLAPS = f"""
 
 SQL: dict[str, str] = {
     "p2_found": f"WITH {_OVERLAPS} SELECT least(train_id, eval_id) AS item_id_a, greatest(train_id, eval_id) AS item_id_b FROM pairs",
+    "p2_classes": f"""
+        WITH {_OVERLAPS}, k AS (SELECT t.*, min(item_id) OVER (PARTITION BY answer, numbers, w, split = 'train') AS class_id FROM t),
+        l AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM pairs JOIN k x ON x.item_id = train_id JOIN k y ON y.item_id = eval_id),
+        n AS (SELECT class_id, count(*) AS n_links FROM (SELECT a AS class_id FROM l UNION ALL SELECT b FROM l) GROUP BY 1)
+        SELECT item_id, split, class_id, n_links FROM k JOIN n USING (class_id)
+    """,
     "p2_counts": f"WITH {_OVERLAPS} SELECT split, coalesce(source, '') AS source, count(*) AS n_pairs, count(DISTINCT eval_id) AS n_items FROM pairs GROUP BY 1, 2",
+    "p3_records": f"WITH {_RECORDS} SELECT row_id, n_copies FROM r WHERE row_id = keep_id",
     "p3_found": f"WITH {_RECORDS} SELECT keep_id, row_id AS copy_id FROM r WHERE row_id <> keep_id",
     "p5_pairs": """
         WITH m AS (
