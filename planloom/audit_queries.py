@@ -10,10 +10,11 @@ from planloom.operators import audits, evolve, features, growth, library, metric
 from planloom.plans import execute
 from planloom.plans.programs import sql_function
 from planloom.queries import (
-    _ATOMS, _CALLS, _COMPOUNDS, _FP, _ONE_ITEM, _PLANS, _RUN, _TYPED, _VARIANTS, CHARGE, _again, _calls, _items, _library, _plans, _programs, query,
+    _ATOMS, _CALLS, _COMPOUNDS, _FP, _ONE_ITEM, _PLANS, _RUN, _TYPED, _UTIL, _VARIANTS, CHARGE, _again, _calls, _items, _library, _plans, _programs, memory_rows, query,
 )
-from planloom.session import cut
-from planloom.sources.tables import table
+from planloom.session import cut, scratch
+from planloom.sources.tables import stream, table
+from planloom.streaming import funnels
 
 _PLANS_BY = _PLANS.replace("bool_or(success) AS success", "bool_or(success) AS success, min(source) AS source, min(template_id) AS template_id")
 
@@ -404,3 +405,34 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
     grown = growth.evolved(patterns, lib, varies, constants, examples)
     return spark.createDataFrame([tuple(g.values()) for g in grown], "gram string, n_slots bigint, n_steps bigint, share double, support bigint, mdl_gain double, sub_id string")
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "memory_stream",
+    f"""
+    WITH {_UTIL}, g AS (SELECT key, count(*) AS n, round(sum(u64), 6) AS a, round(sum(u128), 6) AS b, round(sum(u256), 6) AS c FROM u GROUP BY 1)
+    SELECT key, CASE greatest(a, b, c) WHEN a THEN 'u64' WHEN b THEN 'u128' ELSE 'u256' END AS action, n FROM g
+    """,
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream: the action that each key ends with, from the state that is kept for it."""
+    events = stream(spark, d, "events")
+    path = scratch(spark)
+    funnels.drained(funnels.running_memory(memory_rows(events).drop("event_id", "is_test"), "key", ["u64", "u128", "u256"]), path, scratch(spark))
+    return spark.read.parquet(path).groupBy("key").agg(F.max_by("action", "n").alias("action"), F.max("n").alias("n"))
+
+
+@query(
+    "window_stream",
+    "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream, counted by hour and type; as all come in one batch, none is late."""
+    events = stream(spark, d, "events")
+    path = scratch(spark)
+    funnels.drained(funnels.windowed_funnel(events), path, scratch(spark))
+    last = spark.read.parquet(path).groupBy("start", "event_type").agg(F.max_by("value", "n").alias("value"), F.max("n").alias("n"))
+    return last.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))

@@ -151,14 +151,30 @@ def static_memory(test: DataFrame, banked: DataFrame, key: str, utilities: dict[
     return j.agg(F.count("*").alias("n"), F.round(F.avg(got), 6).alias("utility"), F.round(F.avg(F.col("action").isNotNull().cast("double")), 6).alias("reuse"))
 
 
-def dynamic_memory(rows: DataFrame, key: str, order: str, is_test: Column, utilities: dict[str, str], default: str) -> DataFrame:
+#: Span of the order in one part of a key's rows, in ``dynamic_memory``.
+MEMORY_PART = 100_000
+
+
+def dynamic_memory(rows: DataFrame, key: str, order: str, is_test: Column, utilities: dict[str, str], default: str, part: int = MEMORY_PART) -> DataFrame:
     """(n, utility, reuse): as ``static_memory``, but every test row also teaches the later ones of its key.
 
-    Means before a row are running sums over its key: keys don't depend on each other, so the simulation is exact.
+    Means before a row are running sums over its key, in two levels: within spans of ``part`` of the (numeric) order, and
+    over the spans. So a key with very many rows is many small sorts, and the simulation is exact, as keys don't depend
+    on each other.
     """
-    w = Window.partitionBy(key).orderBy(F.when(is_test, 1).otherwise(0), order).rowsBetween(Window.unboundedPreceding, -1)
-    d = rows.withColumns({"_test": is_test, "_seen": F.count(F.lit(1)).over(w), **{f"_m{i}": F.round(F.avg(c).over(w), 9) for i, c in enumerate(utilities.values())}})
-    top = F.greatest(*(F.col(f"_m{i}") for i in range(len(utilities))))
+    cols = list(utilities.values())
+    d = rows.withColumns({"_test": is_test, "_t": F.when(is_test, 1).otherwise(0), "_b": F.floor(F.col(order) / part)})
+    w = Window.partitionBy(key, "_t", "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = d.withColumns({"_n": F.count(F.lit(1)).over(w), **{f"_s{i}": F.coalesce(F.sum(c).over(w), F.lit(0.0)) for i, c in enumerate(cols)}})
+    spans = d.groupBy(key, "_t", "_b").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)))
+    earlier = Window.partitionBy(key).orderBy("_t", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = spans.select(
+        F.col(key).alias("_k"), F.col("_t").alias("_t2"), F.col("_b").alias("_b2"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_n0"), *(F.coalesce(F.sum(f"s{i}").over(earlier), F.lit(0.0)).alias(f"_z{i}") for i in range(len(cols)))
+    )
+    j = inner.join(before, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_t2")) & F.col("_b").eqNullSafe(F.col("_b2")))
+    seen = F.col("_n") + F.col("_n0")
+    j = j.withColumns({"_seen": seen, **{f"_m{i}": F.round(F.try_divide(F.col(f"_s{i}") + F.col(f"_z{i}"), seen), 9) for i in range(len(cols))}})
+    top = F.greatest(*(F.col(f"_m{i}") for i in range(len(cols))))
     action = F.coalesce(*(F.when(F.col(f"_m{i}") == top, F.lit(a)) for i, a in enumerate(utilities)), F.lit(default))
     got = F.coalesce(*(F.when(action == a, F.col(c)) for a, c in utilities.items()))
-    return d.where("_test").agg(F.count("*").alias("n"), F.round(F.avg(got), 6).alias("utility"), F.round(F.avg((F.col("_seen") > 0).cast("double")), 6).alias("reuse"))
+    return j.where("_test").agg(F.count("*").alias("n"), F.round(F.avg(got), 6).alias("utility"), F.round(F.avg((F.col("_seen") > 0).cast("double")), 6).alias("reuse"))

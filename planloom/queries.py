@@ -1244,7 +1244,11 @@ _UTIL = """u AS (SELECT event_id, event_type || (user_id % 7) AS key, event_id %
 
 
 def _memory(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    return memory_rows(table(spark, d, "events"))
+
+
+def memory_rows(e: DataFrame) -> DataFrame:
+    """Events as tasks of a memory: a key, whether they test it, and the utility of each action."""
     u = {c: metrics.utility(F.col("value") > v, F.lit(t)) for c, v, t in (("u64", 60, 64), ("u128", 30, 128), ("u256", 10, 256))}
     return e.select("event_id", F.concat("event_type", (F.col("user_id") % 7).cast("string")).alias("key"), (F.col("event_id") % 5 == 0).alias("is_test"), *(c.alias(n) for n, c in u.items()))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,22 +13,17 @@ from planloom.operators import records
 from planloom.plans.programs import Program, Slot, Step, with_program
 from planloom.plans.schemas import PLAN
 from planloom.queries import _CALLS, _ONE_ITEM, _PLANS, _calls, _items, _plans, query
-from planloom.session import shared_dir
+from planloom.session import scratch
 from planloom.sources import files
 from planloom.sources.tables import table
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one; files that a query writes stay there."""
-    return f"{shared_dir(spark)}/planloom-files-{uuid.uuid4().hex}"
-
-
 # --- files ---------------------------------------------------------------------------------------------------------
 
 
 @query("file_library", "SELECT sub_id, support, mdl_gain, CAST(len(program.slots) AS BIGINT) AS n_slots, array_to_string(list_transform(program.steps, lambda s: s.op || ':' || s.expr), ';') AS steps FROM sub_library WHERE sub_id IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     files.write_library(table(spark, d, "sub_library"), path)
     lib = files.read_library_lines(spark, path)
     return lib.select("sub_id", "support", "mdl_gain", F.size("program.slots").cast("bigint").alias("n_slots"), F.array_join(F.transform("program.steps", lambda s: F.concat(s["op"], F.lit(":"), s["expr"])), ";").alias("steps"))
@@ -37,7 +31,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("file_templates", "SELECT template_id, name, domain, coalesce(reuse_count, 0) AS reuse_count, coalesce(array_to_string(list_transform(variables, lambda v: v.name || ':' || v.type), ','), '') AS variables, array_to_string(list_transform(steps, lambda s: s.step_id || s.operation || s.expression || s.output_var), ';') AS steps FROM templates WHERE template_id IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     files.write_templates(table(spark, d, "templates"), path)
     t = files.read_templates(spark, path)
     return t.select("template_id", "name", "domain", "reuse_count", F.coalesce(F.array_join(F.transform("variables", lambda v: F.concat(v["name"], F.lit(":"), v["type"])), ","), F.lit("")).alias("variables"), F.array_join(F.transform("steps", lambda s: F.concat(s["step_id"].cast("string"), s["operation"], s["expression"], s["output_var"])), ";").alias("steps"))
@@ -45,14 +39,14 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("file_jsonl", "SELECT DISTINCT msg_id, turn, role, content FROM chat_messages")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     files.write_jsonl(table(spark, d, "chat_messages").select("msg_id", "turn", "role", "content"), path)
     return files.read_jsonl(spark, path, "msg_id bigint, turn bigint, role string, content string").distinct()
 
 
 @query("file_csv", "SELECT CAST(vec.doc_id AS VARCHAR) AS doc_id, form, annotator FROM doc_labels vec")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     table(spark, d, "doc_labels").write.csv(path, header=True)
     return files.read_csv(spark, path)
 
@@ -65,10 +59,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     layouts = {"list": F.col("j"), "keyed": F.concat(F.lit('{"results": '), "j", F.lit("}")), "nested": F.concat(F.lit('{"some": '), "j", F.lit(', "none": []}'))}
     out = []
     for name, value in layouts.items():
-        path = _folder(spark)
+        path = scratch(spark)
         one.select(value.alias("value")).coalesce(1).write.text(path)
         out.append((name, path))
-    path = _folder(spark)
+    path = scratch(spark)
     h.coalesce(1).write.json(path)
     out.append(("lines", path))
     parts = {n: files.read_predictions(spark, f"{p}/part-*").select(F.try_variant_get("value", "$.item_id", "bigint").alias("item_id"), F.try_variant_get("value", "$.answer", "string").alias("answer")) for n, p in out}
@@ -78,7 +72,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("file_sweep", "SELECT 'k' || n_nationkey AS condition, n_name AS name, n_nationkey AS size FROM nation")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """One small file of results per directory."""
-    path = _folder(spark)
+    path = scratch(spark)
     n = table(spark, d, "nation").select(F.concat(F.lit("k"), "n_nationkey").alias("condition"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("size"))
     for r in n.collect():  # a directory for each condition of an experiment
         line = json.dumps({"name": r["name"], "size": r["size"]})
@@ -91,7 +85,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("file_split", "SELECT DISTINCT item_id AS plan_key, CASE WHEN item_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM eval_results")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     split = table(spark, d, "eval_results").select(F.col("item_id").alias("plan_key"), F.when(F.col("item_id") % 5 == 0, "test").otherwise("train").alias("split")).distinct()
     files.write_split(split, path)
     return files.read_split(spark, path)
@@ -102,7 +96,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     "WITH t AS (SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS x FROM region) SELECT 'part' AS file, CAST(strlen(x) AS BIGINT) AS n_bytes, sha256(x) AS sha256, sha256(x)[1:16] AS head16 FROM t",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = _folder(spark)
+    path = scratch(spark)
     table(spark, d, "region").orderBy("r_regionkey").select("r_name").coalesce(1).write.text(path)
     return files.manifest(spark, f"{path}/part-*").withColumn("file", F.lit("part"))
 
@@ -110,7 +104,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("file_resumed", "SELECT DISTINCT item_id, length(problem) AS n_chars FROM eval_results WHERE problem IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """An extraction that is cut off after three parts and goes on where it was."""
-    path = _folder(spark)
+    path = scratch(spark)
     items = table(spark, d, "eval_results").where("problem is not null").select("item_id", "problem").distinct()
     work = lambda df: df.select("item_id", F.length("problem").cast("bigint").alias("n_chars")).distinct()
     files.extracted(items, "item_id", path, work, stop_after=3)

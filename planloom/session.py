@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "planloom-shared")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/planloom-{uuid.uuid4().hex}"
+    _tables.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a compressed table in the shared folder and read it from there.
 
@@ -30,9 +37,8 @@ def cut(df: DataFrame) -> DataFrame:
     the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/planloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

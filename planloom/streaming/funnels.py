@@ -38,3 +38,9 @@ def running_memory(rows: DataFrame, key: str, utilities: list[str]) -> DataFrame
     kind = dict(rows.dtypes)[key]
     state = "n bigint, " + ", ".join(f"s{i} double" for i in range(len(names)))
     return rows.where(F.col(key).isNotNull()).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, action string, n bigint", state, "update", "NoTimeout")
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run a stream over all that is there now, in update mode, and append what it gives to ``path``; it ends with its source."""
+    writer = stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    writer.foreachBatch(lambda df, _: df.write.mode("append").parquet(path)).start().awaitTermination()

@@ -113,9 +113,8 @@ def test_regression_finds_the_line(spark):
 
 
 def test_dynamic_memory_against_a_loop(spark):
-    rows = [(i, "ab"[i % 2], i % 3 == 0, float(i % 5), float((i * 7) % 4)) for i in range(40)]
+    rows = [(i, ("a", "b", None)[i % 3], i % 5 == 0, float(i % 5), float((i * 7) % 4)) for i in range(60)]
     df = spark.createDataFrame(rows, "i int, key string, t boolean, u double, v double")
-    got = metrics.dynamic_memory(df, "key", "i", F.col("t"), {"u": "u", "v": "v"}, "v").first()
     seen, total, reuse, n = {}, 0.0, 0, 0
     for i, k, t, u, v in sorted(rows, key=lambda r: (r[2], r[0])):
         s = seen.setdefault(k, [0, 0.0, 0.0])
@@ -123,7 +122,9 @@ def test_dynamic_memory_against_a_loop(spark):
             action = "v" if not s[0] else ("u" if round(s[1] / s[0], 9) >= round(s[2] / s[0], 9) else "v")
             total, reuse, n = total + (u if action == "u" else v), reuse + (s[0] > 0), n + 1
         seen[k] = [s[0] + 1, s[1] + u, s[2] + v]
-    assert (got.n, got.utility, got.reuse) == (n, pytest.approx(total / n, abs=1e-6), pytest.approx(reuse / n, abs=1e-6))
+    for part in (100_000, 7):  # one span of the order, and several
+        got = metrics.dynamic_memory(df, "key", "i", F.col("t"), {"u": "u", "v": "v"}, "v", part).first()
+        assert (got.n, got.utility, got.reuse) == (n, pytest.approx(total / n, abs=1e-6), pytest.approx(reuse / n, abs=1e-6))
 
 
 def test_answer_rules(spark):
