@@ -135,12 +135,11 @@ def active_bindings(plans: DataFrame, library: dict[str, Program]) -> DataFrame:
     return again.select("plan_key", "slot", F.col("call_pos").cast("bigint").alias("call_pos"), "kind", (~F.col("ok") | (F.abs(F.col("result") - F.col("_base")) > 1e-6)).alias("active"))
 
 
-def compose(calls: list, library: dict[str, Program], initial: dict | None = None, run=run) -> tuple[bool, float | None, int, str | None]:
+def compose(calls: list, library: dict[str, Program], initial: dict | None = None) -> tuple[bool, float | None, int, str | None]:
     """(ok, result, calls that succeeded, error) of calls (sub_id, bindings) that inherit variables.
 
     A slot takes its explicit binding, else the variable of its name, else the only variable that can be of its type;
-    with several there is no way to tell and the call fails. Later calls see every variable of earlier ones. run: how a
-    program is run on its values.
+    with several there is no way to tell and the call fails. Later calls see every variable of earlier ones.
     """
     env = dict(initial or {})
     out, made = None, 0
@@ -155,7 +154,7 @@ def compose(calls: list, library: dict[str, Program], initial: dict | None = Non
             elif env.get(slot.name) is not None:
                 values[slot.name] = env[slot.name]
             else:
-                fits = [v for k, v in env.items() if not k.startswith("__") and _fits(v, slot.dtype)]
+                fits = list(fitting(env, slot.dtype))
                 if len(fits) != 1:
                     return False, None, made, f"slot {slot.name} has {len(fits)} candidates"
                 values[slot.name] = fits[0]
@@ -168,6 +167,11 @@ def compose(calls: list, library: dict[str, Program], initial: dict | None = Non
     return made > 0, out, made, None if made else "no calls"
 
 
+def fitting(env: dict, dtype: str) -> Iterator:
+    """The variables that can be of a type."""
+    return (v for k, v in env.items() if not k.startswith("__") and _fits(v, dtype))
+
+
 def _fits(value, dtype: str) -> bool:
     try:
         coerce(value, dtype)

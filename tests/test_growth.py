@@ -4,10 +4,12 @@ import itertools
 import json
 import math
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from planloom.functions.types import coerce
 from planloom.operators import audits, growth, records, templates
 from planloom.plans.execute import compose
 from planloom.plans.programs import Program, Slot, Step, run, sql_function
@@ -141,6 +143,95 @@ def test_repair_finds_a_plan_that_runs(spark):
     assert got[1] == (True, True) and got[2][0] is False and got[3] == got[4] == (False, False)
 
 
+def every_change(calls, library, rounds=3, width=4, max_calls=6):
+    """What ``repaired`` gives, by running each change of each plan from its start."""
+
+    def reward(plan, safe):
+        ok, out, made, _ = compose(plan, library)
+        good = bool(ok and isinstance(out, (int, float)) and math.isfinite(out))
+        return 0.25 * made + 0.10 * (bool(plan) and made == len(plan)) - 0.05 * len(plan) - 0.10 * (not safe) + 0.20 * bool(good and abs(out) > 1e-6), good
+
+    def safe(program, given):
+        try:
+            return all(given.get(s.name) is None or [coerce(given[s.name], s.dtype)] for s in program.slots)
+        except ValueError:
+            return False
+
+    def changes(plan):
+        n = len(plan)
+        for i, (_, given) in enumerate(plan):
+            yield from (([*plan[:i], (o, given), *plan[i + 1 :]], safe(p, given)) for o, p in library.items() if o != plan[i][0])
+        env = {k: v for _, given in reversed(plan) for k, v in given.items() if v is not None}
+        for i, (sub, given) in enumerate(plan):
+            for s in library[sub].slots if sub in library else ():
+                yield from (([*plan[:i], (sub, {**given, s.name: v}), *plan[i + 1 :]], True) for k, v in env.items() if k != s.name)
+        yield from (([*plan[:i], (o, {}), *plan[i:]], True) for i in range(n + 1) if n < max_calls for o in library)
+        yield from (([*plan[:i], *plan[i + 1 :]], True) for i in range(n) if n > 1)
+
+    plan = [((sub or "").strip().upper(), dict(given or {})) for sub, given in calls]
+    (score, good), beam = reward(plan, True), [plan]
+    best = (score, plan, good)
+    for used in range(1, rounds + 1):
+        scored = sorted(((*reward(p, ok), p) for b in beam for p, ok in changes(b)), key=lambda x: -x[0])[:width]
+        beam = [p for _, _, p in scored]
+        if scored and scored[0][0] > best[0]:
+            best = (scored[0][0], beam[0], scored[0][1])
+        if best[2]:
+            return best[1], True, round(best[0], 6), used
+    return best[1], best[2], round(best[0], 6), rounds
+
+
+def random_library(rng, kinds, names, size):
+    lib = {}
+    for i in range(size):
+        slots = rng.sample(names, rng.randint(0 if rng.random() < 0.1 else 1, 3))
+        expr = f" {rng.choice('+-*/')} ".join(slots or ["5"]) + rng.choice(["", "", "", " * 1e200", " ** 3"])
+        target, kind = rng.choice(["res", "res", "a"]), rng.choice(kinds)
+        steps = (Step("compute", target, expr, (), kind), Step("output", target, target, (), kind))
+        lib[f"L{i:03d}"] = Program(f"L{i:03d}", tuple(Slot(s, rng.choice(kinds)) for s in slots), steps[: rng.choice([1, 2, 2, 2, 2])])
+    return lib
+
+
+def random_calls(rng, lib, values, n):
+    subs = [rng.choice([*lib, "NONE", None]) for _ in range(n)]
+    return [(s, {k: rng.choice(values) for k in [*(x.name for x in lib[s].slots), "zz"] if rng.random() < 0.6} if s in lib else None) for s in subs]
+
+
+@pytest.mark.parametrize(
+    "kinds, names, values",
+    [
+        (["int", "float", "float"], "abcdxy", [0.0, 1.0, 2.0, 3.5, 7.0, 100.0]),
+        (["int", "float", "bool"], ["a", "b", "x", "y", "res"], [0.0, 1.0, 3.5, math.inf, math.nan, None, 1e300]),
+        (["int", "float", "string", "list[float]", "list[int]", "weird"], ["a", "b", "x", "res", "__h"], [0.0, 2.0, math.inf, math.nan, None]),
+    ],
+)
+def test_repair_against_every_change(kinds, names, values):
+    rng = random.Random(3)
+    for _ in range(40):
+        lib = random_library(rng, kinds, list(names), rng.randint(0, 10))
+        calls, options = random_calls(rng, lib, values, rng.randint(0, 7)), rng.choice([{}, {}, {"width": 2}, {"max_calls": 3}])
+        assert repr(growth.repaired(calls, lib, **options)) == repr(every_change(calls, lib, **options))
+
+
+def test_repair_runs_few_of_its_changes():
+    rng = random.Random(4)
+    lib = random_library(rng, ["int", "float"], [f"s{i}" for i in range(16)], 240)
+    broken = [random_calls(rng, lib, [1.0, 2.0, 3.5, 7.0], 5) for _ in range(10)]
+    n = 0
+
+    def count(frame, event, arg):
+        nonlocal n
+        n += event == "call"
+
+    sys.setprofile(count)
+    try:
+        for calls in broken:
+            growth.repaired(calls, lib)
+    finally:
+        sys.setprofile(None)
+    assert n < 1_000_000  # each plan has thousands of changes a round
+
+
 def test_scores_of_candidates():
     got = {s: (v, ok) for s, v, ok in growth.candidate_scores(LIB | {"L08": prog("L08", "a / (b - 1)", "a", "b"), "L09": prog("L09", "b", "a", "b")})}
     assert got == {"L00": (1.0, True), "L01": (1.0, True), "L02": (0.8, True), "L03": (1.0, True), "L08": (0.0, False), "L09": (0.8, True)}
