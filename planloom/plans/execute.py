@@ -173,6 +173,8 @@ def fitting(env: dict, dtype: str) -> Iterator:
 
 
 def _fits(value, dtype: str) -> bool:
+    if type(value) is float and dtype == "float":
+        return True
     try:
         coerce(value, dtype)
     except ValueError:

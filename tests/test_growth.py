@@ -213,6 +213,14 @@ def test_repair_against_every_change(kinds, names, values):
         assert repr(growth.repaired(calls, lib, **options)) == repr(every_change(calls, lib, **options))
 
 
+def test_repair_of_plans_with_lists(spark):
+    lib = {"L00": Program("L00", (Slot("a", "list[float]"),), (Step("compute", "res", "sum(a)"), Step("output", "res", "res"))), "L01": prog("L01", "x / 0", "x")}
+    steps = "array<struct<sub_id:string,bindings:map<string,double>>>"
+    df = spark.createDataFrame([(1, [("L00", {"a": 2.0}), ("L01", {"x": 1.0})]), (2, [("NONE", None)])], f"plan_key bigint, steps {steps}")
+    got = {r.plan_key: (r.ran, r.plan, r.runs, r.rounds) for r in growth.repaired_plans(df, lib).collect()}
+    assert got == {1: (False, "L00>L00", True, 1), 2: (False, "NONE", False, 3)}
+
+
 def test_repair_runs_few_of_its_changes():
     rng = random.Random(4)
     lib = random_library(rng, ["int", "float"], [f"s{i}" for i in range(16)], 240)
